@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "secrets")
+MODULES = ("near_dedup", "suffix_dedup", "decontaminate", "secrets")
 
 
 def queries() -> dict:
