@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("near_dedup", "suffix_dedup", "decontaminate", "secrets")
+MODULES = ("near_dedup", "neighbours", "suffix_dedup", "decontaminate", "lm_score", "url_filter", "secrets")
 
 
 def queries() -> dict:
