@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("near_dedup", "neighbours", "suffix_dedup", "decontaminate", "lm_score", "url_filter", "secrets")
+MODULES = ("pii", "near_dedup", "neighbours", "suffix_dedup", "pieces", "decontaminate", "lm_score", "url_filter", "secrets", "quality")
 
 
 def queries() -> dict:
