@@ -1,0 +1,239 @@
+"""Each operator against its brute-force version, on random texts, edge cases and empty tables."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quern.llm import decontaminate, lm_score, near_dedup, neighbours, pieces, pii, quality, secrets, shared, suffix_dedup, url_filter
+from quern.llm.elias_fano import EliasFano, encode
+
+RNG = random.Random(17)
+WORDS = [f"{a}{b}" for a in "ka ti so mer lun dra vo pel".split() for b in "na ri tok es ul am".split()]
+
+
+def text(n: int) -> str:
+    return " ".join(RNG.choice(WORDS) for _ in range(n))
+
+
+def frame(spark, rows):
+    """documents with an extra column whose name operators use inside."""
+    return spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, key long")
+
+
+EDGES = [(100000, None), (100001, ""), (100002, " \n\t "), (100003, "one"), (100004, "One"), (100005, "é" * 300), (100006, "x " * 5000)]
+
+
+def test_near_duplicates_match_all_pairs(spark):
+    rows = []
+    for g in range(40):
+        base = text(60).split()
+        for _ in range(RNG.randint(1, 5)):
+            own = list(base)
+            for _ in range(RNG.randint(0, 4)):
+                own[RNG.randrange(len(own))] = RNG.choice(WORDS)
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + i, rows[0][1].upper()) for i in range(5)] + EDGES
+    want = near_dedup.brute_force(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+    assert len({c for _, c, _ in want.values()}) < len(want)
+
+
+def test_near_duplicates_with_blocks_and_chains(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    base, rows = text(120).split(), []
+    for i in range(60):  # a chain: neighbours are linked, ends are not
+        base[(7 * i) % 120] = f"new{i}"
+        rows.append((i, " ".join(base)))
+    want = near_dedup.brute_force(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("length", [12, 40, 400])
+def test_repeats_match_counting_every_string(spark, length):
+    passage = text(120)
+    rows = [(i, text(RNG.randint(0, 200)) + (passage[RNG.randint(0, 50) :] if i % 5 == 0 else "")) for i in range(60)]
+    rows += [(200, rows[3][1]), (201, "ab" * 500), (202, "é" * 300)] + EDGES
+    zero = F.lit(0).cast("long")
+    out = suffix_dedup.remove_repeats(frame(spark, rows), length).select("doc_id", "n_bytes", F.coalesce("n_removed", zero), F.coalesce("n_spans", zero), F.coalesce(F.sha2("kept", 256), "whole_sha"))
+    assert {r[0]: tuple(r)[1:] for r in out.collect()} == suffix_dedup.brute_force(rows, length)
+
+
+def test_difference_sets_cover():
+    for length in (12, 40, 100, 400):
+        levels, v, cover = suffix_dedup.plan(length)
+        assert {(i - j) % v for i in cover for j in cover} == set(range(v))
+        assert v - 1 + 3**levels <= length
+
+
+def test_decontamination_in_one_part_and_in_many(spark):
+    items = [(1, text(30)), (2, text(5)), (3, None), (4, "..."), (5, text(13)), (10, None)]
+    items.append((6, items[0][1]))
+    rows = [(i, text(RNG.randint(0, 60)) + (". " + RNG.choice(items[:2])[1].upper() + "! " if i % 3 == 0 else "")) for i in range(40)] + EDGES
+    benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, row string")
+    want = {i: decontaminate.brute_force(t, items) for i, t in rows}
+    for most in (10**6, 20):
+        out = decontaminate.scan(frame(spark, rows), benchmark, most).select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256), decontaminate.contaminated())
+        assert {r[0]: tuple(r)[1:] for r in out.collect()} == want
+    kept = decontaminate.drop_contaminated(frame(spark, rows), benchmark)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if not w[4]}
+    assert kept.columns == ["doc_id", "text", "key"]
+
+
+def test_secrets(spark):
+    hexa = "".join(RNG.choice("0123456789abcdef") for _ in range(40))
+    rows = [(1, f'x password = "{hexa}" y'), (2, "AKIA" + "A1" * 9 + " AKIA12"), (3, f"é{hexa}é TOKEN:abc token=abcdefgh"), (4, "the login key is Zx9!qLw7#vB2 now"), (5, "the secret is tokenisation and the password is password123"), *EDGES]
+    got = {r["doc_id"]: r for r in secrets.scan(frame(spark, rows)).withColumn("sha", F.sha2("base", 256)).collect()}
+    for i, t in rows:
+        assert got[i]["sha"] == secrets.brute_force_base(t)
+    assert (got[1]["n_assign"], got[2]["n_access"], got[3]["n_hex"], got[3]["n_assign"]) == (1, 1, 1, 1)
+    assert "guess:17:29" in got[4]["spans"] and got[5]["spans"] == ""
+    clean = {r["doc_id"]: r for r in secrets.redact(frame(spark, rows).withColumn("n_chars", F.length("text"))).collect()}
+    assert hexa not in clean[1]["text"] and clean[5]["text"] == rows[4][1] and clean[1]["n_chars"] == len(clean[1]["text"])
+    assert clean[100000]["text"] is None
+
+
+def test_guess_costs_are_ordered():
+    cost = secrets.guess_cost
+    assert cost("") == 0
+    assert cost("password") < cost("password1999-01-01") < cost("b7db7aa4a5fcc78305")
+    assert max(cost("aaaaaaaaaaaa"), cost("qwertyuiop"), cost("123456789")) < 6
+    assert cost("x9" * 5000) > 1000
+
+
+def test_sanitisation(spark):
+    frag = ["a@b.c", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+1 (988) 555-2485", " ", "@", "..", "é", "😀", "12", "+", "a@b.c%d@e.f"]
+    rows = [(i, "".join(RNG.choice(frag) for _ in range(RNG.randint(0, 20)))) for i in range(200)] + EDGES
+    rows += [(9000 + i, f"w{'abcdefghijkl'[i]}x the codename Bluefinch met agent@corp.example over {'stuvwxyzabcd'[i]}tea and of the") for i in range(12)]
+    rows += [(9100 + i, "the common words over and of the plain kind") for i in range(60)] + [(9900, "Bluefinch alone")]
+    rows += [(9901, "1.2.3.4 " * 2000)]
+    got = {r["doc_id"]: r for r in pii.scan(frame(spark, rows)).collect()}
+    for i, t in rows:
+        assert [tuple(s) for s in got[i]["base"]] == pii.brute_force_base(t)
+    assert [(s["start"], s["end"]) for s in got[9900]["terms"]] == [(0, 9)]
+    assert not got[9100]["terms"]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, rows)).collect()}
+    assert "agent@corp" not in clean[9000] and "Bluefinch" not in clean[9900] and clean[9100] == rows[-62][1]
+
+
+def test_language_model_scores(spark):
+    rows = [(i, text(RNG.randint(0, 40))) for i in range(200)] + EDGES
+    docs = frame(spark, rows)
+    got = {r[0]: tuple(r)[1:] for r in lm_score.score(docs, lm_score.train(docs, shared.new_path(spark, "trie"), 5)).collect()}
+    want = lm_score.brute_force(rows)
+    for i in want:
+        assert got[i][:4] == want[i][:4]
+        assert got[i][4] == pytest.approx(want[i][4], abs=1e-9 * want[i][1] + 1e-9)
+        assert got[i][5] == pytest.approx(want[i][5], abs=2e-4 * want[i][1])
+    held = [w for w in want.values() if w[0]]
+    assert sum(w[5] for w in held) > sum(w[4] for w in held)
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(3)
+    for n, universe in ((0, 10), (1, 1), (3000, 1 << 40), (3000, 4000), (500, 100000)):
+        v = np.sort(rng.integers(0, universe, n, dtype=np.uint64))
+        e = EliasFano(encode(v, universe))
+        assert (e.get(np.arange(n)) == v).all()
+        q = np.concatenate([v, rng.integers(0, universe, 500, dtype=np.uint64)])
+        at = np.searchsorted(v, q)
+        assert (e.find(q) == [a if a < n and v[a] == x else -1 for a, x in zip(at, q, strict=True)]).all()
+
+
+def test_url_filter(spark):
+    urls = ["http://EXAMPLE.com/en/x?q#f", "https://www.example.com/en/", "https://a.b.example.com/en/1", "http://x.net/es/1", "http://net/fr/", "http://x.net", "nothing", None, "", "http://notexample.com/en/", "http://com/", "a://b://c/d", "http://example.com:80/en/", "http://..com/x"]
+    rows = [(i, u) for i, u in enumerate(urls * 20)]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in rows], "page_id long, url string, key string")
+    rules = [*url_filter.RULES, ("example.com", "/", "allow"), ("www.example.com", "/en/", "block"), ("Example.com", "/en/x", "allow")]
+    for ranges in (1, 7):
+        got = {r[0]: tuple(r)[1:] for r in url_filter.judge_pages(pages, spark.createDataFrame(rules, "host string, path string, action string"), ranges=ranges).collect()}
+        lowered = [(h.lower(), p, a) for h, p, a in rules]
+        assert got == {i: url_filter.brute_force(u, lowered) for i, u in rows}
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((8, 16))
+    x = (centres[rng.integers(0, 8, 1500)] + 0.3 * rng.standard_normal((1500, 16))).astype(np.float32)
+    x[100:600] = x[100]  # one vector of a third of all rows
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(9000, None, 1), (9020, [0.0] * 16, 1), (9040, [float("nan")] * 16, 1), (9060, [1.0, None] * 8, 1), (9080, [1.0], 1), (9100, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    got: dict[int, list] = {}
+    for r in neighbours.nearest_neighbours(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 1500, 20))
+    hit = 0
+    for q, found in got.items():
+        found.sort()
+        scores = x.astype(np.float64) @ x[q].astype(np.float64)
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(1500), -np.round(scores, 9)))[:20]
+        hit += len(set(best.tolist()) & {v for _, v, _ in found})
+        assert [r for r, _, _ in found] == list(range(1, 21)) and q not in {v for _, v, _ in found}
+        for _, v, s in found:
+            assert s == pytest.approx(scores[v], abs=1e-9)
+    assert hit >= 0.9 * 20 * len(got)
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (20, [2.0, 1.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in neighbours.nearest_neighbours(few, few).collect()) == [(0, 1, 20, 4.0), (20, 1, 0, 4.0)]
+
+
+def test_pieces_are_sentencepiece_and_come_back(spark):
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rows = [(i, "".join(RNG.choice(" \nabcdefghijklmnopqrstuvwxyzéß😀0123.,") for _ in range(RNG.randint(1, 80)))) for i in range(200)] + EDGES + [(500, "\x00<0x41> ▁x"), (501, "y" * 3000)]
+    out = pieces.encoded(frame(spark, rows))
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, t in rows:
+        assert got[i]["ids"] == (p.encode(t) if t else []) and got[i]["n_tokens"] == len(got[i]["ids"]) and got[i]["round_trip"]
+    back = {r["doc_id"]: r["text"] for r in pieces.decoded(out).collect()}
+    assert all(back[i] == (t or "").replace("▁", " ") for i, t in rows)
+
+
+def test_quality(spark):
+    good = [(i, "en", text(60)) for i in range(200)]
+    bad = [(1000 + i, "en", " ".join(f"{w.upper()}$$##" for w in text(40).split())) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, lang) for i, lang, t in [*good, *bad, (2000, None, text(50)), (2001, "en", None), (2002, "en", " ")]], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(1000, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    assert all(got[i]["rejected"] for i, _, _ in bad) and sum(got[i]["rejected"] for i, _, _ in good) <= 2
+    assert got[2001]["rejected"] and got[2002]["rejected"] and got[2001]["perplexity"] is None and not got[2000]["rejected"]
+    model = quality.train(docs.where("doc_id < 100"))
+    one, other = ({r["doc_id"]: (r["n_symbols"], r["logp"]) for r in quality.score(docs, model, most).collect()} for most in (10**6, 0))
+    assert one.keys() == other.keys()
+    for i in one:
+        assert one[i][0] == other[i][0] and one[i][1] == pytest.approx(other[i][1], abs=1e-6)
+    # probabilities of the characters after a context sum to one, with what backs off
+    rows = {(r["order"], r["g"]): r for r in model.collect()}
+    alphabet = [g for (o, g), r in rows.items() if o == 1 and r["logp"] is not None]
+
+    def p(g: str) -> float:
+        if g == "":
+            return 10 ** rows[-1, ""]["logp"]
+        if (len(g), g) in rows and rows[len(g), g]["logp"] is not None:
+            return 10 ** rows[len(g), g]["logp"]
+        context = rows.get((len(g) - 1, g[:-1]))
+        return (10 ** context["back"] if context is not None and context["back"] is not None else 1.0) * p(g[1:])
+
+    for context in ("", "k", "ka", "zzz"):
+        total = sum(p(context + c) for c in alphabet) + p(context + "\uffff")
+        assert total == pytest.approx(1.0, abs=1e-6)
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert near_dedup.near_duplicates(docs).count() == 0
+    assert suffix_dedup.remove_repeats(docs).count() == 0
+    assert decontaminate.scan(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert secrets.scan(docs).count() == 0 and pii.scan(docs).count() == 0 and pieces.encoded(docs).count() == 0
+    assert lm_score.score(docs, lm_score.train(docs, shared.new_path(spark, "trie"), 3)).count() == 0
+    assert quality.classify(docs, labels).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert neighbours.nearest_neighbours(vectors, vectors).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.judge_pages(pages, spark.createDataFrame(url_filter.RULES, "host string, path string, action string")).count() == 0
