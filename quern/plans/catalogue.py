@@ -1,9 +1,12 @@
 """The registered queries and their DuckDB equivalents."""
 
+from quern.plans import text_queries  # noqa: F401
+from quern.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
