@@ -73,7 +73,7 @@ def first_line(x: Column) -> Column:
 
 def quoted_parts(x: Column) -> Column:
     """Distinct parts between straight double quotes, trimmed, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit('"([^"]+)"'), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit('"([^"]+)"'), F.lit(1)), lambda v: F.trim(v)))
 
 
 def rule_ids(x: Column) -> Column:
@@ -119,7 +119,7 @@ def unquoted_prose(x: Column, quotes: bool = True) -> Column:
 
 def values_of(x: Column) -> Column:
     """One or many values as a clean list: trimmed, blanks dropped; null: empty."""
-    return F.coalesce(F.filter(F.transform(x, F.trim), lambda v: v != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(x, lambda v: F.trim(v)), lambda v: v != ""), F.array().cast("array<string>"))
 
 
 def folded(x: Column) -> Column:
@@ -134,4 +134,4 @@ def message_text(blocks: Column) -> Column:
 
 def header(map_: Column, name: str) -> Column:
     """A map's value by name, in any case of letters."""
-    return F.element_at(F.map_values(F.map_filter(map_, lambda k, _: F.lower(k) == name.lower())), 1)
+    return F.try_element_at(F.map_values(F.map_filter(map_, lambda k, _: F.lower(k) == name.lower())), F.lit(1))

@@ -33,7 +33,7 @@ def in_intervals(events: DataFrame, marks: DataFrame, key: str, time: str, tie:
 def stalls(events: DataFrame, key: str, time: str, tie: str, seconds: float) -> DataFrame:
     """Events after which a key was silent for longer."""
     w = Window.partitionBy(key).orderBy(time, tie)
-    gap = F.unix_micros(F.lead(time).over(w)) - F.unix_micros(F.col(time))
+    gap = F.unix_micros(F.lead(time).over(w).cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))
     return events.withColumn("gap_s", gap / 1e6).where(F.col("gap_s") > seconds)
 
 

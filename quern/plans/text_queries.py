@@ -104,32 +104,32 @@ def _states(t):
     return d.where("doc_id % 3 <> 0").withColumn("version", F.lit(1)), d.where("doc_id % 2 = 0").withColumn("version", F.lit(2))
 
 
-STATES = "e AS (SELECT doc_id, source, n_chars, 1 AS version FROM documents WHERE doc_id % 3 <> 0), i AS (SELECT doc_id, source, n_chars, 2 AS version FROM documents WHERE doc_id % 2 = 0 AND doc_id < 500)"
+STATES = "e AS (SELECT doc_id, source, n_chars, 1 AS version FROM documents WHERE doc_id % 3 <> 0), i AS (SELECT doc_id, source, n_chars, 2 AS version FROM documents WHERE doc_id % 2 = 0)"
 
 
 @query(f"WITH {STATES} SELECT * FROM e UNION ALL SELECT * FROM i WHERE doc_id NOT IN (SELECT doc_id FROM e)")
 def j3_append(t):
     old, new = _states(t)
-    return merge.merged(old, new.where("doc_id < 500"), "doc_id", "source", "append")
+    return merge.merged(old, new, "doc_id", "source", "append")
 
 
-@query(f"WITH {STATES}, s AS (SELECT DISTINCT source || '/' || n_chars % 7 AS g FROM i) SELECT * FROM e WHERE source || '/' || n_chars % 7 NOT IN (SELECT g FROM s) UNION ALL SELECT * FROM i")
+@query(f"WITH {STATES}, s AS (SELECT DISTINCT source || '/' || n_chars % 50 AS g FROM i) SELECT * FROM e WHERE source || '/' || n_chars % 50 NOT IN (SELECT g FROM s) UNION ALL SELECT * FROM i")
 def j4_sync(t):
     old, new = _states(t)
-    group = F.concat_ws("/", "source", (F.col("n_chars") % 7).cast("string"))
-    return merge.merged(old.withColumn("g", group), new.where("doc_id < 500").withColumn("g", group), "doc_id", "g", "sync").drop("g")
+    group = F.concat_ws("/", "source", (F.col("n_chars") % 50).cast("string"))
+    return merge.merged(old.withColumn("g", group), new.withColumn("g", group), "doc_id", "g", "sync").drop("g")
 
 
 @query(f"WITH {STATES} SELECT * FROM i")
 def k2_replace(t):
     old, new = _states(t)
-    return merge.merged(old, new.where("doc_id < 500"), "doc_id", "source", "replace")
+    return merge.merged(old, new, "doc_id", "source", "replace")
 
 
 @query(f"WITH {STATES}, m AS (SELECT * FROM e UNION ALL SELECT * FROM i WHERE doc_id NOT IN (SELECT doc_id FROM e)) SELECT (SELECT count(*) FROM e) AS kept, CAST(0 AS BIGINT) AS replaced, count(*) - (SELECT count(*) FROM e) AS added, count(*) AS total FROM m")
 def k2_merge_stats(t):
     old, new = _states(t)
-    return merge.merge_stats(old, new.where("doc_id < 500"), "doc_id", "source", "append")
+    return merge.merge_stats(old, new, "doc_id", "source", "append")
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars = 0 OR n_chars % 17 = 0 THEN 'empty' WHEN length(text) > 5000 THEN 'too large' WHEN n_chars % 13 = 0 THEN 'missing repo/path' WHEN n_chars % 11 = 0 THEN 'missing sha' END AS reason FROM documents""")
@@ -234,13 +234,12 @@ def f24_digests(t):
     return t.documents.select("doc_id", F.sha2("text", 256).alias("whole"), text.key_digest(F.col("source"), F.col("lang"), F.col("doc_id")).alias("id"))
 
 
-@query("""WITH s AS (SELECT lang, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint, count(*) AS files FROM documents WHERE doc_id < 300 GROUP BY lang) SELECT * FROM s""")
+@query("""SELECT source, doc_id // 64 AS project, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint, count(*) AS files FROM documents GROUP BY ALL""")
 def a23_fingerprint(t):
-    """One hash for an ordered set of files: a hash of their hashes. The set is a project's files, here a fixed small one."""
-    d = t.documents.where("doc_id < 300")
+    """One hash for an ordered set of files, a project's: a hash of their hashes."""
     line = F.concat_ws(":", "doc_id", F.sha2("text", 256))
     one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))), lambda x: x["line"]), "\n")
-    return d.groupBy("lang").agg(F.sha2(one, 256).alias("fingerprint"), F.count("*").alias("files"))
+    return t.documents.groupBy("source", F.expr("doc_id div 64").alias("project")).agg(F.sha2(one, 256).alias("fingerprint"), F.count("*").alias("files"))
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), e AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS line FROM l)
@@ -249,10 +248,10 @@ def w2_context(t):
     return segments.contexts(t.documents).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("line", "first", "last")), "context")
 
 
-@query(r"""WITH l AS (SELECT doc_id, string_split(replace(text, 'the ', '```' || chr(10)), chr(10)) AS lines FROM documents WHERE lang = 'en' AND n_chars < 3000), e AS (SELECT doc_id, unnest(lines) AS own, generate_subscripts(lines, 1) AS line FROM l)
+@query(r"""WITH l AS (SELECT doc_id, string_split(replace(text, 'the ', '```' || chr(10)), chr(10)) AS lines FROM documents), e AS (SELECT doc_id, unnest(lines) AS own, generate_subscripts(lines, 1) AS line FROM l)
 SELECT doc_id, line, sum(CASE WHEN regexp_matches(own, '^\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) % 2 = 1 OR regexp_matches(own, '^\s*(```|~~~)') AS fenced FROM e""")
 def w4_fence_parity(t):
-    d = t.documents.where("lang = 'en' AND n_chars < 3000").withColumn("text", F.replace("text", F.lit("the "), F.lit("```\n")))
+    d = t.documents.withColumn("text", F.replace("text", F.lit("the "), F.lit("```\n")))
     return segments.fence_parity(d).select("doc_id", F.col("line").cast("long").alias("line"), "fenced")
 
 
