@@ -22,13 +22,13 @@ def keep_first(df: DataFrame, by: Sequence[Column], order: Sequence[str]) -> Dat
 
 def not_yet(files: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not among those done."""
-    return files.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    return files.join(done.select(*keys).distinct(), list(keys), "left_anti").select(*files.columns)
 
 
 def merged(existing: DataFrame, incoming: DataFrame, key: str, group: str, mode: str) -> DataFrame:
     """sync: every stored row of a group that comes in is replaced; append: only unseen keys are added; replace: what comes in."""
     if mode == "sync":
-        return existing.join(incoming.select(group).distinct(), group, "left_anti").unionByName(incoming, allowMissingColumns=True)
+        return existing.join(incoming.select(group).distinct(), group, "left_anti").select(*existing.columns).unionByName(incoming, allowMissingColumns=True)
     if mode == "append":
         return existing.unionByName(incoming.join(existing.select(key), key, "left_anti"), allowMissingColumns=True)
     if mode == "replace":
