@@ -16,6 +16,7 @@ own U+2581 means a space, as in the format, and comes back as one.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Words that a worker remembers, and characters that one suffix array indexes (a longer word is indexed alone).
-REMEMBERED = 400_000
-INDEXED = 2_000_000
+REMEMBERED = 800_000
+INDEXED = 1_000_000
+PAIRS = 500_000
 
 
 class Model:
@@ -60,8 +62,11 @@ class Encoder:
         self.codes = np.zeros((len(order), self.depth), np.int64)
         for i, t in enumerate(order):
             self.codes[i, : len(t)] = [ord(c) for c in t]
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.alone = {i: self.merged(t) == [t] for t, i in model.piece.items()}
+        self.pairs: dict[int, bool] = {}  # by first * vocabulary + second
+        self.width = len(model.text)
+        self.alone = [False] * len(model.text)
+        for t, i in model.piece.items():
+            self.alone[i] = self.merged(t) == [t]
         self.plain = [b""] * len(model.text)
         for t, i in model.piece.items():
             self.plain[i] = t.replace(SPACE, " ").encode()
@@ -86,29 +91,32 @@ class Encoder:
             parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
 
     def apart(self, a: int, b: int) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            x, y = self.m.text[a], self.m.text[b]
-            got = self.pairs[a, b] = self.merged(x + y) == [x, y]
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        x, y = self.m.text[a], self.m.text[b]
+        got = self.pairs[a * self.width + b] = self.merged(x + y) == [x, y]
         return got
 
     def suffix_array(self, codes: np.ndarray) -> np.ndarray:
-        """Suffixes sorted by their first `depth` characters, by doubling."""
-        rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-        h = 1
+        """Suffixes sorted by their first `depth` characters: as many as fit in 63 bits at once, then by doubling."""
+        kinds, rank = np.unique(codes, return_inverse=True)
+        bits = int(len(kinds)).bit_length()
+        h = max(1, 63 // bits)
+        key, n = np.zeros(len(codes), np.int64), len(codes)
+        for i in range(h):
+            key <<= bits
+            key[: max(0, n - i)] |= rank[i:] + 1
         while True:
-            ahead = np.full(len(codes), -1, np.int64)
-            ahead[: len(codes) - h] = rank[h:]
-            key = rank * (int(rank.max()) + 2) + ahead + 1
-            order = np.argsort(key, kind="stable")
-            h *= 2
+            order = np.argsort(key)  # equal suffixes in any order
             line = key[order]
-            rank = np.empty(len(codes), np.int64)
-            rank[order] = np.concatenate(([0], np.cumsum(line[1:] != line[:-1])))
-            if h >= self.depth or rank.max() == len(codes) - 1:
+            new = np.cumsum(np.concatenate(([0], line[1:] != line[:-1])))
+            if h >= self.depth or new[-1] == n - 1:
                 return order
+            rank = np.empty(n, np.int64)
+            rank[order] = new
+            key = rank * (int(new[-1]) + 2)
+            key[: max(0, n - h)] += rank[h:] + 1
+            h *= 2
 
     def ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each piece's occurrences begin and end in the suffix array, all pieces at once."""
@@ -150,34 +158,38 @@ class Encoder:
         n = hi - lo
         begin = order[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))]
         size, piece = np.repeat(self.sizes, n), np.repeat(self.ids, n)
-        by_end = np.argsort((begin + size) * (self.depth + 1) + (self.depth - size), kind="stable")  # by end, longest first
+        by_end = np.argsort((begin + size) * (self.depth + 1) + (self.depth - size))  # by end, longest first
         begin, size, piece = begin[by_end], size[by_end], piece[by_end]
-        stops = np.searchsorted(begin + size, np.arange(1, len(codes) + 2)).tolist()  # edges that end at position e: stops[e-1] to stops[e]
-        begin, piece = begin.tolist(), piece.tolist()
+        stops = np.searchsorted(begin + size, np.arange(1, len(codes) + 2))  # edges that end at position e: stops[e-1] to stops[e]
+        begin, piece, stops = (array("i", x.astype(np.int32).tobytes()) for x in (begin, piece, stops))
         text, byte, unknown, alone, apart, pairs = joined, self.m.byte, self.m.unknown, self.alone, self.apart, self.pairs
-        flat, counts = [], []
-        last: list = [None] * (len(codes) + 1)
-        origin = [0] * (len(codes) + 1)
+        width, flat, counts = self.width, array("i"), []
+        last, origin = array("i", bytes(4 * (len(codes) + 1))), array("i", bytes(4 * (len(codes) + 1)))
         start = 0
         for stop in bounds:
+            last[start] = -1  # nothing stands before a word, nor before what follows a character without a piece
+            k = stops[start]
             for e in range(start + 1, stop):
-                for k in range(stops[e - 1], stops[e]):
-                    s = begin[k]
+                until = stops[e]
+                while k < until:  # no piece holds the separator, so edges lie inside their word
                     p = piece[k]
-                    if s < start:
-                        continue
-                    if s == start:
+                    s = begin[k]
+                    q = last[s]
+                    if q < 0:
                         ok = alone[p]
                     else:
-                        q = last[s]
-                        ok = alone[p] if q < 0 else pairs.get((q, p))
+                        ok = pairs.get(q * width + p)
                         if ok is None:
                             ok = apart(q, p)
                     if ok:
-                        last[e], origin[e] = p, s
+                        last[e] = p
+                        origin[e] = s
                         break
+                    k += 1
                 else:
-                    last[e], origin[e] = -1, e - 1  # a character without a piece
+                    last[e] = -1
+                    origin[e] = e - 1
+                k = until
             out, e = [], stop - 1
             while e > start:
                 if last[e] >= 0:
@@ -186,7 +198,7 @@ class Encoder:
                     out += [byte.get(b, unknown) for b in reversed(text[e - 1].encode())]
                 e = origin[e]
             out.reverse()
-            flat += out
+            flat.extend(out)
             counts.append(len(out))
             start = stop
         base, known = len(self.count), len(self.known)
@@ -194,7 +206,7 @@ class Encoder:
         counts = np.array(counts, np.int64)
         at = len(self.flat) + np.concatenate(([0], np.cumsum(counts)[:-1]))
         assert base == known
-        self.first, self.count, self.flat = np.concatenate((self.first, at)), np.concatenate((self.count, counts)), np.concatenate((self.flat, np.array(flat, np.int32)))
+        self.first, self.count, self.flat = np.concatenate((self.first, at)), np.concatenate((self.count, counts)), np.concatenate((self.flat, np.frombuffer(flat, np.int32)))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the pieces of text i are ids[offsets[i]:offsets[i + 1]]."""
@@ -233,7 +245,7 @@ def encoder_for(spark: SparkSession, path: str = MODEL):
 
 
 #: Characters of text encoded at once.
-HELD = 8 << 20
+HELD = 3 << 20
 
 
 def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
