@@ -156,3 +156,46 @@ def located(lines: Sequence[str], fails: Callable[[Sequence[str]], bool], most:
         gone = {i for i, _ in part}
         left = [x for x in left if x[0] not in gone]
     return out
+
+
+def snippet(text: str, start: int, end: int, most: int = 160) -> str:
+    """The line around a mark, whole words only, at most so many characters."""
+    a, b = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+    b = len(text) if b < 0 else b
+    if b - a > most:
+        room = max(0, most - (end - start)) // 2
+        lo, hi = max(a, start - room), min(b, max(end + room, start + 1))
+        while lo > a and lo < start and not text[lo - 1].isspace():
+            lo += 1
+        while hi < b and hi > end and not text[hi].isspace():
+            hi -= 1
+        a, b = lo, min(hi, lo + most)
+    return text[a:b].strip()
+
+
+def first_message(script: str) -> str:
+    """The first message that a script prints: a line of its own first, then any quoted text of an output call."""
+    for pattern in (r"(?m)^\s*(?:echo|printf|print)\s*\(?\s*([\"'])(.+?)\1\s*(?:\)|>&2)?\s*$", r"(?:echo|printf|print|stderr\.write|console\.error)\b[^\"'\n]*([\"'])(.+?)\1"):
+        if m := re.search(pattern, script):
+            return m[2]
+    return ""
+
+
+def batch_schema(item: dict, key: str) -> dict:
+    """The schema of a batch's reply: results, each an item with its key."""
+    inner = strict_schema(item | {"properties": {key: {"type": "string"}, **item["properties"]}, "required": [key, *item.get("required", [])]})
+    return {"type": "object", "additionalProperties": False, "required": ["results"], "properties": {"results": {"type": "array", "items": inner}}}
+
+
+def load_env(folders: Sequence[str], environment: dict[str, str]) -> dict[str, str]:
+    """Settings of .env files, nearest folder first; what is set already is never overridden."""
+    import os
+
+    for folder in folders:
+        at = os.path.join(folder, ".env")
+        if os.path.exists(at):
+            with open(at, encoding="utf-8") as f:
+                for line in f:
+                    if (m := re.match(r"\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$", line)) and m[1] not in environment:
+                        environment[m[1]] = m[2].strip("\"'")
+    return environment

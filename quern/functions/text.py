@@ -135,3 +135,23 @@ def message_text(blocks: Column) -> Column:
 def header(map_: Column, name: str) -> Column:
     """A map's value by name, in any case of letters."""
     return F.try_element_at(F.map_values(F.map_filter(map_, lambda k, _: F.lower(k) == name.lower())), F.lit(1))
+
+
+def heredoc_targets(x: Column) -> Column:
+    """Files that a shell text writes by here-documents, in order."""
+    pattern = r"(?s)(?:>|>>|tee(?:\s+-a)?)\s*([^\s<>|;&]+)\s*<<-?\s*(['\"]?)(\w+)\2[^\n]*\n.*?\n\s*\3\s*(?:\n|\z)"
+    return F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
+
+
+def notebook_source(x: Column) -> Column:
+    """The code cells of a notebook (JSON), one after another."""
+    cells = F.from_json(x, "cells array<struct<cell_type: string, source: array<string>>>")["cells"]
+    return F.array_join(F.transform(F.filter(cells, lambda c: c["cell_type"] == "code"), lambda c: F.array_join(c["source"], "")), "\n\n")
+
+
+def sector(start: Column, end: Column, inner: Column, outer: Column) -> Column:
+    """SVG path of a ring's sector between two shares of a turn, clockwise from the top."""
+    point = lambda r, t: F.concat_ws(" ", *(F.format_string("%.2f", r * f(2 * F.pi() * t)) for f in (F.sin, lambda a: -F.cos(a))))
+    large = F.when(end - start > 0.5, "1").otherwise("0")
+    arc = lambda r, sweep, to: F.concat(F.lit("A "), F.format_string("%.2f %.2f 0 ", r, r), large, F.lit(f" {sweep} "), to)
+    return F.concat_ws(" ", F.concat(F.lit("M "), point(outer, start)), arc(outer, 1, point(outer, end)), F.concat(F.lit("L "), point(inner, end)), arc(inner, 0, point(inner, start)), F.lit("Z"))

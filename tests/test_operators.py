@@ -231,3 +231,26 @@ def test_streams_equal_batches(spark, tmp_path):
     assert crossed.count() == whole
     again = streams.run_once(streams.crossings(stream, "user_id", "event_id", "value", [100.0]), f"{tmp_path}/b", f"{tmp_path}/cb")
     assert again.count() == whole
+
+
+def test_small_text_functions(spark, tmp_path):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    shell = "cat > a.py <<'EOF'\nx\nEOF\ncat <<END > no\ntee b.txt <<END\ny\nEND\n"
+    assert one(text.heredoc_targets(F.lit(shell))) == ["a.py", "b.txt"]
+    book = json.dumps({"cells": [{"cell_type": "code", "source": ["a = 1\n", "b = 2"]}, {"cell_type": "markdown", "source": ["no"]}, {"cell_type": "code", "source": ["c"]}]})
+    assert one(text.notebook_source(F.lit(book))) == "a = 1\nb = 2\n\nc"
+    assert one(text.sector(F.lit(0.0), F.lit(0.25), F.lit(1.0), F.lit(2.0))) == "M 0.00 -2.00 A 2.00 2.00 0 0 1 2.00 -0.00 L 1.00 -0.00 A 1.00 1.00 0 0 0 0.00 -1.00 Z"
+    assert code.snippet("one two three\nnext", 4, 7) == "one two three"
+    long = "word " * 100 + "MARK " + "tail " * 100
+    got = code.snippet(long, 500, 504)
+    assert "MARK" in got and len(got) <= 160 and set(got.split()) <= {"word", "MARK", "tail"}
+    assert code.first_message('x=1\necho "Stop: no" >&2\n') == "Stop: no" and code.first_message("") == ""
+    assert code.batch_schema({"type": "object", "properties": {"a": {"type": "string"}}, "required": ["a"]}, "id")["properties"]["results"]["items"]["required"] == ["id", "a"]
+    (tmp_path / ".env").write_text("A=1\nexport B='2'\n# no\n")
+    assert code.load_env([str(tmp_path)], {"A": "kept"}) == {"A": "kept", "B": "2"}
+
+
+def test_transcripts(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"timestamp": "2", "type": "user", "message": {"x": 1}}\nbroken\n{"timestamp": "1", "type": "assistant"}\n')
+    got = readers.transcript(spark, f"file://{tmp_path}/a.jsonl").orderBy("timestamp").collect()
+    assert [(r["timestamp"], r["type"]) for r in got] == [("1", "assistant"), ("2", "user")]
