@@ -3,14 +3,16 @@
 Each document's set of distinct word shingles gives a signature of K coordinates. Documents with equal sets are one class.
 Classes are posted under each (coordinate, value); values that only one class has can't collide and are left out. A pair
 must collide in at least LEAST coordinates, so it shares one of the rarest K - LEAST + 1 postings of each side (prefix);
-classes with fewer than LEAST shared values are skipped. Collisions of the pairs so met are counted on the signatures, and
-pairs above the threshold are confirmed on the full sets.
+classes with fewer than LEAST shared values are skipped. The collisions of a pair so met are counted on a longer signature of FINE
+coordinates, a byte each; pairs with LEAST_FINE of them are confirmed on the full sets.
 
-A long posting list is never expanded into its pairs. First each member meets one pivot of each of its lists, chosen anew in
-each of the ROUNDS; members that are then linked are one component. Only lists that still hold several components are
-compared whole, in blocks of at most BLOCK members, between different components; links inside a component change nothing.
-So every link between different components is found: a pair with J >= 0.8 is missed only if fewer than LEAST of its K
-coordinates collide, which has probability below 1e-6.
+A long posting list is never expanded into its pairs. First each member meets one pivot of each of its lists: the most
+central member, whose values are the most common, then another in each of the ROUNDS; members that are then linked are one
+component. Only lists that still hold several components are compared whole, in blocks of at most BLOCK members, between
+different components; links inside a component change nothing. A block counts collisions and confirms pairs itself, each under
+the first posting that both sides share, and puts out only links that join components. So every link between different
+components is found: a pair with J >= 0.8 is missed only if fewer than LEAST of its K coordinates, or LEAST_FINE of its FINE,
+collide; each has a probability below 1e-6.
 
 Null, empty and blank texts have the empty set and are linked with nothing. Texts of fewer words than a shingle have one
 shingle, the whole sequence. Repeated rows fall in one class; ties go to the smallest doc_id. Very long texts are hashed
@@ -29,13 +31,14 @@ from quern.llm.components import components
 
 SIZE = 4
 K, LEAST = 64, 34
+FINE, LEAST_FINE = 512, 364
 PERCENT = 80
 ROUNDS = 2
-BLOCK = 1500
+BLOCK = 1000
 #: Up to so many ids of classes that remain are broadcast to the scan of texts (8 bytes each); beyond, Spark joins by sorting.
 BROADCAST_IDS = 1_000_000
 RANDOM = np.random.default_rng(20240229)
-ODD, ADD = RANDOM.integers(0, 2**63, K, np.uint64) * np.uint64(2) + np.uint64(1), RANDOM.integers(0, 2**63, K, np.uint64)
+ODD, ADD = RANDOM.integers(0, 2**63, FINE, np.uint64) * np.uint64(2) + np.uint64(1), RANDOM.integers(0, 2**63, FINE, np.uint64)
 
 
 def shingles(words: list[bytes], hashes: shared.WordHashes, size: int) -> np.ndarray:
@@ -50,14 +53,18 @@ def shingles(words: list[bytes], hashes: shared.WordHashes, size: int) -> np.nda
     return np.unique(got)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    best = np.full(K, 2**32 - 1, np.uint64)
-    for at in range(0, len(found), 8192):
-        part = ((found[None, at : at + 8192] + ADD[:, None]) * ODD[:, None]) >> np.uint64(32)
+def signature(found: np.ndarray, size: int = K) -> np.ndarray:
+    best = np.full(size, 2**32 - 1, np.uint64)
+    for at in range(0, len(found), 2048):
+        part = ((found[None, at : at + 2048] + ADD[:size, None]) * ODD[:size, None]) >> np.uint64(32)
         best = np.minimum(best, part.min(axis=1))
     return best.astype(np.uint32).view(np.int32)
 
 
+def fine_signature(found: np.ndarray) -> bytes:
+    return signature(found, FINE).astype(np.uint8).tobytes()
+
+
 def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n (size of the set), key (128-bit hash of the set), sig (array of K ints; null for the empty set)."""
     shared.small_batches(docs.sparkSession)
@@ -80,7 +87,7 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, shingles (array of long) of the documents in ids (column id)."""
+    """id, shingles (array of long), fine (bytes of the longer signature) of the documents in ids (column id)."""
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(ids, "id", "left_semi")
@@ -90,35 +97,73 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
         hashes = shared.WordHashes()
         for batch in batches:
-            found = [shingles(raw.lower().split(), hashes, size).view(np.int64) for raw in shared.as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    return chosen.mapInArrow(run, "id long, shingles array<long>")
-
-
-def collisions(a: str, b: str) -> F.Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
-
-
-def block_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of one cell of a posting list that lie in different components and collide often enough."""
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    left = pdf[pdf["own"] == i]
-    right = left if i == j else pdf[pdf["own"] == j]
-    out = []
-    if len(left) and len(right):
-        a, b = np.stack(left["sig"].to_numpy()), np.stack(right["sig"].to_numpy())
-        ids_a, ids_b, c_a, c_b, n_a, n_b = (x[c].to_numpy() for c in ("id", "comp", "n") for x in (left, right))
-        for k in range(len(a)):
-            open_ = (c_b != c_a[k]) & (100 * np.minimum(n_b, n_a[k]) >= percent * np.maximum(n_b, n_a[k]))
-            if i == j:
-                open_[: k + 1] = False
-            at = np.flatnonzero(open_)
-            at = at[(b[at] == a[k]).sum(axis=1) >= LEAST]
-            out += [(min(ids_a[k], x), max(ids_a[k], x)) for x in ids_b[at]]
+            found = [shingles(raw.lower().split(), hashes, size) for raw in shared.as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([fine_signature(x) for x in found], pa.binary())], names=["id", "shingles", "fine"])
+
+    return chosen.mapInArrow(run, "id long, shingles array<long>, fine binary")
+
+
+def colliding(batches):
+    """Pairs (a, b, na, nb, fa, fb) whose longer signatures collide often enough, without the signatures."""
+    import pyarrow as pa
+
+    for batch in batches:
+        fa, fb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, FINE) for i in (4, 5))
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(np.count_nonzero(fa == fb, axis=1) >= LEAST_FINE))
+
+
+def cell_pairs(pdf: pd.DataFrame, percent: int):
+    """Pairs of rows of one cell of a posting list (positions, batch by batch) that lie in different components, collide often enough, and share no earlier posting."""
+    i, j, token = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["token"].iloc[0])
+    own = pdf["own"].to_numpy()
+    left = np.flatnonzero(own == i)
+    right = left if i == j else np.flatnonzero(own == j)
+    if not len(left) or not len(right):
+        return
+    fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), FINE)
+    earlier = [{t for t in p if t < token} for p in pdf["tokens"]]
+    comp, n = pdf["comp"].to_numpy(), pdf["n"].to_numpy()
+    for k, a in enumerate(left):
+        others = right[k + 1 :] if i == j else right
+        at = others[(comp[others] != comp[a]) & (100 * np.minimum(n[others], n[a]) >= percent * np.maximum(n[others], n[a]))]
+        at = at[np.count_nonzero(fine[at] == fine[a], axis=1) >= LEAST_FINE]
+        yield a, [b for b in at if earlier[a].isdisjoint(earlier[b])]
+
+
+def cell_members(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows of a cell that have a pair in it."""
+    hit = np.zeros(len(pdf), bool)
+    for a, found in cell_pairs(pdf, percent):
+        if found:
+            hit[a] = True
+            hit[found] = True
+    return pdf[hit]
+
+
+def cell_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of one cell, confirmed on the full sets; only those that join components, so never more than it has rows."""
+    root = {c: c for c in pdf["comp"]}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    ids, comp, sets, out = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), list(pdf["shingles"]), []
+    for a, found in cell_pairs(pdf, percent):
+        for b in found:
+            x, y = find(comp[a]), find(comp[b])
+            if x != y:
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                    root[x] = y
+                    out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+CELL = "token long, i int, j int, own int, id long, comp long, n long, fine binary, tokens array<long>"
+
+
 def links_between(docs: DataFrame, classes: DataFrame, size: int, percent: int, paths: list[str]) -> DataFrame:
     """(node, root) of the classes that are linked with another class; classes: id, n, sig."""
 
@@ -130,30 +175,34 @@ def links_between(docs: DataFrame, classes: DataFrame, size: int, percent: int,
     posted = classes.select("id", F.posexplode("sig").alias("at", "value")).select("id", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + 2**31).alias("token"))
     shared_values = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = posted.join(shared_values, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found")).where(F.size("found") >= LEAST)
-    prefix = keep(ranked.select("id", F.explode(F.slice("found", F.lit(1), F.size("found") - LEAST + 1)).alias("p")).select("id", "p.token"), "postings")
-    ids = prefix.select("id").distinct()
+    central = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["df"])
+    chosen = keep(ranked.select("id", central.alias("weight"), F.transform(F.slice("found", F.lit(1), F.size("found") - LEAST + 1), lambda p: p["token"]).alias("tokens")), "postings")
+    prefix = chosen.select("id", "weight", F.explode("tokens").alias("token"))
+    ids = chosen.select("id")
     sets = keep(sets_of(docs, ids, size), "sets")
-    known = keep(classes.join(ids, "id", "left_semi"), "members")
+    known = keep(classes.select("id", "n").join(sets.select("id", "fine"), "id"), "members")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        n = known.select("id", "n", "sig")
-        met = pairs.join(n.toDF("a", "na", "sa"), "a").join(n.toDF("b", "nb", "sb"), "b")
-        met = met.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(collisions("sa", "sb") >= LEAST).select("a", "b", "na", "nb")
-        both = met.join(sets.toDF("b", "tb"), "b").join(sets.toDF("a", "ta"), "a").withColumn("common", F.size(F.array_intersect("ta", "tb")))
+        met = pairs.join(known.toDF("a", "na", "fa"), "a").join(known.toDF("b", "nb", "fb"), "b")
+        met = met.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "fa", "fb")
+        met = met.mapInArrow(colliding, "a long, b long, na long, nb long")
+        both = met.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("ta")), "a").withColumn("common", F.size(F.array_intersect("ta", "tb")))
         return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
     links, lists, roots = None, prefix.withColumn("comp", F.col("id")), None
     for r in range(ROUNDS + 1):
-        several = lists.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("id", F.xxhash64("id", F.lit(r), *(["token"] if r else [])) if r else F.col("id")).alias("pivot")).where("low < high")
+        several = lists.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"), (F.min_by("id", F.xxhash64("id", F.lit(r), "token")) if r else F.max_by("id", F.struct("weight", "id"))).alias("pivot")).where("low < high")
         if r < ROUNDS:
             pivots = several.join(lists.select("id", "comp"), F.col("pivot") == F.col("id")).select("token", "pivot", F.col("comp").alias("pivot_comp")).distinct()
             pairs = lists.join(pivots, "token").where("comp <> pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         else:
             blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-            members = lists.join(several.where("m > 2").select("token", blocks.alias("blocks")), "token").join(known, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "sig")
-            pairs = cells.groupBy("token", "i", "j").applyInPandas(lambda pdf: block_pairs(pdf, percent), "a long, b long").distinct()
-        new = keep(confirmed(pairs), "links")
+            members = lists.join(several.where("m > 2").select("token", blocks.alias("blocks")), "token").join(known, "id").join(chosen.select("id", "tokens"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", F.col("n").cast("long").alias("n"), "fine", "tokens")
+            met = cells.groupBy("token", "i", "j").applyInPandas(lambda pdf: cell_members(pdf, percent), CELL)
+            whole = met.join(sets.select("id", "shingles"), "id").select(*met.columns, "shingles")
+            pairs = whole.groupBy("token", "i", "j").applyInPandas(lambda pdf: cell_links(pdf, percent), "a long, b long").distinct()
+        new = keep(confirmed(pairs) if r < ROUNDS else pairs, "links")
         if r and new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
@@ -161,7 +210,7 @@ def links_between(docs: DataFrame, classes: DataFrame, size: int, percent: int,
         paths += more
         if r < ROUNDS:
             comps = roots.select(F.col("node").alias("id"), "root")
-            lists = keep(prefix.join(comps, "id", "left").select("id", "token", F.coalesce("root", "id").alias("comp")), "lists")
+            lists = keep(prefix.join(comps, "id", "left").select("id", "weight", "token", F.coalesce("root", "id").alias("comp")), "lists")
     return roots
 
 

@@ -98,7 +98,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for a bounded number of words."""
 
-    LIMIT = 1_500_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
