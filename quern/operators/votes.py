@@ -16,17 +16,26 @@ def vote_plan(attempts: DataFrame, key: str = "rule", axis: str = "axis", rep: s
     At most one attempt names the axis: null. All that do agree as order-free sets of normal values: pattern, in the order of the
     first of them, each value in its most common spelling (an attempt counts once; ties go to the earliest). Else: ask.
     """
-    named = attempts.where(F.size(values) > 0).withColumn("folded", text.folded(F.col(values)))
-    head = named.groupBy(key, axis).agg(F.count("*").alias("named"), F.min("folded").alias("low"), F.max("folded").alias("high"), F.min_by(values, rep).alias("first"))
-    head = attempts.select(key, axis).distinct().join(head, [key, axis], "left").withColumn("named", F.coalesce("named", F.lit(0).cast("long")))
-    how = F.when(F.col("named") <= 1, "null").when(F.col("low") == F.col("high"), "pattern").otherwise("ask")
-    head = head.withColumn("how", how)
-    each = named.select(key, axis, rep, F.posexplode(values).alias("pos", "raw")).withColumn("norm", text.norm(F.col("raw")))
-    spelt = each.groupBy(key, axis, "norm", "raw").agg(F.countDistinct(rep).alias("n"), F.min(F.struct(rep, "pos")).alias("seen"))
-    best = spelt.groupBy(key, axis, "norm").agg(F.min(F.struct((-F.col("n")).alias("m"), "seen", "raw")).alias("b")).select(key, axis, "norm", "b.raw")
-    order = head.where("how = 'pattern'").select(key, axis, F.posexplode(F.array_distinct(F.transform("first", text.norm))).alias("at", "norm"))
-    lists = order.join(best, [key, axis, "norm"]).groupBy(key, axis).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "raw"))), lambda x: x["raw"]).alias("values"))
-    return head.select(key, axis, "named", "how").join(lists, [key, axis], "left").select(key, axis, "named", "how", F.coalesce("values", F.array().cast("array<string>")).alias("values"))
+    # a key's attempts are its few replicates: gathered once, the rest is expressions inside the row
+    each = F.struct(F.col(rep).alias("rep"), F.col(values).alias("raws"), F.transform(values, text.norm).alias("norms"))
+    rows = attempts.groupBy(key, axis).agg(F.array_sort(F.collect_list(F.when(F.size(values) > 0, each))).alias("a"))
+    sets = F.transform("a", lambda x: F.array_sort(F.array_distinct(x["norms"])))
+    rows = rows.withColumn("how", F.when(F.size("a") <= 1, "null").when(F.forall(sets, lambda s: s == sets[0]), "pattern").otherwise("ask"))
+    spelt = F.flatten(F.transform("a", lambda x: F.transform(F.arrays_zip(x["raws"], x["norms"]), lambda v, i: F.struct(v["norms"].alias("norm"), v["raws"].alias("raw"), x["rep"].alias("rep"), i.alias("pos")))))
+    rows = rows.withColumn("spelt", F.when(F.col("how") == "pattern", spelt))
+
+    def best(norm: Column) -> Column:
+        own = F.filter("spelt", lambda s: s["norm"] == norm)
+
+        def rank(raw: Column) -> Column:
+            seen = F.filter(own, lambda s: s["raw"] == raw)
+            votes_ = F.size(F.array_distinct(F.transform(seen, lambda s: s["rep"])))
+            return F.struct((-votes_).alias("m"), F.array_min(F.transform(seen, lambda s: F.struct(s["rep"], s["pos"]))).alias("at"), raw.alias("raw"))
+
+        return F.array_min(F.transform(F.array_distinct(F.transform(own, lambda s: s["raw"])), rank))["raw"]
+
+    chosen = F.when(F.col("how") == "pattern", F.transform(F.array_distinct(F.col("a")[0]["norms"]), best)).otherwise(F.array().cast("array<string>"))
+    return rows.select(key, axis, F.size("a").cast("long").alias("named"), "how", chosen.alias("values"))
 
 
 def stability(plan: DataFrame, key: str = "rule") -> DataFrame:
