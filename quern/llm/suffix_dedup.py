@@ -140,6 +140,7 @@ def dealt(ids: list[int], lists: list[np.ndarray], buckets: int) -> Iterator[dic
     if not len(names):
         return
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    batch = int(shared.mix(np.array(ids[:1], np.int64).view(U))[0] >> U(1))  # a document is in one batch only
     bucket = bucket_of(names, buckets)
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -157,11 +158,11 @@ def dealt(ids: list[int], lists: list[np.ndarray], buckets: int) -> Iterator[dic
         single = np.empty(len(line), bool)
         single[rank] = ~twice
         who, counts = np.unique(owner[mine], return_counts=True)
-        yield {"bucket": b, "single": own[single].tobytes(), "settled": line[twice & ~same].tobytes(), "ids": np.array([ids[w] for w in who], np.int64).tobytes(), "counts": counts.astype(np.uint32).tobytes(), "mask": np.packbits(single).tobytes()}
+        yield {"bucket": b, "batch": batch, "single": own[single].tobytes(), "settled": line[twice & ~same].tobytes(), "ids": np.array([ids[w] for w in who], np.int64).tobytes(), "counts": counts.astype(np.uint32).tobytes(), "mask": np.packbits(single).tobytes()}
 
 
 def repeated_in(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sorts the names of one bucket, compares neighbours, and answers each batch: doc_id, bucket, n, mask of the names that repeat."""
+    """Sorts the names of one bucket, compares neighbours, and answers each batch: a mask of the names that repeat, over all of its documents."""
     singles = [np.frombuffer(x, U) for x in pdf["single"]]
     ends = np.cumsum([0, *map(len, singles)])
     names = np.concatenate(singles)
@@ -177,20 +178,29 @@ def repeated_in(pdf: pd.DataFrame) -> pd.DataFrame:
         twice |= settled[at] == line
     flags = np.empty(len(line), bool)
     flags[rank] = twice
-    out = {"doc_id": [], "n": [], "mask": []}
-    for i, (ids, counts, mask) in enumerate(zip(pdf["ids"], pdf["counts"], pdf["mask"], strict=True)):
-        counts = np.frombuffer(counts, np.uint32)
-        total = int(counts.sum())
+    out = {"batch": [], "ids": [], "counts": [], "mask": []}
+    for i, (batch, ids, counts, mask) in enumerate(zip(pdf["batch"], pdf["ids"], pdf["counts"], pdf["mask"], strict=True)):
+        total = int(np.frombuffer(counts, np.uint32).sum())
         single = np.unpackbits(np.frombuffer(mask, np.uint8), count=total).astype(bool)
         hit = ~single
         hit[single] = flags[ends[i] : ends[i + 1]]
+        if hit.any():
+            for k, v in zip(out, (batch, ids, counts, np.packbits(hit).tobytes()), strict=True):
+                out[k].append(v)
+    return pd.DataFrame(out).assign(bucket=int(pdf["bucket"].iloc[0]))[["batch", "bucket", "ids", "counts", "mask"]]
+
+
+def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The answers of all buckets to one batch, for each of its documents that has a repeated name."""
+    found: dict[int, list] = {}
+    for bucket, ids, counts, mask in zip(pdf["bucket"], pdf["ids"], pdf["counts"], pdf["mask"], strict=True):
+        ids, counts = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)
         stops = np.cumsum(counts, dtype=np.int64)
-        some = np.add.reduceat(hit, np.concatenate(([0], stops[:-1]))) > 0 if total else np.zeros(0, bool)
+        hit = np.unpackbits(np.frombuffer(mask, np.uint8), count=int(stops[-1])).astype(bool)
+        some = np.add.reduceat(hit, np.concatenate(([0], stops[:-1]))) > 0
         for k in np.flatnonzero(some):
-            out["doc_id"].append(int(np.frombuffer(ids, np.int64)[k]))
-            out["n"].append(int(counts[k]))
-            out["mask"].append(np.packbits(hit[stops[k] - counts[k] : stops[k]]).tobytes())
-    return pd.DataFrame(out).assign(bucket=int(pdf["bucket"].iloc[0]))[["doc_id", "bucket", "n", "mask"]]
+            found.setdefault(int(ids[k]), []).append((int(bucket), int(counts[k]), np.packbits(hit[stops[k] - counts[k] : stops[k]]).tobytes()))
+    return pd.DataFrame({"doc_id": list(found), "found": [[{"bucket": b, "n": n, "mask": m} for b, n, m in f] for f in found.values()]})
 
 
 def flags_of(names: np.ndarray, buckets: int, answers: list) -> np.ndarray:
@@ -207,11 +217,11 @@ def flags_of(names: np.ndarray, buckets: int, answers: list) -> np.ndarray:
 
 def exchange(sent: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Answers by document: doc_id, found (array of bucket, n, mask); only documents with a repeated name."""
-    answers = sent.groupBy("bucket").applyInPandas(repeated_in, "doc_id long, bucket int, n long, mask binary")
-    return shared.stored(answers.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "n", "mask")).alias("found")), label)
+    answers = sent.groupBy("bucket").applyInPandas(repeated_in, "batch long, bucket int, ids binary, counts binary, mask binary")
+    return shared.stored(answers.groupBy("batch").applyInPandas(by_document, "doc_id long, found array<struct<bucket: int, n: long, mask: binary>>"), label)
 
 
-SENT = "bucket int, single binary, settled binary, ids binary, counts binary, mask binary"
+SENT = "bucket int, batch long, single binary, settled binary, ids binary, counts binary, mask binary"
 
 
 def sender(names_of: Callable, buckets: int, with_found: bool) -> Callable:
@@ -224,7 +234,7 @@ def sender(names_of: Callable, buckets: int, with_found: bool) -> Callable:
             rows = list(dealt(ids, lists, buckets))
             ids.clear()
             lists.clear()
-            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("single", "settled", "ids", "counts", "mask"))])) if rows else None
+            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("single", "settled", "ids", "counts", "mask"))])) if rows else None
 
         for batch in batches:
             found = batch.column(2).to_pylist() if with_found else [None] * batch.num_rows
