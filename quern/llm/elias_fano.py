@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-#: Ones before each block of so many bits of the upper part are kept, for select.
-BLOCK = 512
+#: Zeros before each block of so many bits of the upper part are kept, for select.
+BLOCK = 64
 POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -17,12 +17,12 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     values = values.astype(U)
     high = (values >> U(bits)).astype(np.int64)
     top = int(universe >> bits) + 1
-    size = -(-(n + top + 1) // BLOCK) * BLOCK
+    size = (-(-(n + top + 1) // BLOCK) + 1) * BLOCK
     unary = np.zeros(size // 8, np.uint8)
     at = high + np.arange(n)
     np.bitwise_or.at(unary, at >> 3, (1 << (at & 7)).astype(np.uint8))
     ones = POP[unary].reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
-    zeros = np.concatenate(([0], np.cumsum(BLOCK - ones)))
+    zeros = np.concatenate(([0], np.cumsum(BLOCK - ones))).astype(np.uint32 if size < 1 << 32 else np.int64)
     low = np.zeros((n * bits + 63) // 64 + 2, U)
     if bits and n:
         rest = values & U((1 << bits) - 1)
@@ -53,13 +53,13 @@ class EliasFano:
         """Positions in the upper bits of the k-th (from 0) zeros, or ones."""
         k = np.asarray(k, np.int64)
         before = self.zeros if zero else np.arange(len(self.zeros)) * BLOCK - self.zeros
-        block = np.searchsorted(before, k, "right") - 1
-        left = k - before[block]
+        block = np.searchsorted(before, k.astype(before.dtype), "right") - 1
+        left = k - before[block].astype(np.int64)
         width = BLOCK // 8
         bytes_ = self.high.reshape(-1, width)[np.minimum(block, len(self.high) // width - 1)]
         if zero:
             bytes_ = ~bytes_
-        count = np.cumsum(POP[bytes_], axis=1, dtype=np.int16)
+        count = np.cumsum(POP[bytes_], axis=1, dtype=np.uint8)
         byte = (count <= left[:, None]).sum(1)
         byte = np.minimum(byte, width - 1)
         row = np.arange(len(k))
@@ -68,6 +68,23 @@ class EliasFano:
         bit = (np.cumsum(bits, axis=1) <= left[:, None]).sum(1)
         return block * BLOCK + byte * 8 + bit
 
+    def run(self, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """How many ones stand from each position on, up to the next zero, which is the h-th."""
+        words = self.high.view(U)
+        word, shift = at >> 6, (at & 63).astype(U)
+        seen = words[np.minimum(word, len(words) - 1)] >> shift
+        more = shift > 0
+        seen[more] |= words[np.minimum(word[more] + 1, len(words) - 1)] << (U(64) - shift[more])
+        rest = ~seen
+        out = np.zeros(len(at), np.int64)
+        some = rest != 0
+        low = rest[some] & (~rest[some] + U(1))
+        out[some] = np.log2(low.astype(np.float64)).astype(np.int64)
+        full = np.flatnonzero(~some)
+        if len(full):
+            out[full] = self.select(h[full], True) - at[full]
+        return out
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions i."""
         i = np.asarray(i, np.int64)
@@ -88,8 +105,9 @@ class EliasFano:
             high = (part >> U(self.bits)).astype(np.int64)
             inside = high < int(self.zeros[-1]) - 1
             h = np.where(inside, high, 0)
-            first = np.where(h > 0, self.select(np.maximum(h - 1, 0), True) - (h - 1), 0)
-            stop = self.select(h, True) - h
+            at = np.where(h > 0, self.select(np.maximum(h - 1, 0), True) + 1, 0)  # in the upper bits, after the h-th zero
+            first = at - h
+            stop = first + self.run(at, h)
             low = part & U((1 << self.bits) - 1) if self.bits else np.zeros(len(part), U)
             lo, hi = first.copy(), stop.copy()
             while (open_ := np.flatnonzero(lo < hi)).size:  # binary search among the elements with the same upper bits
