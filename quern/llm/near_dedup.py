@@ -16,7 +16,8 @@ collide; each has a probability below 1e-6.
 
 Null, empty and blank texts have the empty set and are linked with nothing. Texts of fewer words than a shingle have one
 shingle, the whole sequence. Repeated rows fall in one class; ties go to the smallest doc_id. Very long texts are hashed
-whole, in pieces. Shingles are 64-bit hashes. Rows with a null doc_id take part under no id and are returned unlinked.
+whole, in pieces. Shingles are 64-bit hashes. doc_ids are unique, but
+for repeated rows. Rows with a null doc_id take part under no id and are returned unlinked.
 """
 
 from __future__ import annotations

@@ -35,8 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this driver has had written, for clean().
+WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex[:12]}"
+    WRITTEN.append(f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex[:12]}")
+    return WRITTEN[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all intermediate tables and models written so far. To be called once results are stored: frames not yet computed read them."""
+    while WRITTEN:
+        remove(spark, WRITTEN.pop())
 
 
 def remove(spark: SparkSession, path: str) -> None:

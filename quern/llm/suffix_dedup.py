@@ -12,7 +12,8 @@ a passage or a copy of which there are very many weighs one name for each batch,
 
 Null and empty texts have no bytes. Repeated rows are copies and lose every byte from `length` on. Matches never cross rows.
 Very long texts are cut into pieces that overlap by `length`. Names are 64-bit: two different strings share one with
-probability 2**-64. Rows are told apart by doc_id, which must be unique; rows with a null doc_id are returned whole.
+probability 2**-64. Rows are told apart by doc_id and a hash of the text, so equal rows are copies of each other; rows with a
+null doc_id are returned whole.
 """
 
 from __future__ import annotations
@@ -134,13 +135,13 @@ def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-def dealt(ids: list[int], lists: list[np.ndarray], buckets: int) -> Iterator[dict]:
+def dealt(ids: list[tuple[int, int]], lists: list[np.ndarray], buckets: int) -> Iterator[dict]:
     """For each bucket, what a batch sends: names that are single in it in document order, names settled in it, and by document how many names there are and which were single."""
     names = np.concatenate(lists) if lists else np.zeros(0, U)
     if not len(names):
         return
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    batch = int(shared.mix(np.array(ids[:1], np.int64).view(U))[0] >> U(1))  # a document is in one batch only
+    batch = int(shared.mix(shared.mix(np.array(ids, np.int64).view(U)) + np.arange(len(ids), dtype=U)[:, None]).sum(dtype=U) >> U(1))
     bucket = bucket_of(names, buckets)
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -192,15 +193,15 @@ def repeated_in(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     """The answers of all buckets to one batch, for each of its documents that has a repeated name."""
-    found: dict[int, list] = {}
+    found: dict[tuple[int, int], dict[int, tuple]] = {}
     for bucket, ids, counts, mask in zip(pdf["bucket"], pdf["ids"], pdf["counts"], pdf["mask"], strict=True):
-        ids, counts = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)
+        ids, counts = np.frombuffer(ids, np.int64).reshape(-1, 2), np.frombuffer(counts, np.uint32)
         stops = np.cumsum(counts, dtype=np.int64)
         hit = np.unpackbits(np.frombuffer(mask, np.uint8), count=int(stops[-1])).astype(bool)
         some = np.add.reduceat(hit, np.concatenate(([0], stops[:-1]))) > 0
         for k in np.flatnonzero(some):
-            found.setdefault(int(ids[k]), []).append((int(bucket), int(counts[k]), np.packbits(hit[stops[k] - counts[k] : stops[k]]).tobytes()))
-    return pd.DataFrame({"doc_id": list(found), "found": [[{"bucket": b, "n": n, "mask": m} for b, n, m in f] for f in found.values()]})
+            found.setdefault(tuple(ids[k].tolist()), {})[int(bucket)] = (int(counts[k]), np.packbits(hit[stops[k] - counts[k] : stops[k]]).tobytes())
+    return pd.DataFrame({"doc_id": [d for d, _ in found], "mark": [m for _, m in found], "found": [[{"bucket": b, "n": n, "mask": m} for b, (n, m) in f.items()] for f in found.values()]}).astype({"doc_id": "int64", "mark": "int64"})
 
 
 def flags_of(names: np.ndarray, buckets: int, answers: list) -> np.ndarray:
@@ -210,7 +211,7 @@ def flags_of(names: np.ndarray, buckets: int, answers: list) -> np.ndarray:
     for a in answers:
         at = np.flatnonzero(bucket == a["bucket"])
         if len(at) != a["n"]:
-            raise ValueError("doc_id is not unique")
+            raise ValueError("a document changed between two readings")
         hit[at] = np.unpackbits(np.frombuffer(a["mask"], np.uint8), count=len(at)).astype(bool)
     return hit
 
@@ -218,7 +219,8 @@ def flags_of(names: np.ndarray, buckets: int, answers: list) -> np.ndarray:
 def exchange(sent: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Answers by document: doc_id, found (array of bucket, n, mask); only documents with a repeated name."""
     answers = sent.groupBy("bucket").applyInPandas(repeated_in, "batch long, bucket int, ids binary, counts binary, mask binary")
-    return shared.stored(answers.groupBy("batch").applyInPandas(by_document, "doc_id long, found array<struct<bucket: int, n: long, mask: binary>>"), label)
+    found = answers.groupBy("batch").applyInPandas(by_document, "doc_id long, mark long, found array<struct<bucket: int, n: long, mask: binary>>")
+    return shared.stored(found.groupBy("doc_id", "mark").agg(F.first("found").alias("found")), label)  # equal rows have equal answers
 
 
 SENT = "bucket int, batch long, single binary, settled binary, ids binary, counts binary, mask binary"
@@ -237,13 +239,13 @@ def sender(names_of: Callable, buckets: int, with_found: bool) -> Callable:
             return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("single", "settled", "ids", "counts", "mask"))])) if rows else None
 
         for batch in batches:
-            found = batch.column(2).to_pylist() if with_found else [None] * batch.num_rows
-            for doc, raw, f in zip(batch.column(0).to_pylist(), shared.as_bytes(batch.column(1)), found, strict=True):
+            found = batch.column(3).to_pylist() if with_found else [None] * batch.num_rows
+            for doc, raw, mark, f in zip(batch.column(0).to_pylist(), shared.as_bytes(batch.column(1)), batch.column(2).to_pylist(), found, strict=True):
                 if doc is None:
                     continue
                 names = names_of(raw, f)
                 if len(names):
-                    ids.append(doc)
+                    ids.append((doc, mark))
                     lists.append(names)
                     held += len(names)
                 if held > 1_500_000:
@@ -256,8 +258,13 @@ def sender(names_of: Callable, buckets: int, with_found: bool) -> Callable:
     return run
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("mark"))
+
+
 def joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    return docs.join(found, "doc_id", how).select("doc_id", "text", "found")
+    return docs.join(found, ["doc_id", "mark"], how).select("doc_id", "text", "mark", "found")
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> tuple[DataFrame, int]:
@@ -265,7 +272,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = N
     spark = docs.sparkSession
     shared.small_batches(spark)
     buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = marked(docs)
     samples, _ = exchange(docs.mapInArrow(sender(lambda raw, _: sampled(raw, length)[1], buckets, False), SENT), "samples")
     part, _ = shared.stored(joined(docs, samples, "inner"), "part")
 
@@ -274,7 +281,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = N
         return starts(raw, positions[flags_of(names, buckets, found)], length)[1]
 
     suffixes, _ = exchange(part.mapInArrow(sender(merged, buckets, True), SENT), "suffixes")
-    return part.join(suffixes.withColumnRenamed("found", "again"), "doc_id").select("doc_id", "text", "found", "again"), buckets
+    return part.join(suffixes.withColumnRenamed("found", "again"), ["doc_id", "mark"]).select("doc_id", "text", "mark", "found", "again"), buckets
 
 
 def covered(raw: bytes, found: list, again: list, length: int, buckets: int) -> np.ndarray:
@@ -296,18 +303,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None =
         import pyarrow as pa
 
         for batch in batches:
-            out = {"doc_id": batch.column(0), "n_removed": [], "n_spans": [], "kept": []}
-            for raw, found, again in zip(shared.as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            out = {"doc_id": batch.column(0), "mark": batch.column(2), "n_removed": [], "n_spans": [], "kept": []}
+            for raw, found, again in zip(shared.as_bytes(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 gone = covered(raw, found, again, length, buckets)
                 out["n_removed"].append(int(gone.sum()))
                 out["n_spans"].append(int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0]) if len(gone) else 0)
                 out["kept"].append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([out["doc_id"], pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary())], names=list(out))
+            yield pa.RecordBatch.from_arrays([out["doc_id"], out["mark"], pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary())], names=list(out))
 
-    cut, _ = shared.stored(part.mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept binary"), "cut")
-    whole = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
-    base = whole.select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("whole_sha"))
-    return base.join(cut, "doc_id", "left")
+    cut, _ = shared.stored(part.mapInArrow(run, "doc_id long, mark long, n_removed long, n_spans long, kept binary").dropDuplicates(["doc_id", "mark"]), "cut")
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    base = marked(docs).select("doc_id", "mark", F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole_sha"))
+    return base.join(cut, ["doc_id", "mark"], "left").drop("mark")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,3 +237,20 @@ def test_empty_tables(spark):
     assert neighbours.nearest_neighbours(vectors, vectors).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge_pages(pages, spark.createDataFrame(url_filter.RULES, "host string, path string, action string")).count() == 0
+
+
+def test_repeated_rows(spark):
+    """Rows that stand twice, and rows that share an id: every row comes back once, with its own text's result."""
+    passage = text(150)
+    rows = [(1, "a " + passage), (1, "a " + passage), (2, "b " + passage), (2, "c c"), (3, None), (3, None), (None, "d " + passage), (4, "mail x@y.zz"), (4, "mail x@y.zz"), (4, "no mail")]
+    docs = frame(spark, rows)
+    cut = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(docs, 100).collect()]
+    assert len(cut) == len(rows)
+    assert sorted(c[1:] for c in cut if c[0] == 1) == [(len(rows[0][1]), len(rows[0][1]))] * 2
+    assert sorted((c[2] or 0) > 0 for c in cut if c[0] == 2) == [False, True]
+    assert near_dedup.near_duplicates(docs).count() == len(rows)
+    found = pii.scan(docs).collect()
+    assert len(found) == len(rows) and sorted(len(r["base"]) for r in found if r["doc_id"] == 4) == [0, 1, 1]
+    assert sorted(r["text"] for r in pii.sanitised(docs).where("doc_id = 4").collect()) == ["mail [EMAIL]", "mail [EMAIL]", "no mail"]
+    for out in (secrets.scan(docs), pieces.encoded(docs), lm_score.score(docs, lm_score.train(docs, shared.new_path(spark, "trie"), 3))):
+        assert out.count() == len(rows)
