@@ -254,3 +254,18 @@ def test_transcripts(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"timestamp": "2", "type": "user", "message": {"x": 1}}\nbroken\n{"timestamp": "1", "type": "assistant"}\n')
     got = readers.transcript(spark, f"file://{tmp_path}/a.jsonl").orderBy("timestamp").collect()
     assert [(r["timestamp"], r["type"]) for r in got] == [("1", "assistant"), ("2", "user")]
+
+
+def test_table_functions(spark):
+    from quern.operators import udtfs
+
+    def broken(text, where):
+        raise KeyError(where)
+
+    udtfs.register(spark, {"no you": udtfs.forbidden(r"\byou\b(?!-know)", "second person"), "says why": udtfs.required("because", "gives no reason"), "bad": broken})
+    spark.createDataFrame([("a", "you-know\nthank you"), ("b", None)], "path string, text string").createOrReplaceTempView("texts")
+    got = sorted((r["path"], r["rule"], r["line"]) for r in spark.sql("SELECT path, f.* FROM texts, LATERAL faults(text, path) f").collect())
+    assert got == [("a", "bad", -1), ("a", "no you", 2), ("a", "says why", 0), ("b", "bad", -1), ("b", "says why", 0)]
+    udtfs.register_segments(spark)
+    spark.createDataFrame([("x", "# Head\n\nOne here. Two there.")], "path string, text string").createOrReplaceTempView("docs")
+    assert [r["type"] for r in spark.sql("SELECT s.* FROM docs, LATERAL segments(text) s ORDER BY idx").collect()] == ["heading", "clause", "clause"]
