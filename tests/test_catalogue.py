@@ -48,3 +48,8 @@ def test_partitioning_does_not_matter(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
+
+
+def test_own_prose_two_ways(spark):
+    got = catalogue.queries()["m9_own_prose"](spark, SF).collect()
+    assert got and all(r["prose"].split() == r["masked"].split() for r in got)
