@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 from itertools import repeat
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

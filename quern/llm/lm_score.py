@@ -194,6 +194,17 @@ class Trie:
     def bounds(self) -> np.ndarray:
         return context_bounds(self.words.size, self.n)
 
+    def successors(self, context: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words seen after a context, and log10 p(word|context), from where its pointer says they stand."""
+        bounds = self.bounds()
+        r = int(np.searchsorted(bounds, context, "right")) - 1
+        if (got := self.of(r)) is None:
+            return np.zeros(0, np.int64), np.zeros(0)
+        pairs, pointers, codes, _ = got
+        first, stop = (int(x) for x in pointers.get(np.array([context - bounds[r], context - bounds[r] + 1])))
+        keys = pairs.get(np.arange(first, stop))
+        return (keys % U(self.words.size + 1)).astype(np.int64), codes[first:stop].astype(np.float64) / -STEPS
+
     def scores(self, v: np.ndarray, w: np.ndarray, p_w: np.ndarray) -> np.ndarray:
         """log10 p(w|v) of distinct pairs sorted by (v, w); p_w: log10 p(w)."""
         out = p_w.copy()
@@ -203,9 +214,9 @@ class Trie:
             a, z = ends[r], ends[r + 1]
             if a == z or (got := self.of(r)) is None:
                 continue
-            pairs, pointers, codes, backoff = got
+            pairs, _, codes, backoff = got
             context = v[a:z] - bounds[r]
-            # the successor search: the relative key lies between the context's pointers or is not there
+            # the successor search: relative to its range's first context, a key can only stand between its context's pointers
             key = context.astype(U) * U(self.words.size + 1) + w[a:z].astype(U)
             at = pairs.find(key)
             out[a:z] += backoff[context].astype(np.float64) / -STEPS

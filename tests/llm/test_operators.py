@@ -27,11 +27,11 @@ EDGES = [(100000, None), (100001, ""), (100002, " \n\t "), (100003, "one"), (100
 
 def test_near_duplicates_match_all_pairs(spark):
     rows = []
-    for g in range(40):
+    for _ in range(40):
         base = text(60).split()
-        for _ in range(RNG.randint(1, 5)):
+        for _copy in range(RNG.randint(1, 5)):
             own = list(base)
-            for _ in range(RNG.randint(0, 4)):
+            for _edit in range(RNG.randint(0, 4)):
                 own[RNG.randrange(len(own))] = RNG.choice(WORDS)
             rows.append((len(rows), " ".join(own)))
     rows += [(len(rows) + i, rows[0][1].upper()) for i in range(5)] + EDGES
@@ -123,8 +123,13 @@ def test_sanitisation(spark):
 def test_language_model_scores(spark):
     rows = [(i, text(RNG.randint(0, 40))) for i in range(200)] + EDGES
     docs = frame(spark, rows)
-    got = {r[0]: tuple(r)[1:] for r in lm_score.score(docs, lm_score.train(docs, shared.new_path(spark, "trie"), 5)).collect()}
+    trie = lm_score.train(docs, shared.new_path(spark, "trie"), 5)
+    got = {r[0]: tuple(r)[1:] for r in lm_score.score(docs, trie).collect()}
     want = lm_score.brute_force(rows)
+    firsts = {(t or "").encode().lower().split()[0] if (t or "").split() else b"" for i, t in rows if lm_score.training(i)}
+    numbers, logp = trie.successors(trie.words.size)  # after the start of a text
+    assert len(numbers) == len(firsts) and (np.diff(numbers) > 0).all() and 0.5 < (10**logp).sum() <= 1.001
+    assert sum(len(trie.successors(v)[0]) for v in range(trie.words.size + 1)) == len({(a, b) for i, t in rows if lm_score.training(i) for ws in [[None, *(t or "").encode().lower().split(), b""]] for a, b in zip(ws, ws[1:])})
     for i in want:
         assert got[i][:4] == want[i][:4]
         assert got[i][4] == pytest.approx(want[i][4], abs=1e-9 * want[i][1] + 1e-9)
