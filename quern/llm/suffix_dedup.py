@@ -341,5 +341,20 @@ def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> dic
     return out
 
 
+ORACLE = r"""
+WITH b AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS raw, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, i, md5_number(hex(raw[i:i + 399])) AS h FROM b, unnest(range(1, n - 398)) t(i) WHERE n >= 400),
+d AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+f AS (SELECT doc_id, i FROM s WHERE h IN (SELECT h FROM d)),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM f),
+r AS (SELECT doc_id, k, min(i) AS a, max(i) + 399 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r),
+p AS (SELECT b.doc_id, before + 1 AS x, hex(raw[before + 1:a - 1]) AS part FROM e JOIN b ON b.doc_id = e.doc_id WHERE a > before + 1
+  UNION ALL SELECT b.doc_id, z + 1, hex(raw[z + 1:n]) FROM b JOIN (SELECT doc_id, max(z) AS z FROM r GROUP BY doc_id) l ON l.doc_id = b.doc_id WHERE z < n),
+k AS (SELECT doc_id, string_agg(part, '' ORDER BY x) AS kept FROM p GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+sha256(CASE WHEN n_removed IS NULL THEN raw ELSE unhex(coalesce(kept, '')) END) AS kept_sha256 FROM b LEFT JOIN c ON c.doc_id = b.doc_id LEFT JOIN k ON k.doc_id = b.doc_id
+"""
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_suffix_dedup": ORACLE}
