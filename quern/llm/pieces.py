@@ -6,8 +6,8 @@ the edges of all words; sorted by position they are relaxed from left to right.
 a position is the one whose pair with the last piece before its own start stays apart when the two are merged alone; there is
 exactly one, so one pass gives the same pieces as merging in order of score. Characters without a piece become their bytes.
 
-Words are cut where no piece reaches across: before a space mark that follows another character, and around line ends. The
-model file is a parameter and is read on the driver; its vocabulary (bounded) goes to the workers with the task.
+Words are cut where no piece reaches across: before a space mark that follows another character, around line ends, and between
+a letter and a mark that no piece holds side by side. The model file is a parameter and is read on the driver; its vocabulary (bounded) goes to the workers with the task.
 
 Null and empty texts have no pieces. Very long texts are cut into words, and words of any length are indexed whole. The text's
 own U+2581 means a space, as in the format, and comes back as one.
@@ -26,10 +26,12 @@ from quern.llm import shared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-WORDS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+#: Letters and marks between which texts are cut where no piece holds the two side by side.
+LETTERS = "".join(c for c in map(chr, range(65, 0x180)) if c.isalpha())
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 #: Words that a worker remembers, and characters that one suffix array indexes (a longer word is indexed alone).
 REMEMBERED = 800_000
-INDEXED = 1_000_000
+INDEXED = 400_000
 PAIRS = 500_000
 
 
@@ -62,6 +64,10 @@ class Encoder:
         self.codes = np.zeros((len(order), self.depth), np.int64)
         for i, t in enumerate(order):
             self.codes[i, : len(t)] = [ord(c) for c in t]
+        beside = {(t[i], t[i + 1]) for t in model.piece for i in range(len(t) - 1)}
+        marks = re.escape("".join(m for m in MARKS if not any((c, m) in beside for c in LETTERS)))
+        rest = rf"(?:[^{SPACE}\n{marks}]|(?<![{LETTERS}])[{marks}])*" if marks else rf"[^{SPACE}\n]*"
+        self.words = re.compile(rf"{SPACE}+{rest}|[^{SPACE}\n]{rest}|\n")
         self.pairs: dict[int, bool] = {}  # by first * vocabulary + second
         self.width = len(model.text)
         self.alone = [False] * len(model.text)
@@ -212,7 +218,7 @@ class Encoder:
         """(offsets, ids): the pieces of text i are ids[offsets[i]:offsets[i + 1]]."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        words = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        words = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = {w for ws in words for w in ws if w not in self.known}
         if new:
             self.learn(list(new))
@@ -253,23 +259,34 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     shared.small_batches(docs.sparkSession)
     get, kind = encoder_for(docs.sparkSession, path), dict(docs.dtypes)["doc_id"]
 
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow_kind = to_arrow_type(docs.schema["doc_id"].dataType)
+
     def run(batches):
         import pyarrow as pa
 
         encoder = get()
+
+        def done(ids: list, texts: list):
+            offsets, found = encoder.encode(texts)
+            same = [encoder.decode(found[a:z]) == (t or "").replace(SPACE, " ") for a, z, t in zip(offsets[:-1], offsets[1:], texts, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(ids, arrow_kind), pa.array(np.diff(offsets), pa.int64()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
+
+        ids, texts, size = [], [], 0
         for batch in batches:
-            texts, i = batch.column(1).to_pylist(), 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j] or "") <= HELD):
-                    size += len(texts[j] or "")
-                    j += 1
-                part = texts[i:j]
-                offsets, ids = encoder.encode(part)
-                same = [encoder.decode(ids[a:z]) == (t or "").replace(SPACE, " ") for a, z, t in zip(offsets[:-1], offsets[1:], part, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offsets), pa.int64()), lists, pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip"])
-                i = j
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(doc)
+                texts.append(t)
+                size += len(t or "")
+                if size >= HELD:
+                    yield done(ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield done(ids, texts)
+        encoder.forget()
+        shared.release()
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
 
