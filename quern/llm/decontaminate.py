@@ -170,6 +170,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 n = n if hit is None else len(hit)
                 keep.append(not (n and 20 * n >= len(words)))
             yield batch.filter(pa.array(keep))
+        shared.release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -83,6 +83,8 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sigs.append(signature(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n", "key", "sig"])
+        hashes.clear()
+        shared.release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, key binary, sig array<int>")
 
@@ -100,6 +102,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             found = [shingles(raw.lower().split(), hashes, size) for raw in shared.as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([fine_signature(x) for x in found], pa.binary())], names=["id", "shingles", "fine"])
+        hashes.clear()
+        shared.release()
 
     return chosen.mapInArrow(run, "id long, shingles array<long>, fine binary")
 

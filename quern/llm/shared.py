@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from quern.session import prepare
 
-#: Rows handed to a Python worker at once; long documents make batches heavy, so this is far below Spark's 10,000.
-BATCH_ROWS = 2000
-BATCH_BYTES = 24 << 20
+#: Rows and bytes handed to a Python worker at once, far below Spark's 10,000 rows: documents are long, and what is in flight
+#: lies outside the JVM's heap on both sides.
+BATCH_ROWS = 400
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Gives what a task has held back to the system, as the worker lives on and the next task may need the memory elsewhere."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc: it keeps the memory for itself
+
+
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function from one batch to its columns; schema is Spark's DDL."""
     out = df.sparkSession.createDataFrame([], schema).schema
@@ -83,6 +96,7 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | pa.RecordBa
             found = rows(batch)
             if found is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(found[f.name], type=f.type) for f in arrow], schema=arrow)
+        release()
 
     return df.mapInArrow(run, out)
 
