@@ -267,8 +267,8 @@ def joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return docs.join(found, ["doc_id", "mark"], how).select("doc_id", "text", "mark", "found")
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> tuple[DataFrame, int]:
-    """docs with, for those that have repeated starts, the answers of the merge; and the number of buckets."""
+def removed_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The documents that have repeated starts with the answers of the merge; their keys; the number of buckets."""
     spark = docs.sparkSession
     shared.small_batches(spark)
     buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -281,7 +281,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = N
         return starts(raw, positions[flags_of(names, buckets, found)], length)[1]
 
     suffixes, _ = exchange(part.mapInArrow(sender(merged, buckets, True), SENT), "suffixes")
-    return part.join(suffixes.withColumnRenamed("found", "again"), ["doc_id", "mark"]).select("doc_id", "text", "mark", "found", "again"), buckets
+    return part.join(suffixes.withColumnRenamed("found", "again"), ["doc_id", "mark"]).select("doc_id", "text", "mark", "found", "again"), suffixes.select("doc_id", "mark"), buckets
 
 
 def covered(raw: bytes, found: list, again: list, length: int, buckets: int) -> np.ndarray:
@@ -296,31 +296,34 @@ def covered(raw: bytes, found: list, again: list, length: int, buckets: int) ->
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes, null if all remain)."""
-    part, buckets = removed_spans(docs, length, buckets)
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes, null if all remain), whole_sha (of the text, where all remains)."""
+    part, keys, buckets = removed_spans(docs, length, buckets)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, whole_sha string"
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = {"doc_id": batch.column(0), "mark": batch.column(2), "n_removed": [], "n_spans": [], "kept": []}
+            out = {"n_bytes": [], "n_removed": [], "n_spans": []}
+            kept = []
             for raw, found, again in zip(shared.as_bytes(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 gone = covered(raw, found, again, length, buckets)
+                out["n_bytes"].append(len(raw))
                 out["n_removed"].append(int(gone.sum()))
                 out["n_spans"].append(int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0]) if len(gone) else 0)
-                out["kept"].append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([out["doc_id"], out["mark"], pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept"], pa.binary())], names=list(out))
+                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out.values()), pa.array(kept, pa.binary()), pa.nulls(len(kept), pa.string())], names=["doc_id", *out, "kept", "whole_sha"])
 
-    cut, _ = shared.stored(part.mapInArrow(run, "doc_id long, mark long, n_removed long, n_spans long, kept binary").dropDuplicates(["doc_id", "mark"]), "cut")
-    raw = F.coalesce("text", F.lit("")).cast("binary")
-    base = marked(docs).select("doc_id", "mark", F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole_sha"))
-    return base.join(cut, ["doc_id", "mark"], "left").drop("mark")
+    # documents without a repeat only lose their text on the way: nothing of it is dealt out again
+    raw, zero = F.coalesce("text", F.lit("")).cast("binary"), F.lit(0).cast("long")
+    whole = marked(docs).select("doc_id", "mark", F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole_sha")).join(keys, ["doc_id", "mark"], "left_anti")
+    whole = whole.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.lit(None).cast("binary").alias("kept"), "whole_sha")
+    return part.mapInArrow(run, schema).unionByName(whole)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(shared.table(spark, sf_dir, "documents"))
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce(F.sha2("kept", 256), F.col("whole_sha")).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce(F.sha2("kept", 256), F.col("whole_sha")).alias("kept_sha256"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:
