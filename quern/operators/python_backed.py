@@ -31,6 +31,12 @@ def mapped(df: DataFrame, rows: Callable[[list], list[tuple]], schema: str) -> D
     return df.mapInArrow(run, out)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan is in fewer pieces than there are (one small file); large inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def segmented(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, idx, type, char_start, char_end, text, is_structural, heading_path; a document that fails gives one row of type error."""
     from quern.operators.filters import STRUCTURAL
@@ -48,7 +54,7 @@ def segmented(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         return out
 
     kind = dict(docs.dtypes)[key]
-    return mapped(docs.select(key, F.col(text).cast("string")), rows, f"{key} {kind}, idx int, type string, char_start int, char_end int, text string, is_structural boolean, heading_path string")
+    return mapped(spread(docs.select(key, F.col(text).cast("string"))), rows, f"{key} {kind}, idx int, type string, char_start int, char_end int, text string, is_structural boolean, heading_path string")
 
 
 def clauses_in_context(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,7 +78,7 @@ def clauses_in_context(docs: DataFrame, key: str = "doc_id", text: str = "text")
         return out
 
     kind = dict(docs.dtypes)[key]
-    return mapped(docs.select(key, F.col(text).cast("string")), rows, f"{key} {kind}, clause_id string, text string, text_sha string, char_start int, char_end int, context string, ctx_start_line int, ctx_end_line int, heading_path string")
+    return mapped(spread(docs.select(key, F.col(text).cast("string"))), rows, f"{key} {kind}, clause_id string, text string, text_sha string, char_start int, char_end int, context string, ctx_start_line int, ctx_end_line int, heading_path string")
 
 
 def plain_text(df: DataFrame, key: str, text: str) -> DataFrame:
