@@ -229,6 +229,22 @@ def test_quality(spark):
         assert total == pytest.approx(1.0, abs=1e-6)
 
 
+def test_quality_reads_across_words(spark):
+    good = [(i, "en", ". ".join(text(8).capitalize() for _ in range(12))) for i in range(300)]
+    word = max(WORDS, key=len)
+    loops = [(1000, "en", " ".join([word.capitalize()] * 120)), (1001, "en", " ".join([word] * 120))]
+    toxic = [(2000 + i, "en", f"{word.upper()}ZZQ! " * 40) for i in range(3)]
+    docs = spark.createDataFrame([(i, t, lang) for i, lang, t in [*good, *loops, *toxic]], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)] + [(i, 1, 1) for i, _, _ in toxic[:1]], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    assert all(got[i]["rejected"] for i, _, _ in loops) and sum(got[i]["rejected"] for i, _, _ in good) <= 6
+    assert all(got[i]["rejected"] for i, _, _ in toxic)
+    # one text of the words a, b is no sum of its words: what stands before counts
+    model = quality.train(docs.where("doc_id < 300"))
+    one, swapped = (r["logp"] for r in quality.score(spark.createDataFrame([(1, good[0][2], "en"), (2, " ".join(reversed(good[0][2].split())), "en")], "doc_id long, text string, lang string"), model).orderBy("doc_id").collect())
+    assert one > swapped
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
