@@ -209,7 +209,7 @@ def links_between(docs: DataFrame, classes: DataFrame, size: int, percent: int,
             pairs = whole.groupBy("token", "i", "j").applyInPandas(lambda pdf: cell_links(pdf, percent), "a long, b long").distinct()
         new = keep(confirmed(pairs) if r < ROUNDS else pairs, "links")
         if r and new.isEmpty():
-            break
+            continue  # the components stay as they are; only the last round compares lists whole
         links = new if links is None else links.unionByName(new)
         roots, more = components(links)
         paths += more

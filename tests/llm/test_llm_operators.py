@@ -53,6 +53,21 @@ def test_near_duplicates_with_blocks_and_chains(spark, monkeypatch):
     assert got == want
 
 
+def test_near_duplicates_when_a_pivot_round_finds_nothing(spark, monkeypatch):
+    """Links that no pivot meets are found by the whole comparison, whether or not a round before it found one."""
+    def blind(batches):
+        yield from (b.select([0, 1, 2, 3]).slice(0, 0) for b in batches)
+
+    assert near_dedup.ROUNDS == 2
+    monkeypatch.setattr(near_dedup, "colliding", blind)  # no pivot pair is ever confirmed
+    template = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join([*template, f"own{i}"])) for i in range(8)]
+    want = near_dedup.brute_force(rows)
+    assert len({c for _, c, _ in want.values()}) == 1
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("length", [12, 40, 400])
 def test_repeats_match_counting_every_string(spark, length):
     passage = text(120)
