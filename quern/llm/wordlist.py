@@ -1,0 +1,2709 @@
+"""Words of four letters and more in lower case, seen in at least three texts or messages of a Linux system (English, German, French, Spanish)."""
+
+WORDS = frozenset(
+    """
+aaba aaca aacd aachen aada aade aaeb aaee aaelf aafa aafe aakkâr aaltonen aapo aarch aardvark aargau aari aaron aasáx ababa abaco abadi abadskaya abae
+abaga abai abaita abajo abandon abandonar abandoned abandoning abandonne abandonner abandonnez abandonné abandonnée abandono abandons abanyom abap
+abar abau abawa abaza abaúj abbc abbf abbild abbildung abbott abbr abbrechen abbrev abbreviate abbreviated abbreviating abbreviation abbreviations
+abbrevs abbruch abbès abcb abcc abcd abcde abcdef abcdefg abcdefgh abcdefghijk abcdefghijklmnopqrstuvwx abcdefgjksuv abcdfeghijklmnopqrstuvwx
+abcdfilosx abcf abchasisch abcoll abcs abda abdirahim abea abeba abed abeena abefnrtv abel abellen abenaki aber aberdeen aberdeenshire abertawe
+abfangen abfb abfd abfnrtv abfrage abfragen abgebildet abgebrochen abgefragt abgefragten abgefragter abgekürzter abgelaufen abgelaufenen abgelegt
+abgelehnt abgeleitet abgeraten abgerissen abgerufen abgeschaltet abgeschlossen abgeschlossene abgeschnitten abgeschnittener abgespielt abgetrennte
+abgewiesen abgewürgt abholen abhängig abhängige abhängigkeit abhängigkeiten abhängigkeitsinformation abhängigkeitsproblem abhängigkeitsprobleme abia
+abicalls abide abidjan abidji abierta abierto abiertos abiflags abigail ability abilleira abim abinomn abipon abis abishira abiv abiversion abjaziano
+abkhaze abkhazia abkhazian ablagedatei ablaj ablauf ablaufdatum ablaufen able ablegen ableiten abmelden abmessungen abnaki abnehmer abnf abnormal
+abnormally aboh abom abon abord aboriginal aborigines abort aborta abortada abortado abortando abortar abortcontroller aborted aborting aborts
+abortsignal about abouthiroppy above abra abre abreiß abreviado abreviatura abriendo abrir abron abrufen abrupt abruptly abruzzo abrégé abréviation
+abréviations absatz absatzhintergrundfarbe abschalten abschließen abschließende abschließenden abschließender abschließendes abschneiden abschnitt
+absdiff absence absent absente absents absolu absolue absolus absolut absoluta absolutamente absolutas absolute absolutely absoluten absoluter
+absoluto absolutos absorb absorbgitdirs abspalten abspath abstand abstandswert absteigen abstract abstracted abstraction abstractions abstractmethod
+abstractmethods abstractproperty abstracts absurdo abtrennbar abtretung abua abui abuja abun abure abureni abuse abusing abweichungen abwählen abyan
+abzubilden abzubrechen abzufragen abzuschalten abzuschließen abénaqui acab acaba acabe acad academic acadio acaf acatepec acbd acbe acca accb accede
+acceder accedido accedió accel accelerate accelerated accelerates acceleration accelerator accelerators accels accent accented accents accept
+acceptable acceptance acceptation accepte accepted acceptent accepter accepting acceptor accepts accepté acceptée acceptées acceptés accesibilidad
+accesible acceso accesos access accessed accesses accessibility accessibilité accessible accessibles accessing accessor accessors accident accidental
+accidentally accidents acciones acción accolade accolades accommodate accommodates accommodation accompanied accompanies accompany accompanying
+accomplish accomplished acconfig accord accordance according accordingly account accounted accounting accounts accra acct accueil accum accumulate
+accumulated accumulates accumulateur accumulating accumulation accumulator accuracy accurate accurately accès accéder accédé accélère accélérateur
+accélérateurs accélération acda acdf acdtrux acea aceballos acef aceh aceleración acelerado acelerador aceleradores acelerar acento acepta aceptable
+aceptada aceptado aceptan aceptando aceptar aceptó acer acerca achagua achang ache acheron achi achieve achieved achieves achinese achinesisch
+achterhoeks achtung achuar achumawi aché acid acipa acity ackermann acklins acknowledge acknowledged acknowledgement acknowledgements acknowledges
+acknowledging acknowledgment acknowledgments acks ackup aclocal aclose acls acoli acompaña aconf acoplado acoplar acorn acos acosh acot acoth acpkm
+acqpkitstatus acquaviva acquire acquired acquires acquiring acquisition acre acronym acronyms across acroá acsc acted actes actif actifs acting action
+actionable actions actionscript activ activa activable activables activación activada activadas activado activados activan activar activas activatable
+activate activated activates activating activation activator active actively activent activer actives activestate activez actividad activities
+activity activité activo activos activé activée activées activés activó acton actor actors acts actual actuales actualice actualiser actualiza
+actualizaciones actualización actualizada actualizadas actualizado actualizados actualizando actualizar actualizó actually actualmente actuel actuelle
+actuellement actuels actúa acuerdo acumulador acute adaa adai adam adamaoua adamawa adamorobe adams adan adana adang adangbe adangme adapt adapta
+adaptability adaptation adaptations adaptativo adapte adapted adapter adapters adaption adaptive adaptor adaptors adapts adapté adara adasen adbe
+adconrad addaleax addbase addclosehook addcomponent added addend addenda addendum addent addepalli addf addfile addgroup addinfo addinfourl adding
+addis addison additem addition additional additionally additionnel additionnelle additionnels additions additive addl addmember addoffset addon addons
+addpath addr address addressable addressed addressee addressees addresses addressing addressof addrinfo addrs addrtype adds addsitedir addu adduser
+adecuada adecuadamente adecuado adecuados adef adelante adelanto adele además adend adeni adequate adequately adfb adff adhere adhered adheres
+adhering adhola adicional adicionales adicionalmente adiciones adición adige adilabad adilger adioukrou adipiscing adithinngithigh adivasi adivinar
+adiwasi adjacent adjacentes adjectives adjoin adjumani adjuntar adjunto adjust adjusted adjusting adjustment adjustments adjusts adlam adler adlf adls
+adlx admcd admin admindir administers administración administrador administrar administrateur administratif administration administrativa
+administrative administratives administrativo administrator administrators admission admit admite admiten admitida admitidas admitido admitidos
+admitir admitió admittedly adnyamathanha adobe adolfo adonara adopt adopted adopting adoption adorno adquiere adquirir adrar adress adressage adresse
+adresseintrag adresselement adressen adresses adressfamilie adressgröße adressierungsmodus adressraumerweiterung adresstyp adri adrian adrien adrián
+adrogué adrp adts aduge aduh adulterio adultery adults adultère advance advanced advances advancing advantage advantages adventure adverb adversely
+advertencia advertencias advertir advertise advertised advertisement advertises advertising advice advierte advise advised advises advisories advisory
+adyacentes adygei adygeisch adygeja adyghe adymo adza adzera adéquat aead aeae aeea aeed aefb aefc aefe aeiouy aeka aekyom aent aenter aequian
+aerodrom aesthetic aexit afade afaf afaka afalg afan afar afars afcb afcf afdb afdf afecta afectan afed afee affc affect affectation affecte affected
+affecter affecting affects affecté affectés affero affichable affichables affichage affichant affiche afficher affiché affichée affichées affichés
+affiliate affiliates affine affinity affirmer affirms affix afganistán afghan afghani afghanistan afin afirmación afitti aflags afraid africa
+africaine african afrihili afrikaans afrique afro after afterward afterwards afyonkarahisar agadez agadir agago agaida again against agalega agarabi
+agariya agarwal agatu agavotaguerra agda agder agen agencement agencies agency agenda agent agente agenten agents aggarwal aggregate aggregated
+aggregating aggregation aggregator aggressive aggressively aghaiepour aghem aghu aghul aghwan aghwar agilent aging agir agit aglonas agner agnihot
+agnostic agob agoi agotada agotado agotó agra agrandi agrandie agrandir agrandissement agree agreeable agreed agreement agreements agrees agrega
+agregada agregadas agregado agregados agregan agregando agregar agresivos agressif agrigento agrupación agrupar agta aguacateco aguano aguaruna
+aguascalientes aguilar aguna agusan agusien agustín agutaynen agwagwune ahafo ahal ahanta ahas ahead aheared ahem aheri ahern aheu aheui ahia ahirani
+ahkl ahmad ahmat ahmed ahnung ahom ahora ahras ahtena ahuacatlán ahuachapán ahuatempan ahwai aichi aide aider aids aiet aietkolkhi aifc aiff aiga
+aigaío aighon aikanã aiklep aileu ailinglaplap ailleurs ailuk aimaq aimele aimeliik aimol aims ainaro ainbai ainsi ainu aiome airai airbrush aires
+airlie airlied airmail airoran aisne aisén aiter aitken aiton aiwo aizi aizkraukles aizputes ajaria ajawa ajhager ajië ajout ajoute ajouter ajoutez
+ajouts ajouté ajoutée ajoutées ajoutés ajuba ajumbu ajusta ajustado ajustan ajustar ajustarse ajuste ajustement ajuster ajustes ajusté ajyíninka
+akamai akan akar akaselem akawaio akebu akei akeu akfedux akha akheti akhil akhvakh akim akin akira akita akkadian akkadien akkadisch akkala akkerman
+aklan aklanon akmolinskaja akolet akoose akoye akpa akpes akrahreppur akraneskaupstaður akrukay aksaray akshay aktion aktionen aktions aktionsgruppe
+aktionsname aktiv aktive aktiven aktiver aktivierbar aktivieren aktiviert aktivierte aktivierung aktjubinskaja aktualisiere aktualisieren aktualisiert
+aktualisierte aktualisierten aktualisierter aktualisierung aktualisierungen aktualisierungsprotokoll aktualisierungsstrategie aktuell aktuelle
+aktuellen aktueller aktuelles akukem akuku akum akuntsu akureyrarbær akurio akwa akyaung akzenttasten akzentzeichen akzeptiere akzeptieren akzeptiert
+alaa alaba alabama alabat alabel alabelroundtrip alacalufan alacant alacatlatzala aladdin alago alagoas alagwa alajuela alak alamblak alan alangan
+alanic alapmunte alarm alarma alarme alarming alas alaska alaskan alastair alawa alba albacete alban albanais albania albanian albanie albanien
+albanisch albanische albanowski albanés albarradas albay albeit albert alberta alberto alborz albrecht album albums alcance alcanzable alcanzables
+alcanzado alcanzar alcanzó alcock alcohol alcoholic alcohólicas alcoolisées alcove alcozauca aleatoria aleatorios alebtong alec alege alejandro
+alekano aleksei aleksey alemania alemannic alemán alen alena alene aleph alert alerta alertas alerte alertes alerts alessandria alessandro aleut
+aleutisch alex alexander alexandre alexandros alexandru alexcfyung alexei alexey alexi alexis alfa alfabeto alfanumérico alfanuméricos alfie alfredo
+algebra algebraic alger algeria algerian algerien algerisch algerische algic algo algol algonkin algonquian algonquin algonquines algorithm algorithme
+algorithmen algorithmes algorithmic algorithmically algorithms algorithmus algoritmo algoritmos alguien alguna algunas alguno algunos algérie algérien
+algérienne algún alias aliase aliased aliases aliasing alibaba alibata alibori alien alifieraki align aligned alignement aligner aligning alignment
+alignments alignof aligns aligné alignée alignées alike alimentación alimentation alin alinea alineación alineada alineado alineados alineamiento
+alinear alioth aliqua aliquip alir alisado alist alistamiento alive alladian allan allar allbery allclasses alle allegation allegedly alleging
+allemagne allemand allemande allen aller allerdings alles alleviate allexcept allexport allfiles allgemein allgemeine allgemeinen allgemeiner alliance
+allier allison allkeys alloc alloca allocate allocated allocates allocating allocation allocations allocator allocs allombert allouer alloué allouée
+alloués allow allowable allowance allowed allowing allowlist allows alloy alltrue allusion allusions allá almacena almacenada almacenadas almacenado
+almacenados almacenamiento almacenando almacenar almacén almatinskaja almaty almeida almería almesberger almost alngith alnum alnyan alojas alon alone
+along alongside alor alors aloápam alpes alpha alphabet alphabetic alphabetical alphabetically alphabetischer alphabetize alphabetized alphabets
+alphabétique alphabétiques alphanumeric alphanumerics alphanumerischem alphanumerischen alphanums alphanumérique alphanumériques alphas alphasort
+alphaword alpine alpm alpn already alrededor alright alsa alsatian alsea also alsungas alta altagracia altai altaic altaisch altaische altaj altajskij
+altas altay altaï altaïques altdir alte alten alter alterations altered altering alternate alternately alternates alternatif alternatifs alternating
+alternation alternations alternativ alternativa alternativas alternative alternatively alternativen alternativer alternatives alternativo alternativos
+alterno alternos alters altes altfranzösisch altgriechisch althochdeutsch although altirisch altitude altivec altjavanisch altlinux altname
+altnordisch alto altogether altpersisch altprovenzalisch altrp alts altsep altsvc alttürkisch altura altzone altäthiopisch alugu alum aluminio
+aluminium alumni alumu alune aluo alur alutaguse alutor alvarez alviri always alyawarr alytaus alytus alzette alzip alèoute aléatoire aléatoires
+alémanique aléoute alëutisch amacapital amacuro amahai amahuaca amaimon amal amalg amambay amami amanab amanayé amanpreet amapá amara amarakaeri
+amarasi amaro amarumayu amasya amatas amatch amatlán amax amaya amazighe amazon amazonas amba ambae ambai ambakich ambala ambas ambassadors ambelau
+ambele ambenu ambient ambiente ambienttalk ambigu ambigua ambiguities ambiguity ambiguo ambiguos ambiguous ambiguë amblong ambo ambonese ambos ambrak
+ambrym ambu ambul ambulas amdang amdgpu amdo amele amelia amend amended amending america american amerikanisch amerikanische amet ametzler amganad
+amharic amharique amharisch amiga amigable amilo amin amir amis amit amitay ammochostos amnat amol amolatar amoltepec among amongst amont amorçage
+amos amount amounts ampanang ampara ampari ampersand ampl ampliación ampliada amplification ampm ampolo amri amsterdam amto amudat amundava amundson
+amurdak amuria amurskaja amuru amused amut amuzgo amuzgos amyspark améliore améliorer amélioré américaines américo amérique anaang anabar anakalangu
+anal analizada analizado analizando analizar analogous analogously analogues analogy analysable analysator analyse analysefehler analyser analyseur
+analysieren analysiert analysing analysis analysée analytics analyze analyzer analyzing anam anambra anambé aname anamgura ananian anarey anasi
+anastassakis anatoli anatolian anatolikí anbieter ancash ancdata ancestor ancestors ancestro ancestros ancestry ancha ancho anchor anchored anchors
+anchura ancien ancienne anciennes anciens ancient ancillary ancla anclas ancona ancrage ancre ancêtre ancêtres anda andaandi andai andajin andalou
+andalucía andalusian andaman andamanais andamanese andaqui andarum andegerebinha ander andere anderem anderen anderenfalls anderer anderes andernfalls
+anders andersen anderson andh andhra andi andijon andio andjazîdja andjouân andoa andoque andorra andorre andra andras andre andrea andreas andrei
+andrej andreoli andres andrew andrews andrewsh andrey andreys andria andries andrijevica android andros andrzej andré andrés andy aneityum anem aneme
+anenii anetan anext anfang anfangen anfangs anfasser anfassers anfillo anfitrión anfordern anfordert anforderung anforderungen anfrage anfragen
+anfängliche anfügen anführungszeichen anga angaataha angabe angaben angad angaité angal angami angaur angband angeben angeboten angefordert
+angeforderte angeforderten angeforderter angefragt angegeben angegebene angegebenem angegebenen angegebener angehalten angeheftet angehoben angehängt
+angeklickt angelegt angeles angemeldet angemeldete angenommen angepasst angesehen angewandt angewendet angezeigt angezeigte angezeigten angguruk
+angibt angika angkamuthi angkola anglais angle angles anglesey anglo angloromani angola angolar angor angoram angosturas angry anguilla angular angus
+anguthimri anha anhalt anhalten anhand anhang anheben anholt anhui anhänge anhängen anhängig anibal anibare anidadas anidado anidados anidamiento anii
+anija anillo anim animaciones animación animado animados animate animated animation animationen animations animationsfiguren animator animere animé
+animés anindilyakwa aninka aniwa anjam anjob anjra ankara ankaran ankave ankit anklicken ankur ankwa anlegen anleihenmarkteinheit anleitung
+anleitungen anlisten anmatyerre anmeldedaten anmeldedatenzwischenspei anmelden anmeldung anmeldungen anna annaba annahme anne annehmen annex anno
+annobon annodex annonces annotate annotated annotating annotation annotations annoter annotiertes annotée announce announced announcement annoying
+annulation annule annuler annulé annulée année anomalie anomalies anon anoncvs anong anonrig anonym anonyme anonymes anonymize anonymized anonymous
+anonymously anor anordnung anormal anormalement anormalmente anotado another anpassung anrw ansasaki anschalten anse ansehen anserma ansgar ansi
+ansicht ansicolor ansicolors ansiformat ansitowin ansonsten anspielungen anstatt anstelle ansus answer answered answering answers ansys antakarinya
+antalya antananarivo antankarana antarctic antarctica antarctique antarktis antarktisgebiete anteil antememoria anteponer anterior anteriores
+anterioridad anteriormente antes anthologies anthony anti antialias antialiasing anticipate anticipation antigua antiguas antiguo antiguos antigüedad
+antiliant antillean antilles antioquia antique antlr anto antofagasta antoine anton antonio antonov antrim antsi antsiranana antsla antsmartian
+antwerpen antwort antworten anty antártida antérieur antérieure anuak anufo anuki anula anuradhapura anus anuta anvin anweisung anweisungen anwendbar
+anwenden anwendung anwendungen anwendungsdaten anwendungskennung anwendungsmenü anwendungsprotokoll anyan anybody anydbm anyin anymore anyone
+anypolicy anything anytime anyway anyways anywhere anzahl anzeige anzeigen anzeigt anzoátegui anzufügende anzugeben anzupassen anzuwenden anzuzeigen
+anzuzeigende anzuzeigenden anzuzeigender análisis anónima anónimo aoheng aomori aonghus aopen aore aoste aousserd aout août apac apache apacheconf
+apachelogger apaches apaga apagado apagar apai apalachee apalaí apali aparece aparecer aparecerá aparezca aparezcan aparición apariencia apart aparte
+apasco apatani apayao apdl apdlexer apertura aperçu apes apex apiaká apilinks apinayé apis aplc aplf apli aplica aplicable aplicacio aplicaciones
+aplicación aplicada aplicado aplican aplicando aplicar apln aplo aplx apma apoala apop apos apostolou apostroph apostrophe apostrophes apoyado apoyo
+appaiah appairée apparaisse apparaissent apparatus apparaît apparaître apparemment apparence apparent apparently apparenté apparition apparié appariée
+apparmor appartenance appartenant appartienne appartiennent appartient appauthor appdata appdirs appeal appear appearance appeared appearing appears
+appel appelant appeler appelle appels appelé appelée append appended appendices appending appendix appendleft appends appengine appenzell apple
+applescript appletalk appleton applicability applicable application applications applicatives applied applies applique appliquer appliqué appliquée
+appliquées appliqués applix apply applying applypatch appname appnote appoint appointing apport appreciate appreciated apprentice appro approach
+approaches approfondir appropriate appropriately appropriateness approprié appropriée appropriés approval approvals approve approved approving approx
+approxidate approximate approximated approximately approximates approximation apps appstream appstreamcli apptype appui appuyer appuyez appuyé
+appveyor april aprintf apropiado apropos aprotect aproumu aproximadamente après apskritis aptitude aptsources apuasm apunta apuntan apunte apure
+apurimaq apurinã apurucayali apurímac aput aputai apóstrofo aqabah aqrln aqua aquamarine aquella aquellos aquila aquitaine aquitanian aquí arab araba
+arabana arabe arabela arabes arabia arabian arabic arabie arabien arabisch arabische arad aragac aragonais aragonese aragonesisch aragonés aragua
+aragón arai arajärvi araki arakwal aralle aramaic aramaïque arameo arammba aramäisch araméen aranadan aranama aranda arandai aranges araona arapaho
+arapaso arapesh ararandewára ararat arauan arauca araucanía aravinth arawak arawakan arawakisch araweté arawum arbeit arbeiten arbeitet arbeitsbereich
+arbeitsfläche arbeitsflächen arbeitsstation arbeitsstationen arbeitsumgebung arbeitsverzeichnis arbeitsverzeichnisse arbeitsverzeichnisses arbitraires
+arbitrarily arbitrary arboleda arbore arborescence arborescent arbre arbres arbur arbëreshë arcade arcaico arccos arccosh arceneaux arceri arch
+archaeopteryx archetype archi architectural architecture architectures architektur architekturen architekturliste architekturname archiv archivador
+archivage archival archivdatei archivdetailfeld archive archived archiven archiver archives archivformat archiving archivinhalt archivname archivo
+archivos archivs archivé archivés archname archs arcname arcnet arcor arcs arcsin arcsinh arctan arctanh arctic arctique arctwo ardahan ardennes ardo
+ards arduino ardèche area areas areba aref areg arem aren arena arenas arequipa ares arexx arezzo argc argcomplete argcount argelia argelino argent
+argentina argentine argentinische argentino argiolas arglist argmax argmin argname argnames argobba argon argparse args argspec argtuple argtypes
+arguably argument argumental argumente argumenten argumentliste argumento argumentos arguments arguni argv argval argyll arhangay arhangel arhe
+arhuaco arhâ arhö aria ariadne arial ariana ariary aribwatsa aribwaung arica arief ariel arifama arigidi arikapú arikara arikem arima arin aringa
+arise arises arising aristotle arith arithmetic arithmetics arithmetische arithmetischer arithmétique arithmétiques aritmética aritméticas aritmético
+arity arizona ariège arjen arkadiusz arkansas arktische arlott armada armadura armagh arman armand armap armavir armazic armenia armenian armenien
+armenio armenisch armhf armin armor armored armors armscii armstrong armthumb armure armv arménie arménien arnau arnaud arne arnfjörð arning arno
+arnold aromanian aron aronovitch arop arosi around arous arpa arpitan arquitectura arquitectural arquitecturas arrange arranged arrangement
+arrangements arranges arranque arrarnta arrastrar arrastre array arraybuffer arrays arraysize arregla arreglar arrernte arriba arritinngithigh arrival
+arrive arrived arriver arrives arrière arrondi arrondie arrow arrowood arrows arroyo arroyocalle arréridj arrêt arrête arrêter arrêtera arrêté arrêtée
+arsi arsize arta artem artemisa arten arthur artibonite article articles articulation artifact artifacts artifex artificial artificially artificielles
+artigas artige artigen artiger artist artista artiste artistic artists artur arturo artvin artwork arua aruamu aruba aruban aruek arumanian aruop
+arusha arutani aruá arvanitika arábigos arára asad asaleleaga asan asaro asarray asax ascend ascendente ascending ascension ascher ascii asciidoc
+asciidoctor asciirules ascmagic ascoli asctime ascx asdict asec asech asegurar asegúrate asegúrese aserbaidschan aserbaidschanisch ashanti ashe ashi
+ashie ashimine ashish ashkenas ashkun ashley asho ashok ashraf ashtiani ashx asháninka ashéninka asian asiatic asiatiques asiatische aside asiento
+asigna asignación asignada asignado asignados asignar asilulu asin asince asinh asistente asked asking askopan askpass asks aslist asmat asme asmfunc
+asmo asmx asname asoa asociaciones asociación asociada asociado asociados asociar asociativa asomtavruli asosedkin aspecial aspect aspectj aspecto
+aspects asprintf aspx assa assaba assaf assam assamais assamese assamesisch assan assangori assemblage assemble assembled assembler assembleur
+assembly assent assert asserted asserting assertion assertions asserts assess assessment asset assets assez assign assignation assigned assigner
+assigning assignment assignments assigns assigné assignée assilah assimilated assiniboine assist assistant assistive assoc associate associated
+associates associatif associating association associations associative associativity associer associé associée associées associés assorted assoziert
+assuan assume assumed assumer assumes assuming assumption assumptions assumé assurance assurances assure assured assurer assyrian assyrien assyrisch
+astara asterisk asterisks asti astimezone astrahanskaja astrand astraw astring astron astronomie astronomy astuce astuple astur asturian asturiano
+asturias asturien asturisch asturleonese astype asue asumboa asume asumido asumiendo asumir asunción asunto asuri asurini asuriní asus asym asymmetric
+asymmetry asymp asymptote async asyncgens asynchat asynchrone asynchronous asynchronously asyncio asyncore asyncresource atacama atacora atajo atakapa
+atalan atalanttore atampaya atan atanh atanq atari atas atatláhuca atauran atayal atchin atedetailed atemble atención atexit atexitmodule athapascan
+athapascanes athapaskisch athapaskische athena atheros athpariya athrow atikamekw atime ation ationen atkinson atkplug atkprivate atkrange atksocket
+atktablecell atkversion atkwindow atlantic atlantique atlantiques atlas atlassian atleast atlow atlántico atlántida atmark atob atof atohwaim atoi
+atoll atom atome atomic atomically atomics atomique atoms aton atong atorada atributo atributos atroari atrás atsahuaca atsam atsina atsize atspi
+atsugewi atta attach attache attached attachement attacher attaches attaching attachment attachments attack attacker attackers attacks attapady attapu
+attard atteindre atteint atteinte atteintes attempt attempted attempting attempts attend attendait attendez attendre attendu attendue attendus attente
+attention atter attikí attila attilamolnar attié attlist attorneys attr attractive attrgetter attrib attribs attribut attribute attributed attributen
+attributes attributing attribution attributions attributname attributnamen attributs attributtyp attributwert attribué attribués attrname attrs atua
+atyrauskaja atzingo aube auces auch auckland aucun aucune aude audible audience audio audioop audit audited auditing auditoría audrey audreyt aufbauen
+aufeinander auffinden aufforderung aufführen auffüllen auffüllung aufgabe aufgaben aufgebaut aufgebraucht aufgeführt aufgefüllt aufgegeben aufgelistet
+aufgelisteten aufgelöst aufgelösten aufgenommen aufgerufen aufgetaucht aufgeteilt aufgeteilten aufgetreten aufgezeichnet aufgezeichnete aufgrund
+aufheben auflisten auflistung auflösen auflösung aufnahme aufnehmen aufruf aufrufen aufrufer aufrufgraph aufräumen aufsteigend auftauchen aufteilen
+aufteilung auftrag auftreten auftritt aufträge aufzeichnen aufzeichnung aufzeichnungen aufzubauen aufzunehmen augassign augeas augie augment
+augmentation augmente augmented augmenter augmenting august auhelawa auke aulery aulua aumasson aumenta aumentar aunque auquel aura aurait aurel
+aurelien aurora aurá ausbreiten auschecken ausdehnen ausdruck ausdrucks ausdrücke ause ausencia ausente ausentea ausenten ausentente ausentes
+ausführbar ausführen ausführlich ausführliche ausführt ausführung ausführungen ausführungskennzeichner ausführungsumgebung ausfüllen ausgabe
+ausgabedatei ausgabedateien ausgabeformat ausgabeformate ausgaben ausgaberegister ausgabestelle ausgabezeilen ausgeben ausgecheckt ausgeführt
+ausgeführten ausgegeben ausgehandelt ausgehende ausgeklappt ausgelassen ausgelöst ausgerichtet ausgeschaltet ausgeschlossen ausgeschöpft ausgestellte
+ausgewertet ausgewählt ausgewählte ausgewählten ausgewählter ausgewähltes aushandeln aushi aushiri aushängen ausklapper auslagerungsspeicher auslan
+auslassen auslassung auslassungen auslastung auslesen auslösen ausreichend ausrichten ausrichtung ausrollen ausschalten ausschließen ausschließlich
+ausschluss ausschlussmuster aussehen ausserrhoden aussi ausstehenden austausch austauschs austin austral australes australia australian australie
+australien australienne australiennes australische austria austrian austro austronesian austronesische austronésiennes austurland auswahl auswahlfeld
+auswahlfeldes auswahlmodus auswahlmöglichkeiten auswerfen auswerten auswertens auswertung auswirkung auswirkungen auswählbaren auswählen auszeichner
+auszuführen auszuführende auszuführenden auszug auszugeben auszulassen auszulesen auszulösen auszuwählen autant aute autenticación autenticar
+autenticarse autentificación auteur auteurs auth authdata authdes authen authenticate authenticated authenticates authenticating authentication
+authentications authenticator authenticators authenticity authentification authentifier authentifiziert authentifizierung authentifizierungsanfrag
+authentifizierungsmethod authentifizierungstoken authentifizierungszeit authentifiés authgss authinfo authkey authobject author authored authoritative
+authorities authority authorization authorizations authorize authorized authorizer authorizes authorizing authors authorship auths authtime authunix
+auto autoclass autoclean autocleanups autocomplete autocompletion autoconf autoconfig autoconfiguration autocorrect autocrlf autodelegate autodetect
+autodetected autodetection autodie autoescala autofirma autofixer autogen autogenerated autogroup autogroupe autohandler autoheader autohotkey autoit
+autolaunch autoload autoloaded autolock automagically automake automate automated automates automatic automatically automating automation automatique
+automatiquement automatiques automatisch automatische automatischen automatischer automatrix automodule automount automounted automática
+automáticamente automáticas automático autoname autonome autonomous autor autoremisage autoremove autores autoreset autoridad autorisation
+autorisations autorise autoriser autorisierung autorisé autorisée autorisées autorisés autorité autorizado autors autorun autoría autoselection
+autosetupmerge autosignature autosigné autosquash autostart autostash autoupdate autour autouse autre autrement autres autriche autumn autónoma
+auvergne auwe auxent auxhdr auxiliaire auxiliaires auxiliar auxiliares auxiliary auxillary auye auyokawa außer außerdem außerhalb avahi avail
+availability available avait avance avances avannaata avant avar avaric avatar avatime avau avdyk avec aveiro avellino avenue average averages
+averiguar avertir avertissement avertissements avery avestan avestique avestisch aveyron avez avikam avila avinash avisa avise aviso avisos avoid
+avoidance avoided avoiding avoids avoir avokaya avons avril avrtiny avrxmega avtonomna avtonomnaja avtonomnyj avtonomnyy awabakal awad awadhi await
+awaitable awaited awaiting awaits awak awakened awar awara aware awarisch away awbono awdal aweer awera awetí awful awing awithin awiyaana awjilah
+awkward awngi awngthim awoken awox awpguy awtuw awun awutu awyi awyu axamb axboe axel axelb axelsson axentia axes axhn axiom axis ayabadhu ayacucho
+ayant ayase ayautla ayere ayerrerenge ayeyarwady ayiwo ayizi ayizo aymara aymará ayoquesco ayoreo ayrshire ayta ayuda ayudar ayuso ayutla ayutthaya
+azad azard azerbaijan azerbaijani azerbaiyán azerbayano azerbaïdjan azez azha azhe azilal azona azoyú aztecan azua azuay azul azur azure azzola azéri
+açores aïnou aïzi añada añade añaden añadido añadiendo añadir años baae baalbek baan baangi baat baatonum baba babangk babango babanki babar babatana
+babd babe babel babelouest babine bable babu babuza babygoat babylonian babylonien babylonisch bacama bacanais bacanese bachkir back backed backend
+backends backes backfill background backgroundcolor backgrounded backgrounds backing backlog backoff backport backported backporter backporting
+backports backpressure backref backreference backs backslash backslashed backslashes backslashreplace backspace backtick backticks backtrace backtrack
+backtracking backtracks backup backups backus backward backwards bacon bactrian bada badaga badajoz badakhshon badargs badblocks bade baden badeshi
+badge badger badhash badhun badimaya badjaw badjiri badly badregex badui badulla badyara baeggu baelelea baetora bafanji bafatá bafaw bafc bafia bafut
+baga bagerhat bagheli bagirmi bagmati bago bagri baguirmi bagupi bagusa bagvalal baha baham bahama bahamas bahamian baharna bahau bahia bahinemo
+bahing bahnar bahner bahonsuai bahr bahrain bahraini bahreïn baht bahía baibai baie baikeno bail bailey bailout bails baima baimak bainouk baishakhi
+baiso baissa baitsi baja bajan bajanik bajau bajelani bajo bajos baka bakairí bakaka bakati baker bakhtiari baki baking bakke bakoko bakole bakool
+bakpinka bakumpai bakwé balaesang balah balaka balance balancear balanced balancing balangao balangingi balanta balantak balar balboa baldassi baldemu
+baldones bale baleares balears bali balinais balinese balinesisch balint balintreczey balinés balisage balise balises balkan balkans balkar
+balkarskaja balken balkens balkh ball ballant ballast balling ballombe balloon balo balochi balochistan baloi balong baloutchi baltazar baltes balti
+baltic baltikum baltinavas baltique baltische baltistan baluan baluchi balvu balyasnyy balzan balzers balé bamako bamali bambalang bambam bambara
+bambari bambassi bambili bambui bamenyam bamieh bamileke bamiléké bamingui bamu bamukumbit bamum bamun bamunka bamwe bana banaadir banao banaro
+banasiak banat banbridge band banda bandai bandama bandarban bandas bandeja bandera banderas bandi bandial banding bandjalang bandwidth bang bangala
+bangandu bangba banggai banggarla bangi bangime bangka bangla bangladesch bangladesh bangladés bangolan bangoran bangubangu bangui bangun bangwinji
+baniva baniwa banjar banjari banjoun banjul bank bankagooma bankal bankan banked bankon banna banned banner banners bannoni banque banskobystrický
+banská bantawa bantayanon banteay banten bantik bantoanon bantu banwa baoruco baoulé bapt baptiste baquero baquets bara baraamu barababaraba barahona
+barai barakai baram barama barambu baramu baranja baranjska baranya barapasi baras barasana barat barbade barbados barbaram barbareño barbieri barboza
+barbuda barcelona barclayville barcroft bardenheuer bardi bare barein bareli bareword barewords barf barfed barfs bargain bargam barguna bari bariai
+bariji barikanchi barikewa barima barinas baringo barishal barisione barka barking barlavento barletta barlev barnes barnet barnsley barok barombi
+baron barr barra barras barre barrera barres barrientos barrier barrierefreie barrierefreier barrierefreiheit barrierefreiheitsfunktio barrière
+barrières barro barrow barry barré bars barsky bart barthélemy bartlett bartosz bartram baruch baruga baruya barwe baryshkov barzani baré baréin barí
+basa basada basado basados basap basarabeasca basay basch baschkirisch bascule basculement basculer base basealt baseclass based basedefs basedir
+basedirs basefile basel baseline basemake basen basename basenames basenc bases basestring bash bashbug bashkardi bashkir bashkirian bashkortostan
+bashrc bashu basic basically basics basierend basiert basierte basierten basiertes basil basilan basilicata basing basiques basis basisname
+basisverzeichnis basket basketo baskisch basque bassa bassari basse basseterre bassi bassin bassins bassossi bastemur bastian bastien basura basé
+basée basés bata bataan batad batak batakisch bataksprachen batanes batanga batangas batch batched batches batchfile batchsize batek bateri bath
+bathari bathroom bati batista batken batman batna batrla bats battery batticaloa batu batui batuley batys bauabhängigkeiten baucau bauchi baud baudis
+bauds baudó bauen bauerschmidt baum baumann baumansicht baure bauria baurthefirst baurzhan bauskas bauverzeichnis bauwaki bauzi bavail bavard bavarian
+bawah bawm baxter bayadh bayali bayan bayanhongor baybayanon baybayin bayburt bayelsa bayern baygo bayobiri bayono bayot bayotop bayungu bazar bazel
+bazigar bazèga bbac bbcbasic bbcode bbea bbox bbrechen bcad bcanalyzer bcast bcda bcde bceb bcec bcoe bcollins bcond bcppcompiler bcrypt bdap bdapq
+bdef bdfoy bdir bdist bdschuym bdynamic beaa beachten beachtet beam beami bean bear bearbeiten bearbeitet bearbeitete bearbeiteter bearbeitung bearer
+bears bearssl beat beaten beats beattie beau beaucoup beautiful beauzee beauzée beaver beba bebele bebeli bebidas bebil became because beck becker
+become becomes becoming bedawi bedawiyet bedeuten bedeutet bedeutung bedeutungen bedeutungslos bedford bedfordshire bedienung bedingte bedingten
+bedingter bedingung bedingungen bedjond bedoanas bedouin bedscha beef beeinflussen beeinflusst beeke beele beembe been beende beenden beendet beendete
+beendeter beendigung beendigungsstatus beep beeps beer beerware beezen befa befang befe befehl befehle befehlen befehls befehlsname befehlszeile
+befehlszeilenoption befinden befindet befindlichen before beforehand befunge began begidx begin beginn beginnen beginnend beginnende beginners
+beginning beginnt begins beglaubigen beglaubigt beglaubigung beglaubigungen beglaubigungs begonnen begrenzen begrenzer begrenzt begrenzung begriff
+begriffe begun behalf behalte behalten behandeln behandelt behandlung behave behaved behaves behaving behavior behaviors behaviour behaviours behdad
+beheben behebung behind behoben behrmann beibehalten beide beiden beige beijing beim being beings beinhaltet beispiel beispiele beispielsweise
+beitreten beizubehalten beja bekam bekannt bekannten bekannter bekati bekkhus bekommen bekwarra bekwel belait belanda belanger belardi belarus
+belarusian belassen belder belegt belegte belegung belen belfast belfort belga belge belgian belgien belgique belgisch belgium belgorodskaja belhariya
+beli belice beliebige beliebigen beliebiger believe believed believes belitung belize bell bella bellari bellcore belle bellgrim bellona bellovin
+bells belluno belmonte belong belonging belongs belorussian below belt beltinci belutschi belutschisch bemba bembe bemerkung bena benabena
+benachrichtigung benachrichtigungen benachrichtigungsbanner benannte benannten bench benchmark benchmarking benchmarks bend bende bender bendi beneath
+benedikt beneficial benefit benefiting benefits benenne benennen benevento benfro beng benga bengal bengali bengalisch bengalí benggoi bengkala
+bengkulu bengl bengo benguela benguet benh benhabiles benhoyt beni benign benin benjamin benjamingr benji benno bennour benoit benshangul benslimane
+benson bentong benue benutzbar benutze benutzen benutzer benutzerberechtigung benutzerdefinierte benutzerdefinierter benutzerdefiniertes
+benutzerfreundliches benutzerinformationen benutzerkennung benutzern benutzername benutzernamen benutzernamens benutzers benutzerwechsel
+benutzerzugang benutzerzugangs benutzt benutzte benutzter benutztes benutzung benyadu benín benítez benötige benötigen benötigt benötigte benötigter
+benötigtes beobachtet beobide beograd beothuk bepour berakou berane berat berau berawan berber berberisch berbersprachen berbice berbère berbères
+berea bereber berechnen berechnet berechnung berechtigung berechtigungen bereg bereich bereiche bereichen bereiches bereichs bereichsende bereinigen
+bereinigt bereit bereite bereitgestellt bereitgestellte bereitgestellten bereitgestelltes bereits bereitschaft bereitschaftsmodus bereitstellen
+bereitstellt bereitzustellen berets berg bergamo berger bergsten bergström beri bericht berichte berik berinomo berkane berkeley berkenbilt berkom
+berkshire berlin bermuda bermudes bermudian bern bernardo bernd berne bernhard bernstein berom beroun berovo berrange berrechid berry bersac berserker
+bert berta berti berücksichtigen berücksichtigt beschleunigung beschreiben beschreibt beschreibung beschreibungen beschrieben beschriftung
+beschriftungs beschriftungstext beschränken beschränkt beschädigen beschädigt beschädigte beschädigter beschädigtes besi beside besides besisi
+besitzer besitzt besitzverhältnis besme besoa besoin besonders besorgen besseli besselj besselk bessely besser bessere best bestandteil beste bestehen
+bestehende bestehenden bestehendes besteht besten bestimmen bestimmt bestimmte bestimmten bestimmung bestätigen bestätigung besuchte beta betaf
+betavariate betawi bete beth bethany bethlehem beti betracht betrachten betrachter betrachtet betreff betreffend betreten betreuer betreuerskript
+betreut betriebssystem betriebssystems betrifft beträgt betsimisaraka betta better betts between beurla bevel bevenius beverages bevor bevorzugt
+bevorzugte bevorzugten bevorzugter bevorzugtes beware bewegt bewertung bewirken bewirkt bexley beyer beyla beyond bezeichner bezeichnet bezeichnung
+bezhta beziehen bezieht beziehung beziehungen beziehungselement bezier bezirk bezogen bezug bezüglich bfba bfbe bfde bfdname bfec bffa bfin bfree
+bgansicolor bgardner bgcolor bgeni bgroup bgzip bhadrawahi bhaiksuki bhakha bhalay bhalerao bharia bhasa bhatri bhattiyali bhavani bhaya bhele bheri
+bhil bhilali bhili bhojpuri bhola bhoti bhujel bhunjia bhutan biafada biage biak biali bian biangai biao biarch bias biatah biau bibbulman biblical
+bibliography biblioteca bibliotecas bibliothek bibliotheken bibliothèque bibliothèques bibtex bicha bichelamar bichig bicho bichos bickle bicol
+bicolano bidayuh bidhawal bidi bidirectional bidiyo bidyogo bieber biebl biederman biedl biella bielorrusia bielorruso bieloruso biem bien bierebo
+bieria biete bietet bifurcar biga bigambal bigcap bigcup bigendian bigfoot bigger biggest bigint bignum bigodot bigon bigonville bigoplus bigotimes
+bigsection bigsqcup bigvee bigwedge biham bihar bihari biharis bihor bijagós bijelo bijori bikini bikol bikya bila bilaan bilakura bilaspuri bilba
+bilbil bild bilddatei bilddaten bilden bilder bildes bildformat bildlader bildlauf bildlaufleiste bildlaufleisten bildlaufleistenrichtlini bildschirm
+bildschirmfoto bildschirmfotovideo bildschirms bildschirmtastatur bildtyp bile bilecik bilin biliran bill billeter billing bilma bilogora bilogorska
+biloxi bilua bilur bima bimin bimini bimoba bina binahari binaire binaires binandere binaria binaries binario binarios binary binascii bind bindal
+bindata binddynport binden bindestrich bindestriche bindestrichen binding bindings bindresvport binds bindtextdomain bindungs bine bing bingöl bini
+binji binlog binmode binnumber binomial binongan binop binprefix binput bins bintauna bintulu binukid binukidnon binumarien binutils binär binärdatei
+binärdateien binäre binären binärer binärmodus binärpaket biobío bioko biombo bioreason biowski bipi bipim bique bira birale birao bird birgit birgu
+birhor biri birifor biritai birked birkirkara birman birmania birmanie birmanisch birmano birmingham birr birri birrpayi birth birthday birthtime
+birunthan birwa bisa bisaya biscaye biseccionando bisección bisect bisected bisecting bisection bisel biseni bisher bishkek bishnupriya bishuo bisis
+biskra bislama bislang bismarck bison bisorio bisque bissa bissau bissection bistrica bisu biswas bitand bitare bitarray bitbake bitbucket bitcode
+bitcount bitdepth bitebene bitfeld bitfield bitinst bitlis bitm bitmap bitmaps bitmask bitness bitnot bitola bitops bitor bitrate bits bitset bitshift
+bitsize bitstream bitstring bitte bitur bitwise bitworking bitxor bityuckiy biwat biyo biyom bizarre bizerte bizkaia biélorusse biên bjacke bjarmason
+bjelovar bjelovarsko bjoern bjorn bjornson bjornst björklund björn bjørn blaan blablanga black blackburn blackfin blackfoot blackhole blacklist
+blacklisted blackman blackpool blaenau blaettermann blafe blagar blagoevgrad blah blahfooblah blaise blake blame blamed blameview blaming blanc
+blanchard blanche blanches blanco blancos blancs blandford blang blank blanket blanks blansko blantyre blas blasfemia blast blatt blau blead bled
+bleiben bleibt blekinge blend blender bless blessed blessing bleu blib blibpath blida blin blind blinding blindly blink blinken blinker blinking bliss
+blissymbolics blissymbols blitzbasic blitzmax blkdev blkid blkio blksize bloat blob blobpackfileuri blobs bloc blocage block blocked blocker
+blockgröße blockieren blockierenden blockiert blocking blocklist blocknum blockorientierte blocks blocksize blocs blog bloke bloodgate bloodshed bloom
+bloq bloquant bloque bloqueada bloqueado bloqueante bloquear bloqueo bloqueos bloquer bloques bloqué bloquée blow blowfish blowing blown bltin bluca
+blue bluehost bluesky bluetail blundell blur blurb blutvergießen bláskógabyggð blâme blättermann blöcke blöcken blönduósbær bmasia bmaski bmax
+bmaxdata bmaxstack bmeck bmuenzenmeyer bnocera bnoordhuis bnot boaco boano board boardman boards boazi bobbio bobo bobonaro bobongko bobot bocas
+boccassi bodies bodo body bodychars boffa bofi boga bogatov bogaya bogdanci boghom bogorodskiy bogotá bogovinje bogue bogues bogura boguru bogus
+bogusz bohdan bohinj bohol bohtan bohuai bohême boikin boileau boilerplate boissons bojer bokha bokmål boko bokobaru bokoto bokyi bokèo boké bola
+bolama bolango bold boldface boldquot bole boleslav bolgarian bolgo bolia bolikhamxai bolinao bolivarian bolivariana bolivarienne bolivarische bolivia
+bolivian boliviano bolivie bolivien bolliet bolnagri bologna boloki bolon bolondo bolongan bolton bolu bolungarvíkurkaupstaður bolyu bolzano bolívar
+boma bomb bomberai bomboli bomboma bomet bomi bomitaba bomu bomwali bonaccorso bonaire bonan bond bondage bondei bondo bondoukou bondum bone bonerate
+bonerif bong bonggi bonggo bongili bongo bongu bonjo bonkeng bonkiman bonne bonnes bonnet bono bonos bont bontok bonus bonzini boogie book bookan
+bookkeeping bookmark bookmarks books bookstore bool boolean booleano booleans boolescher booli booléen booléenne boom boon boor boost boot booth
+bootparam bootstrap bootstrapped bootstrapper bootstrapping bopomofo boquerón bora borana bord borde borden border borders bordes bordj bordure borei
+borelli borgarbyggð borgarfjarðarhreppur borgo borgou borgu boring borins borkou borland bormla born bornecrantz bornes borno bornona boro borok
+borong borovnica borowski borra borrada borradas borrado borrados borran borrando borrar borrarla borrarlo borrará borrero borrow borrowed borrowing
+borrows borski borsod bortzmeyer boruca borôro boselewa bosilovo bosmans bosne bosngun bosnia bosnian bosniaque bosnie bosnien bosnio bosnisch boss
+bossangoa boston boszormenyi bota botched bote botello both botha bothamy bothe bother bothner botlikh boto botolan botones botschaft botsuana
+botswana bottom bottomley botón bouaghi boucher bouches bouclage boucle boucler boucles bouenza bougainville bouge bougouriba bouguis bouhide bouira
+boujdour boulemane boulenguez boulgou boulkiemdé boulton boumans boumerdès bouna bounce bouncing bound boundaries boundary bounded bounding bounds
+bounty bourg bourgogne bouriate bourmataguil bourne bournemouth bourrage boutisme boutiste boutistes bouton boutons bouvet bouvier bouyei bouzid bovec
+bowler bowtie bowyer boxed boxes boxstarter boyacá boyan boyd boyuan bozaba bozo bozoum boîte boîtes bpbynumber bpformat bplist bplus bpnumber
+braakman brabandt brabant brabec brace braced braceexpand braces bracey bracket bracketed bracketing brackets bracknell brad bradburn bradford bradh
+bradley bradmark brady braga bragança bragat brahmanbaria brahmi brahui braille brain brainfuck brainstorming braj brakna bram branch branche
+branchement branchements brancher branches branching branchname branchnamen branchnamens branco brand branden brandenburg branderhorst brandl brandon
+brands branko bras brasil brasilien brat bratislavský braud braunsdorf brava bravo brazil brazilian brazzaville brda breach breadth break breakable
+breakage breakages breaker breaking breaklist breakpoint breakpoints breaks breath breche breedt breezy breit breite brem bremen brendan brent
+brentrup breri brescia bresckaja brest bretagne breton bretonisch bretón breuer breve brevity brew brezac brezovica brian brianza bribri briceni
+bricht brick bridge bridgend bridgewater brief briefly bright brightblack brightblue brightcyan brightgreen brightmagenta brightness brighton
+brightred brightyellow brik brillo brindisi brinfo bring bringen bringing brings bringt brinkmann brinkmd briscoe bristol britain britannique
+britanniques brithenig britisch britische britisches british británica británicas británico brjanskaja brkint brno broad broadband broadcast
+broadcastchannel broadcasts broadcom broadly broadway brod brodsko broke broken brokkat brokopondo brokpake brokskat bromley bromnya brooke broome
+brother brothers brotli brouer brought brouwer brown browsable browse browser browsers browsing broyer broz bruce brulebois brummer brunei bruno
+brunswick bruntál brush brussels brut brute brutes bruto bruts brvenica bryan bryant bryce brygin brésil bsdmake bsdstubs bslash bstatic bstring bswap
+btest btimothy btoa btowc btree buada bualkhaw buamu buang bubanza bubble bubbles bubbling bube bubi bubia bubulle buch buchert buchstaben buck bucket
+buckets buckheister buckinghamshire buckwalter buclaw bucle bucles budaka budapest budeanu budeh budibud budong budu bududa budukh buduma budva budza
+buelens buena bueng bueno buenos bues buesch bueso buff buffer bufferallocunsafesize bufferbytelengthstring buffered bufferedio buffering buffers
+buffersize buflen bufsize buga bugan bugawac bugfix bugfixes buggy bughotu buginese buginesisch bugiri buglere buglé bugreport bugs bugtracker
+buguinés bugun bugweri bugzilla buhi buhid buhutu buhweju buikwe build buildbot buildbots builddate builddeps builddir builder builders buildid
+buildinfo building buildout buildroot builds buildtime built builtin builtins buji bujumbura bukar bukat bukedea bukharic bukidnon bukit bukitan
+bukiyip bukomansibi buksa bukto bukusu bukwen bukwo bulacan bulambuli bulawayo bulgan bulgare bulgaria bulgarian bulgarie bulgarien bulgarisch bulgebi
+buli buliisa bulk bull bulle bullet bulleted bulletin bullets bullom bulo bultje bulu bumaji bumang bumbita bumiller bump bumped bumps bumthang
+bumthangkha bumthap buna bunak bunama bunce bunch bunches bundeli bundesdruckerei bundesrepublik bundesterritorium bundibugyo bundle bundled bundles
+bundling bung bungain bunganditj bungku bungoma bungu bunk bunoge bunton bunu bunuba bunun bunyangabu buol bura burak buraka burarra burate burchardt
+burdekin burden burduna burdur bure bureau bureaucracy burgas burgenland burgmeier burgos buri buriat burjan burjatija burjatisch burji burke burkina
+burlap burma burman burmbar burmese burmesisch burmeso burnus burren burrows bursa bursztyka burtnieku burton buru burui burumakok burun burundi
+burunge bururi burushaski burusu buruwai bury busa busam busami busan busang busca buscaba buscando buscar bush bushell bushenyi bushi bushoong busia
+business businessman buso busoa buss bussa bust busted busuu busy butaleja butambala butaní butbut bute butebo butel butmas butter button buttons
+butuanon bután buus buvoshetes buvuma buwal buxoro buxton buyang buyende buyu buyuan buzón bwaidoka bwamu bwanabwana bwatoo bwazza bwela bwickman
+bwiedemann bwile bwilim bwisi bxor byagowi byang byangsi byelorussian byep bygroups bynens byob bypass bypassed bypasses bypassing byref bystrica byte
+bytea bytearray bytecode bytecodes bytecount byteorder bytereihenfolge bytes bytesio byteslike bytestream bytestring bytestrings byteswap bytezahl
+bzero bzip bzlib bztar bács bárbara básicas básico básicos bâle bädi bähr béchar bédouin béja béjaïa békés békéscsaba bélarus bélgica bélize bénassy
+béni bénin béte bété bình böhm búfer búlgaro búsqueda búsquedas bühler bündnerromanisch caac caad caadar caaddr caadr caaguazú caar caazapá cabañas
+cabb cabe cabecera cabeceras caben caber cabeza cabilio cabinda cabinet cabiyarí cabo cabos cabrita cabs cabécar cacaloxtepec cacaopera cacataibo cacc
+cacee cacert cacgia cache cacheable cachebleed cachecontrol cached cacheinfo cacheop cacher caches cachet cacheu caching caché cachés cacua cada
+cadaar cadadr cadar cadata caddar caddo caddoan caddr cade cadena cadenas cadieux cadl cadr cadre cadres caduca caducada caducado caducados caducar
+caducará caducidad caducó caduque caerdydd caerffili caerphilly caffee cafile cafundo cagayan cagliari cahuarano cahuilla cahul caicos caiman cain
+cairo cairographics cairoshape cairotwisted caja cajamarca cajatambo cajonos cajun caka cakaudrove cakchiquel cake cakfem calabarzon calabria calais
+calamian calamien calc calcsize calcul calculado calculando calcular calculate calculated calculates calculating calculation calculations calculer
+caldas calderdale calderón caldwell caleb caledonia caledonian calendar calendario calendarización calendars calendrier calibration calidad
+calificador calificadores california californie call callable callables callao callawalla callback callbackify callbacks calle called callee callees
+caller callers callewaert callinfo calling callmsg calloc calls callsite caltanissetta caltech caluyanun calvados calvin calvinmetcalf calédonie
+calédonien caló camagüey camarines cambia cambiada cambiado cambiados cambian cambiando cambiar cambiaron cambie cambien cambio cambios cambió
+cambodge cambodia camboya camboyano cambridge cambridgeshire camden came camel camellia camera cameras cameron cameroon cameroun camerunés camerún
+camiguin camino camkes camling camo campagne campailla campalagian campana campania campbell campbellfamily campeche campidanais campidanese
+campidanesisch campo campobasso campos camsá camtho camunic canada canadian canadien canadiense canadá canal canales canara canarias canaries canary
+canarés canaux cancel cancela cancelable cancelada cancelado cancelando cancelar cancelation canceled canceling cancellable cancellation cancelled
+cancelling cancels canceló cand candidata candidate candidates candidato candidatos candoshi candy canela canelones canichana canillo canindeyú
+cankova cankuzo canned cannot canoeiro canon canonic canonical canonicalizar canonicalize canonicalized canonicalizes canonicalizing canonique
+canoniser canonname canonpath cantabria cantagalo cantal cantemir canterbury cantidad cantidades canton cantrell cantunwind canvas canónico capa
+capabilities capability capable capacidad capacidades capacity capacité capacités capanahua capath capdl cape capellen capewell capisterre capital
+capitale capitalización capitalization capitalize capitalized capitals capiz capiznon caplan capnp capnproto cappadocian cappadocien capped capplet
+caps capsicum caption captive captura capture captured captures capturing caquetá caquinte cara carabayo carabobo caracter caracteres caracteri
+característica características caractère caractères caractéristiques caraga carajos caramanta carapana carazo caraïbes carbon carboni carchi card
+cardholder cardiff cardinality cardoso cards care carece careful carefully careless cares caret carga cargable cargada cargado cargador cargados
+cargando cargar cargo cari carian carib caribbean caribe carien carijona cario carl carlo carlos carlosg carlow carlsson carmarthenshire carmo
+carnegie carnet carnikavas carnil carolin carolina caroline carolinian carp carpalx carpathes carpathian carpeta carpetas carrara carrez carriage
+carried carrier carries carril carro carroll carry carrying carsten carta cartago carte carter cartoon cartouche cartridge cartucho carácer carácter
+carélien casablanca casagrande casal casanare casas cascade cascades cascading case cased casefix casefold caseless caselessmatch casemap caserta
+cases casestudies cashibo cashinahua casi casiguran casilla casillas casing casnewydd caso casos casse cassette cassé cassée cassés cast castell
+castellano castelló castelo castilian castilla castille casting castlereagh castries castro casts casual casually casuarina catalan catalina catalog
+catalogue catalunya cataluña catalán catamarca catanduan catanduanes catania catanzaro catarina catawba catch catches catching categories
+categorizations categorize categorized category categoría categorías cater catering catgets cathedral catherine cats catukina catálogo catégorie
+catégories catío cauca caucasian caucasiennes cauchy caught causa causar cause caused causer causes causeway causing causé caution cautionary cautious
+caué cavan caveat caveats cavineña cavite cavok cayman cayo cayon cayubaba cayuga cayuse caïman cañar cbac cbcond cbmbas cbor cbreak ccache ccaches
+ccapi cced ccedil ccept ccfe ccid cclass cclauss ccodearchive ccompiler cctest cdaadr cdaar cdable cdadar cdaddr cdadr cdae cdar cdata cdba cddaar
+cddadr cddar cdec cdecl cded cdef cdefs cderror cdimage cdjpeg cdot cdrom cdroms cdup ceaf ceará cease ceases cebaara ceballos cebb cebu cebuano cebuc
+ceca ceci ceda cedar cede cedf cedi cedilla cedilnik ceeb ceed cefd ceil ceiling cela celda celdas celje cell celle celles cellpadding cells
+cellspacing cellule cellules cellvars celtiberian celtic celtiques celui cemet cemuhî cencora cendio cent centar center centered centers centrado
+centrafricaine central centrale centrales centraliens centralize centre centric centricular centro centroid centros centrum centré century centúúm
+cependant cephes cerca cercano ceredigion cerklje cerknica cerkno cerkvenjak cerma cernekee cero ceros cerrada cerrado cerrando cerrar cerro cerró
+cert certain certainement certaines certainly certains certdata certeza certfile certifi certificación certificada certificado certificados certificar
+certificat certificate certificates certification certificats certified certifier certify certreg certs certtool cesar cesena cespedes cess cessation
+cesvaines cetinje cette ceuta ceux cexcept ceylon cfaa cfba cfengine cffi cfield cfile cflags cfmakeraw cfstatement cfuga cgallek cgen cget cgit
+cgroup chaam chabu chacha chachapoyas chachi chachoengsao chaco chacun chacune chad chadian chadic chadong chagang chagatai chaguanas chah chai chaima
+chain chaine chained chaining chainlint chains chair chaiscript chaiyaphum chajdas chak chakali chakma chala chalatenango chaldean chaldéen chalikha
+challenge challenges cham chamacoco chamalal chambeali chambre chambri chames chamic chamicuro chamorro champ champaign champasak champion champs
+chamí chan chance chances chandle chandpur chang change changeable changed changelog changelogs changement changements changer changes changeset
+changez changhua changing changriwa changthang changwoo changé changée changés channel channels chanthaburi chantyal chané chaos chap chapa chapai
+chapel chaplin chapter chapters chaque char chara character characteristic characteristics characters charaktere charbuffertype charclass chardet
+chardistribution charente charge charged chargement chargements charger charges chargeur chargui chargé chargée chargés chari chariot charjunk charlen
+charles charlestown charlie charlotte charmap charmci charname charno charoen charref charrefs chars charset charsetgroupprober charsetprober charsets
+chart charter chartered chartreuse charts chary chasse chat chatham chatino chatterjee chattogram chattr chatty chaudangsi chaura chavacano chayahuita
+chayuco chazumba chaîne chaînes chdir cheap cheaper cheat cheating cheb checa chechen checheno chechenskaya check checkable checkansi checkbox
+checkcache checked checker checkers checkin checking checklist checkout checkouts checkpoint checkpointed checkpoints checks checksrc checkstat
+checksum checksumming checksums checo cheetah chefchaouen chegham chehalis cheke chelsea chelu chelyabinskaya chelín chemakum chemi chemin chemins
+chemistry chen chenapian chenchu cheng chengwei chengzhong chenoua chepang chepya chequeo cher cherche chercher cherepon cherkaska cherkesskaya
+chernihivska chernivetska chernov cherokee cheroqui cherry chers cheshire chess chester chesu chet chetco chetti cheung chevauche chevauchement chew
+chewa chewong chey cheyenne chflags chgexit chgprtoff chhattisgarhi chhintange chhnang chhukha chhulung chia chiahao chiang chiangmai chiapanec
+chiapas chiark chiayi chiba chibcha chibchan chicago chicahuaxtla chichaoua chichewa chichicapan chichimeca chickasaw chicken chicomuceltec chicony
+chiesanuova chieti chiffre chiffrement chiffrer chiffres chiffré chiffrée chiffrées chiga chigmecatitlán chihuahua chiini chiki chikwawa chilcotin
+child childhood children chile chilean chili chilisso chiltepec chimalapa chimaltenango chimariko chimborazo chimbu chimelis chimila chimwera chin
+china chinali chinandega chinantec chinantek chinbon chincha chinchipe chine chinese chinesisch chinesische chino chinois chinoise chinook chip
+chipaya chipewyan chippewa chipre chipriota chiquihuitlán chiquimula chiquitano chiquián chiradzulu chiricahua chiripá chiriquí chiru chitimacha
+chitipa chitkuli chittagonian chittora chitwania chlef chmod choapan chobe chocangacakha chochotec chocolate choctaw chocó chodri choi choice choices
+choiseul choisi choisie choisir choisissez choix choke choked chokri chokwe chol cholesky choluteca cholón chomp chomutov chon chong chongqing choni
+chontal chontales chonyi chookij choose chooser chooses choosing chop chopi chopped chopping chorasmian choreographic choresmisch chornoivan chorote
+chortí chose chosen choses chost chothe choukei chown chrau chris chrisccoulson chrisdickinson christ christchurch christensen christian christiansen
+christine christmas christoph christophe christopher christos chroboczek chromatic chrome chromebook chromedevtools chromium chronological chronox
+chroot chrootless chru chrudim chtouka chuadanga chuang chuanqiandian chuave chubut chug chuguev chuid chuj chuka chukha chukot chukotskiy chukwa
+chulym chumburung chumphon chun chung chungcheongbuk chungcheongnam chunk chunked chunkname chunks chunksize chuquisaca churahi church churn chut
+chuuk chuukese chuvantsy chuvash chuvashskaya chuwabu chuyskaya chyl chypre chypriote chácobo châu cial cibak cibao cibitoke ciblas cible cibles
+cicipu ciclo cidr ciego cienfuegos cierra cierre cierta cierto ciertos cifra cifrada cifrado cifrados cifrar cihar cillum cimbrian cinamod cinda
+cinematographic cinematography cineni cingalés cinq cinta cintas cinv cipher cipheralgorithm cipherbyname ciphers ciphersuite ciphersuites ciphertext
+circ circle circled circuit circulaire circular circumflex circumstance circumstances circumvent circumvented circus cirkulane cirru cirrus cirth
+cirílico cisalpin cisalpine cisco cishingini cistron cita citak citation cited cites citgm citi citizen citrix citrus città city cité citées ciudad
+ciurana ciwogai cizek cjihrig cjkcodecs cjpeg cjwatson cksum clackmannanshire clad claes claessens claim claimed claiming claims clair claire
+clairsemé clairsemée clairsemés clallam clamp clamped clang clap clara clare clarendon clarification clarifications clarified clarifies clarify
+clarifying clarity clark clarke claro clase clasen clases clash clashes class classattr classdef classe classed classen classes classic classical
+classification classifications classified classifier classifiers classifies classify classique classmate classmethod classmethods classname
+classobject classpath claude claudio claudiu claus clause clauses clauss clave claves clavier claviers clay claßen clean cleandoc cleaned cleaner
+cleaning cleanly cleans cleanse cleanup cleanups clear clearcache cleared clearer clearify clearing clearintervaltimeout clearly clearpolicy clears
+clearscreen clearsig clearsign clearsigned cleartext cleartimeouttimeout cleb clee clef clefs clegg clemens clerf cleveland clever cleverly clib clic
+click clickable clicked clicking clicks clics client clientattrib cliente clientes clienthello clients cliff cligen clignotement clignoter climb
+clinic clink clint clip clipboard clipped clipper clipperton clips cliquer cliqué clisp clist clobber clobbered clobbering clocal clock clocks
+clockwise clog clogl cloglog clojure clojurescript clon clonaciones clonación clonado clonage clonando clonar clone cloneable cloned cloner clones
+cloning cloné clonés closable close closed closedir closefd closefp closelog closely closepath closer closes closest closing closure closures cloud
+clsname club clubsuit clue cluj cluster clusterfs clusters clutch clutter cluttering clytie clásico cláusula clés cmac cmake cmakescripts cmaloney
+cmath cmdclass cmdline cmdlist cmdloop cmdoptions cmdqueue cmpkey cmpu cmse cmspar cmyk cnnic cnonce cnri coahuila coahuilteco coahuitlán coakley
+coalesce coalesced coalescing coarse coast coastal coatecas coatepec coatlán coatzospan cobaco cobo cobol cobolfree cocama cocamilla cocci coccicheck
+coccinelle cochabamba cocher cochimi coché coclé cocoa cocopa cocos codage code codeadroff codebase codeblock codebytere codec codecov codecs
+codecsmodule coded codehaus codename codeop codeowner codeowners codepage codepages codepath codepaths codepoint codepoints codeql coder coderef
+coderules codes codeset codesign codestream codet codethink codeur codeweavers codiert codierung codifica codificación codificada codificado
+codificador codificados codificar coding codings codingstatemachine codingstatemachinedict cody codé codée codées coef coeff coefficient coerce
+coerced coerces coercion coeur coexist coff coffee coffeescript cofán coghlan cogito cogui cohen coimbra coin coinc coincida coincidan coincide
+coinciden coincidence coincidencia coincidencias coincidente coincidentes coincidir coinstallable cojedes coker cola colas colcrt cold coldfire
+coldfusion cole colección colemak coleman colgado colgante colima colin colis colisión collabora collaborate collaboration collaborative collaborator
+collaborators collage collapse collapsed collapsing collate collateral collating collation collax colle collect collecte collected collecting
+collection collections collectionsmodule collective collectively collector collects coller collet collided collides colliding collier collin collina
+collines collins collision collisions colno coloca colocación colocado colocar colocará colomar colombia colombian colombie colombo colon colonia
+colonne colonnes colons color colorado colorama colorchooser colorear colored colores colorful coloring colorize colorized colormap colors colorscheme
+colorspace colorsys colorée colour coloured colours colrm cols colspan columbia column columna columnar columnas columnate columnize columns colwidth
+colón coma comal comaltepec comanche comando comandos comas comayagua comb combarro combien combina combinaciones combinación combinada combinado
+combinaison combinaisons combinando combinar combination combinations combinatoire combine combined combiner combines combining combiné combinée
+combinées combinés combo combobox combos combreloc comdat come comecrudo comentario comentarios comenzando comenzar comes comfort comfortable comfy
+comic comience comiencen comienza comienzan comienzo comilla comillas coming comm comma command commande commander commandes commandline commands
+commandstring commas commasepitem comme commence commencent commencer commences comment commentaire commentaires commentary commentchar commentclose
+commented commenters commenting comments commentsandwhitespace commençant commer commercial commercially commewijne commission commit commitbereich
+commitment commits committed committee committen committer committet committete committing committish commodo commodore common commondata commondialog
+commonjs commonly commonpath commonprefix commons commonwealth commun communauté commune communes communicate communicated communicating communication
+communications communicator communiqué communities community communs commutateur commutateurs commutation commutativity como comodines comodín comores
+comorian comorien comoros comox comoé comp compact compacted compacter compacts compactée companies companion company compaq compara comparable
+comparaciones comparación comparaison comparaisons comparar comparator compare compared comparer compares comparing comparison comparisons comparte
+compartición compartida compartidas compartido compartidos compat compatibilidad compatibility compatibilité compatible compatiblelicenses compatibles
+compelled compensación compensate compensated compensation competent competing competition compgen compilación compilado compilador compilados
+compilar compilateur compilation compilations compile compileall compiled compiler compilers compiles compiling compilé compilés compiló compl
+complain complained complaining complains complaint complaints compleja complejo complement complemented complemento complementos complements complet
+completa completada completado completador completados completamente completar completas complete completed completedefault completekey completely
+completenames completeness completer completes completing completion completions completo completos complets completó complex complexe complexes
+complexity compliance compliant complicated complication complies compliment comply complying complète complètement complètements complètes complèteur
+complément complémentaires compléter complétion complété compname component componente componentes componentpascal components componer compopt
+comporta comportamiento comporte comportement comportements comportent comporter composant composante composants compose composed composer composición
+composing composite composition compostura composturas composé composée compound comprehension comprehensions comprehensive compresión compresor
+compress compressed compresser compresses compresseur compressing compression compressions compresslevel compressobj compressor compressé compressée
+compressées compressés comprime comprimida comprimido comprimidos comprimir compris comprise comprised comprises comprobaciones comprobación
+comprobado comprobando comprobar compromise compromised comprueba compruebe comps compsize comptage comptant compte compter comptes compteur compton
+comptype compté compuesta compuesto compulsory compuserve computar computation computations compute computed computer computers computes computing
+comspec comstedt comstyle comté comunes comunicar comunidad comunique comx común comúnmente conakry concat concatenar concatenate concatenated
+concatenating concatenation concaténer conceal conceivable conceivably concepción concept concepts conceptual conceptually concern concernant
+concerned concerning concerns concernés concerto conchucos concise concisely concision conclude concluded concluding concluido conclusion conclusions
+concordance concordancia concordancias concordantes concordar concorde concordent concorder concordó concrete concuerda concuerdan concuerde
+concuerden concurrency concurrent concurrently cond conda condamine condensation condense condensed condensé conder condicional condicionales
+condiciones condición condition conditional conditionally conditionals conditioned conditionnel conditionnelle conditionnels conditions conduct
+conducta conducto conductor conducts cone conecta conectado conectados conectando conectar conectividad conector coneharvesters conexiones conexión
+conf confederation confer conffile conffiles confiable confiables confiance confianza confidence confidencial confident confidential confidentiality
+confidentialité config configfile configparser configs configura configurable configuraciones configuración configurada configuradas configurado
+configurados configurando configurar configurarse configurará configuration configurations configurator configure configured configurer configures
+configuring configuré configurée configurées configurés configuró confilt confirm confirma confirmación confirmar confirmation confirmed confirmer
+confirming conflict conflicted conflicting conflictivas conflictivo conflictivos conflicto conflictos conflicts conflictuelle conflictuelles
+conflictuels conflit conflits confnew confold conform conforman conformance conformant conforme conformes conforming conforms conformément confstr
+conftest confuse confused confuses confusing confusingly confusion confusión confío cong congo congolese congratulations conibo conill conj conjugate
+conjunction conjunto conjuntos conklin conmutable conmutación conmutan conmutar conn connaught conncache connect connected connecter connecteur
+connecticut connecting connection connectionlistener connectionpool connections connectivity connectivité connectlistener connector connects connecté
+connectés connexer connexion connexions connmark connor connrefused conntrack connu connue connus cono conocido conocidos conrad cons consectetur
+consecutivas consecutive consecutivos conseguir conseil consejo consejos consensus consent consented consents consequat consequence consequences
+consequential consequently conserva conservar conservation conservative conserve conserver conservée conservées consider considera considerable
+considerably considerar consideration considerations considere considered considering considers considère considérer considérez considéré considérée
+consist consiste consisted consistencia consistency consistent consistently consisting consists consola consolas console consoleerrordata
+consolelogdata consolidate consolidated consor consortium conspicuously const constant constante constantes constantin constantine constantly
+constants constexpr constituent constitute constitutes constituting constrain constrained constrains constraint constraints construcción construct
+constructed constructeurs constructing construction constructions constructor constructors constructs construe construed construida construido
+construir construire construisant construit construye construyendo construyó consts consult consulta consultación consultants consultar consultas
+consulte consulted consulter consultez consulting consumable consume consumed consumer consumers consumes consuming consumption consécutifs
+consécutives cont contact contacted contacter contacting contacto contactos contacts contador contadores contain contained container containerabbilds
+containerformat containers containing containment contains contaminate contaminating contando contar contemplated contemplating contenait contenant
+contenedor contenedores contener conteneur conteneurs contenga contengan contenida contenidas contenido contenidos conteniendo contenir content
+contention contents contenu contenues contenus conteo contest contestador contestar context contexte contextified contextify contextlib contextmanager
+contexto contextos contexts contextual contextuel contextvars contiene contienen contiennent contient contiguos contiguous continental contingent
+continu continuación continually continuando continuar continuará continuation continuations continue continued continuer continues continuing
+continuous continuously continúa contour contournement contourner contra contrabarra contract contracted contracts contradict contradiction
+contradicts contrainte contraintes contraire contrairement contraparte contrarily contrario contrary contraseña contraseñas contrast contraste contrat
+contravariant contravention contre contrib contribute contributed contributes contributing contribution contributions contributor contributors
+contributory contrived control controla controlado controlador controlan controlar controles controllable controlled controller controllers
+controlling controls controversial contrôlant contrôle contrôler contrôles conv convenable convenience convenient conveniently convention conventional
+conventionally conventions converged convergence convergent conversación conversation conversely conversion conversions conversión convert converted
+converter converters converti convertible convertido convertidos convertie converting convertir convertirla convertirse convertisseur converts convey
+conveyed conveying convierte convince conviviale convoluted convolve conway conwy cook cookbook cooked cookie cookiejar cookielib cookies cooking cool
+coola coombs coon cooper cooperate cooperation cooperative coord coordinate coordinated coordinates coordinating coordinator coords coos copainalá
+copala cope copia copiable copian copiando copiar copias copie copied copier copies copié copiés copperbelt copro coproc coprocesador coprocesseur
+coprocessor coprod copte coptic copto copy copyable copyedit copyfile copyfileobj copying copyleft copymode copyreg copyright copyrightable
+copyrighted copyrights copysign copystat copytree copán coquille coquimbo cora coral corbeille corbett corbin corchetes cordasco cordillera cordless
+cordoba core corea coreano coredump corel corelist corentin corentincj corentyne corepack cores coreteam coretypes coreutils corey cori corion cork
+cormier cornelis corner corners cornique cornish cornsilk cornwall coro corona corongo coronie coroutine coroutines corozal corp corporation
+corportation corps corr corrcoef corrección correct correcta correctamente correcte corrected correctement correctif correctifs correcting correction
+corrections correctly correctness correcto correctos corrects corregidos corregir correia correl correlate correlation correo correspond corresponda
+correspondance correspondances correspondant correspondante correspondantes correspondants corresponde correspondence correspondent correspondiente
+correspondientes corresponding correspondre corresponds corretgé corrientes corrige corriger corrigez corrigé corrompe corrompido corrompu corrompue
+corrompues corrompus corrupción corrupt corrupta corrupted corrupting corruption corrupto corruptos corrèze cors corse corsican corso corta cortar
+cortas corte cortex corto cortés coruña corée coréen cosa cosas cosenza cosh coshq cosine cosmetic cosmin cosoleacaque cosq cost costa costamagna
+costano costello costly costs cotabato coth cotoname cotopaxi couche couchitiques coudert couffo could couldn couleur couleurs coulson council counsel
+count countable countdown counted counter counterclaim counterclockwise counterintuitive countermand counterpart counterparts counters counting
+countries country counts county couper couple couples coupure coupé coupées courant courante courbe courier couronne courriel courriels courrier cours
+course court courte courteous courtes courtesan courtesy courtois courtoisie courts courtès couva couvert couverture cova covariance covariant covasna
+covenant coventry cover coverage coveragedir coverdir covered covering coverity covers cowardly cowlitz coyah coyotepec coypu coyutla cozybit cpan
+cpio cplint cpload cpplint cpreg cprestore cprintf cpsa cpsetup cpuid cpuinfo cpuprofile cpus cpuset cpusubtype cputime cputype cpython craft crafted
+craig craigavon cram crange cranges crap crash crashed crashes crashing crate crawdad crawford crawl crawler cray crazy crea creación cread creada
+creadas creado creal crean creando crear creará crearán creat create created creates creating creation creations creative creativecommons creator
+creators crece cred credencial credenciales credential credentials credit credits creds cree creek crees cref cremona creole creoles crequy creuse
+creó crichton crimea crimean crimson crimée criollo criollos crioulo cripps cris criss cristi cristian cristóbal crit critchlow criteria criterio
+criterion critical critique critère critères criuleni croacia croata croate croatia croatian croatiann croatie croc crochet crochets crocsrc croissant
+croisé croisée croisées croix cron crontab crooked croot crop cropping croptest cross crosses crosshairs crossing crosslink crotone crow crown croydon
+crterase crtkill crtstuff crucial crud crude crudo cruel cruft cruz cruza cruzada cruzadas cruzado cruzeño crypo crypt cryptic cryptix crypto
+cryptographic cryptographically cryptography cryptol cryptoscryptpassword cryptosystem cryptsoft crystal créant création créditos crée créer créez
+créole créoles créé créée créées créés crête crítica críticas crítico crónica csbig csect cset csharp csibm csiso csisolatin csisolatinarabic
+csisolatincyrillic csisolatingreek csisolatinhebrew cskoi csmall csock csongrád csound cssclass csshiftjis cssul cstopb ctags ctan ctanh cter ctermid
+ctime ctlecho ctoff ctor ctors ctype ctypes cuaderno cuaiquer cual cuales cualificada cualificadas cualquier cualquiera cuando cuanza cuarta cuarto
+cuatro cuba cuban cubango cube cubeo cubeta cubetas cubic cubos cubre cucumber cuda cuenca cuenta cuentas cuerpo cuesheet cuiba cuicatec cuidado
+cuidadosamente culfa culina culpa culprit cultural culture cumanagoto cumbersome cumbria cumbric cumilla cumple cumplen cumprod cumsum cumtime
+cumulative cumulatively cundinamarca cuneiform cunene cuneo cunha cunningham cunéiforme cuota cupeño cupidatat curazao curaçao curcode curdir cure
+cured curie curious curl curly curonian curpos curr currency current currentbp currentframe currently currentness curripaco curry curses curseur
+curseurs cursive cursor cursores cursors curtis curva curvature curve curves curveto cuscatlán cusco cushitic cusio custom customarily customary
+customer customevent customflag customizable customization customizations customize customized customizing customs cutchi cutoff cuts cutting cuvette
+cuvok cuya cuyamecalco cuyas cuyo cuyonon cuyos cuyuni cuzco cuádruple cuánto cuántos cvelbar cvename cvsexportcommit cvsimport cvsserver cword cwryu
+cyan cyber cycle cycles cyclic cyco cygnus cygwin cygwinccompiler cylinder cymru cynon cypher cypriot cyprus cyren cyril cyrillic cyrillique cyrus
+cyrusimap cython czech czechia czechoslovak czechoslovakia czerner cáceres cádiz cálculo cámara cámbialo cédérom cédéroms célèbes césure códec código
+códigos cómo córdoba córnico côte côtes côté côtés côông daad daai daantanai daasanach daba dabarre dabb dabc dabd dabe dabei dabola daca dacian
+dactilares dada dadd dadi dadibi dadiya dado dados dadurch daeb daed daegu daejeon daemon daemonic daemons daeng daeyeon daff dafydd dafür daga
+dagaare dagaari dagana dagara dagari dagba dagbani dagdas dagegen dagenham dagestan dagfinn dagger dagik dagoman dague dahab dahalik dahalo daher
+dahin dahlin daho dahomey dahyabhai daiderd daijiro daiki daily dair dairi dajabón daju daka dakar dakhla dakhlet dakka dakota dakpakha dalaba dalabon
+dalabyggð dalarnas dalasi dale dalke dalley dalmatian dalmatinska daloa dalrymple dalvik dalvíkurbyggð daly dama damage damages damakawa damal damar
+dambang dambi dameli damian damien damit damon dampelas damyan dana danach danaru danau danbev dance dancer dancers dandami danek danemark daney dang
+dangaard dangaléat dangaura danger dangereuse dangereuses dangereux dangerous dangers dangle dangling dani daniel daniele danielle danielleadams
+danielnylander danielschaefer danilo danilovgrad danish danishka danjou dankogai dann danny dano danois danoise dans dantti danu danum danés daonda
+dapper darai daran darauf darbois darcs darcspatch darcy dare darehanl darf darfur dargestellt dargestellten darginisch dargwa darhan dari darin dario
+darién dark darkbg darker darkgray darkinyung darkness darktemplar darley darlington darlong darmiya darnah daro daroussin darren darrick darse
+darshan darstellen darsteller darstellt darstellung darstellungen dart darussalam darwen darwin daryl darzustellende darüber dash dashdash dashed
+dashes dashjr dashless dashv dasm dass dasselbe dassen data database databases dataclass dataclasses datadir dataflow datagram datakonsult datalength
+datarel datarootdir dataset datasize datastore datasync datasz datatracker datatype datatypes dataurl dataview datawritten date dated dateeditor
+datefmt datei dateideskriptor dateideskriptoren dateien dateiende dateiendung dateierstellung dateiformat dateiformate dateigröße dateiinformationen
+dateiinhalte dateiliste dateilisten dateilistendatei dateimodus dateiname dateinamen dateinamens dateirechte dateireferenzen dateischnittstellen
+dateistatus dateisystem dateisysteme dateisystems dateisystemtyp dateitrigger dateityp dateitypen dateiwähler dateizugriffsrechte daten datenausgabe
+datenbank datenbankargumente datenbankdatei datenbankgröße datenbankspezifischer datenbanktyp datendatei datenformat datengröße datensatz datenstrom
+datenstroms datensätze datenträger datenträgerabbild datenträgern datenträgers datepart dates datetime datetimemodule datetimes dato datooga datos
+datum datumsausgabe datumsformat dauer dauerhaft dauern daugavpils daungwurrung daur dauren davantage davao davawenyo dave davem david davide
+davidlohr davidmarkclements davies davis davon davy dawa dawawa daweloor dawera dawro dawson dayak dayi daylight dayname dayofmonth dayofweek
+dayofyear dayr days dazaga dazu dañado dbad dbae dbaryshkov dbhash dbind dbname dbus dbutil dcab dcba dcce dcde dcgettext dcommit dconf dcti ddaf
+ddagger ddba ddea dded ddee ddfa ddinbych ddir ddstreet deaa deactivate deactivated dead deadline deadlock deadlocked deadlocks deaf deaktiviere
+deaktivieren deaktiviert deaktivierte deal dealing dealings dealloc deallocate deallocated deals dealt dean dearmoring death deba debabc debadree
+debajo debar debc debconf debcontrol debd debe deben deberá debería deberían debes debfile debian debiang debianised debianization debianized debido
+debpython debrca debrecen debsig debsources debubawi debug debugfs debuggability debugged debuggee debuggen debugger debuggers debugging debughelpers
+debuginfo debuginfod debuglevel debuglink debuglog debugserver debundled deccan decctlq december decent decf decide decided decides deciding decidir
+decimal decimales decimals decipher decipheriv decir decision decisions deckblatt deckblattes decker deckers deckkraft decl declaim declaración
+declarado declarados declarar declaration declarations declarative declaratory declare declared declares declaring declaró declatory declfile decline
+declname decls decltype decnumber deco decodable decode decodebytes decoded decodedline decoder decoders decodes decodestring decodifica
+decodificación decodificar decoding decomp decompose decomposed decomposition decompress decompressed decompresses decompressing decompression
+decompressobj decompressor deconfiguration deconfigure deconfigured decorate decorated decorates decorating decoration decorator decorators decouple
+decrease decreased decreases decreasing decref decrement decremented decrementing decremento decrements decrypt decrypted decrypting decryption
+decryptor dedd dedent dedents dedicate dedicated dedication dedications dedos dedua deduce deduced dedup dedupe deduped deduplicate deduplication
+dedza deeb deed deelerious deem deemed deems deep deepcopy deepen deepequal deeper deepest deepfreeze deeply deepness defacto defaka defattr default
+defaultdict defaulted defaulting defaults defaultvalue defe defeat defeats defect defective defecto defectos defects defectuoso defekt defekte defend
+defendant defense defensive defer deference deferred deferring defers deff deffile defi defina define definecommand defined definen defines
+definiciones definición definida definidas definido definidos definieren definiert definierte defining definir definite definitely definition
+definitionen definitions definitive definió defla deflake deflate deflated deflation deflines defmacro defmethod defn defparameter defpath defprotocol
+defrag defs defstruct defsym deftype defunct degema degenan degenerate degexit degradation degraded degree degrees degrés dehors dehu dehwari deinit
+deinitialize deinstalling deir deischen deity deja dejado dejando dejar dejavu deklarieren deklariert dekodieren dekodiert dekompression dekomprimier
+dekomprimieren dekomprimierung dekonfiguration dekonfiguriert dekoriert dela delante delattr delaware delay delayed delayimport delaying delaylib
+delays dele delegate delegated delegates delegating delegation deletable delete deleted deletefile deleter deletes deleting deletion deletions delgado
+delgass delgroup delhi deliberate deliberately delim delimit delimitador delimitadores delimited delimiter delimiters delimiting delims delitem
+deliver deliverable delivered delivers delivery dell delo delorie delphi delta deltabase deltas deltatool deluser delà dema demaille demand demande
+demanded demander demandes demandé demandée demandées demangle demangled demangling demarcate demasiada demasiadas demasiado demasiados demchenkov
+deme demerara demetriou demi demir demisa demo democratic democrática demokratische demon demonio demonstrate demonstrated demonstrates demonstrating
+demonstration demos demote demoted demotic demselben demta demultiplex demultiplexer demás denar denbighshire dendi dene denegado denen deng dengese
+dengka dengsa denguélé deni denial denicola denied denies denigomodu denis denizli denken denmark denn dennery dennis dennoch deno denom denominated
+denominator denominators denorm denote denoted denotes denoting dense densidad density densité dentato dentro deny denya denying denylist denys dení
+deokjin deopt deoptimizing deori deparse department depaudit depc depcache depcomp depend dependabot depende depended dependence dependencia
+dependencias dependencies dependency dependent dependiendo dependiente depending depends depicted depicting depictions deploy deployed deployment
+deployments depname deposit depot depotdir depots deprecado deprecate deprecated deprecating deprecation deprecations depreciated deprelation
+depressed deprive deps depth depths depuis depura depuración depurado depurador depurados depurante depurar depversion depósito deque dequote dera
+derartige derby derbyshire derecha derecho derechos deref dereference dereferenced dereferenciada dereferenciado dereferencing dereferenzieren
+dereferenzierung dereg derek deren dering derivado derivation derivations derivative derivatives derive derived derives deriving dernier derniers
+dernière dernières derogatory derrière derry ders derselben derzeit derzeitige desacoplado desacoplar desactiva desactivada desactivadas desactivado
+desactivados desactivan desactivando desactivar desactualizados desalineado desano desaparecido desarrollador desarrolladores desbloquear desbloqueo
+desborda desbordada desbordamiento desc descarga descargado descargados descargando descargar descargará descargas descargó descarta descartada
+descartadas descartado descartados descartan descartando descartar descarte descartó descend descendant descendants descender descending descendre
+deschner descifra descifrado descifrar descompensado descompresión descompresor descomprime descomprimir descompuesto descon desconectada desconectado
+desconectar desconfigurado desconfigurar desconfigurará desconoce desconocida desconocidas desconocido desconocidos descore descr describe described
+describes describiendo describing describir descripciones descripción descripteur descripteurs description descriptions descriptive descriptor
+descriptores descriptors descsz descubrir desdata desde desea deseada deseado deseas desecration desees deselect desempaquetado desempaquetados
+desempaquetamiento desempaquetando desempaquetar desemparejado desenlazar desenreda desenredada desenredado desenredo desenrolla desensambla
+desensamblador desensamblar deseret deserialisieren deserializar deserialization deserialize deserialized deserializing deserunt deshabilita
+deshabilitada deshabilitado deshabilitan deshabilitando deshabilitar deshacer deshalb deshmukh design designada designado designate designated
+designates designation designator designed designee designer designing designs desinflar desinstalado desinstalando desinstalar desinstalará desirable
+desire desired desiya deskriptor deskriptors desktop desliza deslizador desmontar desnudo desordenadas desp despair despite despl desplaz desplaza
+desplazada desplazado desplazamiento desplazamientos desplazar desplegable desplegables desprender desprendible después desreferenciar desrt dessen
+dessin dessine dessiner dessins dessiné dessous dessus dest destaque destfile destinado destinataire destinataires destinatario destination
+destinations destino destinos destinées destrnik destroy destroyed destroying destroys destruct destructeurs destruction destructor destructors
+destructuring destruir dests desubicaciones desubicación desviación desviada desviado desviar desvincular desvíos detach detachable detached detaches
+detaching detail detailed detailing detailliert detaillierte detaillierten details detallada detallado detalle detalles detección detect detecta
+detectable detectada detectadas detectado detectados detectar detected detecting detection detector detects detectó detener detenido detenidos
+deteniendo determina determinado determinant determinar determination determine determined determines determining deterministic detiene detriment
+detrimental detrás detuvo deutsch deutsche deutschland deux deuxième devabc devanagari devant devel develop developed developer developers developing
+development devenir devenu devez devgroup deviate deviation deviations device deviceeventcontroller devices devicetree devienne deviennent devient
+devin devised devname devnull devolución devolver devolvió devon devoted devraient devrait devrelease devriez devs devsnek devtools devuelto devuelve
+dewoin dexp dexxa deyah deymo dezfuli dezimal dezimale dezimalpunkt dezimalzahl dfas dfba dfce dfile dfranganillo dgettext dghwede dgram
+dgramcreatesocketoptions dhaiso dhaka dhalandji dhandler dhangu dhanki dhanwar dhao dhargari dharuk dharumbal dhatki dhawalagiri dhelp dhexe dhimal
+dhivehi dhodia dhofari dhowells dhparam dhudhuroa dhundari dhungaloo dhurga dhuwal dhuwaya diacriticals diag diagnose diagnosed diagnoses diagnosing
+diagnosis diagnostic diagnostics diagnostique diagnostiquer diagnóstica diagnóstico diagnósticos diagonal diagram diagrama diagramm diagrammed
+diagramming diagrams diags dial dialect dialects dialog dialogex dialogs dialogue diam diameter diamond diamondsuit diaz dibabawon dibiyaso dibo
+dibole dibuja dibujar dibujo dibër dicamay dice dicha dichter dickenson dickey dickinson dickson dict dictate dictates dictionaries dictionary
+dictitems dicts dictvalue dida didier didinga didn dido didrocks didán died diego diegog diejenigen diekhans diekirch dienes dienst dienste diensten
+dienstes dienstname dienstobjekt dienstschlüsseltabelle diensttyp dieri dies diese dieselbe diesem diesen dieser dieses dieter diferencia diferencias
+diferente diferentes diferenças diff diffa diffed differ difference differences different differential differentiate differentiating differentiation
+differently differenz differing differs difficult difficulties difficulty diffie difflib diffs diffstat difftime difftool diffusion diffutils diffère
+diffèrent différemment différence différences différent différente différentes différents différé différée différées difiere difieren diga digamma
+digaro digest digests digging digit digital digitales digitalinfinity digitally digitalmars digits digo digraph digraphen digraphes digraphs digue
+dijim dikhil dilger dili dilinger dilling dima dimanche dimasa dimashq dimbong dimct dime dimension dimensional dimensiones dimensions dimili diminish
+diminuer diminution dimitri dimitrios dimitris dimli dimmed dims dinagat dinajpur dinamarca dinar dinero ding dingli dinguiraye dinka dinámica
+dinámicamente dinámicas dinámico dinámicos diode diogo dionisio dios dioula diourbel dirasha dircolors dire direc direcc direccio direccional
+direccionamiento direcciones dirección direct directa directamente directas directe directed directement directes directing direction directional
+directionality directions directiva directivas directive directives directly directo director directories directorio directorios directors directory
+directs dired direkt direkte direktes direktive direktiven direktoperand direktwert direktwerte dirent dirfd dirham diri dirik diriku dirim dirk
+dirlist dirmngr dirname dirnames dironly dirpath dirs dirson dirstat dirtiness dirty disa disable disabled disables disabling disadvantages disagree
+disagreement disagrees disallow disallowed disallows disambiguate disambiguated disambiguating disambiguation disappear disappearance disappeared
+disappears disassemblat disassemble disassembled disassembler disassembleroptionen disassemblieren disassembliert disassembling disassembly disaster
+disastrous disc discard discarded discarding discards discernible disciplina discipline disclaim disclaimed disclaimer disclaimers disclaiming
+disclaims disclosed disclosure disclosures disco disconnect disconnected disconnecting disconnection disconnects discontent discontinue discordancia
+discos discount discourage discouraged discover discoverable discovered discovering discovers discovery discr discrepancy discrete discretion
+discriminador discriminant discriminate discrimination discriminator discriminatory discs discuss discussed discusses discussing discussion
+discussions discuter disjoint disk diskettenabbild disks disminuido dismiss disney disorder disown disp disparador disparadores disparu dispatch
+dispatched dispatcher dispatchers dispatches dispatching dispensa dispersar dispersion dispersión disperso dispersos dispersé displace displacement
+displacements display displayed displayhook displaying displayname displays disponibilidad disponible disponibles dispose disposer disposición
+disposition dispositions dispositivo dispositivos disproportionate dispute disputes disque disques disquete disquette disregard disrupt dissemination
+dissimilar dissociate dist distance distances distancia distant distante distantes distants distclass distclean distinct distinction distinctions
+distinctive distincts distinfo distingue distinguish distinguishable distinguished distinguishes distinguishing distinta distintas distinto distintos
+distlib distname distort distortion distrib distribuciones distribución distribuido distribuir distributable distribute distributed distributes
+distributing distribution distributions distributor distributors distribuye district distrikt distrito distro distros dists disturb distutils
+ditammari ditch ditidaht ditrans ditto diuwe diuxi divehi diverged divergence divergent divergentes diverges divergido divergé divers diverses
+diversion diversions divert diverted diverting diverts divide divided divider divides dividida dividido dividiendo dividing dividir divine divisible
+division divisions división divisor divisé divmod divulge dixon dizin diálogo diálogos diéguez djabwurrung djadjawurrung djambarrpuyngu djamindjung
+django djangu djangun djawi djeebbana djelfa djibloho djiboua djibouti djimi djimini djinang djinba djiwarli djpeg djpig djwong djúpavogshreppur dknet
+dktrkranz dkuug dlcompat dldump dlenski dler dlerror dllname dlltool dllwrap dlmalloc dlopen dlsym dmabupt dmad dmesg dmitriy dmitry dmitrycvet dmity
+dname dngettext dnipropetrovska dnlup dnslookuphostname dnsname dnsnames dnspromiseslookuphostnam dntypes dnum doan dobel dobeles dobje doble dobles
+dobra dobrepolje dobrich dobrna dobrova dobrovnik dobruja dobu docbook docclass doccomment docfix docformat docgen dock docker dockerfile docking
+docopen docroutine docs docserver docsrc docstring docstrings doctest doctests doctool doctrines doctype document documenta documentación
+documentation documentations documentclass documented documenters documenting documento documentos documents docutils doddannan dodoma does doesn
+doesnt doga doghonadze doghoro dogon dogoso dogosé dogri dogrib dogul doigts doing doit doivent dojo dojran doka doko dokolo dokument dokumentation
+dokumente dokumenten dokuments dokumentvorlage dolby dolenjske dolgan dolina dolj dollar dolneni dolor dolore dolpo domaaki domagnano domain domaine
+domaines domainname domains domari dombe domenic domenichelli domenico dominant dominates domingo domingos dominic dominica dominican dominik
+dominikanische dominio dominios dominique dominus dominz dompo domsch domu domung donal donald donarmstrong donate donated donation donc doncaster
+doncel donde dondo done donegal donenfeld donetska dong donga dongo dongotono dongshanba dongxiang donnant donner donno donné donnée données donnés
+donor dont doogie doom doondo door doors doppelklick doppelpunkt doppelpunkte doppelt doppelte doppelten doppelter doppeltes dora doraise dordogne
+dorfman dori dorland dorman dornava dornod doromu dorsal dorset dort dortmund dorze dosbatch doscon dosenpfand doseq dosini doso dossier dossiers
+dosso dostime doteq dotfiles dotimes dotless dotnet dots dotsyms dotted dottedmag dotyali douala double doubled doublequote doubles doublestring
+doubling doubly doubs doubt doug dougherty douglas doutai doute doux dove dowa dower down downarrow downcase downgrade downgraded downgrades
+downgrading downharpoonleft downharpoonright download downloadable downloaded downloader downloading downloads downs downside downsides downstream
+downto downwards doxn doxyfile doxygen doyayo dozens dpatch dpath dperini dprintf dquote dracula draft drafted drafter drafts drag dragged dragging
+dragomer dragon draheim drain drained draining drains drake dram dramatic dramatically dramatico drand drane drapeau drapeaux drastically dravi
+dravidian dravidiennes dravidische dravograd dravskem draw drawable drawing drawings drawline drawn drawperfect draws drazzib drchip dreamcast drectve
+drei drem drenthe drents drepper dress dresse drew dreß dribble drift drijf driouch dritte dritten drive drivel driven driver drivers drives drix
+drochia drogas drogen droit droite droits dronning drop dropbear dropdown dropdowns dropped dropping drops dropwhile droute druck druckauftrag
+druckauftrags druckbare druckbaren druckdaten druckeinstellungen drucken drucker druckers druckkurve druckvorschau drugs druidenseite drum drung
+druskininkai drysdale drâa drôme dröge drücken dschabal dschibuti dschungel dsearch dselect dshaw dsplit dsusp dsync dtablesize dtags dtoa dtor dtors
+dtpoff dtrace dtsi dtype dual duala duano duarte duau dubayy dubious dubli dublin dubroca dubrovnik dubréka dubu duby duchy duck dudley dudman dudosa
+duel duesseldorf dueño duffin dufresne dugsong dugun duguri dugwor duhwa duin duis duke dukhovni dulbu duli duma dumagat dumaget dumb dumbdbm dumbea
+dumfries dumi dummy dummyatk dump dumpas dumpdir dumpe dumped dumper dumping dumps dumpvalue dumun duna dunaújváros dunbartonshire duncan dundagas
+dundee dunder dungan dungmali dungra dungu dupaninan dupes duping duplek duplex duplexify duplica duplicada duplicadas duplicado duplicados duplicar
+duplicate duplicated duplicates duplicating duplication dupliquer dupliqué dupliquée dupliquées dupliqués duplizieren dupliziert duployan duployé dups
+duque duquel dura durable duración durango durant durante duration durations durazno durbes durch durchführen durchgang durchgeführt durchlaufen
+durchreichen durchschnittliche durchstreichen durchsuchen durchsucht durchzuführen dure durham duri duriankere durigan during duro duros durrës durs
+duruma duruwa durée dushanbe dusner dusun dutch dutton duty duungooma duupa duvall duvle duwai duwet dvorak dwang dwarf dwell dwheeler dwim dword
+dyaberdyaber dyalog dyan dyangadi dying dyirbal dylan dyld dylib dymo dymond dynalink dynamic dynamically dynamicbase dynamics dynamique dynamiquement
+dynamiques dynamisch dynamische dynamischen dyndns dynload dynsections dynstr dysfonctionnement dysymtab dytikí dyugun dyula dywan dzalakha dzando
+dzao dzavhan dzhalal dzihana dzongkha dzùùngoo dänemark dänisch dänische débil débit déblocage débloquer débogage déboguer débogueur déborde
+débordement déborder débug début débutant débute débuter décala décalage décalages décaler décalé déchet déchets déchiffrement déchiffrer décimal
+décimaux déclaration déclarations déclaré déclarés déclencher déclenché décodage décoder décompactage décompresser décompresseur décompression
+décompte décomptes déconfiguration déconfiguré déconnecter déconnectée déconnexion déconseillé déconseillée décorations décorer décorés découpage
+découper découpé découpée découverte décrire décrit décrivant décroissant décrément décrémentation défault défaut défectueux défilante défile
+défilement défiler défini définie définies définir définis définissant définissez définit définitif définition définitions déjà délai délais délier
+délimiteur délimiteurs délimités démarrage démarre démarrer démarré démarrée démaximise démocratique démon démontage démonter démutilation
+dénomination dépaquetage dépaqueter dépaqueté départ dépassant dépasse dépassement dépasser dépassé dépassée dépend dépendance dépendances dépendant
+dépendants dépenser déplace déplacement déplacements déplacer déplacé déplacés déposer dépot déprécié dépréciée dépréciés dépôt dépôts dérivés
+dérogation dérogations déroulage déroulante déroule déroulement déréférencer désaccord désactivation désactive désactiver désactivez désactivé
+désactivée désactivées désactivés désassemblage désassemble désassembleur désassemblé désigné désindexer désinstallation désirez désiré désirée désolé
+désordre désélectionner détachable détachables détacher détaché détachée détail détaillé détaillée détaillées détails détecte détecter détection
+détecté détectée détectées détectés détenteur détermination détermine déterminer déterminé détournement détournements détourner détourné détournée
+détruire développement développer développeur développeurs déverrouillage déverrouiller dévote días díaz dígito dígitos dígrafos díli dólar dónde dôme
+dürfen düzce eaae eaba eabi each eacute eadrogue eady eaec eafc eafd eager eagerly eagle ealing earl earlgrey earlier earliest early earth earthwave
+ease eases easier easiest easily east eastern eastman easy easytrieve eating eats eazel ebadf ebbd ebbf ebca ebcdic ebcf ebda ebeb eben ebene ebenen
+ebenfalls ebenso eberhard ebfb ebiederm ebira eblan ebnf ebon ebonyi ebourg ebrahim ebrié ebughu ebuild ecab ecac ecae ecbb eccdata ecdf ecdh ecdsa
+eceb echdr echec echevarria echo echoctl echoe echoing echok echoke echonl echoprt echte echten echternach ecija ecke ecken eckigen eclass
+eclesiástico eclipse ecma ecmascript ecol econet econnrefused ecosystem ecparam ecsrc ecuador ecuadorian ecuatorial edad edata edbe eddb edde eddsa
+eddy eder edera edff edge edges edgy edición edinburgh edirne edit edita editability editable editables editabletext editado editando editar edited
+editieren editiert editing edition editions editline editor editorconfig editorial editors edits edmonds edolo edomite edopi edsadr eduard eduardo
+educated education eduria edward edwards eeaa eeaf eebb eeppeliteloop eeyek efae efai efate efba efca efda efectivo efecto efectos efectuar efee efef
+effa efface effacement effacer effacez effacé effacés effc effect effected effectif effectifs effective effectively effectiveness effects effectue
+effectuer effectué effectuée effekt effektive effektiven effet effets efficiency efficient efficiently effort efforts efik efutop egenix eger eggert
+egginfo eggon eggs egid egipcio egipto eglextchromium egnor egon egsd egypt egyptian eheader ehebruch eher ehime ehlo ehom ehrlicher ehsan ehsize
+ehueun ehword eichin eiffel eigen eigenbeglaubigte eigenbeglaubigung eigene eigenen eigenschaft eigenschaften eigentümer eigentümerpräfix eigentümers
+eight eighth eike eilean einbetten einbeziehen einbinden einbindungspunkt einblend eindeutig eindeutige eindeutigen eindeutiger eindhoven eine einem
+einen einer eines einfach einfache einfachen einfacher einfaches einfluss einfärben einfügemarke einfügen einfügezeiger einfügezeigers eingabe
+eingabeaufforderung eingabeblöcke eingabebytes eingabedatei eingabedateien eingabedaten eingabedokument eingabefokus eingabegerät eingabemethode
+eingabemethoden eingaben eingabepipe eingabequelle eingabequellen eingabesteuerung eingabetaste eingabetrennzeichens eingabezeile eingabezeilen
+eingebaute eingebauten eingeben eingebettet eingebettetes eingebunden eingebundene eingefügt eingefügter eingegeben eingegebene eingegebenen
+eingehende eingehängt eingeklappt eingelesen eingerichtet eingerichtete eingeschaltet eingeschlossen eingeschränkt eingeschränkte eingestellt
+eingestellte eingetragen einheit einheiten einhängen einhängepunkt einhängepunkten einige einigen einiger einkompiliert einlegen einlesen einmal
+einmalig einmaliger einrichten einrichtung einrollen einrücken einrückung eins einschalten einschließen einschließlich einschränken einschränkung
+einschränkungen einstellbar einstellen einstellung einstellungen einstellungs eintrag eintragen eintrags eintragung einträge einträgen einzelheiten
+einzelne einzelnem einzelnen einzelner einzelnes einzige einzigen einzutragen eipomek eischen eisentraut either eitiep eiusmod ejagham ejamat eject
+ejecting ejecuciones ejecución ejecuta ejecutable ejecutables ejecutada ejecutadas ejecutado ejecutan ejecutando ejecutar ejecutarse ejecutará ejecute
+ejecutándose ejemplo ejemplos ejja ekai ekajuk ekari ekit ekiti ekoka ekpeye ekstrand elaborate elamisch elamita elamite elapsed elbasan elberger
+elbrus eldorado elección elect elected election electric electricity electron electronic electronics electrotechnical electrónico elects elegant
+elegido elegidos elegir elem eleme element elemental elementary elemente elementen elementgröße elementnamen elemento elementos elements elementtree
+elems elen elena eleng elepi eleuthera elevación elevar elevate elevated elevation elfdalian elfenbeinküste elfutils elgamal elgeyo elian elias elide
+elided elie elif elige eligible elija elimina eliminación eliminada eliminadas eliminado eliminados eliminando eliminar eliminarlas eliminaron
+eliminará eliminate eliminated eliminates eliminating elimination elimínalos elio elip elipsis elisp elit elite elixir eliya elizabeth
+eljefedelrodeodeljefe elkei ella ellas elle elles ellice ellinghouse elliot ellipse ellipses ellipsis ellipsize elliptic ellis ello ellos elláda elot
+elotepec eloyi elpi else elseif elseng elsewhere elsif elta eltern elternprozesses elternteil elternverzeichnis elts elva elymian elías emacs
+emacsclient emae emai email emails eman emanuel emauga emax embaloh embargo embargoed embarqué embebido embed embedded embedder embedders embedding
+embera emberá emblem embodied embodiments embu emden emerg emergency emergente emerillon emeriti emeritus emfile emil emilia emilian emily emin emira
+emirates emisión emisor emission emit emite emitido emitir emits emitted emitter emitters emitting emma emmanuel emmanuele emmel emoji emojis
+emotional empaquetada empaquetado empaquetados empaquetage empaquetamiento empaquetar empaqueter empaqueté empaquetée empaquetés emparejados emparejar
+empathy empezando empezar empfang empfangen empfangenen empfiehlt empfindlichkeit empfohlen empfohlene empfohlenen empfänger empfängervoreinstellunge
+emph emphasis emphasize empieza empiezan empile emplace emplacement emplacements emplawas emplea empleada empleado empleados emplean empleando emplear
+emplearse emplee empleo emploi employ employed employees employer employers employé empotrado empotrar empreinte empreintes emptied empties empty
+emptying emptyset empujando empujar empuje empêche empêchent empêcher emreloc emscripten emula emulaciones emulación emulate emulated emulates
+emulating emulation emulations emulator emulators emults emumu enable enabled enabler enables enabling ename enana enano enarmoring enawené encabezado
+encabezados encabezamiento encabezamientos encaja encajan encamp encapsulate encapsulated encapsulates encapsulation encarecidamente encendido
+encguess encima encipher encipherment enclose enclosed enclosing encodable encodage encode encodebytes encoded encodedpoint encoder encoders encodes
+encodestring encodevalue encoding encodings encodé encodée encodés encontrada encontradas encontrado encontrados encontrando encontrar encontraron
+encontró encore encounter encountered encountering encounters encourage encouraged encourages encrypt encrypted encrypting encryption encryptor
+encrypts enctype encuentra encuentran encuentre encyclopedias endasmfunc endcase ende ended endef enden ender enderbury endet endete endf endfor
+endforeach endfunc endfunction endgrent endheaders endhostent endi endian endianez endianness endidx endif ending endings endl endless endloc endmatch
+endndx endnetent endommagé endorse endorsed endorsement endorsements endp endpaket endpoint endpoints endpos endproc endprotoent endpwent endroit ends
+endservent endswitch endswith endtime endtry endung endungen enduntil endw endwhile enel enen energy enero enets enewetak enfant enfants enfield
+enfocar enfoncé enfoncée enforce enforceability enforceable enforced enforcement enforces enforcing enga engdewu engel engelhardt engenni enggano
+engine engineer engineering engines england englisch englische englischer english engordany engraving engures enhance enhanced enhancement
+enhancements enhances enhancing enim enjoy enjoyment enkodierter enkodierung enlace enlaces enlarge enlaza enlazada enlazado enlazador enlazamiento
+enlazan enlazando enlazar enlever enlevé enlevés enlhet enlightenment enlistados enlistment enlistments enlève enmendar enna ennedi ennyah enormous
+enough enqueue enqueued enregistre enregistrement enregistrements enregistrer enregistré enregistrée enregistrées enrekang enrich enriched enriquillo
+enrolla enroule enroulement enrôlement ensambla ensamblado ensamblador ensamblar ensemble ensembles enseña ensuite ensure ensured ensurenl ensurepip
+ensures ensuring entails entanglement entdeckt enter entered entering entero enteros enterprise enterprises enters entertainment entferne entfernen
+entfernt entfernte entfernten entferntes entfernung enthalten enthaltene enthaltenen enthielt enthält entidad entidades entiende entier entiers entire
+entirely entirety entities entitled entity entität entité entités entière entièrement entnommen entonces entorno entpacken entpackens entpackt
+entpackte entpackten entra entrada entradas entrancy entrant entrante entrantes entrar entraîne entre entrecomilla entrecomillada entrecomillar
+entregado entregados entregar entregó entrent entrer entrez entries entropy entry entryname entrypoint entrypoints entré entrée entrées entscheiden
+entscheidende entschlüsseln entschlüsselt entschlüsselung entschuldigung entsize entsperrcode entsperrdialog entsperren entsperrt entsprechen
+entsprechend entsprechende entsprechenden entsprechung entspricht entweder entwickler entête entêtes enugu enum enumera enumerability enumerable
+enumerado enumerador enumerados enumerando enumerate enumerated enumerates enumerating enumeration enumerations enumerator enums enumvalues envelope
+enveloppe enverra envers enviado enviando enviar enviará environ environb environment environmental environments environnement envisagez envió envname
+envoi envoie envoyer envoyé envoyée envoyés envsubst envvar envvars envía envíe envío enwan enxet enya enzisch eofs epena ephem ephemeral epie
+epigraphic epigraphie epilog epilogue epipe epiphany epirat episode epoch epoche epochs epoll epsilon equal equality equalize equally equals equated
+equation equator equatoria equatorial equipment equipo equipos equitable equiv equivalence equivalencia equivalent equivalente equivalently
+equivalents equivocación equivocada equivocadamente equivocado equivocados erabu eran erand erase erased eraser eravallan erave erculiani erdal
+ereignis ereignisse ereignissen eremin eret erevan erfahren erfc erfcx erfolg erfolgen erfolgreich erfolgreichen erfolgt erforderlich erforderliche
+erforderlichen erforderlicher erfordern erfordert erfq erfüllen erfüllt ergab ergebnis ergebnisse ergebnissen ergibt ergonomic ergonomique ergonómico
+ergänzen ergänzende ergänzung erhalten erhielt erhält erhöhen erhöht eric erick ericsson erik eritai eritrea eritrean erkannt erkannte erkannter
+erkanntes erkennen erkennung erklären erklärung erlang erlangen erlangt erlaube erlauben erlaubt erlaubte erlaubten erlaubter erlaubtes erledigt
+ermera ermitteln ermittelt ermöglichen ermöglicht ernest erneuern erneuert erneut erneute erneuten erneuter erneutes ernst erokwanas erongo erow
+errachidia errada errado errata erraten erratum errcode erre erreichbar erreichbare erreichen erreicht erreur erreurs errexit errloc errmap errmsg
+errno errnomodule errnos erromintxela erroneous erroneously erroné erronée erronés error errored errores errorlevel errormsg errors errpipe errstr
+errtext errtrace errónea erróneo erróneos ersatz erscheinen erscheint erschöpft ersetze ersetzen ersetzende ersetzt ersetzung erst erste erstelle
+erstellen ersteller erstellers erstellt erstellte erstellten erstellung erstellungszeit ersten erster erstes ersu eruwa erwarte erwarten erwartet
+erwartete erwarteten erwarteter erwartetes erweitern erweitert erweiterte erweiterten erweiterter erweiterung erweiterungen erwägen erwähnung
+erwünscht eryq erzeuge erzeugen erzeugt erzeugte erzeugten erzeugung erzincan erzurum erzwinge erzwingen erzwingt erzwungen erzwungene erzya esac
+esame esan esatclear esbb escala escalado escalar escalation escaldes escamotage escamoter escapable escapado escape escaped escapedquotes
+escapedstate escapeinside escapes escaping escasez escaso escena esch eschen eschright esclavagisme esclave esclavitud esclavo escocés escoge escoger
+escoja escriba escribe escriben escribible escribiendo escribir escribirá escribió escript escrito escritorio escritos escritura escrituras escuchar
+escudo escuintla esencial esfahbod eshtehardi esimbi eskayan eskimo esko eslavo eslint eslintrc eslovaco eslovenia esloveno esmeraldas esos esoteric
+espace espacement espaces espaciado espacio espacios espagne espagnol espaillat esparta españa español especial especiales especially especialmente
+especifica especificaciones especificación especificada especificadas especificado especificador especificadores especificados especifican especificar
+especificaron especificarse especifico especificó especifique específica específicamente específicas específico específicos espera esperaba esperaban
+esperada esperado esperan esperando esperanto esperar espere espéranto espírito esque esquema esquemas esquina esquinas essai essais essaouira essayer
+essayez essayé esse esselen essential essentially essentiel essentielle essentiels essequibo esser essex essonne esta estaba estaban establece
+establecen establecer establecida establecido estableciendo estableció establezca establish established establishes establishing establishment
+establézcalo estado estados estadounidense estadísticas estamos estangler estar estas estatal este estelí estero estienne estilo estilos estimate
+estimated estimates estimation estland estnisch esto estonia estonian estonie estonien estonio estos estrada estrangelo estrategia estrategias
+estrecho estribo estricto estructura estructurada estructuras estuaire está están estándar estándard estás estática estático esté estén esuatini esuma
+eswatini eszett esztergom etag etags etat etch etchemin etebi etelä eten eteocretan eteocypriot eternity ethan ether etherfile ethernet ethical
+ethiopia ethiopian ethiopic etienne etiopía etiqueta etiquetado etiquetas etkywan etnaviv etoile eton etree etruscan etruskisch ettore etulo eturn
+etwas etype etíope euclidean eugene euid euidaccess eula euler eure euro euroboard eurodev europe europea european europäische européenne européennes
+euskal eustache eustatius eval evals evaluable evaluación evaluate evaluated evaluates evaluating evaluation evaluations evaluator evalúa evan
+evanlucas evans evant evdns even evenki evenly evenp event eventbox eventemitter eventloop evento eventos events eventsource eventtarget eventual
+eventually eventuell ever everett everex everitt everseen every everybody everyday everyone everything everywhere evgeniy evgeny evict eviction
+evidence evidently evil evita evitar eviya evolution evolve evoque evrejskaja evtl evvers ewage ewah ewind ewing ewondo exacq exact exacta exactamente
+exacte exactement exactly exactness exacto exakt exakte examen examina examinando examinar examination examine examined examiner examines examining
+example examples excallback excede exceder excedido excedió exceed exceeded exceeding exceeds excel excellent excepcional excepciones excepción except
+excepteur excepthook exception exceptional exceptions excepto excerpt excerpts excess excessive excessively exch exchange exchanged exchanges excinfo
+excinst excl exclamation exclu exclude excluded excludes excludesfile excluding excluent exclues excluido excluir exclure exclus exclusif exclusifs
+exclusion exclusions exclusive exclusively exclusivement exclusives exclusivo exclusión excluye excluyendo excluyentes excs exctb exctype excuse
+excède exec execdir execfail execfile execl execle execline execlp execmodel execstack executable executables execute executed executes executing
+execution executions executive executor execv execve execvp execvpe exegin exemplary exemple exemples exempt exename exercise exercised exercises
+exercising exercitation exhaust exhausted exhaustion exhaustive exherbo exheres exhibit exidx exif exige exiger exist exista existan existance
+existant existante existantes existants existe existed existen existence existencia existent existente existentes existenz exister existieren
+existierende existierenden existierender existierendes existiert existing existir exists exit exitcode exited exitfunc exiting exitmsg exitosa exitoso
+exitpriority exits exitstatus exklusiv exlib exodist exotic exotique expand expandable expande expanded expanden expander expanders expandeur
+expandida expandido expandiendo expandiert expanding expandir expands expandtab expandtabs expanduser expandvars expansion expansiones expansions
+expansión expansor expansores expansée expassign expat expect expectation expectations expected expecting expects expendable expense expenses
+expensive experience experiment experimental experimentellen experiments expert expertise expfloat expiraciones expiración expirado expiration expire
+expired expiredate expirer expirera expires expiring expiry expiré expirée expirées expiró explain explained explaining explains explanation
+explanations explanatory explications explicit explicite explicitement explicites explicitly explicity expliquer explizit explizite explode exploit
+exploitable exploitation exploited exploits exploración explorateur exploration explore explorer exploring explícita explícitamente explícito
+explícitos expm exponent exponente exponential exponentially exponentiation exponents export exporta exportable exportaciones exportación exportado
+exportados exportar exportation exported exporter exportfähig exportiere exportieren exportiert exporting exports exportstr exporté exportées exportés
+exposant expose exposed exposes exposing exposition expq expr expresiones expresión express expressed expresses expressible expressing expression
+expressions expressly exprimée exprlists exprname exprs exprtokens expt expulsión expunge expérimental exrc extant extcmd extempore extend extended
+extendedsourceslist extender extendida extendidas extendido extendidos extending extendleft extends extensible extension extensiones extensionless
+extensions extensive extensively extensión extent extents exterior extern externa external externalized externally externals externamente externe
+externen externer externes externo externos extiende extname extproc extra extracción extract extractall extracted extractfile extracting extraction
+extractions extractor extracts extrae extraer extrahieren extrahiert extrahierte extraire extrait extraite extraits extraneous extraordinarily extras
+extrayendo extraíbles extraña extraño extrefsyms extremadura extremaduran extreme extremely extremo extremos extrémités extrême exts extsep extundo
+extérieur exuma exécutable exécutables exécute exécuter exécutez exécution exécutions exécuté exécutée exécutées eyak eyeballs eyedropper eyes
+eyesopened eyet eyja eyjafjarðarsveit eyrie eystra eytab ezaa ezhil faadhippolhu fabb fabbe fabd fabian fabiankeil fabien fabio fabricante fabrice
+fabriquant fabriquer fabs facb faccessat face facebook faced faces facf facilitate facilitates facilities facility facing fackler fact facteur factice
+facto factor factored factorial factories factorize factors factory facts factual facultatif facultative facundo fada fadd fade fadenkreuzes faen
+faetano fagani fagerholm fahnestock fahre fahs faible faibles fail failed failfast failing faille faillog failobj fails failsafe failure failures
+faint fair faire fairly fais faisant fait faita faite faites faith faithful faithfully faiwol fake faked fakefile fakeroot fako faktor fala falam
+falavigna falcón fali faliscan falkirk falkland fall falla fallaba fallada fallado fallar fallback fallbacks falle fallenstein fallida fallido
+fallidos falling fallo fallocate fallos falls fallthrough falló falsa falsch falsche falschen falscher falsches false falsely falsey falso falsos
+falsy falta faltan faltante faltantes familia familiar familie families famille familles family fanagalo fanamaket fanbak fancier fancy fancypack
+fancysrc fancyvrb fandrich fang fania fanion fanions fanout fantasy fanti fantom faqs faranah farazmand farb farbanteil farbe farben farbige farbing
+farbprofil farbraum farbschema farbtabelle farbtiefe farbwert farbwähler farefare farg farias faridpur farnung faro faroe faroese farrell fars farsi
+fase fashion faso fast fastapi fastcgi faster fastest fastimport fastjsonschema fastmail fastpos fasu fatal fatale fataleka fataler fatalerror fatales
+fatals fataluku fatick fault faulthandler faults faulty fausse faut fautes faux faveur favor favorable favori favoring favorite favour fawn fayu façon
+fbab fbac fbba fbea fbec fbfa fbfeb fcae fcaf fcca fcde fcee fcef fchdir fchmod fchmodat fchown fchownat fclose fcrypt fdaf fdatasync fdba fdbe fdda
+fddi fdebug fdec fdel fdict fdim fdiv fdlibm fdopen fdopendir fdpic fdrake feaa fear fearful fearing feasible feature featured features febc febd
+february fecha fechas federacija federados federal federales federated federation federative federico fedf fedor fedora fedoraproject feed feedback
+feeding feedparser feeds feel feeling feels fees feff fehl fehlen fehlende fehlendem fehlenden fehlender fehlendes fehler fehlerausgabe fehlerbericht
+fehlerberichte fehlerberichts fehlercode fehlerdiagnose fehlerdiagnoseoptionen fehlerhaft fehlerhafte fehlerhaften fehlerhafter fehlerhaftes
+fehlermeldung fehlermeldungen fehlern fehlers fehlersuche fehlgeformter fehlgeformtes fehlgeschlagen fehlgeschlagene fehlgeschlagenen fehlgeschlagener
+fehlschlag fehlschlägt fehlt feisty fejér feld feldbreite felder feldern feldes feldname feldnamen feldnummer feldtrenner feldvariable felidhu felipe
+felix fell felli fellows felt feltman feltzing female fembe feminine fence feng feni fenicio fenio fenlason fennel fenster fenstergröße fenstermanager
+fenstermenü fenstern fensterrahmen fensters fenstertitel fensterverwaltung fenwick fenêtre fenêtres feof fergal fermanagh fermant fermante ferme
+fermer fermeture fermi fermium fermo fermé fermée fernandez fernandeño fernandn fernando ferne feroge feroés ferrara ferrari ferror fertig fest feste
+festgelegt festgelegte festgelegten festgestellt festlegen festplatte feststellen feststelltaste festzulegen festzustellen fetch fetched fetches
+fetching feuille fewer ffad ffba ffbca ffca ffce ffec fflint fflush fframe fftshift ffunction fget fgetc fgets fgura fhinkel fiable fiables
+fianarantsoa fiat fich fichdef fichero ficheros fichier fichiers fiction fiddling fidji fidjien fidschi fidschianisch field fielding fieldname
+fieldnames fields fier fiertek fife fifi fifo fifos fifth fiftharg fifthhorseman fifty figtree figuig figure figured figuren figures figuring figé
+fija fijado fiji fijian fijo fila filas file filebase fileclose filecmp filed filedescriptor filedialog fileexists filehandle filehandles fileinfo
+fileinput fileio filelink filelist filelists filemd filemode filename filenames filenko fileno filenum fileobj fileobject fileopen fileout filepath
+filepos filepost fileread files fileset filesize filespec filestack filesystem filesystems filesz filetest filetype filetypes fileutl filewrite
+filezilla filiatrault filip filipe filipinas filipino filippo fill filled filler filling fills fillvalue film filomena fils filt filter filtered
+filterfalse filterfähigkeiten filtering filterkette filtern filtername filterpat filters filterwarnings filtra filtración filtrado filtrage filtre
+filtrer filtres filtro filtros filtrés final finale finalement finales finalisation finaliza finalizada finalizado finalizar finalization finalize
+finalized finalizer finalizers finalizes finalizing finalizó finally finance financial finaux find findall findclass finddoc finde finden finder
+finders findfile findfirst finding findings finditer findlinestarts finds findsource findtext findutils findvar fine finer finfo finger fingerabdruck
+fingerabdrücke fingerprint fingerprints fingers fini finir finish finished finishes finishing finistère finit finite fink finland finlande finlandia
+finlandés finn finnag finnisch finnish finnland finnmárkku finno finnois finongan fins finés fiona fiorentino fiorina fiorinaf fipa fips fipshmac fira
+firan fire fired firedfox firefox firenze fires firewall firing firm firma firmada firmado firmados firmante firmar firmarlo firmas firmware firmó
+first firstgid firstline firstlineno firstly firstuid firstweekday fish fisher fishrock fishshell fisika fitness fitojb fits fitting fitzsim
+fitzsimmons five fiwaga fixation fixations fixe fixed fixer fixers fixes fixincludes fixing fixnum fixo fixrx fixture fixtures fixup fixups fixé fixée
+fiyi fjallabyggð fjarðabyggð flaaitaal flacq flag flagged flags flake flakey flakiness flaky flakyness flamand flameeyes flamingice flandre flannery
+flarna flash flashdrives flashed flat flatline flatpak flatten flattened flattening flavor flavors flavour flavours flaw flawed flaws flecha flechas
+fleming flemish fletcher fleuri fleury fleuve flevoland flex flexibility flexible flexibly flight flinders flintshire flip fliplr flipped flipud flist
+flix fljótsdalshreppur fljótsdalshérað float floating floatnumber floatpart floats flock flockfile flojo flonum flood floodyberry floor floordiv
+floppy flores florian floriana florida florin floscript floss flotante flottant flottante flottants flow flowchart flowed flowery flowing flows fluid
+flujo flujos flush flushed flushes flushing flusho fluss flux fläche flämisch flèche flèches fléché fléchées flóahreppur flüchtig fmag fmarchal fmask
+fmax fmean fmin fmod fmpyadd fmpysub fmtcheck fmter fnal fname fnend fnideq fnmatch fnmatchcase fnstart fnumber foad foau fobj foco focus focused
+foggia fogo foia fois foka fokkens fokus fokusanzeiger fokussiert fokussierte fold folded folder folderclosed folderopen folders folding foldl foley
+folge folgen folgende folgenden folgender folgt folio folk folklore folks follow followed following followlinks follows followup folopa foma fomichev
+fonction fonctionnalité fonctionnalités fonctionne fonctionnelle fonctionnement fonctionner fonctions fond fondo fongoro fonoti fonseca font fontaine
+fontana fontchooser fontconfig fontdir fontenelle fonts fontsize fontvieille fonyi fonética fonético foobar foodo fooled foolproof fools foord foot
+footer footnote footnotes footprint footprints fopen fopt forak forall forbes forbid forbidden forbidding force forced forcefully forceinteg forcer
+forces forcibly forcing forcé forcée forcément fordata fordere fore foreach foregoing foreground foregrounded foreign forest forever forfeit forged
+forgery forget forgetting forgive forgiveness forgiving forgot forgotten forint fork forked forker forking forkpty forks forkserver forlì form forma
+formada formado formados formal formalize formally formas format formatage formatangaben formatanweisung formatargvalues formatbezeichner formatdate
+formate formatea formaten formater formatieren formatiert formatierte formato formatoptionen formatos formats formatspezifikation formatstring
+formatstrings formatted formatter formatters formatting formatvalue formatversion formatwarning formatzeichenkette formaté formdata forme formed
+formel former formerly formes formfeed forming formline formosa formosan forms formula formulae formulating formulation formule formé formée forney
+forrest fort forte fortement fortfahren fortgefahren fortgesetzt forth fortin fortran fortranfixed fortschritt fortschrittsanzeige fortschrittsbalken
+fortsenal fortsetzen fortsetzung fortuna fortunately fortzufahren fortzusetzen foru forum forward forwardable forwarded forwarding forwards forzada
+forzado forzando forzar forçage forécariah forêt forêts foss foto fotográfico fotos found foundation foundstr fountain four fourni fournie fournies
+fournir fournis fournissant fournissent fournisseur fournissez fournit fourth fousse fowler foxpro fpectl fpending fpic fpreg fprintf fprofile fpud
+fpuda fpurge fpus fputs fquih frac fracción fraction fractional fractions frag frage fragen fragile fragment fragmentation fragmento fragmentos
+fragments fraktur fram frame framed framer framerate frames framesize framework frameworks framing fran franc franca france francesa francesco franche
+franchement francia francis francisco francistown franco francois francoise francophone francés franganillo frank frankie frankish frankivska franklin
+frankreich frans frantisek frantzen franziska franzke franzöisch französisch französische französischer français française françaises françois frase
+fraser frases fread frecuencia fred frederic fredrik free freeaddrinfo freebsd freed freedesktop freedom freedoms freefem freeform freefrag freegates
+freeglut freeing freelist freelists freely freemem freemint freenet freeport frees freescale freetown freetype freevars freeware freeze freezing freg
+frei freiburg freie freien freier freigabe freigeben freigegeben freijeiro freiraum freitag fremde fremdprogramme french frente freopen freq
+frequencies frequency frequent frequently fresh freshen freshly freshness frexp freyther fria friaulisch friday fridrich fried friedhoff friedl
+friedman friedrich friend friendly friends friesen friesenhahn friesisch frii frioulan frisch frisian frison frisón friuli friulian friuliano frob
+frobnicate frodo frogmouth frolic from fromaddr frombytes fromfd fromfile fromhex fromimport fromisocalendar fromkeys fromlist fromname fromordinal
+fromshare fromstring fromtimestamp fromutc front frontend frontends frontière frosinone frost frotz fround frown frozen frozenset frozensets frsize
+fruit fruity frysinger fryslân frédéric fréquence früh frühes frýdek fsateler fscanf fsckobjects fscreatereadstreampath fscreatewritestreampath
+fsdecode fseek fseeko fsencode fserrador fset fsfe fsharp fshort fsij fsize fsmagic fsmap fsmonitor fspath fsplit fsprogs fsreadstream fstab fstack
+fstar fstat fstatat fstatvfs fsti fstring fstype fsync fsys ftell ftello fthash ftok ftplib ftplugin ftpmaster ftruncate fubar fuchs fuchsia fuddl
+fudge fuego fuente fuentes fuera fueron fuerza fugiat fujayrah fuji fujian fujita fujitsu fukui fukuoka fukushima fula fulah fulbe fulfill fulfilled
+fulfilling fulfills fulfulde fulham fuliiru full fullblock fuller fullest fullmatch fullname fullnames fullpath fullscreen fully fulniô fulton
+funafuti func funcdef funcion funciona funcional funcionalidad funcionamiento funcionar funcione funcionen funciones funcionó función funcname funcref
+funcs funct function functional functionality functionally functioning functions functools functoolsmodule functor functrace functype fund fundamental
+fundamentally funde funded fundings fungwa funk funktion funktionalität funktionen funktionieren funktioniert funktionsname funktionsnamen funky funny
+funwithsoftware furnished furstenheim further furthermore furu furukawa fuse fuseau fused fuser fusion fusiona fusionada fusionadas fusionado
+fusionados fusionando fusionar fusiones fusionnables fusionne fusionner fusionné fusionnée fusionnées fusionnés fusions fusión futhark futile futimens
+futimes futuna futur future futureproof futures futuro fuumu fuvammulah fuyug fuzz fuzzer fuzzing fußzeilen fvisibility fwrite fwâi fxcoudert fyam
+fydd fyer fynwy fysh fábio fácil fácilmente fähigkeit fähigkeiten fängt färöisch fédéral fédérale fédération fédérés féroïen física fórmula föderation
+föderative föderierte füge fügen fügt führe führen führende führenden führendes führt füllen füllstand füllwerts fünfte fünften fürstentum füzuli gaam
+gabel gabi gabon gabonese gabor gaborone gabri gabriel gabriele gabrielino gabrielschulhof gabrovo gabès gabú gadaba gadang gaddang gaddi gade gadi
+gadjerawang gadsup gaelic gaerfyrddin gafat gafsa gafton gaga gagadu gagaifomauga gagaouze gagausisch gagauz gagnoa gagu gahri gaibandha gaida
+gaierror gaikundi gail gailly gain gaina gained gaining gains gainsboro gaius galambu galas galatian galatoulas galbeed gale galela galeya galguduud
+galibi galice galicia galician galicien galik galindan galizisch gallacher gallagher gallant galle gallek gallen gallery gallium gallois galloway
+gallurais gallurese galluresisch galo galway galápagos galés galíbi gamale gambela gambera gambia gambian gambie gambien gambisch gamble gambling game
+gamepad gamepads games gamilaraay gaming gamit gamkonora gamma gammaln gamme gamo gampaha gamprin gana ganancia ganang gancho ganda gandaki gandalf
+gandy gane ganesh gang gange ganggalida ganglau gangstad gangte gangulu gangwon ganja ganjule gansu gants ganza ganze ganzes ganzi ganzourgou ganzzahl
+ganzzahliger gaoual gapapaiwa gaps garantie garantir garantía garasia garbage garbled garcia garcía gard garde garder gardner gare gareth garhwali
+garifuna garig garingbal garissa garkalnes garlali garnacho garo garonne garre garret garrett garrwa garus gary garygsc garza garzik garðabær gasa
+gascón gash gata gate gateshead gateway gather gathered gathering gatshel gauche gaucher gauchers gauge gaulish gaulois gauss gaussian gautam gauteng
+gava gavak gavant gavar gave gavin gavião gawar gawk gawwada gayil gaynor gayo gaza gazi gaziantep gazipur gaélico gaélique gbacon gbagyi gbanu
+gbanziri gbari gbarpolu gbarr gbaya gbayi gbesi gbii gbin gbiri gbite gboloo gccgo gchecksum gcode gcodelexer gcov gcovr gcry gcrypt gdscript gdwarf
+gear geard geared geba gebarentaal gebaut gebe geben gebracht gebrauch gebunden gebärdensprache gebärdensprachen gecos gedaged gedaref geddes gede
+gedeh gedeo gedo gedruckt gedrückt geeignet geek geez gefolgt gefordert gefragt gefunden gefundene gefährlich gefälscht gegeben gegebene gegebenen
+gegebener gegen gegenseite gegenseitig gegenstelle gegenstück gegenwärtig gegenüber gegenüberliegenden gehalten geheim geheime geheimen geheimer gehen
+geholt geht gehören gehörende gehört geir geita geji gekennzeichnet geklont geklonten geko gekürzt gela geladen gelangen gelao gelassen gelauscht geld
+gelderland geldkarte geleert gelesen gelesene gelesener geliefert gelimi gelinkt gelistete gelten gelöscht gelöschte gelöschten gelöst gemacht geme
+gemeinde gemeinsam gemeinsame gemeinsamen gemeint gemerged gemerkt gemfile gemischt gemischte gemspec gemultiplexte gemzek gemäß genannten genau
+genaue genauigkeit genauso genbuildinfo gencertreq genchanges gencodec gende gender genera generación generada generado generador generados general
+generales generalizations generalize generalized generalizing generally generalmente generan generando generar generate generated generates generating
+generation generator generators generic genericpath generics generieren generierten generis generische generous genesis genfile geng gengjiawen gengle
+genie genius genmask genommen genova genrand genre genroot genserv genshi genshitext gensym gente gentle gentoo genug genuine genutzt genutzte genv
+genève genérico genügend geoff geoffrey geografische geografischer geographic geographical geographische geography geográfica geográficos geohash
+geolocalización geolocation geom geometric geometry georg george georgia georgian georgiano georgien georgios georgisch geospatial gepackt gepackte
+gepackten gepacktes geparst gepo geprüft gepuffert gera gerade gerais gerfried gerhard german germanic germaniques germanische germann germany gernler
+gerona gerrit gers gert gertzfield geruma gerundet gerät geräte gerätedatei geräten gerätenummer gerätenummern gerätes gerätetyp geräteverwaltung
+geräts gesamt gesamte gesamten gesamtgröße gesamtmenge gesamtzahl gesandt geschehen gescheitert geschlossen geschlossene geschoben geschrieben
+geschriebene geschrumpft geschwindigkeit geschützt geschützte gesehen gesendet geser gesetz gesetzt gesetzte gesetztes gesichert gespanschaft
+gespeichert gespeicherte gespeicherten gesperrt gesperrten gesperrtes gestalt gestartet gestattet geste gestellt gesteuert gestion gestionar
+gestionnaire gestionnaires gestión gesto gestoppt gestor gesture gesucht getabsfile getacl getaddresses getaddrinfo getaffinity getan
+getandroidapilevel getargs getargvalues getatime getattr getattribute getblock getbuffer getc getchar getclass getclasstree getcode getcodec
+getcomments getcompname getcomptype getcontext getcred getctime getcwd getcwdb getcwdu getdate getdefaultencoding getdefaulttimeout getdelim getdoc
+getdomainname getegid geteilt getencoding getentropy getenv getestet geteuid getfd getfield getfile getfilecon getfilesystemencodeerror
+getfilesystemencoding getfixture getformat getfp getfqdn getframe getframeinfo getframemodulename getframerate getftp getfullargspec getfullpathname
+getgid getgrent getgrgid getgrnam getgroups getheader getheaders gethelp gethostbyaddr gethostbyname gethostent gethostname getincrementaldecoder
+getincrementalencoder getinfo getinitargs getinnerframes getint getitem getline getlines getloadavg getlocale getlogin getlongresp getmaps getmark
+getmarkers getmember getmembers getmodule getmodulename getmro getmtime getname getnameinfo getnames getnchannels getnetbyaddr getnetbyname
+getnetconfig getnetent getnetpath getnewargs getnframes getnode getopt getopts getouterframes getoutput getpagesize getparam getparams getpass
+getpeercert getpeereid getpeername getpgid getpgrp getpid getport getpos getppid getpreferredencoding getpriority getprop getprotobyname
+getprotobynumber getprotoent getproxies getpublickey getpw getpwent getpwnam getpwuid getrandbits getrandom getreader getrecursionlimit getregentry
+getrennt getrennte getresp getresponse getrlimit getrpcent getrpcport getrusage gets getsampwidth getservbyname getservbyport getservent getset getsid
+getsignal getsitepackages getsize getsizeof getslice getsockname getsockopt getsource getsourcefile getsourcelines getstate getsubopt gettempdir
+getter getters gettext gettextize gettime gettimeofday gettimeout getting gettotalrefcount gettrace gettype getuid geturl getuser getuserbase
+getusersitepackages getvalue getvalues getversion getwelcome getwholeline getwindowsversion getwriter getxattr gevers gevgelija gewalt gewartet
+gewechselt gewest gewählt gewählte gewählten gewöhnliche gewünscht gewünschte gewünschten gexp geyer gezeichnet gezeigt gezira gezogen gezählt
+geändert geänderte geänderten geänderter geöffnet geöffnete gfortran ghadamès ghaderi ghaering ghale ghana ghanaian ghandruk ghanongga ghanzi gharbi
+ghardaïa ghari ghash ghayavi ghazal ghazi ghedini ghedo ghee gheg ghera gherkin ghodoberi ghomara ghomálá ghotuo ghulfan gianfranco giang giangan
+gibanawa gibbon gibfahn gibi gibibytes gibraltar gibson gibt gidar gids gifford giflib gifu giga gigabytes gigaoctets giiwo gikuyu gikyode gilaki
+gilbert gilbertese gilbertesisch gilbertin gilbertés gilfi gilgit gilima gilles gilli gillmor gilt gilyak gimeno gimi gimme gimnime gimp ginchereau
+gingerland ginuman ginyanga giorsux giovanni gipuzkoa girardi giratorio girawa gireesh gireeshpunathil giresun girlin girne girona gironde giryama
+gisborne gishu gisiga gisle gist gitanjali gitattribute gitattributes gitconfig gitcvs gitdir gitega gitfile githabul github githubusercontent
+gitignore gitk gitlab gitlink gitmodules gitonga gitshallow gitster gitter gitua gitview gitweb gitwiki gitxsan gityemerri giulia giurgiu giuseppe
+giuseppelng give given givens gives giving giyug giziga gizrra gjasny gjirokastër glacis glade gladky gladman glagolica glagolitic glam glamorgan
+glance glandium glaro glarus glaser glasgow glass glatzor glauben glaud glavda glcorearb gleaned gleich gleichbedeutend gleiche gleichen gleichheit
+gleichheitszeichen gleichmäßige gleichzeitig gleichzeitiges gleitkomma gleitkommazahl glen glenn glens glext glib glibc glink glio glisse glissement
+glisser glissière glitch glitches glob global globalaudit globale globalen globales globalize globally globalnames globalns globals globaux globbed
+globbing globpat globs glocke glodeni glorious glossary gloucestershire glplatform glue glxclient glxcurrent glxext glyph glyphs glücksspiel gmail
+gmain gmane gmazyland gmeiner gmon gmplib gmtime gmtoff gnagna gname gnat gnau gniibe gnome gnomefr gnomovision gnore gnulib gnumeric gnumonks gnupg
+gnuplot gnutls gnúpverjahreppur goal goals goan goaria goaway gobasi gobble gobjc gobject gobu godié godwari goemai goes gofa gofrontend gogo gogodala
+going goiás gokana gola golang gold golden goldenrod golf golfe golin golo golovan golpa gomba gombe gomel gomez gondi gondî gone gongduk gongwang
+gonja gonzaga gonzalez gonzález goocanvas good goodbye gooddata goodenough goods goodwill google googlecode googlegroups googlemail googlemock
+googlesource googletest gooniyandi gopalganj gopher gora gorakor goranboy goranska gorap gordon gordoni goreng gorenja gorenjskem gorez gorg gorgol
+gorica goricah gorithm gorizia gorj gorje gorkha gornja gornji gorod gorom gorontalesisch gorontalo goronzy gorovu gorowa gorse gorski gory gosrc gost
+gostdsa gosthash gostivar gosu gotcha gothic gotique gotisch gotlands goto gotoff gotoffhi gotofflo gotos gotten gottner goudjarâtî gouget goundo
+gourde gourma gourmanchéma govern governance governed governing government gowlan gowli gowro gozarkhani gozem gozo gpdisp gpdword gpgsign gpnum gprel
+gprof gpsize gpword grab graba grabación grabado grabados grabar grabs grace graceful gracefully gracias grad grade gradec gradient gradients gradle
+grados gradsko gradually graduate graf grafiken grafische grafningshreppur graft grafted grafts graham grained gram grammar grammars grammatical
+grammofix gran granada grand grandans grande grandegger grandes grands grangali granlund granma grant granted grantha granting grantor grants
+granularity granum graph graphe grapheme graphen graphic graphical graphics graphique graphiques graphische graphismes graphite graphs graphviz gras
+grass gratis gratitude graubünden gravatar grave gravedad graveley gravereaux gravity gravité gray graymap grayscale graz grazvydas great greater
+greatest greathouse greatly grebo grec grecque greece greedily greedy greek green greenend greenland greenlandic greenwich greet greeting greffon
+greffons greg gregbook gregoa gregor gregorian gregorio gregory gregs grenada grenade grenadian grenadine grenadines grenz grenze grenzen grep gresi
+gresource grevenmacher grew grey gribingui grid griechisch griechische griego griffis griggs grigori grille grin grindavíkurbær grip grob grodnenskaja
+groenlund groff grohne grok groma groningen gronings groovy gros gross grosse grosseto grossly grosso grosuplje grothoff ground group groupby
+groupdict groupe grouped groupement grouper groupes groupindex grouping groupings groupname groups grow growing grows growth groß großandamanesisch
+großbritannien großbuchstaben große großer großschreibung grubb grubbström gruenbacher gruenbaum gruenschloss grund grundarfjarðarbær grundlage
+grundlegende grupo grupos gruppe gruppen gruppenkennung gruppenname gruppennamen gruppieren gruppierung gruppierungsfehler gruppo gruvbox gráfica
+gráfico gráficos grâce grímsnes grönländisch größe größen größenangabe größenangaben größenänderung größer größte grün grýtubakkahreppur gsapountzis
+gsar gsasl gschema gschemas gscrivano gsed gsettings gshadow gssapi gssencmode gstabs gstreamer gsub gtest gtime gtkcomboboxtext gtktextbtree
+gtktextchild gtktextchildprivate gtktextsegment gtktexttag gtktoolitemgroup gtktoolpalette gtktoolpaletteprivate gtranslator gtrapprox gtrsim gtype
+guadalajara guadalcanal guadalupe guadeloupe guadeloupean guadeloupisch guahibo guainía guaira guairá guajajára guajira guajá guam guambiano guana
+guanacaste guanajuato guanano guanche guangdong guangxi guantánamo guanyinqiao guarani guarantee guaranteed guarantees guaraní guarayu guard guarda
+guardada guardadas guardado guardan guardar guardarlo guarded guardian guards guarequena guatemala guatemalan guató guaviare guayabero guayana guayas
+gudang gudanji gude gudev gudhinma gudja gudu guduf gudur guelma guelmim guercif guernsey guerrero guess guessed guesses guessing guest guevea gugadj
+gugu gugubera guhu guiana guianese guibei guiberoua guibian guibien guid guidance guide guided guideline guidelines guides guidimaka guido guilder
+guile guilherme guillaume guillem guillemet guillemets guillemotleft guillemotright guillemots guillonneau guimaras guinea guinean guinée guiones
+guipúzcoa guiqiong guitool guivini guiyang guizhou guión gujarati gujari guji gujrâtî gula gulay gulbenes gule gulf guljas gulu gumalu gumatj gumawana
+gumaz gumbel gumna gumuz guna gundersen gunderson gundi gunditjmara gundungurra gungabula gungu gunidecomp gunma gunnar gunnarhj guntai gunthorpe
+gunwinggu gunya gunyaamolo gunyuño gunzip gupa gupapuyngu gupta gurage guramalum gurame gurani gurban gurdjar gureng gurgula guria guriaso gurindji
+gurmana gurmukhi guro gurung guruntum gurusamy gusarov gusii gusilay gusinje gustaebel gustavo gustavson gute guten guter gutf gutierrez gutmann gutsy
+gutter guwa guwamu guya guyana guyane guyanese guyani guyaratí guybedford guárico guèze guékédou guéra guías gvars gvarset gvimrc gvoko gwahatike gwak
+gwamhi gwandara gwangju gwangyeoksi gward gweda gweno gwent gwere gwich gwijayas gwynedd gybas gyele gyem gyeonggi gyeongsangbuk gyeongsangnam
+gypfiles gypi gyration gzip gzipped gzopen gztar gälisch gävleborgs gère género génère général générale généralement générales générateur génération
+généraux générer générique génériques généré générée générées générés géographique géographiques géolocalisation géorgie géorgien gérer géré gérée
+gérées gérés gïrïbïngï gómez górny gótico götalands göygöl göyçay güilá güisnay gültig gültige gültigen gültiger gültiges gültigkeit
+gültigkeitsbereichs gültigkeitsmodell gültigkeitszeit günther haansoft haapsalu haardt haas habacker habana habarovskij habe haben haber habersack
+haberse habiganj habilita habilitado habilitar habitación habits habitual habitualmente habituel habituellement habituelles habouzit habu había hace
+hacen hacer hacerlo hacerse hachage hachages hacia haciendo hack hacked hacker hackerone hackers hacking hackish hackney hacks hacky hacl hadamard
+hadiyya hadjer hadn hadothi hadrami hadrons hadza haehnle haeke haering haertel hafnarfjarðarkaupstaður haftung haga hagahai hagaki hager hahdhunmathi
+hahn hahon haible haida haigwai haiku hainan hainaut haiphong hair hairy haisla haiti haitian haitianisch haitiano haitsma haitzler haití hajdina
+hajdú hajeb haji hajime hajong hakasija hakha hakka hakkâri hakö halang halb halbi half halfway halfword halh halia haljala halkomelem hallands hallar
+halls hallyn halse halt halted halten halton halves hamann hamano hamap hamba hambantota hamburg hamel hamer haml hamlets hammersmith hamming hammond
+hampshire hamra hamtai hand handbuch handbuchseite handed handeln handful handhabung handhabungsroutine handing handle handlebars handlebox handled
+handler handlerdata handlers handles handling hands handshake handshakes handshaking handwritten handy hang hanga hangaza hangeul hanging hangs hangul
+hangup hangûl hani hanja hankaku hannes hanning hannover hannyaharamitu hano hanoi hanover hans hansen hanson hanty hanunoo hanunóo hanyu hanzi
+haoussa haouz happen happened happening happens happily happy harakash harald harami harappan harare harari harband harbour hard hardap hardcode
+hardcoded hardcopy harddisk harden hardened hardening harder hardest hardlink hardlinking hardlinks hardly hards hardware hardwareunterstützung
+hardwired hardy hare harengan harfbuzz harghita hargreaves harijan harinath haringey harju harjumaa harku harlow harm harmful harmless harmonic
+harmonize harmony harness haroi harold harper harris harrison harrow harshitha harsusi harte harten harter hartlepool hartley hartman hartmans hartwig
+haruai haruku harvard haryanvi harzani hará hasattr hascompare hasconfig hasconst hasfree hash hasha hashable hashall hashbang hashcmp hashcode hashed
+hashemite hashen hasher hashes hashing hashlib hashlimit hashmap hashmethode hashref hashseed hashtabelle hashtable hashverfahren hashverfahrens
+hashwert hasjabs hasjrel haskell haskeys haskovo haslocal hasn hasname hassaan hassaniyya hast hasta haswell hatam hatay hatch hate hato hatohobei
+hatran hatte hattic hatun hauge haupt hauptarbeitsverzeichnis hauptbereich hauptbranch hauptschlüssel hauptschlüsselliste hauptschlüssels
+hauptspeicher hausa hausmann haussa haut haute hautes hauteur hauts havasupai have haveke haveli haven havering having havoc havu hawai hawaiano
+hawaii hawaiian hawaiianisch hawaï hawaïen hawk hawke haxe haxeml haxx haya hayan hayas hayden hayes hazaragi hazardous hazel hazmat haïti haïtien
+hchar hdname head headed header headerdir headerregistry headers heading headings headline heads health healthy heap heapdump heapify heappop heappush
+heapq heapreplace heapsnapshot hear heard hearing heart heartbeat hearts heartsuit heath heavily heavy hebei hebreo hebrew hebrides hebron hebräisch
+hecha hecho heck hector hedayaty hedgehog heel heen heesch hehe heiban heider heif height heights heiko heilongjiang heiltsuk heimatverzeichnis heimes
+hein heine heinlein heinrich heinrichh heirs heißt hela held helena helens helfen helgafellssveit helge helgefjell helios helix hell helland hellenic
+heller helligkeit hellman hello helmand helmut helmutg helong help helped helper helpers helpful helpfully helping helps helsinki helvetica hema
+hemanth hemba hemos henan hence heneise heneng henning henningsen henrich henrik henriksson henrique henry henstridge hentiy herabklapper herausgeber
+herausgebers herausgeberzertifikat herbert herceg hercegovine hercule herdé here hereafter hereby heredar heredia heredoc heredocs herefordshire
+herein hereinafter hereof herero hereunder hergert hergestellt herkömmlichen hermanas hermel hermit hermite hermon hernandez hernican hernàndez heron
+herramienta herramientas herrenschmidt herrera herrero herria herrmann herstellen hersteller hertfordshire hertzog herunterfahren heruntergefahren
+heruntergeladen heruntergeladene herunterladen hervorheben herzberg herzegovina herzegowina herzustellen herzégovine hesiod hesitate hess hessen
+heterogeneous hethitisch hettinger heure heures heuristic heuristically heuristics heves hewa hewlett hexa hexadecimal hexadecimales hexadezimal
+hexadezimale hexadécimal hexadécimale hexadécimaux hexagon hexdigest hexdigits hexdump hexlify hexnumber hexnums hexten hexversion heyo hgskolan
+hhohho hibernación hibernar hibernate hibernation hiberno hibito hidalgo hidatsa hidayanto hidden hide hideki hiderefs hides hidetoshi hiding hier
+hierarchical hierarchies hierarchy hieratic hierfür hieroglyphen hieroglyphic hieroglyphs hierzu hietaniemi higaonon higgins high highbit higher
+highest highland highlands highlandsun highlight highlighted highlighter highlighting highlights highly highwatermark higuamo hiiraan hiiumaa hija
+hijacking hijazi hijo hijos hijuk hilbert hilfe hilfemeldung hilfeoptionen hilfetext hilfsprogramm hilfssprachen hiligainón hiligaynon hill hillingdon
+hilo hilos himachali himarimã himself hindern hindeutet hindi hindko hindsgaul hinduri hindustani hinkelmann hinosawa hint hinter hintergrund
+hintergrundfarbe hinterher hintfull hinting hintmedium hintnone hints hintslight hinukh hinweis hinweise hinzu hinzufügen hinzugefügt hinzugefügte
+hinzugefügten hinzuzufügen hipp hippi hiragana hirano hiremath hiri hiroaki hiromu hiroshima hiroto hiroyuki hisar hist histchars histexpand histogram
+histograma histogrammdatensätze histogramme historia historial historic historical historically historie histories historique historiques historisch
+history histórica hitachi hitesh hitita hits hitting hittite hitu hixkaryána hiyewe hizo hiérarchie hiéroglyphes hiéroglyphique hjalmarsson hkario
+hkey hkongso hlai hlavní hleb hlepho hlersu hline hlsli hmac hmammedzadeh hmar hmong hmwaveke hmòng hniksic hoard hoary hoava hobbs hobyót hocevar
+hoceïma hoch hochformat hochladen hochland hochstellen hochtal hochzuladen hodh hodonín hoehrmann hoek hoersken hoffman hofstaedtler hoger hoher hoia
+hoiho hoima hoja hojas hoka hokan hokkaido holandés hold holder holders holding holdings holds hole holen holes holger holguín holikachuk holiya
+holland hollande hollander hollow holma holme holmgren holmquist holo holoholo holser holshuch holstein holu holy holzt homa home homebrew homecls
+homed homedir homepage hommey homogeneous homophonic homosexuality honduras honeydew honeywell hong hongjin hongkong hongrois hongroises hongshuihe
+hongzhi honi honiara honor honored honoring honors honour honours hood hoofdstedelijk hook hookleftarrow hookrightarrow hooks hoose hope hopefully
+hopi hoping hops hora horaire horaria horas horelick horiz horizon horizontal horizontale horizontalement horizontalen horizontaler horizontales
+horizontally horjul horloge hornafjörður horned hornkvist horo horodatage horodatages horom horpa horribly hors horse hosken hoskins hosny host
+hostaddr hosted hosting hostname hostnamen hostnames hostport hosts hote hotfix hoti hotkeys hotmail hotp hotspot houaphan houdoin houdt houet
+hounslow hour hours house housekeeping houses houston hovd hove hovedstaden hover hovered hovongan howard howells however howl howland howto hoyahoya
+hoyer hoyt hozo hpon hppa hradec hrangkhol hrastnik href hresult hrpelje hrtime hrunamannahreppur hruso hrvoje hryvnia hsail hscroll hsearch hsieh
+hsinchu hspec hstrerror htaccess htaira htmlcheetah htmldjango htmlentitydefs htmlhelp htmlul htonl htons httpbin httpclientrequest httpform
+httpgetoptions httpincomingmessage httplib httponly httprequestoptions httpserver httpserverresponse httpsrequestoptions huachipaeri hualien huallaga
+huamalíes huambisa huambo huancavelica huang huarijio huastec huasteca huaulu huautla huave huawei huaxcaleca huaylas huaylla huba hubei hubert
+hubieron hubo hudson huebner huehuetenango huehuetla huella huellas huelva huesca huffman hufthammer huge hugeirat hugepages hughes hughsie hugo
+hugues huichol huila huilliche huishui huitepec huitoto huizhou huizi hukkinen hukumina hula hulaulá huli hulin hull hulung humainement humaines
+humains human humanos humans humboldt humburi humene humla humor humour hunan hunde hundi hundred hundreds hunedoara hung hungana hungarian hungary
+hungry hungwa hungworo hunin hunjara hunk hunks hunnic hunsrik hunter huntrleaks hunzib hupa hupcl hupdë hupla hurrian hurt hurts hush hutterer
+hutterite huvadhu huynh huánuco huérfana huíla hvalfjarðarsveit hveragerðisbær hwaci hwaddr hwana hwanghae hwclock hyam hybrid hybrids hybris hydrogen
+hygiene hylang hynek hyogo hyper hyperlink hyperlinks hyperms hypertext hyphen hyphenate hyphens hypot hypothetical häme hängen hängt häring hätte
+häufigkeit häädemeeste håvard hébreu hélène hérault hériter hértevin hôte hôtes hõne höchstens höchstwahrscheinlich höchstwert höfuðborgarsvæði
+högskola högskolan höhe höher hörgársveit hövsgöl húnavatnshreppur húnaþing húngaro hülle iaai iadd iain iakoute ialoveni iamalele iana iand iansu
+iarna iatmul iavail ibali ibaloi iban ibanag ibanda ibani ibaraki ibarra ibatan ibañez iberian ibex ibibio ibino ibmi ibom ibtplt ibuoro ibus icache
+ical icann icanon icase iceland icelandic iceve iche icher icherdatei ichers ichertyp ichi icky icloud iclub icmp icon icono iconos icons iconsets
+iconv icrnl icutrim icône icônes idaca idaho idakho idandagan idata idatas idaté idea ideal ideally ideas idem idempotent ident identbodychars
+identchars identical identically identidad identifiable identifiant identifiants identificación identificado identificador identificadores identificar
+identificateur identificateurs identification identified identifier identifiers identifies identifikator identifiziert identifizierung identifié
+identify identifying identique identiques identisch identities identity identität identité identités idents idere idesa idiom idioma idiomas idiomatic
+idir idiv idjo idle idlelib idlib idna idoma idon idrija idris idstring idtrabajo iduna idée idénticas idénticos idéogrammes iecavas ientation ietf
+iexten iface ifce ifdef ifelse ifeqs ifft ifilter ifilterfalse iflag ifloordiv ifnc ifndef ifni ifnot ifpi ifrane ifugao ifunc igala igalia igana
+iganga igbo igede iglob igmp ignaciano ignacio ignalina ignbrk igncr ignora ignorable ignorables ignorada ignoradas ignorado ignorados ignoran
+ignorando ignorant ignorar ignorará ignore ignoreables ignorecase ignored ignoreeof ignorent ignorer ignores ignoriere ignorieren ignoriert ignorierte
+ignoring ignoré ignorée ignorées ignorés ignotas ignpar igor igorpro igual igualdad iguales iguta igwe ihex ihievbe ihlenfield ihnat ihnen ihre ihrem
+ihren ihrer ihres ihrig ihsinme iijima iitm iiyanh ijackson ijaz ijuw ikaranggal ikey ikizu ikko iklin ikobi ikom ikoma ikpeng ikpeshi ikposo iksaif
+ikulu ikwere ikwo ilabel ilegal ilegales ilegible ilegítimos ilfov ilgar ilhas ilia ilianen ilib ilinden ilirska ilkka ille illegal illes illicit
+illicites illig illimité illinois illisible illisibles illizi illustrate illustrated illustrates illustration illustrations illustrator illyrian
+illégal illégale illégaux ilmari ilocano ilocos ilogb iloilo ilokano iloko ilongot ilshift ilue ilwana ilya imag image imageable imagedata imagen
+images imagic imaginary imagine imagined imaging imagnumber imain imanuel imap imapd imaplib imatmul imaxbel imbabura imbongu imbrication imbriquer
+imbriqué imbriquée imbriquées imbriqués imendio imeout imereti imit imitate imitates imitating imitation immd immediate immediately immediates immer
+imminent immortal immune immunities immutability immutable immédiat immédiate immédiatement immédiates immédiats imod imonda impact impacted impacting
+impacts impair impaire impaires impar impares impedance impedir imperative imperia imperial impida impide impiden impl implausibly implement
+implementa implementación implementada implementado implementados implementar implementation implementations implemented implementer implementers
+implementieren implementiert implementierung implementing implements implib implica implication implications implicit implicite implicitement
+implicites implicitly implicits implied implies impliquant implique impliziert implizit implizite impliziten implode imply implying implémentation
+implémente implémenté implémentée implícita implícitamente implícitas implícito impone import importa importable importación importada importadas
+importado importance important importante importantes importantly importar importation importations importe imported importer importers importieren
+importiert importing importlib imports importtime importé importée importées impose imposed imposer imposible impossibilities impossible impossibly
+impr impredecible impresión impresora impresoras impress impression imprimables imprimante imprime imprimer imprimible imprimibles imprimir imprimirán
+imprimée imprimées improper improperly impropia impropio improve improved improvement improvements improves improving imprévisible imprévue impt
+impulse impure imran imroing imul imurdock imágenes inabaknon inability inaccessible inaccessibles inaccuracies inaccurate inachevée inact inactif
+inactiva inactive inactividad inactivity inactivité inactivo inadequate inadvertently inagua inaktiv inaktiver inalcanzables inalámbrico inapang
+inappropriate inapproprié inappropriée inapropiada inari inatteignable inattendu inattendue inattendues inbound inbox incapable incapaz incbin incdir
+incdirs incentivedesign inch inchangé inchangés incheon inchiri incida incidencia incidental incidentally incididunt incl inclheader incluant include
+included includes including incluido incluidos incluir inclure inclus incluse incluses inclusion inclusiones inclusions inclusive inclusión incluso
+inclut incluye incluyen incluyendo incluyó incluído incoherent incoherente incohérence incohérent incohérente incohérentes incohérents income incoming
+incompatibilities incompatibility incompatible incompatibles incomplet incompleta incomplete incompleto incomplète inconnu inconnue inconnues inconnus
+inconsistance inconsistant inconsistantes inconsistencia inconsistencies inconsistency inconsistent inconsistente inconsistentes inconsistently
+inconvenient incorpora incorporado incorporate incorporated incorporates incorporating incorporation incorporé incorrect incorrecta incorrectamente
+incorrectas incorrecte incorrectement incorrectes incorrectly incorrecto incorrectos incorrects incr increase increased increases increasing
+increasingly incredibly increment incrementa incrementable incremental incrementaldecoder incrementalencoder incrementales incrementally incrementar
+incremented incrementing incremento increments incrément incrémental incrémentale incrémentales incrémentation incumplidas incur incurred inde indeed
+indefinida indefinido indefinidos indefinite indefinitely indem indemnify indemnity indent indentation indentations indented indenting indention
+indentless indents indep independence independencia independent independently independiente independientemente indeterminado indeterminate index
+indexable indexada indexadas indexado indexage indexar indexation indexbytes indexdatei indexe indexed indexer indexers indexes indexing indexof
+indexregister indexé indexée indexées indexés indi india indian indiana indianersprachen indianische indic indica indicación indicada indicado
+indicador indicadora indicadores indicados indican indicando indicar indicate indicated indicates indicateur indicateurs indicating indication
+indications indicative indicator indicators indice indices indien indienne indiennes indigenous indigo indikator indios indiquant indique indiquent
+indiquer indiques indiquez indiqué indiquée indiquées indiqués indir indirect indirecta indirectas indirecte indirectes indirection indirectly
+indirecto indirectos indirects indirectsymbol indirekte indische indiscriminately indisponible indisponibles indistinguishable individual individuales
+individually individuals individuelle individuels indivisible indizada indizado indizar indizieren indizierte indo indoeuropäische indonesia
+indonesian indonesien indonesio indonesisch indonés indonésie indonésien indonésienne indre indri induce indus industrial industries indutny indéfini
+indéfinie indéfinies indéfinis indépendamment indépendant indépendante indépendants indéterminé inebu ineffective ineffectiveness inefficient
+inefficiently inencoding inequalities inequality ineseño inesperada inesperadamente inesperado inesperados inestable inet inetd inevitable inevitably
+inexact inexistant inexistante inexistente inexpensive inezgane infback infer inferior inferno inferred infers infile infinite infinitely infinities
+infinitum infinity infix infixes infixl infixr inflate inflated inflected influence info infobulle infobulles infodatei infodrom infolist inform
+informa información informal informar informatics informatif informatik information informational informationen informations informationsanforderung
+informativa informative informe informed informes informs infos infozip infp infra infradead infrastructure infrequent infringe infringed infringement
+infringements infringes infringing inférieur inférieure inférieures inférieurs inga ingham ingle ingles inglés ingouche ingresa ingrian ingroup ings
+inguschisch ingush ingushetiya ingy inhalt inhalte inhalten inhalts inhaltstyp inhambane inherently inherit inheritable inheritance inherited
+inheriting inherits inhiber inhibit inhibiting inicia iniciada iniciado iniciados inicial iniciales inicializa inicialización inicializado
+inicializados inicializando inicializar inicialmente inician iniciando iniciar inicie inicio inih ininteligible init initargs initfirst initfp
+initgroups initial initiale initialement initialen initialisation initialise initialised initialiser initialisiere initialisieren initialisiert
+initialisierung initialisé initialisée initialisés initialization initializations initialize initialized initializer initializers initializes
+initializing initially initiate initiated initiates initiating initiation initiative initiatives initiator initier initlength inits inity inject
+injected injecting injection injects injures injury inking inklusive inkompatibel inkompatible inkompatibler inkonsistent inkonsistente inkonsistenter
+inkorrekt inkpot inkrement inkrementelle inlaod inlcr inlib inline inlined inlines inlining inmediata inmediatamente inmediato inmediatos innecesario
+innecesarios inner innerhalb innermost innerrhoden innerstring innlandet innocent innovation innovations inode inodes inoke inonhan inor inotify inout
+inpck inplace inpui input inputrc inputs inquire inquiries inquiry inrange inria inrialpes insane insanely insanity insb inscript inscriptible
+inscriptional insecure insecurely insegura inseguro inseguros insel inseln insensible insensibles insensitive insensitively insensitivity inserción
+insert inserta insertados insertando insertar inserte inserted inserting insertion insertions inserts insertó inset insgesamt inside insight
+insightful insignificant insist insisted insists insn insns insofar insogna insort inspeccionar inspect inspected inspecter inspecting inspection
+inspector inspects inspired inspiron inspizieren inst instala instalables instalación instalada instalado instalados instalando instalar instalaron
+instalará instalarán instale install installable installables installation installations installationskandidat installdir installe installed installer
+installers installierbare installieren installiert installierte installierten installiertes installing installroot installs installé installée
+installées installés instance instancecheck instancehook instanceof instances instancia instancias instant instantané instantiate instantiated
+instantiates instantiating instantiation instantly instanz instanzen instaweb instdir instead institut institute institutions instituto instr instream
+instring instrlen instruccional instrucciones instrucción instruct instructed instruction instructions instructs instrument instrumentalities
+instruments insufficient insufficiently insuffisant insuffisante insuffisantes insuffisants insuficiente insuficientes insular insw insère insécable
+insérer inséré insérée insérés intact integer integers integra integral integrar integrate integrated integrating integration integridad integrieren
+integrity integrität integritätsprüfung intel inteligente intellectual intelligence intelligent intelligently intelligible intencional intend intended
+intending intends intensity intensive intent intenta intentaba intentado intentando intentar intente intention intentional intentionally intento
+intentos intentó inter interact interactif interacting interaction interactions interactiva interactivamente interactive interactively interactivement
+interactivo interacts interaktion interaktiv interaktive interaktiven interaktiver interaktives intercalage intercambia intercambiable intercambiar
+intercambio intercept intercepted interception intercepté interchange interchangeable interchangeably interchanged intercode interdependencies
+interdiff interdire interdit interdite interdites interdits intereses interest interested interesting interestingly interests interface interfaces
+interfacing interfaz interfere interfered interference interfering interglossa interior interleave interleaved interlingua interlingue interlinking
+intermedia intermediary intermediate intermediates intermedio intermittent intermix intermixed intermédiaire intern interna internacional internal
+internally internals internamente internas internat international internationale internationalization internationalized interne interned internen
+interner internes internet internetseite interning interno internos interop interoperabilidad interoperability interoperable interoperate
+interoperating interopérable interp interpchannels interpol interpolate interpolated interpolating interpolation interpolations interpose
+interposition interpqueues interpret interpreta interpretación interpretado interpretar interpretaron interpretarse interpretation interpretations
+interpreted interpreter interpreters interpretieren interpretiert interpreting interpretive interprets interprocess interprète interprétation
+interpréter interpréteur interprété interprétée interprétées interprétés interrogation interrogators interroger interrompt interrompu interrompue
+interrumpir interrumpió interrupciones interrupción interrupt interrupted interruptible interruption interruptions interruptor interrupts intersect
+intersectintrin intersection intersects interspersed interval intervall intervalle intervalles intervalo intervals intervening intervention interwork
+interworking intha intibucá intimate intl intlmacosx intmax intnumber into intp intptr intr intra intraline intranges intrepid intrinsic intrinsics
+intro introducción introduce introduced introduces introducida introducido introducing introducir introduction introductory introduit introduzca
+introspeccionar introspección introspect introspectable introspected introspection introuvable introuvables intrusive ints intuitive intégration
+intégrer intégrez intégrité intégré intégrée intégrées inténtelo intérieur intérieure intérprete inue inuinnaqtun inuktitut inupiak inupiaq inupiat
+inupiatun inutile inutiles inutilisable inutilisables inutilisé inutilisée inutilisées inutilisés inutilizable inutilizables invalid invalida
+invalidada invalidate invalidated invalidates invalidating invalidation invalide invalides invalidity invalidly invalido invariant invariants
+inventario invented invention inventory inverclyde inverse inverser inverses inversion inverso inversé inversée invert inverted invertida invertido
+invertir investigate investigation invierte invisible invite invites invité invoca invocación invocant invocar invocation invocations invoice invoke
+invoked invoker invokes invoking involucrados involucre involve involved involves involving invoquer invoqué invoquée inválida inválidas inválido
+inválidos inwap inés inútil ioanna ioba iobase ioctl iojs ioke iokesrc iolang iomodule ioncapturecallbackfn ionice ionía ioremap iosrc iota iowa
+ipaddr ipaddress ipalapa ipcent ipiko ipili ipmaddr ipname ipow ippolito iprop ipropd iproute ipsec ipset ipsum iptables ipulo ipush ipvvis ipython
+iqbal iqmp iquito irak irakien irakisch iran iranian iranien iraniennes iranische iranun iraq iraqi iraqw irarutu iraya irbid irclog irección ireland
+ireq iresim iret irgendeiner irgendwo iriga iringa irisch irish irix irkutskaja irlam irlanda irlandais irlande irlandes irlandés irokesische iron
+ironpython iroquoian iroquoises irpc irrational irreconocido irrecuperable irreducible irregular irregularities irrelevant irrelevante irresoluble
+irrespective irreversible irrevocable irrevocably irritating irrompible irréductible irshift irtt irula irumu irure irvine irwin iryoku irán irántxe
+isaac isaacs isabel isabela isabelle isabi isabs isabstract isabstractmethod isalnum isalpha isanzu isar isarog isarray isascii isasyncgenfunction
+isatty isawaitable isblank isbool isbuiltin isbytes ischar isclass isclosed iscntrl iscode iscomplex isconahua iscoroutine iscoroutinefunction
+iscygpty isdatadescriptor isdecimal isdevdrive isdigit isdir isdisjoint isdst isebe iseek isekiri isempty isenabled isenye isequal isernia isfile
+isfinite isfloat isframe isfunction isfuture isgenerator isgetsetdescriptor isgraph ishes ishidden ishikawa ishkashimi isidentifier isig isilon isin
+isinai isinf isinfq isingiro isinstance isint isinteger isiolo isirawa isiri isis isize isjunction iskeyword iskore isla islamabad islamic islamique
+islamische island islandais islandaise islande islander islandia islands islandés islas isle isleap isles islet islice islington islink islnk
+islogical islower islámica isländisch isländische ismember ismemberdescriptor ismethod ismethoddescriptor ismethodwrapper ismo ismodule ismount
+ismountpoint isnag isnan isnormal isnot isnt isnull isnumeric isoformat isoko isolate isolated isolates isolation isomorphic isomorphism isoweekday
+ispackage isparta ispatcher ispath ispeed ispkg isprime isprint isprintable ispunct isqrt israel israeli israël isrc isreal isrecursive isroutine
+issas isscalar isset isspace issparse isstring issubclass issubset issue issuecomment issued issuer issuers issues issuing issuperset issyk issym
+istarska istate isthme isthmus istitle iston istraceback istriot istrip istro ists isub isukha isupper isvalid iswdigit iswxdigit isxdigit isysroot
+isystem isère italia italian italiana italiano italic italics italie italien italienisch italienische italienne italo italoacasas italy itanium itapúa
+itawit itbl itea itelmen item itemgetter items itemseq itemsize itene iter iterable iterables iteraciones iteración iterate iterated iterates
+iterating iteration iterations iterative iteratively iterator iterators iterbytes iterdir iterencode iteri iteritems iterkeys iterlists iters
+itertools itertoolsmodule itervalues itik itneg itonama itotal itri itruediv itself itumaykin itundujia itunyoso ituri itype itzá itération itérations
+iuclc iuleha iused iutf ivan ivano ivanov ivanovskaja ivar ivatan ivbie iver ivereigh ivindo ivoire ivory ivtp iwaidja iwakd iwal iwam iwamatsu iwate
+iwmmxt iwur ixany ixcatec ixcatlán ixil ixoff ixon ixor ixtayutla ixtenco ixtlán iyayu iyer iyive iyojwa izabal ized izere izhak izii izip izola izon
+izora izquierda izquierdo izzi iñaki iñapari iñigo jaak jaap jabal jabat jabber jabberwocky jabbour jablonec jabutí jacent jack jackalope jacke
+jackson jackyen jacob jacobo jacoutot jacques jade jadgali jadida jaeckel jaffna jagdish jags jahanka jahr jahre jahren jahres jahrhundert jain
+jaintia jair jaitmatang jakarta jakati jake jakecastelli jakob jakov jakub jakun jakutisch jalapa jalisco jalkunan jalr jaluit jamaica jamaican
+jamaika jamaikanische jamais jamalo jamalpur jamamadí jamaïcain jamaïcaine jamaïque jambi james jameswestby jamey jamie jamil jamiltepec jammu jamo
+jamsay janakpur jandai jandavra jane janeiro jangkang jango jangshung janik janji janne janos janovskaja jansen janssen january janv janvier japan
+japanese japanisch japanische japon japonais japonesa japonés japrería japón jaqaru jara jaraco jarai jarash jarawa jardin jared jaredlwong jargon
+jaricom jarkko jarno jaroslav jaroslavskaja jarrod jarsolav jaru jarvis jasan jashore jasmin jasminxt jasnell jasny jason jauja jaunjelgavas
+jaunpiebalgas jaunpils jaunsari jaunty java javadoc javakheti javanais javanese javanisch javanés javascript javier javindo javuori jawa jawe jawf
+jawi jaya jayme jaén jaíka jbelmonte jberets jbergstroem jbicha jborden jcapimin jcapistd jcarith jccoefct jccolext jccolor jcgray jcgryext jchuff
+jcicc jcinit jcmainct jcmarker jcmaster jcolsamp jcomapi jconfig jconfigint jcparam jcphuff jcprepct jcsample jcstest jctrans jdapimin jdapistd
+jdarith jdassen jdatadst jdatasrc jdcoefct jdcol jdcolext jdcolor jdhore jdhuff jdicc jdinput jdmainct jdmarker jdmaster jdmerge jdmrgext jdphuff
+jdpostct jdsample jdtrans jean jeanphilippe jebero jede jedem jeden jeder jedes jedi jedoch jefe jeff jeffery jeffrey jeffries jegliche jegunovce
+jehai jeju jejueo jelen jelgava jelgavas jelinek jellinghaus jelmer jemand jemen jemez jenaama jendouba jengelh jenin jenkins jenna jenness jennu jens
+jensen jeollabuk jeollanam jeong jerada jerarquía jere jeremiah jeremy jerez jerga jeri jericho jeroen jeroenooms jeroglíficos jerome jeronimo jerror
+jersey jeru jerung jerusalem jerónimo jesenice jeseník jeske jesper jesse jessica jesus jesús jetmore jeton jetons jetzt jeux jevgeni jeweiligen
+jeweils jewish jezersko jfdctint jgarzik jgit jhalakathi jhankot jhelum jhenaidah jiamao jiang jiangq jiangsu jiangxi jiao jiarong jiawen jiba jibu
+jicarilla jicin jidctflt jidctfst jidctint jidctred jiddisch jigawa jigsaw jihlava jihomoravský jiiddu jijel jilbe jilim jilin jimenez jimi jimmy
+jimrich jina jinclude jingpho jinho jinja jinotega jinuo jinyu jiongnai jiparaná jirel jiro jiru jisx jita jitendra jithil jitter jiwaka jizzax jjelen
+jjohnstn jklimes jkrems jlcon jloup jmacd jmemmgr jmemnobs jmemsys jmespath jmorecfg jmorris jmpi jnweiger joachim joakim joao joba jobbezeichnung
+jobs jobserver jobspec jobsteuerung jochen joel joerg joern joernchen joesepi joey joeyh jofotek jogi johab johan johann johannes john johnny johnpol
+johnsen johnson johnsonm johnstad johnston johor joignables join joinable joindre joined joiner joining joinpath joins joint joinuser joker jola jonah
+jonas jonathan jonava jonaz jonction jones jongkhar jonglei jonkor jonno jonsson jopann jopt jordan jordania jordanian jordanie jordanien jordi jorge
+jorma joruba jorá jose josef josefsson joseignacioechevarria joseph josh joshgav joshtriplett joshua josip joss josselin josue josé jouni jour journal
+journalisation journaux journey jours jouter jover jowulu joyee joyeecheung joyent joypurhat jozsef joão jpaint jpalus jpeacock jpeg jpegclub jpegcomp
+jpegi jpegint jpeglib jpegtran jproperties jquant jquantf jquanti jquery jrand jrnieder jscott jsdoc jseward jshin jsimd jsimdcfg jsimdcpu jsimddct
+jsimdext jslint jsolomon json jsonargs jsonc jsonld jsonml jsri jstdhuff jsul jtarrio juan juanarbol juang juaristi jubbada judenspanisch judeo judge
+judged judgment judicial judéo juego juegos juergen juffo jufrah jugadores juho juif juin jujuy jukun julfa julia julian julianduque julien julio
+juliusz julià julián july jumhurí jumjum jumla jumli jump jumped jumping jumps junction junctions june jung jungferninseln jungle jungshik junichi
+junio junior junit junk junliang juntar juntas junto juntos junín jupyter juquila jura juray jurbarkas jurchen jurczyk jure jurij jurisdiction
+jurisdictions jurúna jusqu jussi just juste justificación justification justifications justified justifié justify justin justo justseen justus jutiapa
+jutils jutish jutland juttle juuro juventud juwal juwoi juxtlahuaca juárez jvelezpo jversion jwaneng jwira jwollrath jyrinki jython jász jämtlands
+järva järvamaa järve jèrriais jérémie jérémy jérôme jõelähtme jõesuu jõgeva jõgevamaa jõhvi jönköpings jörg júma jüdisch jünger jüngsten jürg kaabong
+kaamba kaan kaang kaansa kaapor kaba kabalai kabale kabarde kabardian kabardino kabardisch kabarole kabatei kaber kaberamaido kabir kabiyè kabola
+kabore kabras kabunsuwan kaburi kabutra kabuverdianu kabwa kabwari kabyle kabylisch kacem kachama kachari kachhi kachi kachin kachoube kadai kadar
+kadaru kadavu kadazan kadiogo kadiwéu kadlec kadlecsik kadm kadmin kado kadrina kadu kadugli kaduna kaduo kadéï kaeb kaen kaeo kaera kafa kaffrine
+kafoa kafr kagadi kagan kaganga kagate kagawa kagayanen kagera kagoma kagoro kagoshima kagulu kahe kahn kahu kahua kaian kaibobo kaidipang kaiep
+kaikadi kaike kaili kaimbulawa kaimbé kaina kaingang kaingáng kainuu kairak kairiru kairouan kairui kais kaiser kaitai kaitetu kaithi kaivi kaiwá kaiy
+kajakse kajali kajaman kajiado kajiwara kakabai kakabe kakamega kakanda kaki kakilik kako kaku kakumiro kakwa kala kalaallisut kalaamaya kalabakan
+kalabari kalabra kalagan kalahastri kalaki kalaktang kalam kalamsé kalanadi kalanga kalangala kalanguya kalao kalapuya kalapálo kalarko kalasha
+kalasin kaldrananeshreppur kaleb kaledonien kalender kalenjin kalev kalic kalimantan kalinga kaliningradskaja kaliro kalispel kalkara kalkoti
+kalkutung kallahan kalmar kalmyk kalmykija kalo kalou kaloum kalpak kaluli kalumpang kalungu kalutara kaluzhskaya kalvarijos kamakan kamang kamano
+kamantan kamar kamara kamarian kamaru kamas kamasa kamasau kamayo kamayurá kamba kambaata kambaira kambanaria kambera kamberau kambiwá kambja
+kambodscha kamchatskiy kamenica kamera kamerun kamerunisch kami kaminskiy kamnik kamo kamoro kamp kampala kamphaeng kampong kampot kamu kamula kamuli
+kamviri kamwe kamwenge kana kanada kanadisch kanagawa kanakanabu kanal kanamaru kanamarí kanan kanaq kanashi kanasi kanauji kanavin kanchanaburi
+kandaal kandahar kandas kandavas kandawo kande kandidaten kandy kane kaneider kanem kanembu kanepi kang kanga kangaroo kangean kanggape kangjia kango
+kangri kangweonto kaniet kanikkaran kaningdon kaningi kaningra kaninuwa kanite kanjari kanji kanjobal kanju kankan kankanaey kankanay kann kannada
+kannara kano kanonische kanonisieren kanouri kanowit kanoé kansa kansas kanta kantenglättung kantosi kanu kanufi kanum kanungu kanuri kanwathirtha
+kanyok kanäle kaoh kaohsiung kaolack kaonde kaoriya kapampangan kapchorwa kapelebyong kapija kapin kapinawá kapingamarangi kapke kaplan kapori
+kaposvár kappa kappadokisch kapriman kaptiau kaputt kapya kaqchikel kara karaboro karabük karachay karachayevo karagandinskaja karagas karaim karajá
+karak karakalpak karakalpakisch karakhanid karaman karami karamojong karan karang karanga karankawa karao karas karata karatchaï karawa karbi karbinci
+karbon kardzhali kare karekare karel karelian karelija karelisch karen karenga karenggapa karey kargs kari karibisch karim karingani kario karipuna
+karipúna karirí karisch karitiâna kariya kariyarra karjala karkar karkin karko karl karlovac karlovarský karlovy karlson karlsruhe karmic karnai
+karnali karo karok karolina karon karonga karoonboonyanan karore karrys kars karsten karte karten kartenbesitzers kartenlesers karthik kartik kartli
+karunakar karuzi karviná karvonen karyaw kasa kasachisch kasachstan kasanda kasanen kasanga kasaï kaschmirisch kaschubisch kasem kaseorg kasese
+kashaya kashmir kashmiri kashubian kashubiano kasiguranin kaska kaskean kassala kasserine kastamonu kasten kastilien kastner kastre kasua kasungu
+kasyanov katabaga katakana katakwi katalanisch katanga katar katarqalai katavi katawixi katbol katcha kategorie kategorien katholieke kathoriya kathu
+kati katkari katla kato katsina katso katu katua katukína katz kaufman kaukasische kaulong kauma kaunas kauno kaur kaure kaurna kauwera kavadarci
+kavalan kavango kaveh kavet kawacha kawaiisu kawe kawi kaxararí kaxuiâna kayabí kayagar kayah kayan kayangel kayanza kayapó kayardild kayaw kayeli
+kayes kayin kayong kayort kayseri kaytetye kayunga kayupulau kayvan kazahstanskaja kazajistán kazajo kazakh kazakhstan kazako kazlib kazo kazuki
+kazukuru kbxutil kbytes kcin kconfig kdevelop keak keane keapara keating kebbi kebil kecskemét kedah kedang kede keder keeley keeling keelung keen
+keenan keep keepalive keepcr keepends keeping keeps kees kegalla kehrt kehtna kehu keiga keil keila kein keine keinem keinen keiner keinerlei keines
+keins keio keith keiyo kekchí kela kelabit kelantan kele kelemen keley keliko kellner kelly kelo kelon keltische kelvin kelâa kemak kembayan kemberano
+kembra kemedzung kemerovskaja kemi kemiehua kemp kemtuik kemö kenaboi kenan kenati kendall kendayan kendeje kendem kenga kenia keningau keninjal kenji
+kennedy kenneth kennethreitz kennung kennungen kenny kennykb kennzeichnen kennzeichner kennzeichnet kennzeichnung kensington kensiu kenswei kent
+kentico kenticocloud kentish kentohe kentrikí kentucky kenya kenyah kenyan kenyang kenyi kenzi keoru kepkiriwát kepo kept kepulauan keqv kera kerak
+kerala kerberos kereho kerek keres kerewe kerewo kericho kerinci kerins kern kernel kernellabs kernels kerola kerolasa kerry kesawai keski ketangalan
+kete ketengban ketschua kette kettenis kettlewell ketum kevin kewa kexi keyagana keyangan keybinding keybindings keyblock keyboard keyboards keybox
+keybuk keychain keycode keycodes keyed keyfile keyflag keyfunc keygen keygrip keyhan keyid keying keyinit keylen keylist keylog keymap keyname
+keynames keynav keynes keynote keyopts keypad keypress keyring keyrings keys keysaltlist keyseq keyserver keyservers keysig keysize keysizes keystore
+keystroke keysym keytab keytronic keyval keyvanzadeh keyword keywords keywrap kfarnung kfki kgalagadi kgatleng khagrachhari khai khaidi khakas khaki
+khalaj khaled khaling kham khamba khammouan khams khamti khamyang khan khana khandesi khang khanty khao kharam kharia kharkivska kharoshthi khartoum
+khash khasi khatlon khattak khatti khawr khayat khaymah khayo khazar khehek khenchela khengkha khersonska khetrani khezha khiamniungan khimi khinalugh
+khineika khiri khirwar khisa khitan khlula khmelnytska khmer khmeros khmu khmum khoekhoe khoem khoemsokhem khoibu khoisan khojki kholok khomas khon
+khor khorasani khorezmian khotanais khotanese khouribga khowar khoïsan khronos khrplatform khua khudawadi khuen khulna khumi khunsari khutsuri
+khvarshi khyber kháng khánh khémisset khénifra khün kiambu kibaale kibala kibet kibi kibibytes kibiri kibodeaux kiboga kibuku kick kickapoo kicked
+kicking kidal kids kieboom kigali kigoma kihnu kiili kiini kikai kikakui kiki kikuube kikuyu kildare kildin kilenge kili kilifi kilimanjaro
+kilinochchi kilis kilivila kiliwa kilkenny kill killall killed killing killpg kills kilmeri kilo kilobyte kilobytes kimaama kimaragang kimball kimbu
+kimbundu kimki kimré kina kinabalian kinabatangan kinalakna kinamiging kinaray kind kinda kinder kindern kindes kindia kindle kindly kindprozess
+kindprozesse kindprozesses kinds kinesis king kinga kingdom kingdon kingman kingston kinmen kinnauri kinoho kinross kinshasa kintaq kinuku kinyarwanda
+kioko kiong kiorr kiowa kipsigis kiput kirby kirch kirchenslawisch kirdki kire kirghiz kirghize kirghizo kirgisisch kiri kiribati kirike kirikiri
+kirill kirinyaga kirkham kirklees kirkop kirmanjki kiroundi kirovohradska kirovskaja kiruhura kirundo kirya kiryandongo kisa kisan kisankasa kisar
+kisela kishoreganj kisi kisii kiskun kislyuk kisoro kissi kissidougou kissing kistane kisumu kiszka kita kitagwenda kitan kitembo kitgum kitsai kitt
+kitterman kitts kituba kitui kitware kiunum kivio kivu kiwai kiwi kjósarhreppur kkaplan kladno klamath klammer klammererweiterung klammern klao klar
+klaralvdalens klartext klartextsignatur klarälvdalens klass klasse klassen klassisch klassisches klatovy klauke klaus klausner klebrige klee kleen
+klein kleinbuchstaben kleine kleineidam kleiner kleinere kleineren kleinert kleinschreibung klias klick klicken klicks klingon klingonisch klode klon
+klone klonen klons klose kluet klumpp klute klänge kmaq kmod knaanic knechtges knew kniang knin kninska knittel knob knobs knoll knopf knopfes knopfs
+know knowing knowledge knowledgecenter known knows knowsley knudsen knut knuth knuty knöpfe knöpfen koala koalib koasati koba kobarid kobayashi
+kobiana kobilje koblas koboko kobol kobon kocaeli koch kocharin kochi kochila koda kodak kodaku kodava kodeoha kodi kodia kodieren kodiert kodierte
+kodierten kodierung koehler koenig koenoem koepp koetter kofa kofei kofyar koga kogai kogi kogman koguryo kohan kohei kohila kohin kohistani koho
+kohta kohtla kohumono koiali koiari koibal koichi koireng koitabu koiwat kojima koka kokata koke koki kokneses koko kokoda kokola kokota kola kolami
+kolbila kolda kole kolhumadulu koli kolibugan kolkhi kollidiert kollisionen kolubara kolubarski kolumbien koluwawa kolín koma komawar komba kombai
+kombination kombinierbar kombinieren kombiniert kombio komen komenda komering komi kominimung komma kommando kommandoersetzung kommandos kommandozeile
+kommandozeilen kommandozeilenargumente kommata kommen kommentar kommentare kommentarzeichen kommt kommune kommuneqarfik kommunia kommunikation komo
+komodo komondjari komoren komorisch kompane kompatibel kompatibilität kompatible kompatibler kompienga kompilieren kompiliert komplett komplette
+kompletten komponente komponenten komponentenkennung komponententyp kompression kompressionsstufe kompressionsverhältnis komprimieren komprimiert
+komprimierte komprimiertes komprimierung komprimierungsgrad komprimierungsstrategie komprimierungstyp komunitatea komyandaret komárom konai konda
+koneraw konf konfiguration konfigurationen konfigurations konfigurationsdatei konfigurationsdateien konfigurationseinstellun konfigurationsfehler
+konfigurationsoptionen konfigurationsparameter konfigurationsschlüssel konfigurationsvariable konfigurationsvariablen konfigurationszeile
+konfigurieren konfiguriert konfigurierte konfigurierten konflikt konfliktauflösung konflikte konflikten konform kong kongo konjice konjo konkani
+konkomba konnektivität konni konnte konnten kono konomala konongo konqueror konso konsole konstante konstanten konstantin konstantinos konstrukt
+kontagora kontakt kontaktiert kontext kontextes kontextklick kontexts kontextstruktur kontingent konto kontour kontrast kontrasts kontroll kontrolle
+kontrollieren kontrollnachricht kontrollpunkt konvertiere konvertieren konvertiert konvertierung konya konyak konyanka konzo koongo koonzime koorete
+kopar koper kopf kopfbereich kopfstehendes kopfteil kopfteile kopfzeile kopfzeilen kopfzeilenfeld kopie kopien kopierbedingungen kopieren kopiert
+kopkaka koprivnica koprozessor koptisch kora korafe koraga korak korana korandje kordofan kordofanian kordofaniennes korea korean koreanisch
+koreanische koreguaje koresh korku korlai kornisch koro koromfé koromira koron koronadal koroni korop koropó koror koroshi korowai korra korrekt
+korrekte korrekten korrigieren korrigiert korsisch korsvoll korubo koruna korupun korving korwa koryak korçë kosadle kosanjevica kosarek kosch
+koschany kose kosena kosher koshin kosi koskinen kosovo kosovski kosovsko kosrae kosraean kosraeanisch kosraeano kosraéen kosse kossi kostanajskaja
+kostanjevica kostas kostel koster kostik kostromskaja kota kotafon kotava kotayk koti kotido kotlin kotor kott kotto koubia kouilou koulikoro
+koulpélogo koumyk koundara kouritenga kouroussa kourwéogo kouya kovai kove kowaki kowalski koweït kowiai koya koyaga koyo koyra koyraboro koyukon
+kozina kozje kozyatinskiy kpagua kpala kpan kpasam kpati kpatili kpeego kpelle kpessi kplang kprop kpropd kproplog kpèllé kqueue kqueues kraai krabi
+krache kracheh krafft kraft krah krahn krahô kraj kranj kranjska kraol krapina krapinsko krasnodarskij krasnojarskij krasnyansky kratovo krause
+kravchenko krawczuk kray krbdev kreen krelisch krems krenair krenak krenzelok kreol kreolisch kreolische kreolisches kretinga kreutzmann krevinian
+kreye krikati krimtatarisch krimuldas krio kriol krisa krischik krishnan kristian krita kriterien kritische kriva krki kroah kroatien kroatisch krobu
+kron krona krone krongo kronobergs kroosec kropelin kropp krou krumen krumlov krung krupen krustpils krym krymchak kryts krzysztof králové
+královéhradecký kríti ksba kscanne kshiti kstarsinic ktadd kuala kuamasi kuan kuanhua kuanua kuanyama kuba kube kubi kubo kubu kuchling kuck kucong
+kudarat kudiya kudmali kudu kuehling kufrah kugama kugar kugbo kuhlmann kuhn kuijau kuikúro kuin kujalleq kujarge kujawsko kukatja kuke kukele
+kukkonen kukna kuku kukuk kukuya kukës kula kulan kulango kulere kulfa kulina kulisusu kullu kulung kumalu kumam kumamoto kuman kumanovo kumaoni kumar
+kumarbhag kumba kumbainggar kumbaran kumbewaha kumhali kumi kumiai kumukio kumyk kumzari kumükisch kuna kunal kunama kunbarlang kunda kundal kundi
+kunduvadi kunduz kunene kung kungarakany kungardutyi kunggari kungkari kungliga kungota kuni kunigami kunimaipa kunja kunjen kunyi kunza kuot kupa
+kupang kupia kupries kupsabiny kura kurama kuranko kurchatkin kurde kurdi kurdisch kurdish kurdo kure kurem kurganskaja kuri kuria kurichiya kurigram
+kurihara kurmukar kurnai kurrama kurskaja kurt kurti kurtokha kurtosis kurtz kurudu kurukh kurumba kurunegala kuruáya kurve kurz kurze kurzem kurzen
+kusaal kusaghe kuschitische kushi kushtia kuskokwim kusu kusunda kusuntu kutai kutenai kutep kuthant kutná kutong kutto kutu kuturmi kuuk kuuku
+kuusalu kuvale kuvi kuwaa kuwaataay kuwait kuwaiti kuzma kuznyechik kvakil kvale kvemo kven kvno kwaa kwaami kwacha kwadi kwaio kwaja kwajalein
+kwakiutl kwakum kwale kwalhioqua kwama kwambi kwamera kwami kwamtim kwang kwanga kwangali kwango kwania kwanja kwanyama kwanza kwara kwarg kwargs
+kwasio kwaya kwaza kwazulu kwdefaults kween kwegu kweneng kwer kwerba kwere kwerisa kwese kwesten kwilliams kwilu kwini kwinsu kwinti kwlist kwoma
+kwomtari kwonci kwonlyargcount kwonlyargs kwset kxoe kyak kyaka kyan kyanga kyankwanzi kyat kyegegwa kyenele kyenjojo kyerung kyiv kyivska kyle
+kylheku kymenlaakso kyotera kyoto kyrgyz kyrgyzstan kyrillisch kysela kyustendil kyzylordinskaja kzak kzhao kâte kärnten kébili kédougou kélé kénitra
+kénédougou kérouané kópavogsbær kölsch könig königreich können könnte könnten köpfe kümmel künstler künstliche künstlichen kürzel kürzels kürzeste
+küste küsten kütahya laal laali laari laba label labeled labeling labelled labels labem labir labo labor laboratoire laboratories laboratory labore
+laborie laboris laborum labrador labs labu labuan labuk labé lacandon lachance lachi lachiguiri lachixío lachowicz lack lacked lacking lacks lacs
+ladakhi laddr lade ladebereich laden ladenden ladha ladin ladinisch ladino ladji lado laeko lafofa laforge lagaw lagda lage laghouat laghu laghuu
+lagos laguna lagunes lagwan laha lahanan lahnda lahta lahu lahul laid laikipia laimbue laing laisser laissé laissée laissés laitu laiyolo laka lakalei
+lake lakes lakha laki lakkia lakon lakondê lakota lakshadweep lakshmipur lala lalana lalia lalitha lalmonirhat lalo lalu lama lamaholot lamalera
+lamang lamatuka lamba lambadi lambayeque lambda lambdas lambdef lambert lambeth lambichhong lamboya lambya lame lamenu lameter lamis lamja lamkang
+lamma lamnso lamogai lamont lamouri lampang lamphun lampung lamu lamusong lamwo lanao lanarkshire lanas lancashire lance lancement lancer lancez lancé
+lancée land landaeta landed landes landgren landing landmark landoma lands landscape landschaft landschaftsverband lane lanedo lang langage langam
+langanesbyggð langasek langbashe lange langem langen langes langformat langi langinfo langle langley langname langnian langnien lango langobardic
+langobardisch language languages langue langues lanima lanka lankan lankhorst lanna lanoh lanoix lanzamiento lanzar lançant laois laomian laopang laos
+laosiano laotien laotisch lapaguía laposte lappi laptop lapón laquelle lara larache laragia larantuka lardil larevat larga largas large largecomm
+largefile largely largepages larger larges largest largeur largeurs largo largos largs lari larike larnaka laro larrañaga larry lars larson larsson
+larteh laru larue larvotto lasalimu lasan lasgerdi lashi lasi lasse lassen lasso lassoscript last lastcmd lastday lasterror lastgid lastgroup lasti
+lastline lastlog lastly lastname lastpos lasttype lastuid lastupdate lastval laszlo late lateinamerikanisch lateinisch lateinische lateinisches
+latency latent later lateral latest latex latgalian lathiat latin latina latine latino latinoamericano latitude latitudes latium latter latu latundê
+latvia latvian latze latéral latín laua lauan lauder laufen laufende laufenden laufwerk laufzeit lauje laumann launch launchable launchctl launched
+launcher launchers launches launching launchpad launchpadlib laura laurent laurentian lauri lauricocha lauridsen laut lautein lautet lautstärke
+lautstärkeanpassung lautu lavalleja lavatbura laven lavender laventille laverdet lavukaleve lawa lawangan lawfully lawoi lawrence laws lawsuit lawu
+lawunuia lawyer lawyers layakha layer layered layers laying layout layouts lazare lazdijai lazily lazio lazr lazy lazycache lazyclassproperty laâyoune
+lbrace lcamtuf lcase lceil lcfirst lchmod lchown lcomm lcong lcov lcry lcrypto lcryptol lczerner ldah ldap ldapdb ldata ldconfig lddi lder ldexp
+ldexpq ldflags ldinfo ldir ldiv ldotadroff ldversion lead leader leaders leading leads leadz leaf leak leakage leaked leakfix leaking leaks lealao
+lean leap learn learned learning learns learnt lease leasing least leave leaves leaving lebanese lebanon lebap lebensdauer leblond lecce lecco
+lechkhumi lechtenboerger leco lecteur lection lector lectura lecturas lecture lectures lediglich ledkov ledo ledru leeds leeight leelau leen leer
+leere leeren leerer leeres leerraum leertaste leerzeichen leerzeile leerzeilen lees leeuwen leex lefa lefkosia left leftarrow leftharpoondown
+leftharpoonup leftmost leftover leftrightarrow leftwards lefty lega legacy legacyheaders legal legalese legally leganés legbo lege legen legend
+legendecas legendre legenyem legible legibly legitimate legitimately legitimation legitimiert legitimierung legt lehali lehalurup lehar lehenbauer
+lehman lehmann leicester leicestershire leicht leick leidekker leidert leif leigh leimaohui leinong leinster leipon leiria leiste leitrim leitung
+lejos leke lekensteyn leko lelak leland lele lelemi lelepa lembata lembena lember lemberg lemburg lembá lemerig lemesos lemio lemire lemke lemnian
+lemolang lemoro lempira lenakel lenart lenca lend lendava lendu lengilu lengo lengola length lengths lengthy lengua lenguaje lenguas leniency lenient
+leningitij leningradskaja lenje lenkau lennart lenny lenovo lens lenski lenyima leobras leon leona leonardo leone leonerd leonese leonhard leopard
+leova lepcha lepki lepontic lepreau lequel lere leribe lerik leroy lerp lesbar lesbare lese lesefehler lesen lesevorgänge lesezeichen lesgisch lesing
+leslie lesotho lesoto lesquels less lessapprox lesser leste lete letemboi leti letonia letra letras lets letter letters letting lettisch lettland
+letton lettonie lettre lettres letzeburgesch letzte letzten letzter letztes letón leung leur leurs leuven levantin levantine level levelname levelno
+levelranges levels levenshtein leverage leveraging levert levien levin levitsky levitt levitte levuka levy lewis lewisham lewo lewotobi lexed lexemes
+lexer lexername lexers lexical lexically lexicographic lexicographical lexicographically lexicon lexicons lexing lexists lexpat leyendo leyeron
+leyigha leyte lezghian lezghiano lezghien lezhë leída leídas leído leídos león lfence lffi lfib lfloor lfpor lgamma lgammaq lhamtés lhash lhaskell
+lhokpu lhomi lhomme lhuentse lhuntse liability liable liabuku liaison liaisons liana liangmai lianshan liant liaoning liar libanaise libanesa libasan
+libassuan libatomic libawt libbacktrace libbase libbfd libblkid libbzip libc libcap libcares libcor libcrypt libcurl libdane libdecnumber libdeps
+libdes libdir libdirs libdns libdrm libebt libedit libenzi libera liberal liberar liberec liberecký liberia liberian liberien liberisch libertad
+libertador liberty libev libexpat libext libfdisk libffi libfile libfoo libfreetype libgcc libgcov libgcrypt libgfortran libgit libglvnd libgm libgnat
+libgnutls libgo libgomp libharfbuzz libiberty libidn libido libintl libinza libip libipt libiptc libiso libitm libj libjavajpeg libjpeg libjpegturbo
+libksba liblcms liblist liblog liblsan libltdl liblzma libm libmin libmisc libmount libmpdec libname libnames libnet libnode libnspr libnss libobjc
+libon libpam libpath libphobos libpim libpkgconf libpng libprereq libpython libquadmath libra librairie libraries library libre libregrtest libres
+libro librt libs libsanitizer libsecret libsemanage libsmartcols libsplashscreen libssh libssl libssp libstdc libsystemd libtasn libtest libtests
+libthai libtirpc libtool libtsan libturbojpeg libuat libubsan libunistring liburnian libutl libuuid libuv libvterm libvtv libxml libxslt libxt
+libxtables libya libyaml libyan libyen libzip libéria licence licenced licences licencia licencias licensable license licensed licensee licensees
+licenses licensing licensor licensors lichtenheld lichtmaier lichvar licio lidio lidr lidris liebdich liechtenstein lieferant lieferanten liefern
+liefert lieferte liegen liegende liegt lien lienchiang liens lier lies liest lieu lieur liezhi life lifecycle lifespan lifetime lifetimes lifo lift
+lifted lifting ligature ligatures ligbi ligenza light lightbg lightblue lightcyan lighter lightgray lightgreen lightly lightness lighttpd lightweight
+lighty ligne lignes liguria ligurian ligurien lihir lija lijili lika like likelihood likely likeness likes likewise liki likiep likila liking likisá
+likoma likouala likuba likum likwala lilangeni lilau lili lillooet lillqvist lilongwe lilypond lima limassa limba limbo limbou limbourgeois limbu
+limbum limburg limburgan limburger limburgisch limburgish lime limerick limi limilngan limin limit limita limitar limitation limitations limite
+limited limiter limites limitieren limiting limits limité limitée limm limos limpia limpiadas limpiado limpiamente limpiando limpiar limpieza limpopo
+limón linaro linbit lincoln lincolnshire lind linden lindfors lindi lindstaedt line linea lineage lineal linear linearize linearly linebreak
+linebreaks linecache lined linefeed linen lineno linenos linenostart linenostep linenum linenumber liner liners lines linesep linestarts lineterm
+lineterminator lineto linewidth linewise linewrap linewrapping ling lingala lingao lingarak lingl lingua linguistic linguistique linien link linkable
+linkage linke linked linkedlist linken linker linkers linkgit linkgoron linkgruppe linkify linking linkname linkonce linkpath linkrelax links
+linksbündig linkshänder linkshändig linkto linktype linspace lint linter linters linting linum linus linux linuxb linuxconfig linuxfoundation linéaire
+lion lior lipan lipeckaja lipi lipkovo lipo liquid lira liran lire lisabata lisant lisboa lisburn lisela lish lishana lishanid lishán lisible lisibles
+liso lisp lissage list lista listado listados listage listan listar listas listdir liste listed listen listened listener listeners listening listens
+lister listes listet listfiles listinfo listing listings listitems listmaker listo listpackage listq lists listxattr listé listées listés lisu lita
+litauen litauisch lite literal literales literally literalmente literals literary literate lithography lithuania lithuanian litigation litija litiji
+litoral litout litpool litpools little littoral littéraire littéral littéraux lituania lituanie lituanien lituano lituse litzlitz liujiang liuqian
+liuxingbaoyu live liveness livermore liverpool lives livescript livia livorno livre livvi lizenz lizenzausdruck lizenzen lizhi liège liée liées liés
+liêu ljubljana ljubljani ljubno ljust ljutomer lkppo llama llamada llamadas llamado llamando llamar llamó llaqta llave llaves llegar lleida llena
+llenado llenar ller lleva llist lloyd llroundq llus llvmtest llzma lmpdec lname lnaof lncursesw lnext lngamma lnotab lnum load loadable loadavg loaded
+loader loaders loadfltr loading loads loarki lobala lobas lobata lobatse lobaye lobi lobu local localaddress localcontext locale localeconv localement
+localemodule localename localentry locales localhost localisation localisations localiser locality localización localizar localizarse localization
+localize localized localizing locally localmente localname localns localport locals localtime localtm locate located locates locating location
+locations locator locators locaux lock lockdown locke locked locker lockf lockfile lockfiles lockheed locking lockout locks lockscreen locktime
+loclist loclists locn locs locutusofborg locview locviews lodhi lodi loei loewis lofa logand logarithm logarithmic logatec logb logba logdump logfile
+logged logger loggers logging logic logical logically logiciel logicielle logicielles logiciels login logindefs logins loginuid logior logique
+logiques logische logischen logistic logit logitech logithèques logjam loglevel lognormal lognot logo logol logone logooli logorik logos logotipo
+logout logoutd logoutputencoding logpidfile logq logs logspace logtalk logudorais logudorese logudoresisch logueo logxor lohar lohari lohi lohorung
+loic loin loir loire loiret loja lojban loka lokaa lokal lokale lokalen lokaler lokales lokalize loke lokep loko lokoya loksa lola lolak lole lolo
+loloda lolopo loma lomaiviti lomami lomavren lombard lombardia lombi lombo lomwe loncong london lone long longcall longcmd longer longest longford
+longgu longhand longitud longitude longitudes longjump longleftarrow longleftrightarrow longlist longlong longmapsto longname longo longobject longopt
+longopts longrightarrow longs longstanding longtemps longto longuda longue longues longueur longueurs longword loniu lonwolwol lonzo looijaard look
+lookahead lookaheads lookalike lookbehind looked looking looks lookup lookups loomis loong loongson loop loopback loopdev looped looping loops loopt
+loose loosely loosen loosened lopa lopcode lopez lopi lopit lorang lord lore lorediakarkar lorem lorenz lorenzo loreto loring loroum lors lorsqu
+lorsque lortie lose loses losgelöst losgelöster losing loslösen loss losses lossless losslessly lost lote lotes lotha lothian loti lots lotud lotus
+louang louangphabang loud loudly louga louis louisiana louisiane loun louny loup loupe lourenço lousy louth love lovech lovelace lovell lovergine
+lovrenc lowe lower lowercase lowercased lowered lowest lowland lowlevel loxicha lozenge lozi lozovo lozère lpad lpanelw lpar lpfixoff lpos lppsbfixoff
+lpthread lpython lrand lreadline lrelfixoff lrint lrlive lrodriguez lround lroundq lrzip lsattr lsda lsearch lseek lshift lsign lsprof lsqlite lstat
+lstein lstrip lstripped lsub ltab ltclstub ltext ltinfow ltkstub ltmain ltoptions ltorg ltrim ltsign ltsugar ltversion lualaba luanda luang luapula
+luba lubelskie luberda lubila lublin lubombo lubu lubuagan lubuskie luca lucamaraschi lucas lucca lucchetta lucent luchazi lucia lucian lucid lucie
+lucien luck luckily luctus lucumi lucy lucía ludian ludo ludovic ludwig ludzas luego lues lufu lugar lugares lugbara lugger lugo luguru luhanska luhu
+luigi luimbi luis luisca luiseno luisgf luiz lujz lukas lukasz luke lukekarrys lukka lukovica lukpa lule lulua lumba lumbini lumbu lumholt luminance
+luminosidad luminosité lumpur lumun luna lunanakha lunar lunda lundayeh lundh lundi lundqvist lunes lung lungga lungu luopohe lupus luqa luquan luri
+luritja lurve lusaka luscon lusengo lushai lushootseed lusi lusitanian lutil lutimes luto lutomirski luton lutos luuid luuka luunja luvale luvaton
+luwati luwero luwian luwien luwisch luwo luxembourg luxembourgeois luxembourgish luxemburg luxemburgisch luxemburgo luyana luyia luyssen luzern luzon
+luís lvalue lvivska lwalu lwengo lwpsinfo lwpstatus lwès lxnay lyantonde lyasotskiy lycian lycien lydian lydien lydisch lying lykisch lyngngam lynx
+lyon lyonel lyons lyrics lysator lyssdod lyélé lzip lzma lzmadec láadan lápices lápiz länge länger längste lässt läuft lääne läänemaa lääneranna
+légende léger légère lékoumou lélouma léon léone léraba lérida lévantin límite límites línea líneas lípa lòria lógica lógico lópez löchrige lösche
+löschen löscht löschtaste löschung lösen löst lösung lüganuse maaka maalhosmadulu maardu maarja maarten maasina maay maba mabaale mabaan mabaka mabas
+mabi mabire mabrand mabsdiff maca macaddr macaguaje macaguán macanese macao macasar macau macaulay macedo macedonia macedonian macedonio macenta
+macerata mach machakos machame machen machi machiguenga machine machinemode machinere machinery machines machinga macht maci macieira maciej macintosh
+mack mackall mackenzie maclover maco macorís macos macosx macr macro macroexpand macrolanguage macrolangue macrology macros macs macsyma macuata
+macuna macushi macédo macédoine macédonien mada madagascar madagaskar madagassisch madak madang madara madaripur madaré madcoder madd madden maddock
+madduck made madegassisch madeira madhi madhuri madhya madi madler madonas madore madre madrid madriz madsen madurais madurese maduresisch maecenas
+maek maeng maestro maewo mafa mafea mafeteng mafraq magadanskaja magahi magallanes magallon magar magasin magbukun magdalena magenta mager maggi
+maggiore magia magic magical magically magicfuncs maginatics magique magische magma magna magnet magnetic magnificada magnificado magnification
+magnified magnifier magnitude magnus magnusson magoma magori maguindanao maguindanaon magura magway maha mahafaly mahaica mahajanga mahajani mahakali
+mahakam mahali mahasu mahdia mahe mahican mahongwe mahou mahrah maia maiadomu maiani maidenhead maidu maier maierman maii mail mailadresse mailbox
+mailboxes maildir mailer mailinfo mailing mailman mailmap mailname mailrc mails mailsplit mailto mailu main maindo maine mainfränkisch mainland
+mainline mainloop mainly mainmodule mainproc mainstream maint maintain maintainability maintained maintainer maintainers maintaining maintains
+maintenance maintenant maintenir maintenu maintenue maintien maintype maio mairasi mairie mais maischein maisin maithili maiwa maiwala majang majer
+majera majeur majewski majhi majhwar major majority majorité majukayang majuro majuscule majuscules makaa makah makalero makamaka makamba makarenko
+makasae makasar makassar makassarisch makayam make makeaddr makedev makedir makedirs makedonisch makedonska makedonski makedonía makedpkg makefile
+makefiles makemacpkg makemaker makemd makepath maker makerpm makes makesetup makesrpm maketarball maketext maketrans makevars makhuwa maki makian
+making makira makkah maklew mako makole makolkol makonde makoto makro makrosprache maks maksqwe maku makueni makuri makuráp makwe makyan makú mala
+malabar malacca malaccan malagasy malaiisch malais malaisie malaita malakkanisch malalamai malampa malang malange malango malanje malankuravan
+malapandaram malaryan malas malasar malatya malavedan malawi malay malayalam malayic malayique malaynon malayo malaysia malaysian malayâlam malba
+malbousquet malcolm malditoastur maldivas maldives maldivian maldonado male malecite malediven maleng maleu malfaxal malformada malformado malformed
+malformé malformée malfunction malgache malgana malgbe malgré mali malicious malign malila malimba malimpung malinaltepec malinen malinke mall mallach
+malley mallikarjuna mallikarjunasj malloc mallory malmberg malo maloelap malogrado malol maloney malouines malta maltais malte maltese maltesisch
+maltivec maltés malua maluku malvi malvinas malyangapa maléku malí mama mamaa mamaindé mamanwa mamara mamasa mambae mambai mamberamo mambila mamboru
+mambwe mambéré mamd mamelles mamone mamou mamoune mampruli mamuju mamulique mamusi mamvu manabí manado manafwa manage managed management manager
+managers manages managing managua manam manambu manangba manangkari manat manatuto manawatu mancha manche manchester manchmal manchu manchú mancill
+manda mandaean mandahuaca mandaic mandailing mandalay mandan mandandanyi mandar mandara mandaresisch mandari mandarin mandataire mandate mandated
+mandates mandatory mandatos mandaya mandchou mande mandeali mandeep mander mandera mandiana mandingo mandingue mandinka mandjak mandobo mandoul
+mandriva mandschurisch manduri mandy mandäisch mandó maneja manejado manejador manejadores manejar manejo manem manera maneras manfredi mang manga
+mangala mangam mangareva mangas mangayat mangbetu mangbutu mangerr mangga manggarai mangk mangle mangled mangling mango mangochi mangole mangrove
+mangseng mangue manguean manica manicaland manichaean manichéen manide maniema manifest manifests manihiki manikganj manikion maninka maninkakan
+manipa manipula manipulación manipulado manipular manipulate manipulated manipulates manipulating manipulation manipulators manipulieren manipulée
+manipur manipuri manisa manish manitoba manière manières manjaro mankanya manna mannan mannar manner manni mannois mannsåker mano manobo manoj
+manombai manouba manpage manpages manquant manquante manquantes manquants manque manquent mansaka mansi mansijskij mansoanka manta mantener mantenido
+mantenimiento manterola mantiene mantissa mantova mantsi manual manually manualmente manuals manuel manuell manuellement manuelles manufacture
+manufacturer manufacturers manufahi manugistics manumanaw manus manuscript manusela manx many manya manyara manyawa manyika manylinux manza manzini
+maohui maonan maor maore maori maorí mapa mape mapea mapeada mapeado mapeados mapear mapena mapeo mapfile mapfiles mapia mapidian maplist mapos mapoyo
+mappage mapped mapper mapping mappingproxy mappings mappés maps mapsto mapuche mapudungun mapun maputo maql maquiritari mara maracha marachi maradi
+maraeo maraghei maragus marahoué marakasov marakwet maram marama maranao maranhão maranunggu mararit maraschi marasystems marath marathe marathi marau
+marba marc marca marcada marcadas marcado marcador marcadores marcar marcará marcas marcel marcelo march marchal marche marchen marchenko marchesin
+marchi marchini marchán marchés marcin marco marcos marcus marczak mardin mare marek marekm maremgi marenje marfa marfíl marga margany margaritis
+marge margen marges marghi margibi margin marginal marginally marginals margins margos margu mari maria mariana marianas marianen mariannes maribor
+maricopa maridan maridjabin marie marij marik marimanindji marin marind marinduque marineau maring maringarr marino mario mariri maritime maritimes
+maritsauá marius mariyedi marj mark marka markaby markdown marked marken marker markers market marketing markets markierbar markieren markiert
+markierten markierung markierungen marking markings marko markobject markos markovci marks markup markupbase markupsafe markus markweeta marlborough
+marma marne maroc marocain marokkanisch marokkanisches marokko maroon marovo marowijne marqab marquage marque marquee marquer marques marquesan
+marquesanisch marquess marqueur marqueurs marquez marquisan marquisien marqué marquée marquées marrakech marrevone marriammu marroquí marrucinian
+marruecos mars marsa marsabit marsaskala marsaxlokk marschallesisch marsh marshal marshaled marshall marshallais marshaller marshallese marshalling
+marshallinseln marsian marsonya martha marti martin martindale martinez martinique martinsons martu martuyhunira martín martínez maru marudu marvell
+marvin marwari marwarî mary maryland maría marúbo masaaba masadiit masahiko masai masaka masalit masana masaru masashi masatake masaya masbate
+masbatenyo masbuar mascara mascarada maschinen maschinenbefehl maschinenlesbare maschinenwörter masculine masela maseru mashan mashco mashi
+mashonaland masi masia masikoro masimasi masindi masiwang mask maske masked maskelynes maskiert maskierung masking maskoy masks maslam masmaje mason
+masquage masque masquer masquerade masquerading masquée masquées masqués mass massa massachusetts massacre massage massai massalat massana massaï
+massep massey massive master masvingo maszkowski masár mata matabeleland matado matagalpa matal matale matam matanzas matar matara matbat match
+matchable matchctl matched matcher matchers matches matching matchrule matej matemáticos matengo mateo matepi matera material materialize materialized
+materials mateusz math mathematica mathematical mathematically mathematics mathematik mathematisch mathematische matheus mathew mathias mathiasbynens
+mathieu mathématiques matigsalug matin matipuhy matières matlab matlabsession matlatzinca matmul mato mator matrix matriz matroska matsumoto matsés
+matt matteo matter matters mattes matthew matthewloring matthews matthias matthieu matthijs matthäus mattia mattias mattijsen mattis mattloring
+mattole mattst matu matukar matumbi matumoto mature matveev matveychikov matya matériel matérielle matériels matís maud maule maung mauren mauretanien
+maurice mauricienne mauricio mauritania mauritanie mauritian mauritius maus maustaste mauszeiger mauszeigers mauto mauvais mauvaise mauvaises mauwake
+maven maverage maverick mavrogiannopoulos mavrovo mavroyanopoulos mavxscalar mawa mawak mawan mawayana mawchi mawes mawk mawé maxakalí maxarray maxbuf
+maxdays maxdict maxheaderlen maxi maxim maxima maximal maximale maximaler maximales maximieren maximisation maximise maximiser maximiza maximizan
+maximizar maximization maximize maximum maxint maxlen maxlength maxlevels maxlife maxlinelen maxlinelength maxlineno maxlist maxloc maxlong maxmem
+maxoffset maxon maxother maxrenewlife maxsize maxsplit maxstring maxtuple maxunicode maxval maxvalue maya mayabeque mayaguana mayaguduna mayan
+mayangna mayaro mayas mayawali maybach maybe mayek mayeka mayen mayenne mayi maynard mayo mayogo mayor mayores mayoría mayotte mayoyao mayuge mayús
+mayúscula mayúsculas mazagway mazahua mazaltepec mazanderani mazaruni mazatec mazatlán mazatèque mazedonisch mazieres mazowieckie mazsalacas mazurs
+mazurskie maßstab maël maître maîtresse mbaaru mbacke mbakke mbala mbalanhu mbale mbandja mbangala mbangi mbangwe mbar mbara mbarara mbariman mbarrel
+mbaseline mbati mbato mbay mbcharsetprober mbedding mbedtls mbelime mbembe mbere mbesa mbeya mbig mbind mbit mbitops mbitps mbodomo mboi mboko mbole
+mbomou mbon mbonga mbongno mbooke mbosi mbowe mbox mbranch mbre mbroz mbrtowc mbrès mbsalign mbsi mbsinit mbsrtowcs mbstowcs mbudum mbuf mbugu mbugwe
+mbuk mbuko mbukushu mbula mbule mbulungish mbum mbunda mbundu mbunga mburku mbwela mbyá mcatanzaro mcdonald mcell mcfunction mchinji mclip mcollina
+mcom mconfig mconstant mcookie mcop mcore mcpu mcvittie mdast mdate mday mddriver mdebug mdina mdiv mdorman mdouble mdtsoft mdword mealha mean meaning
+meaningful meaningfully meaningless meanings means meant meantime meanwhile measure measured measurement measurements measures measuring meath mebi
+mebibyte mebibytes mecayapan mech mechanic mechanical mechanically mechanism mechanisms mechanismus mechglue mechi meck mecklenburg medebur medeiros
+media median mediante mediate mediatype mediawiki medida medidor medienwechsel medieval medio medios medir medium mediums mednyj medozas medumba
+medvode medway meeks meep meerkat meet meetei meeting meetings meets meetto mefele mega megabajt megabyte megabytes megam megapolis megleno mehek
+meherpur meherrin mehináku mehmood mehr mehrdeutig mehrdeutige mehrdeutiges mehrere mehreren mehrfach mehrfache mehri mehrsprachig meilleure meinen
+meinten meissner meisten meitei meithei meixg mejia mejit mejor mejora mejorado mejorar mekeo mekmek meknès mekwei melaka melanau melchior meld melden
+meldet meldete meldung meldungen mele melekeok melilla mellal mellon melloul melo melpa memb membar member members membership memberships membre
+membres memcmp memcpy meminfo memleak memlimit memmem memmove memo memoization memoize memoized memoizes memoizing memoni memorex memoria memory
+memoryview memos mempcpy memrchr memset memsrcdst memsz memxor mena menchum menciona mend mendalam mendankwe mende mendez mendoza mendé meneng meng
+mengaka menge mengen mengisa menhanced menka menlo menominee menon menor menores menos mensaje mensajes menschenlesbare menschenlesbarem
+menschenlesbarer menschliche mentawai mention mentioned mentioning mentionné mentionnée mentionnés mentions menu menubar menubars menuconfig menudata
+menuex menuitem menus menya menú menús menü menüeintrag menüeinträge menüleiste menüleisten menüs menütaste meohang meoswar merah meramera merap
+mercados merchantability merchantable merci mercurial mercy mere merei merej merejkowsky merely merey merge mergeable merged mergen mergeoptions
+merges mergesort mergetag mergetool mergetools merging mergy meridian meridional merijn merino merken merkmal merkwürdigen merlav merlin meroitic
+meroitisch merrors mersch mersenne mersin mert mertdirik merthyr merton meru merwari mesa mesaka mescalero mese meses mesg mesh meshgrid meskes
+meskwaki mesme mesmes meson mesonbuild mesopotamian mesopotamisch mesqan mess message messagebox messageerror messageport messages messaging messapic
+messes messina messy mesteery mestery mesto mesure meta metacharacter metacharacters metacity metaclass metaclasses metaconfig metacpan metadata
+metadaten metadatendatei metadatos metafile metainfo metainformación metal metalink metamail metapackage metaphone metaurl metaurls metavar metavars
+metcalf meter meters meth method methodcaller methode methodname methods metical metlatónoc metlika meto metohija metric metrics metro metropolitan
+metropolitana mettez mettre metz metzler metzmacher meurer meurthe meuse mevexlig mevexrcig mevexwig mewari mewati mexican mexico mexikanische mexiko
+mexique mexport mextension meyah meyer meyering mezcla mezcladas mezclar mezontla mezquital mfar mfdpic mfence mfhi mfinu mfix mflo mforney mfpu
+mfumte mgbolizhia mgeni mget mgilbert mgol mgorny mhard mhdawson mhint mhyper miahuatlán miami mian miani miao miaoli micah mice michael michal
+michalkiewicz michaël michel michiel michif michigamea michigan michoacán mick mickaël mickey micmac micoud micro microarchitecture microarchitectures
+microcontroller micrologiciel micromips micronesia micronésie microphone microprotocols micros microsecond microseconds microsoft microsystems
+microtask microtests micrófono middle middlesbrough middleware middot midelt midi midiki midlands midle midlothian midnight midob midpoint midtjylland
+midway midwayinseln midx midyear miell miembro miembros mien mientras miestas miettes miettinen mieux migaama migabac might mignore migori migrado
+migrate migrated migrating migration migrierte migré miguel migum mihai miju mika mikael mikasuki mike mikeal mikhail miklaholtshreppur mikrofon
+mikronesien mila milad miladfarca miladhunmadulu milan milano mild mildly miles mili milieu milisegundos military millan miller milli million millis
+millisecond millisecondes milliseconds millisekunden milne milo miloslav milp milton miltu miluk milyan mimalloc mimaropa mime mimedb mimetype
+mimetypes mimic mimicking mimics mina minaean minang minangkabau minanibai minas minaveha mind minda mindanao mindays minded minderico mindestens
+mindestwert mindex mindiri mindoro mine mineur mineures ming mingang minghua mingrelian mingw mingye minh mini miniafia miniaplicación miniatur
+miniaturas minica miniconda minicript minid minidien minidom minidsrc minified minihilfe minihilfen minim minima minimal minimale minimales minimally
+minimatch minimieren minimisation minimise minimiza minimize minimized minimizing minimum minimumwidth miniscript ministry minix minjungbal minkin
+minlength minmax minnesota minoan minokok minolta minor minority minors minozhenko minoéen minqi minriq minsize minsk minskaja minsn mint mintel
+mintil minuend minus minuscule minuscules minute minuten minutes minuto minutos minval minvalue minwoo minya minz minúscula minúsculas mips mipsel
+miqie miquel miquelon miquels mira mirabal miranda mirandais mirandese mirandesisch mirandés mirantis miraya miren mirgan miri miriti miriwoong mirix
+mirkin mirna miroir miroslav mirror mirrored mirroring mirrors misaligned misamis misbehave misbehaved misbehaving misc miscellaneous miscomputed
+misconfiguration misconfigured miscount miscounted misdetected mise mises misfeatures mishandle mishandled miship mishmi misidentified misima mising
+misinterpreted misiones miskolc misleading misleadingly mislinja misma mismatch mismatched mismatches mismatching mismerge mismerges mismo mismos
+misnamed misparsed misplaced misrepresented miss missed misses missing missingissuer mississippi missle missouri misspelled misspellings misspelt
+mistachkin mistake mistaken mistakenly mistakes mistaking misterdjules mistook mistry mistype misunderstood misuse misused mitad mitch mitchell
+mitglied mitglieder mithun mitigate mitigated mitigation mitla mitlatongo mitooma mitra mitre mitte mittel mittelenglisch mittelfranzösisch
+mittelhochdeutsch mittelirisch mittelniederländisch mittelpersisch mittels mittleren mittleres mittu mituku mityana miwa miwok mixe mixed mixes mixin
+mixing mixins mixtec mixtek mixtepec mixtes mixture mixtèque mixup miya miyagi miyako miyazaki miyobe mizoram mkargv mkcodecache mkdir mkdtemp mkey
+mkeys mkeytype mkfifo mkheader mkhedruli mkhomedir mklost mknod mkpath mkrtchyan mksnapshot mkstemp mkswap mktemp mktime mktree mkutf mlaa mlabri
+mladá mlahsö mlang mlap mleadz mlen mlfence mlibrary mlichvar mlink mliterals mlittle mljump mlock mlomp mlong mloongson mlowpower mlschroe mluscon
+mlynarik mmaala mmac mmagallo mmap mmaped mmarchini mmcu mmedia mmemparm mmen mmicromips mmin mminimal mminmax mmintrin mmix mmixal mmnemonic mmregs
+mmsa mmul mmuladd mmult mmuock mnaked mname mnan mnemonic mnemonics mnemónico mnemónicos mnong mnopic mnorm mnémonique mnémoniques moabite moazin moba
+mobi mobile mobilian mobipocket mobumrin mobwa moccasin mochi mochica mocho mock mocked mocking mocklibc mocks mocoví modal modalias modaliases modang
+modax mode model modeled modelica modeline modelines modeling modell modelled modells modelo models modem modena moderate moderated moderately
+moderation modern moderne moderner modernization modernize modernized moderno modes modestas modf modi modif modifiable modifica modificaciones
+modificación modificada modificadas modificado modificador modificadores modificados modifican modificar modificateur modificateurs modification
+modifications modificatrice modificó modifie modified modifient modifier modifiers modifies modifikation modifikator modifique modifié modifiée
+modifiées modifiés modify modifying modname modo modoc modole modos modp modpath mods modsoftsys modtab modul modula modular module
+modulecreaterequirefilen modulefinder modulename modules modulo modulus modus moduszeichen modusänderung modèle modèles modérée moeller moerbeek moere
+mofu mogholi mogila mogofin mogum mohale mohamed mohammadia mohammed mohan mohanathas mohave mohawk mohegan mohéli moikodi moin moingi moins moira
+mois moitié mojam mojave moji mojkovac mojo moka mokcha moken mokerang mokhotlong mokilese moklen mokole mokpwe mokronog moksela moksha molale molaro
+molbog mold moldau moldave moldavia moldavian moldavo moldawisch moldova moldovan molengue molima molise moller mollit molmo molnar molo molof moloko
+moluccan moluques moma momare momayyez mombasa mombo mombum moment momentan momentane momentanen momento momina momit momtchev momtchil momuna monaco
+monad monagas monaghan monaragala monarch monastic monastir monat monate monaten monats monday monde mondol mondropolon mondé moneghetti monet
+monetary money mong mongala monggar mongo mongol mongolia mongolian mongolie mongolisch mongolische mongondow moni moniga moniteur monitor monitored
+monitoring monitorización monitorizar monitors monk monkey monkeypatch monkeypatched monkeypatches monkeypatching monmouthshire monnaie mono monokai
+monom monomorphic monospace monospaced monotonic monotonically monpa monreal monsalve monsang monseñor mont montado montag montage montages montagne
+montagnes montaje montana montanaro montar montazery monte montecelo montegiardino monteiro montel montenegrin montenegrinisch montenegrino montenegro
+monter monteverde montevideo montezelo month monthly monthname monthrange months montol montre montrer montrée montserrado montserrat monté
+monténégrin monténégro montés monumbo monza monzombo moocode moolenaar moon moonscript moore moorehead moose moperand mopti mopán moquegua mora moraes
+moraid moral moravie moravske moravskoslezský morawa moray morazán morbihan morceau morceaux mordovija more morelos moreno moreover morerebi moresada
+moresby morgan morgannwg morgner mori moria morigi moris morisyen moritz mormon moro morobe moroccan morocco morofo morogoro morokodo morom morona
+moronene morori moroto morouas morovic morozov morris morrison morsel mort mortales morte mortem morten mortes mortlockese moru morvan moré mosambik
+mosberger moscow mosel moselle mosfellsbær moshe moshier mosimo moskona moskovskaja moskva moslavina moson moss mossi most mosta mostaganem mosteiros
+mostly mostrada mostradas mostrado mostrados mostrando mostrar mostrarse mostrará mostrarán mota motembo moteur motif motifs motion motivation
+motivations motivo motlav motley motor motorola mots motu mouette mouhamadou mouhamadoumamoune mouhoun mouk moulay moulins moulvibazar mounda mounir
+mount mountable mountain mounted mounting mountpoint mounts mourne mouse mouseclick mouvement mouwase mova movb move moved movement movements mover
+moves moveto movi movido movie moviendo movies movima movimiento moving moviéndolo movprfx movsp movw movx movy moxico moyadan moyen moyenne moyo
+moyon mozambican mozambique mozarabic mozhashpreproc mozhet mozilla mozirje mozpercentpreproc mozpreproc mpack mpade mpalitjanh mpca mpic mpid mpiemo
+mpigi mpitt mpoko mpoto mpotovoro mpower mpriv mprotect mpumalanga mpumpong mpuono mpur mput mqabba mrand mraz mregnames mregparm mrelax mrelocatable
+mrelocatble mremap mrestrict mrev mráz msatur mscdex mscgen msdos msec msecs mser msgget msgid msgpack mshared mshort msida msimd msingle msmall
+msmartmips msoft msolaris mspabi mspe msrset msse msvccompiler mswap mswape msym msyntax msys msysgit mtarfa mtelephony mtianeti mtime mtimes mtitan
+mtomcat mtrace mtskheta mtune mtwara mualang muara mubami mubarak mubende mubi much mucha muchinga mucho muchos muck muda mudhili mudu mudug muduga
+mueller muenster muenzenmeyer muertas muerto muestra muestran muestras muestre mueve mufian muftakhidinov mugom muhu muinane muir muji mukarramah
+mukdahan mukha mukono mukrop mukulu mulaha mulaku mulam mulanje mulao muldefs mulgi mullaittivu mullender mulley mullu mult multani multi multiarch
+multiauthor multibyte multibytecodec multicast multidiffusion multidimensional multiheaders multihomed multiline multilingual multilingue multilingüe
+multimail multimedia multimediadatei multimédia multioptionals multipart multipath multiple multiples multiplex multiplexado multiplexed multiplexer
+multiplexing multiplexé multiplicateur multiplication multiplicative multiplied multiplier multipliers multiplies multiplikative multiplikator
+multiply multiplying multipress multiprocess multiprocessing multirequired multis multiset multisets multithread multithreaded multiverse multiversion
+multivolume multivolumen muluridyi mumuye muna munawwarah munda mundabli mundang mundani mundari mundat mundo mundurukú mungaka munge munged munggui
+munging mungkan mungkip munich muniche municipalité munit munji munlock munmap munsee munshiganj munster munwind munxar muong mupad muramvya murang
+muratayak murcia murdock murgoitio muria murik murió murkim murle murmanskaja murphy murrinh mursi murska murthy murui murupi murut muruwari murzuq
+musak musandam musar musasa muse musepack muser musey musgu mushere mushungulu musi music musical musicale musicians musique muskogee muskum musl
+muslim muslimisches musllinux musom muss mussau musse must muster mustern musters mustieles mustn mustnotcall mustvee musulman muta mutability mutable
+mutate mutated mutating mutation mutations mute muted mutex mutexattr mutexes muthambi muthanná muthukrishnan muthuvan mutilate mutilation
+mutilisation mutt mutta mutter mutu mutual mutually mutuamente mutuellement muyang muyinga muyu muyuw muzi muévelos mvanip mvexwig mvirt mvle mvuba
+mvxworks mwaghavul mwali mwan mwani mwanza mwarn mwaro mwatebu mwenga mwera mwimbi mxgate mxpa myanmar mycenaean mycénéen mydata mydir myene myers
+myfile myftiu myghty mygthy mykenisch mykolaivska mylen myles mylesborins mymensingh mymodule myon mypkg mypy myreadline myself mysian mysql myval
+mzieme mzimba mághdì mágico mágicos máku málaga máquina máquinas márgenes máscara máxima máximo märdian märjamaa mäuse mécanismes médenine média
+médias médiouna médéa mélange mélanger mélangé mélangées mémo mémoire mémorise mémorisés ménage ménaka ménik mérida méridional méridionale mésopotamie
+mésopotamien méta métadonnée métadonnées métainfo méthode método métropolitaine méxico même mêmes mínima mínimo mískito místek mócheno módulo módulos
+mónaco möchten möglich mögliche möglichen möglicherweise möglichkeit möglichkeiten möller møre múltiple múltiples múltiplo música mühemmet müll müller
+mündü müssen mýrdalshreppur naaba naama naami naasioi naba nabak nabataean nabeul nabi nabijaczleweli nabilatuk nabin nabla nablus nach nachbarn
+nachbearbeitung nachbessern nachbesserung nachdem nachering nachfragen nachricht nachrichten nachrichtendialogfenster nachrichtenrumpf nachrichtentyp
+nachschlagen nacional nacktszenen nada nader nador nadroga nadruvian nadur nadëb nafaanra nafarroa nafarroako nafi nafri naftalan nafusi naga nagano
+nagar nagarchal nagari nagasaki nage nagel nagle nago nagpuri nagri nagumi nagy nagykanizsa nagykun nahali nahari nahe nahouri nahuatl naira nairobi
+naitasiri naive najaf najdi naka nakai nakame nakamura nakanai nakapiripirit nakaseke nakasongola nake nakfa nakhare nakhi nakhon naki naklo nakuru
+nakwi nalca nali nalik nalin nall nalu naluo nalögo nama namakura namangan namat namayingo nambas nambikuára nambo nambya namdo namdrik name named
+namedtuple namedtuples namelen nameless namelink namelist namely namen namens namensauflösung namensraum namentenga namer nameref names namespace
+namespaced namespaces namesz namever namia namiae namibe namibia namibian namibie naming namisindwa namla namo namonuito namosi nampho nampula namtha
+namu namur namutumba namuyi nana nanai nanarigé nancere nand nande nandi nanerigé nanga nankina nanmax nanmin nanny nano nanosecondes nanoseconds
+nanosegundos nanosekunden nanosleep nans nansum nanti nanticoke nantou nanubae nanumaga nanumea nany naogaon naor napak napi napo napoli napolitain
+naptr napu nara narail narak narang narango narathiwat narayanganj narayani nardelli nardis nargs nari narim narirou nariño naro narod narok narom
+narragansett narrow narrowed narrower narrowing narsingdi narua narungga narva narwhal naryn nasal nasarawa nasarian naskapi nasm nastaliq nastiness
+nasty nasu nata natal natanael natanzi natchez nateni nathan nathaniel nathembo natif nation national nationalities nationals nations natioro native
+natively natives nativo natore natty natur natural naturally nature naturel natügu natürliche nauete naukan naumov nauna nauo nauru nauta nautilus
+navaho navajo naval navarro navassa navees navegación navegar navigate navigating navigation navigator naviguer navin navoiy navosa navut navy
+nawabganj nawaru nawathinehena nawdm nawk nawuri nawé naxi naxxar nayala nayan nayar nayarit nayenko nayi nayini nayok nazar nazard nazarje nbar nbaz
+nbits nbre nbytes ncalls ncane ncars nchannels nchars nchumbulu ncoghlan ncols ncurses ncursesw ndai ndaka ndali ndam ndamba ndambomo ndasa ndau
+ndebele ndef ndemli ndendeule ndengereko ndiff ndigits ndim ndims nding ndobo ndoe ndogo ndolo ndom ndombe ndonde ndonga ndoni ndoola ndra nduga ndumu
+ndunda ndunga ndut ndyuka ndzwani ndébélé ndélé neapolitan neapolitanisch neapolitano near nearby nearest nearly neat neath nebbi neben nebinger
+nebraska necas necaxa necesaria necesario necesarios necesita necesitan necesitas necesite necesiten necessarily necessary nedd nedebang nedmalloc
+need needed needing needle needless needlessly needs neerlandés nefamese nefarious neftçala negación negate negated negates negation negativ negativa
+negativas negative negatively negativer negatives negativity negativo negativos negerhollands negeri negidal neginf negligence negociación negociar
+negotiable negotiate negotiated negotiates negotiating negotiation negotino negra negro negros nehan nehme nehmen neighborhood neighboring neighbors
+neighbour neighbours neil nein neira neither nekgini neko neku nelson nema neme nemer nemerle nemi nemotécnico nemours nend neneckij nenets nengone
+neno neolocation neon nepal nepalese nepalesisch nepalesische nepali neretas neretva neretvanska nerim neringa nesc nescsrc ness nest nested
+nestedtext nesting neta netbsd netcdf netcreateserveroptions nete netf netfilter netflix netherlands netinet netlink netlist netloc netmask netname
+netnamer netof netrakona netrc netrom netscape netscapes netserver netsocket netsplit netstat nett nettigkeit nettle nettoyage nettoyer nettoyée
+nettoyées nettype network networking networks netzwerk netzwerkadresse netzwerkteam neuaramäisch neuchâtel neue neuem neuen neuer neuere neueres neues
+neueste neuesten neuf neugriechisch neuguinea neuinstallation neukaledonien neukodierung neumann neumelanesisch neundorf neupacken neuquén
+neurodiverse neuseeland neustart neuter neutral neuverhandlung nevada never nevertheless neves nevis newa newapi newar newargs newari newbase newborn
+newbranch newcastle newcomers newdata newer newest newfile newfoundland newframe newgrp newham newl newlib newline newlines newlisp newloc newly
+newman newmod newmon newname newobj newpath newport newpos newry news newself newsgroups newspeak newstream newton newtownabbey newurl newvalue newwin
+nexists next nextafter nextchar nextfile nextline nextloc nexttick neyo nfile nfinished nflog nfoo nframe nframes nframeswritten nfsynproxy
+ngaanyatjarra ngad ngadjunmaya ngadjuri ngaing ngaju ngala ngalum ngam ngamambo ngambay ngamini ngamo ngan nganakarti nganasan ngandi ngando ngandyera
+ngangam ngantangarra nganyaywana ngaraard ngarchelong ngardi ngardmau ngarinyin ngarla ngarluma ngas ngasa ngatik ngatpang ngawn ngawun ngayawung
+ngazidja ngbaka ngbandi ngbee ngbinda ngbundu ngchesar ngelima ngemba ngen ngeremlengui ngete ngettext nggem nggwahyi nghi ngie ngiemboon ngile ngindo
+nginx ngith ngiti ngiwal ngiyambaa ngizim ngkâlmpw ngom ngomba ngombale ngombe ngonde ngongo ngora ngoshie ngounié ngozi ngul ngultrum ngulu nguluwan
+ngumbi ngunawal ngundi ngundu ngungwel ngurimi ngurmbur nguyen nguyên nguôn ngwaba ngwe ngwo ngãi ngäbere ngöbe nhaehnle nhanda nhangu nhengatu
+nhirrpi nhuwala niamey niari nias niassa nibble nibok nibong nicaragua nicaraguan nice nicely niceness nicer nichola nicholas nichols nicholson nicht
+nichtleere nichts nick nickerie nickname nickzman nico nicobar nicobarais nicobarese nicola nicolai nicolas nicolau nicoletti nicolás nicta nidwalden
+nieder niederes niederlande niederländisch niederländische niedersachsen niedersorbisch niederösterreich niedrig niellim niels nielsen niemals
+niemeyer nieminen nienhuis nieuwenhuizen nießen nigel niger nigeria nigerian nigerianisch nigerisch nigerkordofanische night nightly nightmare
+nightshot nigula nigéria nigérien nigéro nihali niigata nikhil nikiforov nikita niklas niko nikobarisch nikola nikolai nikolaos nikolay nikole nikon
+nikos niksek niksic nila nilamba nilandhe nile nilo nilosaharanische nilphamari nils nilsson nimadi nimanbur nimba nimbari nimboran nimi nimmt nimo
+nimoa nimrod nimruz ninam nindem nindi nine ninety ning ningera ninggerum ningi ningil ninguna ninguno ningxia ningún ninh ninia ninja nintendo ninth
+ninzo nippon nipsan niragu nirs nisa nisdatei nisenan nisga nished nishimura nisi nison nisou nisporeni nisse nisses nist nistp nistpubs nistrului
+nistspecialpublication nisu nitfol nithi nitpick nitriansky nits nitzan niuafo niuas niuatoputapu niue niuean niutao niuéen nivaclé niveau niveaux
+nivel niveles niwer nixon nixos nixumwak nizhegorodskaya nizipli nième nièvre njalgulgule njebi njen njerep njombe njua njyem nkami nkangala nkari
+nkem nkhata nkhotakota nkhumbi nkongho nkonya nkoroo nkoya nkukoli nkum nkutu nkwen nlargest nlines nlink nlinno nlist nlmsections nlnno nlocals
+nmagic nmav nmtuple nnam nnect nnorwitz nntplib noah noakhali noarch noat noatime nobackground nobiin nobody nobold nobonob nobreak nobuhiro nocache
+nocamán nocera noch nocheck nochixtlán nochmal noción noclobber nocombreloc nocommon nocompress nocontrol nocopyreloc nocover nocpp nocreat nocrew
+nocte nocten noctty node nodefaultlib nodejs nodejsrepl nodelay nodelete nodename noderivs nodes nodesource nodlopen nodo nodos nodot nodump nodynamic
+noel noerror noeud noexcept noexec noexecstack noextern noffke noflsh nofollow noframe nofree nogai nogaï noglob nohiyahoi nohup noinherit noinline
+noir noire noiri noise noisy noitalic nokey nokia nokuku nolinks noll noloader nolog nologo nomaande nomacro nomadium nomane nomatches nomatsiguenga
+nombfd nombra nombrada nombrado nombrados nombre nombrebfd nombres nombreux nomfichier nominal nominated nomination nominations nomlaki nomme nommer
+nommé nommée nommées nommés noms nomsal nomu nonblank nonblock nonblocking nonce noncefile noncharacter noncommercial noncommercially nondirectory
+none noneditable nonempty nonexclusive nonexistent nong nongnu nongraphic nonlocal nonlocals nonmultipart nonnegative nonnull nonnumeric
+nonoverlapping nonpic nonportable nonpositive nonprinting nonsense nonsensical nonstandard nonterminal nonthaburi nontrivial nonunix nonuya nonvirtual
+nonweiler nonzero nooddspreg nooksack noon noone noop noord noordhuis nopala nope nopipe noprefix noprescan noprofile nops nopx nopy noqa norandkey
+norbert norbu nord nordalaska nordamerika nordarabisch nordbolivien nordeste nordfriesisch nordhaug nordirland nordjylland nordland nordlima
+nordmazedonien nordmesopotamisch nordmolukkisch nordost nordrhein nordstrom nordwest nordwestalaska nordwestliches nordöstliches noreloc norelro
+noreorder noreplace noreply noreturn norfolk noric norm normal normale normalement normalen normaler normalerweise normales normalform normalisation
+normalise normalised normalisieren normalizar normalization normalizations normalize normalized normalizer normalizes normalizing normally normalmente
+norman normandie normative normaux normcase normdir norme normpath norn noroeste noronha norra norrbottens norris norrois norse norte north
+northamptonshire northeast northeastern northern northgate northland northumberland northwest northwestern noruega noruego norvell norvège norvégien
+norvégienne norway norwegen norwegian norwegisch norwegische norðurland norðurþing nosched noseparate noshan nosigint nosotros nostrud nota notable
+notably notaciones notación notarization notas notation notationen notations notchars notdone note notebook noted noter notes notext notez nothing
+nothingmuch notice noticeable noticed notices noticias noticing notificaciones notificación notificar notification notifications notified notifier
+notifies notify notifying notin noting notion notions notiz notizen notmuch notrack notre notrunc notsi nottingham nottinghamshire nottoway notu
+notwendig notwendige notwithstanding nouaceur nouakchott nouel noumbiel noun nounderline nounique nouns nounset nous nouveau nouveaux nouvel nouvelle
+nouvellement nouvelles nouâdhibou nova novaci novads novara novell november novgorodskaja novi novial novo novosibirskaja novotny nový nowadays nowait
+nowak nowarn nowarranty nowcomputing nowhere nowrap noxfer noyau noël npath nplurals npocs npquiet nrand nread nreloc nrelocs nroff nrsign nsanje nsec
+nsei nsele nsenga nsenter nshi nsis nsivov nslist nsongo nspace nsswitch nstall ntcham ntcheu ntchisi ntem nthroot ntoa ntohl ntohs ntomba ntop
+ntoroko ntpath ntransfercmd ntroller ntungamo ntyni nuaulu nubaca nubi nubian nubien nubiennes nubische nubri nudity nuer nuernberg nuestra nueva
+nuevamente nuevas nuevo nuevos nugaal nugroho nugunu nukak nukna nukufetau nukuini nukulaelae nukumanu nukuoro nukuria nula null nulla nullable
+nullbyte nullcontext nulle nullen nullification nullish nullprogrammer nullptr nulls nullterminate nulo nulos nuls nulth numa numanggang numarray
+numbami number numbered numbering numbers numbytes nume numeración numerado numerados numeral numerales numerals numerator numerators numeric
+numerical numerically numerisch numerische numerischen numerischer numerisches numero numerous numf numidian numification numify numlinea numlist
+nummer nummerieren nummerierte nummerierung nummern nummernblocks numpy nums numstat numterms numword numèè numérica numérico numéricos numérique
+numériques numéro numéros numérotation numéroter numérotées nunavut nunca nung nungali nunggubuyu nungu nuni nuniali nuoro nuosu nupbikha nupe nusa
+nushu nuskhuri nusmv nussel nusu nutzbar nutze nutzen nutzer nutzersignal nutzlose nutzt nutzung nuwara nvlpubs nwoya nxcompat nyabwa nyaheun nyahkur
+nyakyusa nyala nyali nyam nyamal nyambo nyamira nyamusa nyamwanga nyamwezi nyandarua nyaneka nyang nyanga nyangatom nyangbo nyangga nyangumarta nyanja
+nyankole nyankpa nyarafolo nyasa nyaturu nyaw nyawaygi nyemba nyengo nyenkha nyeri nyeu nyiha nyika nyindrou nyindu nyishi nyiyaparli nylander nymburk
+nynorsk nyokon nyole nyong nyore nyoro nyulnyul nyungwe nyâlayu nyíregyháza nzakambay nzakara nzanyi nzas nzema nzikou nzima nzoia nzás nzérékoré
+náchod nächste nächsten nähe näher nécessaire nécessaires nécessitant nécessite nécessitent nécessiter nécessité néerlandais néerlandaise négatif
+négation négative négatives négociation négocier négocié népal népalais népalaise nêlêmwa níger nísia nógrád nótio nông nördliche nördliches nötig
+núcleo núcleos número números nüpode nüshu nützlich oaks oars oasis oauth oauthlib oaxaca obanliku oben ober obere oberen oberes oberfläche
+oberflächendokument obergrusberger oberhalb oberon obersorbisch oberste obersten oberster oberösterreich obey obeying obigen obispeño objc objclass
+objcopy objdir objdumb objdump object objection objections objective objectivec objectivej objectname objectpascal objects objecttype objekt
+objektdatenbank objekte objekten objektes objektgruppe objektgröße objektname objektnamen objektpfad objekts objekttyp objektverzeichnis objet
+objetivo objetivos objeto objetos objets objj objs objtype oblast obligataires obligated obligation obligations obligatoire obligatoires obligatorio
+obligatorios oblique obliques oblo oblysy obokuitai obolo obongi obscure obscured observable observation observe observed observer observers
+obsolescent obsoleta obsoletas obsolete obsoleted obsoletes obsoleting obsoleto obsoletos obsolète obsolètes obstack obstacles obstruct obszönität
+obtain obtained obtaining obtains obtener obtenida obtenido obtenidos obteniendo obtenir obtention obtenu obtenue obtiene obtienen obtiennent obtient
+obtuvieron obtuvo obulom obvious obviously obwalden obwohl ocaina ocaml ocampagne ocampo occaecat occasion occasional occasionally occasions
+occidental occidentale occidentales occitan occitanie occitano occupation occupe occuper occupied occupies occupy occupé occur occuring occurred
+occurrence occurrences occurring occurs ocean ocelot ochima ocoa ocotepec ocotepeque ocotlán ocrnl ocsp ocsptool octal octale octales octaux octave
+octet octets octnumber october octopus ocultar ocultas oculto ocultos ocupado ocupar ocurrencias ocurrió odbc oddball oddly oddp odds oder odeska
+odham odia odiai odile odin odisha odoodee odot odranci odual odut oekusi oenale oeste ofayé ofdel offaly offboarding offen offending offene offenen
+offer offered offering offers office officia official officially officiel officielle offiziell offizielles offline offog offrir offs offset offsets
+oficial ofill oflag ofrece ofrecer ofrobots often ogbah ogbia ogbogolo ogbronuagum ogea ogham ogonek ogooué ogres ogun oguz ogwr ohangwena ohio ohlone
+ohme ohne ohrid ohtsu oidmap oids oidset oint oirat oirata oise oita ojibwa ojitlán okamoto okanagan okay okayama okdir okhayat okiek okinawa okinawan
+okinawanais okir oklahoma okobo okodia okollo okolod okpamheri okpe okpela okrug oksapmin oktal oktale oktalzahl okzitanisch olaf olaines olancho
+olcuc older oldest oldham oldhun oldincludedir oldmod oldname oldsberg oldurl oldvalue oleg olekha oleksandr oleo olga olive oliver olivier olkol
+ollar ollate olli olmec oloma olomouc olomoucký olrat olszta olulumo oluta olvaffe olvidar olvidó olyasib olympus omagh omagic omagua omaha omaheke
+oman omanais omani omanisch omar ombamba ombella ombo ombre omega ometepec omettre ominus omis omise omisión omiso omission omissions omit omite
+omitida omitido omitiendo omitir omits omitted omitting omment omnibook omok omoris omoro omotic omotik omskaja omurano omusati omán onboarding once
+onclick oncreate ondo ondrej ondrejicka onecmd onedark oneida oneiric oneline oneof onerror ones onestep onetime oneway onge onglet onglets ongoing
+onin onion onjob onkeypress onlcr onlight online onlinepubs onlret only onmessage onnect onobasulu onocr onondaga onovy onread ontario ontenu onto
+ontong onward onwards oobas ooms ooprala oops oorlams oortwijn oost opacidad opacity opacité opal opao opaque oparg opata opava opcion opcional
+opcionales opcionalmente opciones opción opcode opcodes open openat openbsd openbugs openconnect opencontent opendir opendnssec opened openedge opener
+openers opengroup openid opening openings openismus openjdk openjsf openlabs openldap openlog openpgp openpipe openpty openpub openr opens opensource
+openssh openssl opensslconf openwall oper opera operacional operacionales operaciones operación operador operadores operand operanden operando
+operandos operands operar operate operated operates operating operation operational operationen operations operativo operator operatoren operators
+opfunc opindex opinion opinionated opinions oplotnica oplus opmap opname opolskie oportunidad opost opportunistic opportunistically opportunities
+opportunity opposed opposite opposé oprala opsera optarg opted optgroup optical optik optim optimal optimale optimieren optimierung optimisation
+optimisations optimise optimiser optimistic optimistically optimisé optimiza optimizaciòn optimización optimizar optimization optimizations optimize
+optimized optimizer optimizes optimizing optimum opting option optional optionale optionalen optionaler optionales optionally optionals optionen
+optionflags optionnel optionnellement optionnels options optionsname optionsoptions optionswert optionxform optname optparse opts optstring opuesto
+opus opère opérande opérandes opérateur opérateurs opération opérations opérer oracle oran orang orange orangesquash oraon orasanu orchestra orchid
+orchon orden ordena ordenación ordenada ordenadas ordenado ordenados ordenamiento ordenar order orderable ordered orderfile ordering orders ordinaire
+ordinaires ordinal ordinals ordinarily ordinario ordinary ordino ordner ordnername ordners ordnung ordonnancement ordonnées ordre ordu ordubad oregon
+oreille oreilly orejón orellana orelse oren orenburgskaja orense organisation organised organization organizations organize organized organizing orgs
+orhei orhon orient orientable orientación orientadas oriental orientale orientales orientation orientaux oriented orig origen origin original
+originalargument originalautoren originale originales originally originalquellen originate originated originates originating originaux origine origins
+oring orioles oristano ority oriya orizaba orizari orkhon orkney orlenko orlicí orlovskaja orma ormu ormuri orne ornl oroch oroha orok orokaiva oroko
+orokolo oromia oromo oroqen orowe orphan orphaned orpheline orte ortega ortek orten ortes orton orts oruma oruro orwant orya orígenes osabi osage
+osaka osatu osayen oscan oscar osdl oseek osenv osetija osetio osfhandle oshana osher oshikoto oshima osijek osilnica osing oskernel oskisch oslash
+oslo osmanisch osmaniye osmanya osname ososo ospeed ospite osrandom ossama ossaudiodev ossetian ossetic ossetisch ossighelper ossl ossman ossola
+ossète ossétique ostarabische ostbolivisch osterinsel ostfriesisch ostif ostkanada ostrava ostrobotnie ostroukhov osun oswego otago otank otaylor
+otdar otepää other otherdictitems otheritems othername others otherwise othiym othón otimes otjozondjupa otlaltepec otomangue otomano otomi otomian
+otomí otoro otra otras otrishko otro otros ottawa otte otto ottoman ottomanisch otuho otuke ouaddaï ouaka ouargla ouarzazate oubi oublier oublié
+oubritenga oudalan oudkerk oudmourte oudômxai oued ouest ouezzane oufuku ouganda ougaritique ought ougriennes ouguiya ouham oujda ouma oune oups
+ourdou ourense ours ourself ourselves ouszbek outbound outbuf outcome outcomes outdated outdent outdir outencoding outer outermost outf outfile
+outfiles outfill outfp outgoing outil outils outlen outline outlined outlive outlived outlook outlying outname output outputencoding outputname
+outputs outputting outre outrepasser outright outsb outside outsider outsiders outstanding outsw ouvert ouverte ouverts ouverture ouvrante ouvre
+ouvrir ouvéen ouyang ouzbek ouzbèke ouzbékistan ouzou ouémé ouïghour ouïgour over overall overcome overflow overflowed overflowing overflown overflows
+overhauled overhead overheads overijssel overkill overlap overlapped overlapping overlaps overlarge overlay overlayed overlays overline overload
+overloaded overloading overloads overlong overlook overly overran overridable overridden override overrides overriding overrule overrun overrunning
+overruns oversize overstrike overt overtly overview overwhelm overwhelmed overwrite overwrites overwriting overwritten overwrote ovid ovidiu oviedo
+owczarek owen owenia owens owing owiniga owned owner ownerclass owners ownership ownertrust owning owns oxan oxanvanleeuwen oxford oxfordshire oxman
+oyam oyda oyyd ozama ozan ozolnieku ozolotepec ozumacín paakantyi paama paar paaren paarweises paasaal pabir pablo pabna pacahuara pacaraos pacheco
+pachto pacific pacifique pack packa package packagecache packaged packagejson packagekit packagename packager packagers packages packaging packard
+packdata packdatei packdateien packed packen packer packet packets packfile packfiles packing packrat packrender packs packsingle packstream pacman
+pacmanconf pacoh padala padang padata padded padding paddr pader padoe padova padraig padre padres pads padus paekche paelignian pagaltzis page paged
+pager pagers pages pagesize pagi pagibete pagina paginador paginate pagination paginer paging pagu pahanan pahang pahari paharia pahawh pahi pahlavani
+pahlavi pahlsson paicî paid paide pailin pain paint paintable painted painter painting paipai pair pairable paire paired paires pairhash pairing pairs
+pairwise pairé pairées paite paiute paiwan pajapan pajonal pakanha pakaásnovos paket paketaktualisierung paketdatei paketdateien paketdepots pakete
+paketen paketes paketiert paketierung paketinformationen paketliste paketlisten paketmanagement paketname paketnamen paketquellen pakets paketstatus
+paketverwaltung paketzwischenspeicher pakhtunkhwa paki pakistan pakistanaise pakistanische pakistán pakruojis paktia paktronix paku pakwach palabra
+palabras palaic palaka palangos palanka palantla palaos palau palauan palauli palaung palawan palawano palencia paleni palenquero palermo palestina
+palestine palestinensisches palestinian palestinien paleta palette paletteneintrag palfrey pali palikúr palindrome paliyan palladium pallanganmiddang
+pallisa palm palmas palmetto palmieri palmyra palmyrene palo palu paluan palus palya palästina pambia pame pamlico pamona pamosu pampa pampanga
+pampangan pampelune pamphlet pamplemousses pamplona pana panaeati panama panamanian panamint panamá panao panará panasonic panasuan panawa pancana
+panchagarh panchpargania pande pando pandora pane paned panel panels pangasinan panghal pango pangolin pangomarkup pangseng pangutaran pangwa pangwali
+pangwe panic panim panix paniya panjabi panjshayr pankararé pankararú pankhu panneau pannei pannonian pano panoan panobo panoen pantalla panva panyabí
+panyi paola paolo papadimas papamichelakis papantla papapana papar papasena pape papel papelera paper papers papi papiamento papier papierkorb
+papirovski papora papouasie papoues papua papuan papuma papúa paquet paquetage paquete paquetes paquets para parachi parada paradigm paragraph
+paragraphe paragraphes paragraphs paraguarí paraguay paraguayan paraguayen paraiso parakanã paralela paralelas paralelo parallel parallele parallelism
+parallelizable parallelization parallelize parallels parallèle parallèles param paramaribo parameter parameterize parameterized parametern parameters
+parametric parametrized paramgen params paramspec paramètre paramètres paramétrage paramétrer paramétrée paranan paranawát parando paranoia paraná
+parar parasail paraujano parauk parawen paraíba paraíso parbate parce parche parcheo parches parchive parcial parcourir parcours pardhan pardhi pardir
+pardubice pardubický pare parece parecen parecís pareja paren parenb parenga parens parent parentheses parenthesis parenthesised parenthesize
+parenthesized parenthèses parents pares paresseuse pareto pariatur parinacota paris parity parität parité parja park parkari parker parkwa parkway
+parliament parlin parma parmi parmrk paro parodd paroz parpadear parpadeo parra parrafadas parrot parrotting parsable parse parseable parseaddr parsed
+parsedate parseline parsen parseopt parsequerystring parser parsers parses parsestr parsi parsing part partage partageable partagé partagée partagées
+partagés parte partes parthe parthian parthisch parti partial partialclone partially partialmethod partials participant participants participate
+participates participating participation partición particle particular particularly particulièrement partida partie partiel partiell partielle
+partiellement partiellen partieller partielles parties partir partition partitioned partitioning partitions partly partner partners partnership parts
+partsize party parya pará parágrafo parámetro parámetros paréntesis pasa pasada pasado pasados pasar pascal paschto paschtunisch pasco pascual pasha
+pashai pashchim pashto pasi pasivo pasky paso pasos pass passage passages passamaquoddy passe passed passen passend passende passendem passenden
+passender passendes passer passerelle passes passez passfds passieren passiert passing passive passoré passphrase passphrases passports passt passte
+passthrough passwd password passwordless passwords passwort passwortablaufdatum passwortdatei passworteintrag passwortes passworts passwortänderung
+passwörter passwörtern passé passée passées passés past pastaza paste pasted pastes pastie pasting pasv pasvalys pasó pataca patamona patani pataxó
+patch patched patches patchheader patching patchlevel patchs patchset patcht patcomp patel patent patents patep paterson path patha pathak pathconf
+pathetic pathext pathhelp pathinfo pathing pathiya pathlib pathname pathnames pathological pathom paths pathsep pathset pathspec pathspecs pathum
+pathways patience patienter paton patpatar patriarca patrick patrik patrones patrón pats patt pattachote pattani pattapu pattern patternfile patterns
+patterntype patuakhali patwin paul pauli paulo paulohi paumarí paunaka pauri pausa pausada pause paused pauserna pauses pausiert pausing pavel pavia
+pavilion pavlodar pavlov pavlu pavé pavés pawaia pawan pawar pawel pawn pawnee paxutils paying payload payloads payment paynamar pays paysage paysandú
+pazardzhik pazifischer país países pcache pcent pchar pclmul pclose pcolor pcre pcrel pcsi pdata pdesc pdir peach peacock peak pear pearce pearcey
+pearling pearson pebi pebibytes pech pecheneg pechkurov pedantic pedazo pedernales pedersen pedi pedro peek peeked peekfd peel peeled peephole peer
+peername peers peeters pegado pegamento pegon pehlevi pehrson peipsiääre pekal pela pele peled peleliu pelende peligrosa peligroso pellegrini
+pelletier pelopónnisos pema pemba pemberton pembroke pembrokeshire pemon penal penalize penalties penalty penan penang penchal pend pendant pendau
+pendiente pendientes pending pendjabi pendé penev peng penghu pengo penguin penh peninsula penners pennington pennsylvania pennsylvanie penrhyn pentax
+pentlatch penzenskaja people peoples pepesa peps pequeña pequeño pequeños pequot perai perak peranakan peravia percall perce percent percentage
+percentages percentile percentiles percents perches percival percolate perder perdido perdidos perdió perdre perdu perdue perdón pere perens perené
+perex perf perfctr perfect perfectly perfil perfilado perforce perform performance performances performant performed performer performing performs
+perhaps period periodic periodically periodo periods peripheral perky perl perldebtut perldiag perldoc perlebcdic perlembed perlexperiment perlfaq
+perlfaqo perlfilter perlfunc perlglossary perlgpl perlguts perlio perlis perlman perlmodinstall perlperf perlpod perlpodspec perlpodstyle perlport
+perlreapi perlreftut perlrequick perlretut perls perlsub perlsyn perlthrtut perltraining perlunicode perlunicook perluniintro perly perm permabit
+permanece permanent permanente permanentemente permanentes permanently permctx permet permettant permettent permettre permic permis permise permises
+permiso permisos permissible permission permissions permissive permissively permit permita permite permiten permitida permitidas permitido permitidos
+permitir permits permitted permitting perms permskij permutación permutation permutations permute permuted permyak pernambuco pernik pero perp
+perpendicular perpetual perpetuity perrier perror perry persa persan persch perse persekutuan perseverance persian persisch persist persisted
+persistence persistent persistentes persists perso person persona personajes personal personales personalidad personality personalityindex
+personalizada personalizadas personalizado personalizados personally personas personen personnages personnalisé personnalisée personnalisées
+personnalisés personnalité personne personnel personnelles personnels personnes persons perspective pertain pertaining perte pertenece pertenecen
+pertenezca perth pertinent peru perugia peruvian pervasive perverse período perú pesar pesaro pescara peslyak pesnica peso pesquisas pest peta
+petabytes petapa petasis petats pete peter peterborough peterburg peters petersen peterson peticiones petición petit petite petites petits petjo petm
+petnjica petr petri petrisor petriuc petrov petrovci petrovec pettenò petter petén peul peut peuvent pexpr peñasco peñoles pfad pfade pfaden pfades
+pfadname pfadnamen pfads pfadspezifikation pfadspezifikationsangabe pfaelzisch pfalz pfeil pfeile pfeilskalierung pfile pflush pformat pfund pgen
+pgids pgroup pgste phaa phags phai phake phala phalombe phalura phana phangduwali phangnga phanom phantom phase phased phatthalung phatthaya phayao
+phende phenoelit phentsize phet phetchabun phetchaburi phichit phikwe phil philip philipp philippe philippine philippinen philippines philippinisch
+philippinische phillip phillipj phillips philosophical philosophy phimbi phitsanulok phnom phnum phobos phodrang phoenician phoenix phoff phola pholo
+phom phone phonefactor phones phonetic phonetisch phonetisches phong phonogram phonograms phony phonétique photo photographic photography photos
+photoshop phowa phra phrae phrase phrased phrases phrasing phrygian phuan phudagi phuie phuket phukha phuma phunkyfish phunoi phuong phupa phupha
+phuri phuza phys physical physically physics physique physiquement physiques physischen phénicien phòng phôngsali phönizisch phúc piacenza piamatsina
+piame piapoco piarco piaroa piarres piatruk piauí picard picene piceno pichincha pichis pick pickaxe picked picker pickier picking picklable pickle
+pickleable pickled pickler pickles pickletools pickling picks picky pico picorage picorer pict pictish picture pictures pide pidfd pidfile pidgin
+pidgins pidió pidl pids piece pieces pied piedras piemonte piemontese pierre pierrick piers pietà pijao pije pijin pike pila pilagá pile pileni
+pilgrim pilipino pilote pilsen pima pimbwe pimlie pinai pinang pinar pinard pinca pinentry ping pingelapese pingpong pings pingtung pinigura pinjarup
+pinji pink pinned pinnedpubkey pinning pinotepa pinpad pins pintupi pinv pinyin piotr pipe piped pipefail pipeline pipelined pipelines pipermail pipes
+pipfile pipil piping pipping pirahã piran piranna piratapuyo pirkanmaa pirlatapa piro pirojpur pironti pirot pirotski pirriya pisa pisabo pisaflores
+pisar piscataway piscisaureus pisidian pisin pista pistas piste pistes pistoia pita pitar pitcairn pitch pite piter piterpunk pitfall piti
+pitjantjatjara pitoiset pitrou pitt pitta pittsburgh piura pivka pivot pivotal piwawatthanapanit pixar pixbuf pixdata pixel pixeln pixels pixelstore
+pixmap piya pizzini piña pkcon pkey pkgconf pkgconfig pkgname pkgnames pkgpath pkgutil pkinit pkla pkovacs pktdef pkware place placed placeholder
+placeholders placeholding placement placer places placing placé placée placées plage plages plain plaines plainly plains plaintext plaintexts
+plaisance plan plane planer planet planificador planificateur planken planned planner planning plano plans plantage plantilla plantillas planting
+plapo plasnica plat plata plataforma plataformas platbase plate plateau plateaux plateforme platform platformdirs platforms platinclude platinum
+platlib platlibdir plats platstdlib plattdeutsch platte plattform platz platzhalter platzieren platziert plausible plautdietsch plav play played
+player playero players playing playlist plays please plein pleine plen plena plenty plesk plessy pleven plexus plink plisi plist plistlib pljevlja
+plot plots plovdiv plover ployees pltoff plucker plug pluggable plugged plugging plugin plugins plum plumb plumbing plupart plural plurinacional
+plurinational plurinationaler plus plusieurs plutôt plymouth pmap pmem pmgdeb pmhahn pmod pmonrealgonzalez pmuls pname pnar pngdebug pngerror pngget
+pnginfo pngmem pngminus pngpread pngpriv pngread pngrio pngrtran pngrutil pngset pngstruct pngsuite pngtest pngtrans pngwio pngwrite pngwtran pngwutil
+pobox pochuri pochutec pocket poco pocos pocs poczta podcast podena poder podgorica podido podkarpackie podlaskie podlators podlehnik podravina
+podravska podrá podrán podría podtelezhnikov podunavlje podunavski podvelka poedit poet poetry poettering pogolo pohjanmaa pohjois pohnpei pohnpeian
+pohorju poids poignée point pointant pointe pointed pointent pointer pointers pointeur pointeurs pointfloat pointillés pointing pointless pointlist
+points pointé poison poisson pokangá poke poker poking pokomo pokot pokur polabian polaco polana poland polar polari polarización polci poldek polen
+polhov police polices policies policy policybase polish polite political politique poljane polje polju polkit poll pollard polled polling polls
+polluting pollution polnisch polnische pologne polonais polonia polonnaruwa polonombauk poltavska poly polyakov polyder polyfill polyfit polyglot
+polyglott polygon polygons polyint polynesia polynesian polynesien polynesische polynomial polynésie polynésiennes polytonic polyval polzela polzer
+política políticas pomeroon pommern pomo pomoravlje pomoravski pomorskie poméranie ponam ponapeanisch ponca ponctuation pone poner pong ponga poni
+poniendo ponnan ponosakan pontevedra pontic pony ponyo pooja pool poole pooled pooling poolmanager pools poor poorly popcon popd popen popies popitem
+popleft poplib popoloca popoloka popoluca popoluka popped popping poppler pops popsection popti populaire popular popularity populate populated
+populates populating population popup popups poqomam poqomchi porcelain porcelaine porcelains porcelana porcentaje porchdog porción pordenone porkrind
+pornin porohanon porque porras port portability portable portables portage portal portalegre portant porte ported portella porter porters portiions
+porting portion portions portland portnummer porto portpostmessagevalue portrait ports portsmouth portugais portugaise portugal portugiesisch
+portugiesische portugiesischer portuguesa portuguese portugués portátil portée posarse posavina posavska pose posee posh posibilidad posibilidades
+posible posiblemente posibles posicionales posiciones posición positif positifs position positional positionals positioned positionieren positioniert
+positionierung positioning positionne positionnement positionner positionné positions positiv positiva positive positiver positives positivo positivos
+posix posixmodule posixpath posixshmem posixsubprocess poskanzer posn posnjak posonly posonlyargcount posonlyargs possesses possessive possibilities
+possibility possibilité possibilités possible possiblement possibles possibly possède possèdent possédant possédé post postal postale postargs
+postcard postclean postcmd posted postel posteo posterior posteriores postes postfix postgres postgresql postimage postincrement posting postinst
+postject postmortem postojna postpone postponed postprocess postprocessing postrelease postrm posts postscr postscript postérieure potaro potato
+potawatomi potcdate potencia potencialmente potential potentially potentiellement potenza potenzen potiguára potok potosí pottangi potty potwari
+poubelle pouce poul poumei pound pour pourcentage pournader pourra pourraient pourrait pourriez pourront poursuite poursuivre pousaat poussant pousse
+pousser poussé poussée poussées pouvant pouvez pouvoir pouye povray powari powell power powerdog powered powerful powerpc powers powerset powershell
+powertech powhatan powq powys poyanáwa ppcboot ppid pprint pqsu praat prachatice prachin prachuap practicable practical practice practices pracucci
+pradeep pradesh pragma pragmas prague praha prahova praia prakan prakrit pranshu prasad praslin prasuni pratique prato praveen pravi prdownloads pread
+preadv preah preamble preargs preauth preauthentication prebold prebuilt prec precarga precargado precede preceded precedence precedences precedencia
+precedente preceder precedes precedida precedido preceding preceq precious precise precisely precision precisión preclean preclude precludes precmd
+precompiled precomposed precompute precondition precursors pred predates preddvor predecessor predecessors predeclare predecrement predef predefined
+predefines predefinida predefinido predep predependencia predescu predet predeterminada predeterminadas predeterminado predeterminados predicado
+predicate predicated predicates predication predict predictable predicted prediction preedición preedit preexisting pref prefer preferable preferably
+preference preferences preferencia preferencias preferida preferido preferred prefers prefetch prefijo prefijos prefinish prefix prefixe prefixed
+prefixes prefixing prefixlen prefop preformat preformatted prefs pregunta preguntar preguntará preguntas prehashed preimage preincrement preinit
+preinst prejudicial prelight preliminary prelink prelinking preload preloaded preloading preloc preloop prelude premature prematurely prematuro
+premier premiers premise première premières prenant prend prendre prennent prep prepackaged preparando preparar preparation preparatory prepare
+prepared preparer prepares preparing preparándose prepend prepended prepending prepends preposition preproc preprocesador preprocess preprocessing
+preprocessor preprocessors preread prerelease prereleases prereq prerequisite prerequisites preroll prerolled presario prescod presence present
+presentación presentation presente presented presentes presenting presently presents preserva preservar preservation preserve preserved preserves
+preserving preset presets presetting president presidente presión presque press pressed presses pressez pressing pression pressure preston presumably
+presume presumed presumption pretend pretended pretending pretends pretium prettify pretty preul prev prevail prevailing prevalent prevalje prevenir
+prevent prevented preventing prevention prevents previa previamente previas previene preview previewed previews previo previos previous previously
+previousunwind previsto prey price priekules prienai prilep prim primaire primaria primaries primarily primario primary prime primer primera primeras
+primero primeros primes primitif primitive primitives primordial primordials primorje primorskij primorsko primär primäre primären primäres prin princ
+prince princejwesley princes princeton principado principal principale principales principality principally principals principauté principe
+principense principio principle principles print printable printables printed printer printers printf printing println printoptions prints prio prior
+prioridad prioritaires priorities prioritize priority priorität priorité pris prise prises prism pristine pritikin priv privacy privada privadas
+privado privados privat private privatekey privately privaten privater privilege privileged privileges privilegien privilegios privilège privilèges
+privilégiée privkey privs privé privée privées privés prize prizren prizrenski prob probability probable probablement probablemente probably probando
+probar probe prober probers probes probhat probieren probing probit problem problema problemas problematic probleme problemen problemlöser problems
+problème problèmes proc proceder procedimiento procedimientos procedural procedure procedures proceed proceeding proceeds procend procesa procesaba
+procesada procesadas procesado procesador procesamiento procesan procesando procesar proceso procesos process processed processenv processes
+processeur processeurs processexecpath processexitcode processforkmodulepath processing processor processors processus procfile procfs prochain
+prochaine proche procinfo procps procs procurement procutils procéder procédure prod produce produced producer produces producido producing producir
+product productdir production producto products produire produit produite produits produjo produkt produkte produziert prof profanación profanation
+profanity professionnel profil profilage profile profiled profiler profiles profiling profils profit profitbricks profits profonde profondeur
+profondément profundidad prog progcomp progname program programa programador programas programm programmable programmatically programmation programme
+programmed programmen programmende programmer programmers programmes programmeur programmfehler programmierer programmierers programming programmname
+programms programmversion programs progreso progress progresses progressing progression progressive progressively progs progtest prohibe prohibida
+prohibido prohibit prohibited prohibits proident proj project projection projects projekt projekts projet projeter prokop prolog prologue prologues
+prolonged promedio prometteur prominent prominently promise promised promises promisified promisify promisor promisores promote promoted promotes
+promoting promotion promotional prompt prompted prompting promptly prompts promql prone pronoun pronouns proof prop propagate propagated propagating
+propagation propeller proper properly properties property propertyhelper propia propiedad propiedades propietario propietarios propio propios
+proporciona proporcionada proporcionado proporcionados proporcional proporcionalmente proporcionan proporcionar proporcione proporcionó proporción
+proportion proportional proportionally proportionnel proportionnellement propos proposal proposals propose proposed propre proprement proprietary
+proprietor propriétaire propriétaires propriété propriétés props propto propósito propósitos prose prospective prospectively prostitución prostitution
+prot protección protect protected protecting protection protections protective protector protects proteger protegida protegido proto protobuf protocol
+protocole protocoles protocolo protocolos protocols protokoll protokolldatei protokolle protokollfehler protokollieren protokolls protokollversion
+protonmail protos prototoype prototype prototypes prototypically protoype protéger protégé protégée proulx provable prove proved provee proveedor
+proveedores proveer proven provenance provenant provence provenir provenzal provençal prover provide provided providence providencia provider
+providers provides providing provient province provinz provision provisional provisionally provisioning provisions provisto provoca provocative
+provoque provos provost proxiable proxied proxies proxy proxyauth proxying proxys proxytype proyecto prozent prozentsatz prozess prozessaufspaltung
+prozesse prozessen prozesses prozessgruppe prozessgruppen prozesskennung prozessnummer prpsinfo prstatus prterase prtstat prudent prueba pruebas
+pruebe pruitt prunable prune pruned pruning prussian pryce prâkrits präfix präfixe präsentation près préchargement précieux précision précisions
+précisé précisée précède précédant précédants précédemment précédent précédente précédents précéder précédé prédicat prédéfini prédéfinie préexistants
+préfixant préfixe préfixer préfixes préfixé préfixée préfixés préférence préférences préféré préférée prématurée prématurément préparation préparer
+prérecherche prérequis préréglage présence présent présentation présente présenter présentes présents préserve préserver prétraitement
+prévisualisation prévot prévu prévue prêt prête príncipe prólogo próxima próximo prüfe prüfen prüfsumme prüfsummen prüfsummentyp prüfung psalter
+psaltis psarrst psaux psblues psect psects pselect pserror pserver pset pseudo pseudoaléatoires pseudocode pseudocolor pseudodirective pseudoheaders
+pseudoinstructions pseudonym pseudorandom pseudos psfixed psfont psglue pshints psikye psindx psinfo psintrp pskovskaja pskself psmarshall psmisc
+pspec psread psstack pstats pstatus pstree pstypes psysh pthead pthell pthread pthreads ption pton ptrace ptrdiff ptuj ptype puare pubkey public
+publica publicación publically publicar publication publications publicdomain publicity publicly publics publicsuffix publique publish published
+publisher publishers publishes publishing pubnames pubs pubtypes puce pucikwar puconci pude pudiera pudieron pudo pudtol puducherry puebla pueda
+puedan puede pueden puedes puedo puelche puerta puerto puesto puestos puffer puffern puffers pufferung puget puglia puimei puinave puis puisqu
+puissance puissances puissent pujin pukapuka pula pulaar pulabu pular pulau pulgar pull pulldom pulled pulling pulls pulsa pulsacio pulsaciones
+pulsación pulsada pulsado pulsando pulsar pulsarla pulsarse pulsation pulse pulsed pulso puluwatese puma pumi pummel pump pumpokol pumé punakha punan
+punathil punc punch punct punctuated punctuation punctuations punic punjab punjabi punk punkt punkte puno punt punta puntarenas punteado puntero
+punteros punthamara punting punto puntos puntuación punu puny punycode puoc puppet puquina puragi purari purcell purchase purchased purdue pure
+purelib purely purepecha purga purgar purge purged purging purgé puri purik purisimeño purl puroik purple purported purpose purposefully purposely
+purposes pursuant puruborá purum push pushback pushd pushdefault pushed pushes pushing pushremote pushsection pushto pushurl putai putative putc
+putcmd putenv putheader putline putoh putrajaya putrequest puts puttalam putting putty putukwam putumayo puyo puyuma puzpuzpuz puzrin pwaamei pwait
+pwapwâ pwcheck pwdmodule pwexpire pwrite pyapun pybench pybtex pyca pycache pyclbr pycompile pycon pyconfig pycs pydebug pydecimal pydist pydistutils
+pydoc pyen pyenv pyexpat pyfile pyflakes pygi pygmentize pygments pygobject pygram pygtk pyio pyjwt pylexer pylifecycle pylint pymalloc pyopenssl pypa
+pyparsing pypi pypirc pyproject pypug pypy pypylog pyrepl pyrex pyrénées pyspread pytb pytest python pythonic pythonlabs pythonlib pythonpath pythons
+pythonw pythonware pythonx pytree pytype pyul pyvenv pyver pyversion pyyaml páez página páginas párrafo párrafos pááfang päijät päri pärnu pärnumaa
+påhlsson pécs pémono pénama péninsule période périphérie périphérique périphériques pérou pévé písek píxel píxeles põhja põltsamaa põlva põlvamaa
+pökoot pública público qabiao qacha qala qalqilya qaqet qashqa qashqadaryo qatabanian qatar qatari qawasqar qaywayn qazaqstan qazax qbasic qcai
+qdotadroff qemu qeqertalik qeqqata qian qiandong qiang qila qimant qinghai qingyu qiubei qlik qlikscript qliksense qlikview qname qnames qnan qobustan
+qoraqalpog qormi qpress qrelfixoff qrendi qsize qsort quad quadratic quadruple quadstate quadword quale qualifiant qualificatif qualified qualifier
+qualifiers qualifizierte qualifizierter qualifiée qualifiées qualify qualifying quality qualitybar qualität qualité qualname quan quand quang quant
+quantification quantified quantifier quantify quantile quantities quantity quantité quantize quantum quapaw quarantine quark quarkse quarter quartic
+quarto quasi quathamer quatre quatrième quattro quba quds queasysnail quebec quechan quechua quechuan queda quedan queensland quel quell quellbaum
+quellcode quelldatei quelldateien quelle quellen quellenhandhabungsstil quelles quellformat quellpaket quelltext quellverzeichnis quelque quelques
+quemerais quenya quepan querer querformat queried queries query querying querystring querétaro quería quest question questionable questions quetzal
+quetzaltenango quetzaltepec quetzaltepek queue queued queueing queues queuing queyu quezon quiatoni quiavicuzas quic quichua quiché quick quickdraw
+quicken quicker quickly quickrot quictls quiegolani quieras quiere quieres quierí quiescent quiet quietly quileute quillan quilt quiltimport quina
+quinara quinault quindío quinlan quinqui quintana quinteiro quinto quioquitani quiotepec quirino quiripi quirks quis quisiste quiso quit quita
+quitando quitar quite quits quitte quitter quitting quizá quizás quién quoi quopri quoprimime quot quota quotaroot quotas quotation quote quotechar
+quoted quotemark quotemeta quotes quotetabs quotient quoting qusar quthing quux quynh quân québec quítalo qvto raadt raasiku rabat rabha raccourci
+raccourcis race races rach racily racine racines racing racket rackham racy radd raddr rade radenci radgona radians radical radio radioknopf radius
+radix radlje radovljica raetic rafael rafah rafal rafraîchir rafraîchissement ragel ragged ragusa rahambuu rahmen rahul railroad rain rainbow raining
+raise raised raises raising raisinten raison raisons raja rajah rajasthani rajbanshi rajbari raji rajong rajput rajramanca rajshahi rakahanga rakai
+rake rakefile rakhine rakovník raku rakudoc rakumod rakutest rakvere ralf ralik ralph ralte rama ramakrishnan ramallah raman ramas ramasse ramey ramif
+ramificaciones ramificación ramificado ramificar ramoaaina ramoffset ramopa rampi ramírez rana rand randal randall randbelow randbits randbytes
+randers randi randint randkey random randomart randombytes randomization randomize randomized randomly randomness randrange rands randutils randy rang
+rangamati range rangecoder rangelrooij ranges rangkas rangle ranglong rango rangos rangpur rangpuri rangárþing rangée ranjan ranjit rank ranked
+rankovce ranks ranlib rano ranong ranura rapa rapanui rapatriement rapatrier rape raph raphael raphaël rapid rapide rapidement rapides rapidly rapla
+raplamaa rapoisi rapport rapporte rapporter rapportez rapports rapporté rapti rapting raqqah rara rare rarely rargs rarotongan rarotonganisch rarp
+rasawa raseiniai raseon rashish rasina rasinski raslan raspa raspberry raspbian rassen rassoc raster rasterlinien rastrea rastreada rastreado
+rastreados rastrear rastreo ratagnon ratahan ratak ratchaburi ratchasima ratchathani rate rateest rates rathawi rather rathi rathwi rating ratio
+ration rational rationale rationalize rationals rationnelle ratios ratise ratnapura ratones ratón raude raudsepp raum raunas raute raven ravenna ravne
+ravnås ravula rawa rawang rawat rawdata rawinput rawline rawmode rawngtu rawo rawpk raws rawsock raya raye raymah raymond rayong raysatiro rayón
+razajerdi razgrad razihi razones razón raíces raíz rbcon rbrace rbufsize rcache rcall rcdir rceil rcfile rconsole rcorreia rdcolmap rdentato rdev
+rdgif rdhi rdivmod rdjpgcom rdlo rdswitch rdtarga reab reabrir reach reachability reachable reached reaches reaching react reacting reactionary
+reactivating reacts read readability readable readahead readall readarray readcdf readdir readelf reader readers readfile readfloat readfp readframes
+readily reading readinto readline readlinebuf readlines readlink readlinkat readln readme readonly readrc reads readsize readtable readthedocs readv
+readwrite ready reagaird reak real realaudio reale realen reales realidad realise realista realistic reality realiza realizado realizando realizar
+realize realized realizing realizó realloc reallocarray reallocate really realm realmente realms realname realnum realoutfile realpath realpos reals
+realtime reap reaped reaping reapply rearrange rearranged rearranging reason reasonable reasonably reasoning reasonml reasons reassembled reassembly
+reassign reassigned reassignment reate reattaching rebasa rebasage rebasar rebase rebased rebaser rebases rebasing rebecca rebind rebinding reblock
+rebobinando rebobinar rebol reboot rebooting rebound rebroadcast rebuild rebuilding rebuilds rebuilt rebut rebuts recalculate recalculating recall
+recargar recast receipt receive received receivepack receiver receivers receives receiving recent recently receptor recette recettes receveur recevoir
+recharger rechaza rechazadas rechazado rechazando rechazo rechazó recheck recherche rechercher recherches recherché rechner rechnername rechnernamen
+rechnernamens rechners rechnungseinheit recht rechte rechten rechter rechts rechtsbündig rechtshändig rechtsklick recibe recibido recibieron recibir
+recibió reciente recientemente recientes recip recipe recipes recipient recipients reciprocal recitations recién reclaim reclaimed recnum recode
+recognise recognised recognition recognizable recognizably recognize recognized recognizes recognizing recolectar recombine recombining recomendadas
+recomendado recomienda recommande recommandé recommandées recommend recommendation recommendations recommended recommends recompilar recompilation
+recompile recompiled recompiler recompilez recompiling recompress recompute recon reconaissance reconcile reconfigurar reconfigure reconfigurer
+reconnaissable reconnaissance reconnaître reconnect reconnected reconnecting reconnu reconnue reconnues reconnus reconoce reconocen reconocer
+reconocida reconocido reconoció reconstituted reconstruct reconstructing reconstruction reconstructor reconstruir record recordar recorded recordgröße
+recording recordings records recorrido recortar recount recours recouvre recouvrement recouvrements recouvrir recover recoverable recovered recovery
+recrear recreate recreated recreating recreation recréer rect rectangle rectangular recto recubrimiento recubrimientos recupera recuperación
+recuperado recuperando recuperar recurrir recursar recurse recursed recurses recursing recursion recursions recursiva recursivamente recursive
+recursively recursivo recursión recurso recursos recv recvfrom recvmsg recwarn recycle recycled reczey redact redacted redange redbridge redc redcar
+redcode redeclaration redeclare redeclared redefine redefined redefines redefiniciones redefinición redefinida redefining redefinir redefinition
+redhat redimensionar redimensionnable redimensionnement redimensionner reding redirecciones redirección redirect redirected redirecting redirection
+redirections redirects redirige rediriger redirigir redirigée redis redisplay redistribuer redistribuir redistribuirlo redistributable redistribute
+redistributed redistributing redistribution redistributions redistributors redits redjang redo redonda redondant redondante redondantes redondea
+redraw reds reduce reduced reducer reduces reducido reducing reducir reduction reductions redundancy redundant redundante redundantes redundantly
+reduziert redwood redéfini redéfinie redéfinir redéfinition redémarrage redémarrer reed reef reel reem reempaquetar reemplaza reemplazado reemplazando
+reemplazar reemplazo reenable reenlace reenlazar reensamblado reentr reentrant reescribe reescribir reese reevaluation reeves reexport refabrication
+refabriquer refactor refactored refactoring refael refcnt refcount refcycle refer reference referenced references referencia referenciada referenciado
+referenciados referencial referencias referencing referencía referent referente referenz referenzen referenzieren referenziert referenzierte
+referenzierten referenziertes referenzliste referenzname referer referidos referral referred referrer referring refers refid refiere refieren refill
+refine refinement refinements refleaks reflect reflected reflection reflects reflexivity reflink refloat reflog reflogexpire reflogs refmap refname
+refnames refnum reformat reformater reformatted reformed reformuler refrain refrains refrasear refrescar refresh refreshed refreshes refreshing refs
+refspec refspecs reftable refus refuse refused refuses refusing refusé refusée regard regarded regarding regardless regards regcomp regel regeln regen
+regenerate regenerated regeneration regensburg regents regex regexec regexes regexopt regexp regexps regexs regextype regfree reggio regi regier
+reginfo region regional regiones regions regionseinstellungen regis register registered registering registerliste registername registernamen
+registernummer registerpaar registers registra registrada registradas registrado registrador registrados registrar registration registrations registre
+registres registrieren registriert registrierte registries registro registros registry registryd regit região región regla reglas reglist regmatch
+regnames regnum regr regresar regress regressed regression regressions regroupement regrtest regs regsave regular regulares regularly regulated
+regulation regulations reguläre regulärem regulären regulärer rehamna rehandshake rehash rehusando reicht reid reify reihe reihenfolge reilly
+reimplement reimplementation reimplemented rein reindent reinecke reiner reinholdtsen reini reinicia reiniciar reinicio reinit reinitialize
+reinitialized reino reinst reinstalado reinstalados reinstalar reinstalarse reinstall reinstallation reinstalled reinstalling reinstate reinstated
+reinstatement reinstates reintentando reintentos reinterpret reintroduce reinvent reis reiss reissue reiter reitz rejang reject rejected rejecting
+rejection rejections rejectionsmode rejects rejet rejeter rejetons rejeté rejetée rejetées rejetés rejilla rejoin rejouer rekursion rekursiv rekursive
+rekursiven rekursiver rela relacionada relacionadas relaciones relación relaja relajación relajada relajado relajando relajar relancer relate related
+relates relatif relatifs relating relation relational relations relationship relationships relativ relativa relativas relative relatively relativement
+relativen relativer relatives relativo relativos relax relaxable relaxation relaxed relaxer relaxing relay relayer relaying release released
+releaselevel releaser releasers releases releasing relevance relevant relevantes reli reliability reliable reliably reliance relicense relicensing
+relied relief relies relieve relieved religion relink relinking relinquish relinquishes relinquishment relizane rellena rellenado rellenando rellenar
+relleno reload reloaded reloading reloc relocalisable relocalisables relocalisation relocalisations relocaliser relocatable relocate relocated
+relocation relocations relocs relogin reloj relpath relro rely relying relâche relâcher relâché rema remade remain remainder remaining remains remake
+remaking remap remapping remark remarque remarquez rembobiner rembong remediation remedies remedy remember remembered remembering remembers
+remerciements remerge remettre remi remich remind remisage remise remiser remix remko remnant remo remontado remonter remota remotas remote remotely
+remoteport remotes remoto remotos remount removable removal removals remove removed removedir removedirs removeprefix remover removes removesuffix
+removing rempart rempi remplace remplacement remplacer remplacé remplacées remplacés remplazar remplaçant remplir remplissage remueve remun remus remy
+rename renamed renames renaming rencontré rencontrée rencontrées rencontrés rend rendent render renderable renderables rendered renderer rendering
+renderizado renderizador renderizar renderpix renders rendille rendimiento rendre rendu rendue reneg renegociación renegotiate renegotiation renesas
+renew renewable renfrewshire rengao rengma renice renminbi rennebarth rennell renombra renombrada renombrado renombrados renombramiento renombrando
+renombrar renommage renommages renomme renommer renommé renommée renormalize renovación renovar renseignements renseignée renseignées rentre renumber
+renviron renvoi renvoie renvoyer renvoyé rené renégociation reopen reopened reopening reordenable reorder reorderable reordered reordering reorganize
+reorganized repack repackaged repackaging repacked repacking repacks repair repaired repanbitip reparar reparieren reparse repe repeat repeatability
+repeatable repeated repeatedly repeater repeating repeats repertoire repeticiones repetición repetido repetir repetition repetitions repetitive
+rephrase repi repita repl replace replaceable replaced replacement replacements replaces replacing replay replayed replaygain replaying replays repli
+replicate replicated replication replied replies reply repo repopulate report reporta reportado reportar reporte reported reporter reporters
+reporthook reporting reports reportó repos repositionnement repositorien repositories repositorio repositorios repository repr reprehenderit represent
+representa representable representaciones representación representar representará representation representations representative represented
+representer representing represents reprise reprlib reproducción reproduce reproduced reproduces reproducible reproduciendo reproducing reproducir
+reproduction reprs représentable représentant représentation représentations représente représenter représenté republic republics republik republika
+republish repudiation reputation reputations repérage repérer repéré repérée república reqs reqts requerida requerido requeridos requerimientos
+requerir request requested requesting requestor requests requestsocket requiere requieren requiert require required requireid requirement requirements
+requirepeer requires requiring requirió requis requise requises requisites requisition requisitos requière requièrent requote requête requêtes reraise
+reraised reraises rerau reread rerep rerere reroll rerun rerunning resample resande resandre rescale rescaling rescan reschedule rescheduled rescinded
+rescission rescue research resellers resemble resembles resen resend resenje resent reserva reservada reservado reservando reservar reserve reserved
+reserves reservieren reserviert reservierten reset resets resetting reshape reshe reside residence resident residents resides residual residue resig
+resilient resizable resize resized resizing resname resolución resolution resolutions resolutor resolve resolved resolvedor resolvelib resolvent
+resolver resolvers resolves resolviendo resolving resonance resort resource resourcebundle resources resp respaldar respaldo respect respectant
+respected respecter respectful respecting respectivamente respective respectively respectivement respecto respects respetar respond responded
+responder responding respondor responds responsable responsables response responseenddata responses responsesocket responsewritableended
+responsibilities responsibility responsible respublika respublikasi respuesta ressemble ressource ressourcen ressourcendatei ressources rest
+restablecer restant restante restantes restants restart restarted restarting restarts restaura restauran restaurar restauration restaurer reste rester
+restes restful restfulclient restlichen resto reston restore restored restores restoring restos restreindre restreint restricciones restricción
+restrict restricted restricting restriction restrictions restrictive restricts restringe restringido restringir restructure restructured
+restructuredtext restructuring rests restype resuelto resueltos resuelve result resultado resultados resultant resultante resultantes resultar
+resulted resultierende resultierenden resulting resultlist results resultset resume resumed resumen resumes resuming resumir resumption resurrect
+resurrected resver resync resígaro resúmenes retailers retain retained retaining retains retalhuleu retapez retard retarder retardo retcode retener
+retenido retenidos retention rethrow rethrows retire retired retirer retitle retorno retornos retornó retouche retour retourne retourner retourné
+retours retr retract retracted retraso retreat retried retries retrievable retrieval retrievals retrieve retrieved retriever retrieves retrieving
+retroactively retroceder retroceso retroescritura retrouver retry retrying retta retuarã return returncode returncodes returned returning returns
+retval retw retype reubica reubicable reubicables reubicaciones reubicación reubicado reubicando reubicante reubicar reusable reusar reuse reused
+reuses reusing reutilizar revamped reveal revealed reveals revenir reversa reversal reverse reversed reverseiterator reversible reversion reversions
+revert reverted reverting revertir reverts review reviewed reviewers reviewing reviews revisa revisando revisar revise revised revising revision
+revisiones revisions revisit revisited revisión revocable revocación revocada revocado revocador revocados revocar revocation revocations revoke
+revoked revoker revoking revs revés rewa rewind rewinddir rewinding reword reworded rewording rework reworked rewrite rewrites rewriting rewritten
+rewrote rexx reyesano reykhólahreppur reykjanesbær reykjavíkurborg reynolds rezic rezina reçoit reçu reçue reçus rfile rfind rfloor rfloordiv
+rfrancoise rgba rglob rhash rheinland rhel rhin rhistory rhode rhodes rhodesia rhondda rhubarb rhys rhysd rhénanie rhône rial riang riantana riau
+ribeira ribnica ribose ribun rica rical ricaljasan rican ricanische ricardo rice rich richard richardlau richardson richie richmond richtig richtige
+richtigen richtlinie richtlinien richtlinienname richtlinienobjekt richtlinienobjekts richtung rick rickard ricky rickyes rico ride ridgewell
+ridiculously riding ridolfi riefenstahl rieger riel rien rieng rietavo rieti rietveld right rightarrow rightharpoondown rightharpoonup
+rightleftharpoons rightmost rights rightwards rigo rigorous rigorously rikbaktsa rimap rimini rimraf rinaldo rincon rinconada rincón rindex rinfo ring
+ringgit ringgou ringtone rint rioja rios ripemd ririo risaralda riscv rise riseup risk risking risks risky risque ristioja rita ritter riung rivas
+rive river rivera riverain riverland rivers rivest rivière rivnenska riyal rizal rize rizzolo rjazanskaja rjust rkrishnan rlcompleter rlfe rlidwka
+rlimit rlist rlistdir rlshift rlwrap rmanfredi rmatmul rmdir rmod rmtlseek rmtree rmul road roadmap roaming roba robbins robclark rober robert roberto
+robertonewmon roberts robin robinson roboconf robot robotframework robotics robotparser robots robust robuste robustly robustness robux rocha rochdale
+roche rock rocket rocky rocquencourt rodata rodea roderick rodin rodonia rodrigo rodrigues rodriguez rodríguez roeckx roelofs roff rogaland rogatec
+roger rogers roglai rogo rogue roguez rohbild rohe rohingya roja rojas rojo rokycany roland role roles rolf roll rollback rolle rolled rollen rolling
+rollover rollpfeile rollup rolsky roma romagna romagnol romain romam roman romana romance romanche romanes romani romania romanian romanische romano
+romanova romansh romany romaní rombi romblomanon romblon rombo rome romkun rommel rompe romsdal romssa ronacher ronald rondônia ronga rongelap rongga
+rongjian rongmei rongorongo rongpo ronji ronkorving rooij room roon root rootdir rooted rootkea rootless rootnode roots roozbeh roraima roria rosa
+roscommon rose rosegment rosen rosetta roskind rosoman ross rossum rostam rostovskaja rota rotación rotanak rotantes rotate rotated rotates rotatifs
+rotating rotation roth rotherham rotiert roto rotokas rotos rotse rottmann rotty rotuma rotuman rouchal rouge rough roughly rougly rouines roulette
+roumain round rounded rounding roundq roundrobin rounds roundtrip roundup roupie rousse rout routable routage route routed router routerman routes
+routine routines routing roux roviana rovigo rowan rowanthorpe rows rowspan rowstride royal royale royalties royalty royaume rpar rpartition rpath
+rpcdname rpcent rpcgen rpcsec rpearson rpmbuild rpos rpow rprofile rrivers rror rrshift rrtype rsalz rset rshift rsplit rstrip rsub rsync rtime rtinit
+rtrim rtruediv rtype ruanda ruano rubanau rubanda rubber ruben rubin rubini rubirizi ruble ruby rucavas ruching rudbari rudolfs rudolph rueda ruehsen
+rufen ruff rufiji rufiyaa ruga ruggell rugvip ruhezustand ruhnu ruigrok ruiz rukai rukiga rukul rukungiri rukwa rule rulemak ruler rules ruleset ruma
+rumai rumano rumanía rumonge rumpf rumphi rumu rumänisch runcall runcode runctx rundi rundlauf runeval rung runga runge rungtu rungus rungwa runic
+runlevel runnable runner runners running runpath runpy runs runstates runter runtest runtests runtime runtimes rupee rupia rupiah rupie rural ruse
+rushing rusin ruslan ruso russ russe russell russia russian russie russisch russische russland rust rustcorp rustfmt rustine rustines rustls rusty
+rusyn ruta rutana rutas rutina rutland rutul ruud ruuli ruund ruvuma ruyadorno ruyigi rvagg rvalue rwampara rwanda rwandese rwlocks rxor rxspencer
+ryan ryanggang ryanmahan rychnov ryzokuken rápida rápido räncker ränder räpina règle règles réadressable réadressables réadressage réadressages
+réalise réaliser réalistes réalisé réappliquer récemment récent récente récentes récents réception réclamé récupère récupérant récupération récupérer
+récupéré récupérés récursif récursion récursive récursivement récursivité réduction réduire réduit réel réelle réellement réels réessayer réessayez
+réfs réfère référence référencer références référencé référencée référencés référer référez région régionalisation régionalisée régionaux régions
+réglage réglages régler réglez réglé réglés régulier réguliers régulière régulières réinitialisation réinitialiser réinstallation réinstaller
+réinstallés rémanentes réouverture réparation réparer répertoire répertoires répondeur répondre répondu réponse république répéter répétez répétition
+répétitions répété répétées répétés réseau réseautage réserve réserver réservé réservée réservées réservés résolu résolue résolues résolus résolution
+résolveur résoudre résout résultant résultat résultats résulter résumer résumé rétablir rétablissement rétrogradés rétroportages réunion réussi
+réussie réussite réutilisable réutilisation réutiliser réutilisé révision révisions révocable révocateur révocation révocations révoquer révoqué
+révoquée révoquées réécrire réécrit réécriture rééditer ríos róng rôle rõuge röttsches rückgabewert rückgängig rückgängigmachen rückkehr
+rückschrägstrich rücksignatur rückstellcode rückwärts rückwärtspfeil rühsen saafi saam saami saamia saarde saaremaa saarland saaroa saba sabaean sabah
+sabanê sabaot sabaragamuwa sabayon sabe saber sabieh sabine sabirabad sable sabrina sabu sabüm saca sacapulteco sacar sacatepéquez sachsen sadie sadly
+sadri sadung saek saep safaliba safari safe safecrlf safely safename safer saferef safest safety safeyoka safi safwa saga sagaing sagala sagalla
+sagarmatha sage sagi saguer saha sahalinskaja sahana sahani sahara saharan sahariennes sahel saho sahran sahu said saidi saint sainte sais saisi
+saisie saisies saisir saisissez saisiyat sait saitama sajalong sajau sajip saka sakachep sakala sakalava sakan sakao sakarya sakata sake sakhon sakia
+sakirabiá sakisch sakon sakthipriyan saku sala salaam salah salamanca salamat salame salampasu salar salas salasaca salaspils salavan salazar salchuq
+saldus sale saleman salerno salfit salford salgótarján saliba salida saliendo saliente salima salinan salique salir salisbury salish salishan sallands
+salmon salomon salsa salt salta saltado saltando saltar salto saltos salts saluan salud salumá salutation salvador salvadoran salvage salvapantallas
+salvatore salvestrini salveti salvo salyan salzburg salzenberg salé sama samane samangan samaná samar samaritain samaritan samaritanisch samaritano
+samarokena samarqand samarskaja samatao samay samba sambal sambalpuri sambe samberigi sambia sambuga samburu samdrup same samefile samegp samegrelo
+samei sameopenfile sames samestat sami samik samisch samische sammeln sammle sammlung samo samoa samoan samoanisch samoano samogitian samogitien
+samosa samoyedic samp sampada sampadanakhare sampang sample sampled samples sampling sampson sampwidth samre samsun samsung samtao samtse samtskhe
+samuel samueloph samuli samut samux samvedi sanaa sanaag sanaani sanapaná sanchez sancti sandaun sandawe sandbox sandboxed sandboxing sande sandeen
+sanden sanders sandevo sandia sandino sandmann sandro sandwell sandwich sandy sane sanely saner sanga sanggau sangha sangil sangir sangisari sangkong
+sanglechi sango sangrado sangre sangría sangtam sangu sanguino sanguié sani sanidad sanie sanin sanitize sanitizer sanity saniyo sanjaq sankaran sankt
+sankuru sanma sanmatenga sannat sans sansi sanskrit sant santa santali santander santarém santiago santigimeno santo santoni santos santuario santé
+sanumá sanvila sanwa saoudite saparua saper sapien sapin sapo saponi saposa sapountzis sapuan sapé sara saraburi sarah saraj sarakham sarala saramacca
+saramaccan sarangani sarasira sarat sarathy sarati saratoga saratovskaja saraveca sarawak sarde sardegna sardinian sardinisch sardisch sardo sarge
+sari sarikoli sarl sarli sarpang sarsenov sarsi sartang sarthe sarua sarudu saruga sasak sasaki sasaru saschaefer sasidharan saskatchewan sasl
+saslauthd saslcache sasldb saslfinger saslutil sass sassak sassandra sassarais sassarese sassaresisch sassari sassu satakunta satawalese sateler
+satellite saterfriesisch sateré satiro satisfacer satisfactory satisfaire satisfaites satisfiable satisfied satisfies satisfy satisfying satkhira sato
+satu satun satupa satur saturación saturate saturation saturday saturn saturée satz satzes sauber saudi saudí saue sauf saulkrastu saurachtra
+sauraseni saurashtra saurastra saurav sauri sauria sause sausi saut saute sauter sauts sauté sautés sauvegarde sauvegarder sauvegardes sauvegardé
+sauver sauvé savanes savannah savannakhét savanne save saved savelist saver saves savez savi saving savings savinji savo savoie savoir savona savosavo
+sawai sawan saweru sawi sawila sawknah saxe saxon saxutils saxwe saya saying sayle says sayula sayyid saïda saône saúl sbatch sbcharsetprober sbin
+sblock sburke scaffolding scala scalable scalaire scalaires scalar scalars scalate scalb scale scaled scales scaling scaml scan scandir scanf scanlzma
+scanned scannell scannen scanner scanning scans scantily scary scatter scattered scavenge scdaemon scdoc scenario scenarios scene scenes schaaf schaal
+schaan schablone schachtelungstiefe schaefer schaffhausen schaft schaik schake schalnat schalten schalter schaltet schan schannel schar schattens
+schattentyp scheck sched schedule scheduled scheduler schedulers schedules scheduling schedutils scheel scheidegger scheinen scheint scheiterte
+schellenberg schema schemadir schemas schemata scheme schemes schicken schiebeanzahl schieben schieber schiebers schilling schillstrom schindelin
+schizo schlecht schlechten schleef schleife schlesisch schleswig schließen schließende schließenden schließendes schließt schlittermann schlueter
+schlug schluss schläft schlägt schlü schlüssel schlüsselbezeichner schlüsselblock schlüsselbund schlüsselbundes schlüsseldatei schlüsseldaten
+schlüsselerzeugung schlüsselkennung schlüssellisten schlüssellänge schlüsseln schlüsselpaar schlüssels schlüsselserver schlüsselsignatur
+schlüsseltabelle schlüsseltabellen schlüsseltabelleneintrag schlüsseltabellennamens schlüsselverwendungszwec schlüsselwert schlüsselwertedatei
+schlüsselwiderruf schlüsselwort schlüsselwörter schmales schmidt schmitz schneeweisz schneider schnell schnelle schnittstelle schnittstellenname
+scholz schon schona schonning school schottisch schottisches schouten schreibbar schreibe schreiben schreibfehler schreibgeschützt schreibgeschützte
+schreibgeschütztes schreibmaschine schreibvorgänge schreibzugriff schrift schriftdehnung schriften schriftfamilie schriftgewicht schriftgröße
+schriftstil schriftsysteme schriftvariante schritte schrittschalter schrittschalters schrittweite schroeder schrägstrich schrägstriche schtasks
+schuldei schulenberg schulhof schultz schulz schulze schutz schutzes schuymer schwab schwach schwache schwartz schwarz schwarzen schweden schwedisch
+schwedische schweigler schweiz schweizer schweizerdeutsch schwenke schwere schwerer schwern schwyz schändung schär schéma schémas schützen science
+sciences scientific scilab scilly scindé scipy scissors scnlen scol scomm scope scoped scopeid scopes scoping score scorecard scores scorpio scorpius
+scotia scotland scots scott scottish scraping scratch scream screams screen screener screenplay screens screensaver screenshot screenshots screw
+screwed screwup screwy script scripted scriptfile scriptics scripting scriptlet scriptname scripts scrivano scroll scrollable scrollbar scrollbars
+scrolled scrolledtext scrolling scrub scrutation scrypt scsi sculpture scythian scène scénario sdaoff sdata sdist sdists sdkinstallrootv seal sealed
+seamless seamonkey sean search searchable searchdata searched searches searching seashell season seat seats seba sebastiaan sebastian sebastien sebat
+sebdeckers seberuang sebop secadv seccional secciones sección seccreate sech sechelt secmem second secondaire secondarily secondary seconde secondes
+seconds secours secoya secp secrecy secret secreta secretas secretkey secreto secrets secrète secrètes secs sect sectdiff secteurs section sectioned
+sections sectname sector sectores sectors sectransp secuencia secuencias secundaria secundario secure securebits secureconnectionlistener secured
+securely securepair secureplt securetransport securing security securitycode secwepemctsin sedang sedoa sedoi seealso seed seeded seeding seeds seeing
+seek seekable seekdir seeked seeking seeks seeku seem seemingly seems seen seenlist seenset sees sefrou sefton sega segai segeju seget segfault
+segfaulted segfaulting segfaults segment segmentación segmental segmentation segmento segmentos segments segovia seguida seguido seguidos seguimiento
+seguir segunda segundo segundos segura seguramente seguras seguridad seguro seguros segv según sehen sehr sehwi seibert seibo seiler seimat sein seine
+seinem seiner seines seit seite seiten seitenbreite seitenverhältnis seitenvorschub sejong sekani sekapan sekar seke sekele seki sekido seko sekpele
+sektion sektoren sekunde sekunden sekundäre sekundären sekundärer sekundäres sela selangor selaru selatan selayar selben selber selbst selecciona
+seleccionada seleccionadas seleccionado seleccionador seleccionados seleccionando seleccionar seleccione selección select selectable selected
+selecting selection selections selective selectively selector selectors selects selee selenge selepet seletar self selfdot selfref selfsigned selian
+selibe selinux selkoupe selkup selkupisch sell selling sells selnica selo selon seltjarnarnesbær seltsames selungai seluwasan semai semaine semaines
+semana semanas semandang semantic semantically semantics semaphore semaphores semaq semara sembaan sembabule sembakung sembilan semblance semble
+semblez semctl semelai semget semi semicolon semicolons semienawi semikolon semilla semily semimi seminol seminole semitic semitische semnam semnani
+semop sempan semver semáforo sena sename senara senaya sencilla send sendall sendauth sendbytes sende sendemail senden sender senders sendet sendfile
+sendhandle sending sendmail sendmsg sends sendto sene seneca sened senegal sengele senggi sengo sengseng senhaja senj senjska senkpiel senkrechten
+sennar senni senoufo sens sense sensi sensibel sensibilidad sensibilité sensible sensibles sensibly sensing sensitive sensitivity sent sentani
+sentence sentences sentencia senthang sentido sentimos sentinel sentinels senufo seoul sepa separa separable separación separada separadas separado
+separador separadores separados separan separar separat separate separated separately separates separating separation separator separators sepedi sepi
+sepik seppo seps sept september septentrional septentrionale septentrionales septyp sepuede seqs sequence sequencer sequences sequencing sequential
+sequentially sequenz sequenzen sera seraient serait serange serbe serbia serbian serbie serbien serbio serbisch serbo serbokroatisch serdes sere serer
+serere serge sergei sergey sergio sergiodj sergipe seri serial serializable serialization serialize serialized serializer serializes serializing
+serialno serie seriennummer series serif serili serious seriously sermersooq sermon seroa seront serpent serrador serrano serravalle seru serua
+serudung serue serui serve served server serverclosecallback serverlist serverliste serverlisten servern servername serverresponse servers
+serversignatur serves serveur serveurs service servicedatei services servicing servicio servicios servidor servidores serving servir servname servo
+será serán sería seselwa sesiones sesión sess sesse session sessions seta setacl setaddrs setaffinity setaman setattr setblocking setcbreak setchwana
+setcomptype setcontext setdefault setdefaulttimeout setdiff setegid setend setenv setera seteuid setext setf setfield setfile setflags setfont
+setframerate setfscreatecon setgid setgrent setgroups seth sethi sethmlarson sethostent sethostname seti setintervalcallback setitem setitimer setkey
+setlength setlinewidth setlnum setlo setlocal setlocale setlos setmark setminus setmode setname setnchannels setnetent setnframes setns setomaa setopt
+setoption setparam setparams setpgid setpgrp setpos setposition setpriority setproctitle setprofile setprotoent setpw setpwent setpwnam setraw setrec
+setregid setreuid setrlimit sets setsampwidth setservent setsid setsize setslice setsockopt setstate setsw settable settat setter setters settime
+settimeout settimeoutcallback setting settings settla settle settled settlement settrace settype setuid setup setups setuptools setv setvbuf setx
+setxattr setxor setyo setze setzen setzt setúbal seudo seuil seul seule seulement seules seuls seuser sevastopol seven seventh sever severability
+several severe severed severin severinsson severity severn severnaja severnobanatski severo sevilla sevnica sewa seward sexe sexp sexual sexuality
+sexualized sexuel sexuelle seychellen seychelles seyðisfjarðarkaupstaður seze señal señala señales sfax sfeltman sfence sfere sframe sfrost sget
+sgolovan sgrubb sgybas shaanxi shaary shaas shabak shabeellaha shabunda shabwah shade shaded shading shadow shadowed shadowing shadows shadura shah
+shahi shahmirzadi shahrudi shake shaleh shall shallow shallowly shalom shama shamang shambala shan shandong shanenawa shanga shanghai shankar shanxi
+shape shaped shapes shaping shapra sharada sharanahua shard share shareable shared sharedctypes sharedlib sharedrepository sharer shares shariatpur
+sharif sharing shark sharma sharnoff sharp sharpone sharuzzaman sharwa shasta shasum shatt shau shaun shavian shaw shawn shawnee shay shaykh shcompact
+shebang shechi shedel sheema sheer sheet sheeter sheets sheffield shehri sheikh shekhawati shekkacho sheko shelf shell shellcheck shelley
+shellkommando shells shellscript shellsession shelor shelta shelve shempire shen shendu sheng sheni shentsize sheqel sherbro sherdukpen sherpa sherpur
+shertler sheshi shetland shex shexc shida shield shields shift shifted shifter shifting shiftjis shiftjisx shifts shiftwidth shiga shigeki shigh
+shihhi shik shikadi shiki shilling shilluk shilo shim shima shimane shims shin shina shint shinya shinyanga ship shipibo shipped shipping ships
+shirima shisama shiselweni shiwiar shizuoka shkodër shlex shlextra shlib shlibdeps shlibs shlstoff shmget shmop shnum shoals shobhit shockwave shoe
+shoes shoff sholaga shom shona shoo shopov shopt shor short shortcmd shortcut shortcuthandler shortcuts shorten shortened shorter shortest shorthand
+shorthands shortlog shortly shortname shortopts shorts shortstat shoshoni shot should shouldn shout shove show showauto showed showformat showing
+shown showrefcount showroot shows showsyntaxerror showtraceback showwarning shrank shred shrestha shrimgcnt shrink shrinking shrinks shropshire shrunk
+shua shuadit shuar shubham shubi shubin shuf shuffle shughni shumashti shumcho shumen shumow shuswap shut shutdown shutil shuts shutting shuwa shwai
+shwe shyghys shymkent shéfa siag sialum siam siamashka siamese siamou sian siane siang siar siarhei siawari siawi siaya sibbald sibe siberian sibiu
+sibling siblings sibu sibugay sibérie sicanian sicel sich sicher sichere sicheren sichergestellt sicherheit sicherheits sicherheitsaktualisierun
+sicherheitskontext sicherheitskopien sicherheitsstufe sichern sicherstellen sicherung sicherungs sicherungsdatei sicherungskopie sichtbar sichtbare
+sichtbarkeit sichuan sicilia sicilian siciliano sicilien sick siculo sidamo siddall siddham side sideband sidebar sided sides sidetic sideways sidi
+sido siduction sidès siegel siegen siehe sieht siem siemens siempre siena siendo sienna siento sierra sieve sievers siewior sifilter sigaction sigave
+sigfridsson sigh sighu sigil siginfo sigint siginterrupt sigma sigmask sign signable signal signale signaled signaler signalez signalhelper signaling
+signalisiert signalled signalling signalmodule signalname signalnamen signalnummer signals signalton signalverarbeitung signalé signalée signame
+signataire signatur signatura signaturalgorithmus signature signaturen signatures signaturprüfung signaturschlüssel signaturtyp signaturunterschlüssel
+signaux signbit signe signed signer signers signes signet signets signieren signiert signierte signierten signiertes signierung significa significado
+significance significand significant significantly significar significatif signification significativo signifie signifier signifies signify signifying
+signing signingkey signo signoff signos signs signum signé signée signées signés sigpending sigpipe sigprocmask sigquit sigs sigset sigspec sigterm
+sigtimedwait sigue siguen siguiendo siguiente siguientes siguiri siguldas sigval sigwait sigwaitinfo sigxcpu sihan sihanouk sihuas siirt sika sikaiana
+sikaritai sikasso sikelianos sikiana sikkes sikkim sikkimese siksika sikule sila silacayoapan silbermann sileibi silence silenced silencieusement
+silencieux silenciosamente silencioso silent silently silesian siliana silicon silimo siliput silistra sillamäe silly silopi silt silva silver
+silvercrest silverwind silésie silésien simaa simalungun simba simbabwe simbali simbari simbiti simbo simbólica simbólicas simbólico simbólicos simd
+simdutf simeku simen simeq simeulue simg similaire similaires similar similares similarity similarly simiyu simmons simo simon simonov simons
+simonsouth simple simpledialog simplefilter simplejson simplement simplemente simpler simples simplest simplicity simplification simplifications
+simplified simplifies simplify simplifying simplistic simply simpson sims simte simulada simulate simulated simulates simulating simulation
+simultaneous simultaneously simultanée simultanément simultáneamente simão simétrico sinagen sinaloa sinasina sinaugoro sinc since sinclude sincos
+sincosq sincronización sincronizar sind sindarin sindh sindhi sindholt sindihui sindre sindresorhus sine sinfo sing singa singapore singapour singapur
+singers singh singhalais singhalesisch singida single singledispatch singlefloat singleline singlepix singlequote singlestring singleton singletons
+singly singpho singular singularity sinh sinhala sinhalese sinicahua sininkere sink sinn sinnvoll sino sinoe sinon sinop sinq sint sintaxis sinte
+sintáctica sintáctico sinyar sinónimo siona siouan sioux sipacapense sipaliwini siparia siparuni siphash sipsolutions siquiera siquijor sira siracusa
+sirajganj siraya sirdaryo sirenik sirevision siri siria siriaco siriano sirio sirionó sirmauri siro siroi sironko sirrix siríaco sisaala sisala
+sissala sissano sissili sistema sistemas sistina siswati site sitecustomize sitedir sitemu sitepackages sites sitio sits sitter sitting situaciones
+situación situation situationen situations situe situé sitzung sitzungen sitzungs sitzungsschlüssel siuslaw sivandi sivaraj sivas sivov siwai siwi
+siwu sixth siyin size sized sizehint sizeof sizeofcmds sizes sizesize sizilianisch sizing siècles sjbaker sjis sjoerd sjælland skaftárhreppur
+skagabyggð skagafjörður skagaströnd skagit skaja skala skalieren skaliert skalierungsfaktor skalvian skeggs skeiða skel skeletal skeleton skencil
+skepi sketch skew skewed skewness skey skhirate skij skikda skill skip skipkeys skipped skipper skipping skipresult skips skiptext skipto skjæveland
+sklaverei skokan skolelinux skolt skomski skorradalshreppur skou skript skripte skrundas skuodas skurydzin skywalker skåne skútustaðahreppur slab
+slabinfo slabs slack slackware slang slapstick slash slashes slashesdenotehost slashstartsregex slate slated slatina slattach slave slaven slavery
+slaves slavey slavic slavomolisano slavon slavonic slavonska slawische sleep sleeping slen slept slice sliceable sliced slicer slices slicing slicings
+slide slider sliding sliema slight slightly sligo slim slimane slimline sline slip slist sliven slivnica slocate slootman slope sloppy slot slotcount
+slots slotstate slough slovak slovakia slovakian slovaque slovene slovenia slovenian slovenj slovenska slovenske slovenskih slovène slovénie slow
+slowakisch slowdown slowed slowenien slowenisch slower slowest slowloris slowly slows slurm slurp slurped slurpfile slurpy slyon smali small smaller
+smallest smallint smalloc smalltalk smaps smarden smart smartcard smartcardio smartcards smarter smartmedia smartmips smartos smarts smarty smashing
+smatsu smclas smile smiley smiltenes smime smit smith smithy smoke smolenskaja smolyan smoorenburg smooth smoothing smtplib smtputf smudge smueller
+smuggle smuggling smurf smärky snake sname snan snap snapshot snapshotable snapshots snapshotted sneaky snek snell sneves snice snider sniff snippet
+snippets snobol snohomish snorp snow snowball snowballstem snowman snprintf snæfellsbær soap sobald sobané sobas sobei sobota sobra sobre sobrecarga
+sobredesborda sobreescribe sobreescribir sobreescritos sobreescritura sobrepasa sobrescribe sobrescribiendo sobrescribir sobrescritos sobrescritura
+soccsksargen sochiapam social socialist socialista socialiste society sock sockaddr sockatmark socket socketconnectoptions socketconnectport socketios
+socketmodule socketpair sockets socketserver socklen sockprox socks socktype socsecno soeben soeller soeren sofala sofer sofern soffer sofia sofort
+soft softfpa softkwlist softmagic softsurfer softvfp software softwarekomponente softwarekomponenten softwareproperties softwaresupport soga sogdian
+sogdien sogdisch soient soin soit sokhem sokolov sokoro sokoto sola solamente solange solano solapa solapamiento solapas solar solaris solarized solch
+solche solcher solches sold sole solely solenikov soli solicit solicitada solicitadas solicitado solicitados solicitando solicitud solicitudes
+solicitó solid solidity solihull solitary soll sollen sollte sollten solo sololá solomon solong solos solothurn solucionador solución solution
+solutions solve solved solver solves solveur solving somali somalia somalie somalí somba sombra sombreado some somebody someday somefile somehow
+someone somerset something sometime sometimes somewhat somewhere somme sommes sommet somogy somoni sompeng somrai somray somyev sonaga soname sonatype
+sonawane sondanés sonde sondern sonderverwaltungsregion sonderzeichen sondrio song songe songhai songhay songhaï songkhla songkhram songlai songo
+songomeno songoora songs songway songwe sonha sonia sonido sonidos soninke soninké sonnenschein sonnerie sonora sonore sonores sons sonsonate sonsorol
+sonst sonstige sont sontri sony sool soon soonest sophia sophisticated soporta soportada soportadas soportado soportados soportan soportar soporte
+soportes sopron sopwith soqotri sora sorabe sorabes sorarize sorbian sorbien sorbisch sorbische sorce sorensen sorhus sori soria soriano sorkhei
+soroca sorothaptic soroti sorry sorsoganon sorsogon sort sortable sorte sorted sortie sortieren sortiername sortieroptionen sortierreihenfolge
+sortierspezifikation sortiert sortierung sortierungsanzeiger sortierzwecken sorties sorting sortir sortname sorts sosedkin sosnowski sospechosa sosso
+sota sotavento sotho sotli soudan soudanais soudaniques souflis soufrière sought souhaiter souhaitez souhaitiez souk soulignement souligné soulignés
+soum sound soundex soundpos sounds source sourcecode sourced sourcefile sourceforge sourcehook sourceline sourcelist sourcemaps sourcepackage
+sourceparts sourcepawn sources sourceslist sourceware souris sourmilk sourou sous souss sousse soustraction south southampton southeast southeastern
+southend southern southland southwark southwest southwestern souvenir souvent soviet sowa sowanda soweit sowie sowohl soyaltepec soyez sozialistische
+space spaced spacer spacers spaces spacing spadesuit spafford spain spake spalte spalten spaltenkopf spaltennummer spam span spanien spanisch
+spanische spanish spanned spanning spans sparc spare sparql sparse sparsely sparsity spatcher spawn spawned spawning spawnlp spawns spawnsync spawnv
+spawnvpe speak speaker speakers speaking spearman spec special specialattrs specialization specializations specialize specialized specializes
+specially specialnames specialness specials specific specifically specification specifications specificity specifics specifie specified specifier
+specifiers specifies specify specifying specs spectralink spectrum sped speech speed speeding speedo speeds speedup speedups speedwords speedy speex
+speicher speicherbedarfsbegrenzun speicherbereich speicherfehler speicherform speichern speicherort speicherplatz speichers speichert
+speicherverbrauch speicherzuordnungsfehler speicherzuordnungstabell speicherzuweisung speleotrove spell spelled spelling spellings spencer spend
+spending spends spent sperrbildschirm sperrdatei sperre sperren sperrgrund sperrmodus sperrt spetentrional spezia spezialdatei spezialdateien
+spezielle spezifikation spezifikationen spezifische spezifischen spezifischer spezifisches spezifiziert sphere sphinx sphinxlocal spice spicelang
+spider spiegelserver spieler spies spiesschaert spill spin spinbutton spinner spinners spirit spit spitfire spiti spitze spjuth spkac spki splice
+splicing spline split splitattr splitbar splitdrive splitext splithost splitlines splitpasswd splitport splitquery splitroot splits splitsko splittag
+splitter splitting splittype splituser splitvalue splus spnego spokane spoken sponsor sponsored sponsoring sponsorship spontaneous spoof spoofed
+spoofing spool sport sports spot spotlight spots spotted sprache spracheingabe spracheinstellungen sprachen sprachfamilie spread spreading spreadsheet
+spreadsheets spring springen springle sprintf sprite sprung sprungmarke spueu spule spurious später späteren spéc spécial spéciale spéciales spéciaux
+spécifiant spécificateur spécificateurs spécification spécifications spécificités spécifie spécifier spécifiez spécifique spécifiques spécifié
+spécifiée spécifiées spécifiés spélugues spíritus sqcap sqcup sqlite sqsubset sqsubseteq sqsupset sqsupseteq squamish square squared squares squash
+squashed squashfs squashing squeak squeeze squeezing squelch squelched squfof squid squidconf squirreled squote sraghna srair sranan srand srandom
+srange srcdir srcentry srcfile srcinfo srednjebanatski sree sreepurnajasti sreeves srem sremski srijemska srinivas srivasta srivastava srow srpska
+srvtab sscanf ssection ssed ssize sskaje sslcontext sslkey sslmode sslobj sslpassword sslproto ssock sspi sstatus staat staaten stab stability
+stabilize stabilizing stable stabs stabx stachowski stack stacked stackexchange stacking stacklevel stackoverflow stacks stacksize stacktrace stade
+stadt staff staffordshire stage staged stages staggered staging stale stall stalled stalling stallman stammt stamp stampede stamping stamps stan stand
+standalone standard standardausgabe standardeingabe standardeinstellung standardfehler standardfehlerausgabe standardisiertes standardization
+standardize standardized standardkonfiguration standardml standardmäßig standardmäßigen standards standardschlüsseltabelle standardtyp
+standardverhalten standardvorgabe standardwert standardzwischenspeicher standby standing standort stands stanford stangler stanislav stann stanza
+stapel stapelberg stapelverarbeitungsdatei staple staplin star stara stark starkwang starmap staro staroffice starovoitov starred starship starsinic
+start started starten starter startet startfile starting startline startloc startof startpos startproc startpunkt starts startswith starttag starttime
+starttls startup startwert startzeit stas stash stashed stashen stashes stashing stat stata statatement state stated stateful stateless statement
+statements states stateset statfs static statically staticmethod staticmethods statics stating station statique statiques statistic statistical
+statistics statistik statistiken statistiques statoverride statoverrides stats statt stattable stattdessen statuer status statusbar statuscode
+statusdatei statuses statusinformationen statusleiste statusline statusmessage statussymbol statut statute statutory statvfs statx stavropol stay
+stays stbuehler stcarrez stdarg stdbuf stdcall stddev stderr stdev stdin stdio stdlib stdout steady steal stealing stedolan steen steensrud steering
+stef stefan stefanb stefanmb stefano stefanor steffen stefw stehen steht steiermark stein steinar steiner steinhardt steinke stelian stellard stelle
+stellen stellgröße stellingwerfs stellt stelmach stem stems stenberg stencil stenography step stepan stephan stephane stephen stepper steppers
+stepping steps stepwise sterchele sterchelen stereo stereá sterling stets steuer steuerdatei steuerdateien steuerinformationen steuern steuerung
+steuerzeichen steve steved steven stevenj stevens steward stewards stewart sthibault stica stichele stichting stick sticking sticks sticky stieng stil
+stilkontext still stille stiller stillschweigend stime stimmen stimmt stimulate stipple stirling stlman stock stockage stocke stocker stockholm
+stockholms stockport stockton stocké stockée stockées stockés stod stoebich stojanovic stoke stolen stolitsa stoll stomp stone stoney stop stopp
+stoppage stopped stoppen stopping stoppt stoppé stoppée stoppées stops stopwatch stopwords storable storage store stored stores storing storsjo
+storsjö story stoth stowers stpcpy strabane strace straight straightened straightforward straightforwardly strait straits strakonice strakt
+strandabyggð strange strategic strategie strategien strategies strategy stratégie stratégies strauss straw strawman stray strbuf strcache strcasecmp
+strcasestr strcat strclass strcoll strcopy strcpy strdup stream streamduplex streamed streamer streaming streamline streamlined streamlining
+streamnovation streamreader streams streamwriter streebog street streeter streetman strength strengthen strerror stress stretch stretched strfind
+strflag strftime stribley strich strict stricter strictest strictfp strictly strictness stride strike strikethrough strikt string stringbytes
+stringdata stringent stringescape stringfileinfo stringification stringified stringifies stringify stringifying stringio stringlike stringliteral
+stringloc strings stringtable strip stripnl stripped stripper stripping strips stripspace strjoin strlcat strlcpy strlen strlower strmatch strncasecmp
+strncat strncpy strndup strnlen stroke strom strong strongarm stronger strongly strpos strprefixes strptime strrev strsep strsplit strtab strtable
+strtest strto strtobool strtod strtoimax strtok strtol strtoll strtoul strtoull strtoumax strtrim struct structs structtjregion structtjscalingfactor
+structtjtransform structural structure structured structures structurée struga struktur strumica strupper strut strvec strömbergson stschake stsym
+stty stuart stub stubs stuck student studied studio study stufe stuff stuffed stufft stunde stunden stupid stupéfiants stusta stykkishólmsbær style
+styled styledefs styleguide styles stylesheet stylesheets stylet styli styling stylistic stylize stylus stype stéphane stînga stöbich stücke suabo
+suain suarmin suau suba subactions subanen subanon subanun subarray subca subcadena subclass subclasscheck subclassed subclasses subclasshook
+subclassing subclave subclaves subcmd subcomando subcommand subcommands subconjunto subcontext subdiagram subdiagrams subdir subdirectories
+subdirectorio subdirectorios subdirectory subdirs subdivi subdivided subdomainbase subdomainfs subentry subespacios subexpression subexpressions
+subfiles subfolder subformat subgids subgraph subheading subida subinterpreters subitem subiya subj subject subjectively subjects subjekt subkey
+subkeys sublicensable sublicense sublicenseable sublicensed sublicenses sublists sublocation submenu submenus submenú submission submit submits
+submitted submitting submod submodul submodule submodulen submodules submoduls submódulo submódulos subn subname subnamespace subnet subnets subnode
+subnodes subobjects suboptimal subordinate subordonnés subpackage subpackages subpacket subparser subparsers subpart subparts subpath subpatrones
+subpatrón subpattern subpatterns subpixel subproceso subprocess subprocessdisconnect subprocesses subprocesskillsignal subprogram subprograms
+subproject subprojects subproperties subprozess subr subrayado subrayados subresource subroutine subroutines subs subscribe subscribed subscriber
+subscript subscriptable subscripted subscripting subscription subscriptions subscripts subsection subsections subsequence subsequences subsequent
+subsequently subservice subset subseteq subsets subshell subsidiary subsistema subslices subspace subspaces subst substance substantial substantially
+substantive substantively substitute substituted substituting substitution substitutions substitutionsvariable substr substring substrings substvars
+subsystem subsystems subtest subtests subtiaba subtipo subtitle subtitles subtle subtlety subtly subtract subtracted subtracting subtraction subtracts
+subtrahend subtree subtrees subtype subtypes subtyping subtítulos subuids subunit subversion subvolume subyacente subíndice subórdenes sucap succ
+succeed succeeded succeeds succeq success successes successful successfully successive successively successor successors succinctly succès suceava
+suceda sucede suceso such sucha suchanbieter suchbereich suche suchen suchitepéquez suchmuster suchpfad suchpfade sucio suck sucre sucumbíos sudan
+sudanese sudanesisch sudanesisches sudanic sudest sudo sudovian sudáfrica sudán suecia sueco suelta suelte suelto sueltos suena suff suffer suffice
+sufficient sufficiently suffisamment suffisant suffix suffixe suffixed suffixes suffolk suficiente suficientemente suficientes sufijo sufijos suga
+suganga sugar sugerencia sugerencias suggest suggested suggesting suggestion suggestions suggests suggère sughd sugiere sugut suicide suis suisse suit
+suitability suitable suitably suite suites suits suivant suivante suivantes suivants suivent suivi suivie suivis suivre suixinlei suiza suizo sujet
+sujeto sukhothai suki suku sukuma sukur sukurum sula sulawesi suline sulka sulod sultan sultanat sultanate sulu suma suman sumariup sumas sumatera
+sumatra sumau sumbawa sumbwa sumerian sumerio sumerisch sumero sumi suministrado suministro summaries summarization summarize summarized summarizes
+summarizing summary summe summer summing summit sums sumsal sumska sumtu sumérien sunam sunamganj sundanais sundanese sundanesisch sunday sunderland
+sung sungai sunjae sunnyvale sunos sunplus sunrpc sunset sunsite sunt sunwar suomi suominen suoy supenaam super superblocks superclass superclasses
+supercollider superficial superficiales superficiel superficielle superficielles superficiels superflu superflue superfluous superflus superh superior
+superiores superposition superproject superproyecto superscript superscripts supersede superseded supersedes superset supersets supertype superuser
+superusuario superutilisateur supervised suphan suplementarios supone suponiendo suport supp supplement supplemental supplementary supplemented
+supplements supplied supplier suppliers supplies supply supplying supplémentaire supplémentaires support supportant supporte supported supporter
+supporting supports supporté supportée supportées supportés supposant suppose supposed supposedly supposer supposé supposée supposées suppr suppress
+suppressed suppresses suppressing suppression suppressions supprimable supprimant supprime supprimer supprimera supprimerait supprimez supprimé
+supprimée supprimées supprimés supr suprime suprimir supset supseteq supyire supérieur supérieure supérieures surat surbakhal surbrillance surcharge
+surcharger sure surface surfaces surgujia surgut surigao surigaonon surin surinam suriname surjapuri surname surnuméraire surprise surprises
+surprising surprisingly surrender surrendered surrenders surrey surrogate surrogateescape surrogateescaped surrogatepair surrogatepass surrogates
+surround surrounded surrounding surrounds sursurunga surt surtout suruahá surubu suruí surveillance surveille surveiller survenue survenus survienne
+survient survive survol surxondaryo suryanarayana surý susant susceptible suse susp suspect suspected suspects suspend suspended suspender suspens
+suspension suspensión suspicious suspiciously susquehannock sussex sustituciones sustitución sustituir sustituye sustracción susu susuami sutherland
+sutton suug suundi suwawa suwayf suways suyá suzuki suède suédois suédoise suðurland suðurnes suðurnesjabær svaay svalbard svalbarðshreppur
+svalbarðsstrandarhreppur svalente svan svaneti svdlinden svdvorak sveinki sveinn sveitarfélagið svelto sven svens svensson sverdlovskaja sveta sveti
+svetlikova svintsoff svitavy svnimport swab swabian swahili swallow swallowed swallowing swampy swansea swap swapon swapped swapping swaps swatch
+swathi swati swazi swecha sweden swedish sweep sweet sweetapp swieqi swift swiftgyb swig swindon swiss switch switched switches switching switzerland
+syddanmark syenara sylhet sylheti syllabaries syllabics syloti sylvestre symas symb symbol symbolanzahl symboldatei symbole symboles symbolgröße
+symbolic symbolically symbolique symboliques symbolische symbolischen symbolischer symbolname symbolnamen symbols symbolsatz symboltabelle syment
+symfile symlink symlinked symlinking symlinks symmetric symmetrically symmetry symndx sympatico symplon symptom symref syms symtab symtable
+symtablemodule symvec symver symétrique synaptic sync synced syncfs synch synched synching synchrone synchronisation synchroniser synchronisieren
+synchronisiert synchronization synchronize synchronized synchronizing synchronous synchronously syncing syndication synonym synonyme synonymous
+synonyms synopsis synopsys syntactic syntactically syntax syntaxe syntaxes syntaxfehler syntaxique synth synthesize synthetic sypnosis syria syriac
+syrian syriaque syrie syrien syrienne syrisch sysadmin syscall syscalls sysconf sysconfig sysctl sysdeps sysexits sysfs sysid sysinfo syslog
+syslogmodule sysopen sysread sysroot sysseek system systemaktualisierungen systematic systemaufruf systembefehle systembenutzer systemctl systemd
+systemdienste systemen systemerror systemfabricworks systemfehler systemgruppe systems systemsteuerungen systemtap systemtyp systemverilog systemzeit
+systime système systèmes sysutils sysv syswrite syunik szabolcs szathmáry szatmár szeged szegedi szekszárd szenario szene szidek szmek szmigiero
+szolnok szombathely szymon székesfehérvár sáliba sánchez sánscrito sázavou sãotomense sächsisch sèvres sébastien sécurisé sécurisée sécurité sédhiou
+ségou sélecteur sélection sélectionnant sélectionne sélectionner sélectionnez sélectionné sélectionnée sélectionnées sélectionnés sélections sémaphore
+séminole sémitiques séno sénoufo sénégal séparateur séparateurs séparation sépare séparer séparé séparée séparées séparés séquence séquences
+séquentiellement sérialiser série sérère sétif sìcìté símbolo símbolos síncrona sîngerei sólo södermanlands sörensen søren sørensen súðavíkurhreppur
+sûre sûrement sûrs südafrika südbolivien südlichen südliches südost südqiandong südsudan südwest südwestliches südöstliches sühbaatar sümber taabwa
+taakaev tabaa tabac tabaco tabaquite tabaru tabasco tabassaran tabelle tabellenbeschriftung tabellenspalte tabellenzeile tabla tablas table tableau
+tableaux tablegen tables tablet tableta tablets tablette tabloid tabnanny tabo tabor tabora tabriak tabs tabsize tabstop tabulaciones tabulación
+tabulador tabuladores tabulahan tabular tabulate tabulateurs tabulation tabulations tabulator tabulatoren tabulatorgröße tabulatorstopp tacahua tacana
+tachawit tachelhit tachoni tachov tack tacna tactile tactiles tacuarembó tadaksahak tadavis tadjik tadjikistan tadjourah tads tadschikisch
+tadschikistan tadyawan tadó taff tafi tafilalet taféa tagabawa tagakaulo tagal tagalaka tagalo tagalog tagant tagargrent tagbanoua tagbanua tagbanwa
+tagbu tagdal tage tagen tagged tagger tagging tagin tagish tagname tagnames tagoh tagoi tags tagwana tahaggart tahitian tahitiano tahitien tahitisch
+tahkola tahltan tahoua taiap taichung taikat tail tailande tailandia tailandés tailevu taille tailles tailor tails tainae tainan taino taint tainted
+taipei taira tairora tairuma taita taitung taiwan taiwanese taiwanés taiwán taje tajik tajiki tajikistan tajiko tajima tajio tajuasohn taka takamaka
+takashi takata takayuki take takelma taken takes takestani takewhile takia taking tako takri takua takuji takum takuro takutu takuu takwane tala
+talantang talas talaud talbot tale tales taliabu talieng talinga talise talk talked talking talks tall tallinn tally talodi taloki talondo talossan
+talparo talsu talu talysh tama tamacheq tamagario tamahaq tamajaq tamajeq taman tamanaku tamang tamanrasset tamaseq tamashek tamasheq tamaulipas
+tamazight tamazola tamaño tamaños tambacounda tambas también tambora tambotalo tambovskaja tameside tami tamil tamilisch tamilnet tamique tamise tamki
+tamnim tamoul tampered tampering tampias tampon tampons tampuan tampulma tampón tana tanacross tanahmerah tanaina tanana tanane tanapag tandaganon
+tandem tandia tandis tandjilé tandroy tandy taneli tanema tang tanga tangail tangale tanganyika tangchangya tangent tanger tanggu tangkhul tangko
+tanglang tango tangoa tangoute tanguat tangut tangutisch tanh tanimbili tanimuca tanintharyi tanjijili tanjong tanna tanner tanosy tansania tant tanto
+tanudan tanzania tanzanian tanzanie taobao taoudénit taounate taourirt taoyuan tapa tapant tape tapei taper tapes tapez tapieté tapirapé tapoa tapping
+taptestrunner taraba taraclia tarahumara taranaki tarangan tarangien taranto tarao tarapacá tarasco tarball tarballs tarbe tard tardar tardif tarea
+tareas tarek tareng tarf tarfaya tarfile tarfiles targa target targeted targeting targetname targetpath targetpkg targets targetver targos targovishte
+tariana tarifit tarija tarinfo tarith tarjeta tarjumo tarlac tarn tarnovo taro tarobj tarok taromi taroudannt tarpia tarrafal tarragona tarrio tars
+tarsha tartessian tartu tartumaa taruma tarxien tasa tasawaq tase task taskbar tasks taskset tasm tasman tasmania tasmate tasn taso tastatur
+tastaturebene tastaturen tastaturkürzel tastaturmaus taste tasten tastenkombination tastenkürzel tastenkürzelgruppe tastenkürzelpfad tastenverzögerung
+tastfeld tastfelder tata tatabánya tataltepec tatana tataouine tatar tatarisch tataro tatarstan tate tatisch tatsuhiro tatsächlich tatuyo tauade
+taught taulil taungyo taupota tause taushiro tausug taux tauya taveta tavoyan tavringer tavytera tawala tawallammat tawandê tawang tawara tawbuid tawi
+taworta tawoyan tawr taxes tayart tayikistán taylor taymans tayo taza taznatit taïwan tbar tbilisi tboli tbong tbreak tbuffer tcgetattr tcgetpgrp
+tchad tchadien tchagatay tchi tchitchege tchouvache tchumbuli tchèque tchérokî tchétchène tcsetattr tcsetpgrp tcshcon tdaoff tdbtool tdmi teach
+teaches teal team teams teanu tear tearce teardown tearoff tearoffs tebi tebibytes tebul tech technical technically technique techniques technological
+technologies technology technosystems tecla teclado teclados teclas teclee tecpatlán tecóatl tedaga teddy tedgi tedim tedious teen tees tefaro tegali
+tege tegu tehit tehuelche teil teilbaum teildatei teile teilen teils teilweise teita tejalapan teke tekniska tektiteko tektronix tela telecom telefol
+telefon telegraph telegraphics telemark teleorman telephone teles telford tell telldir telle telles telling tellnes tells telnet tels telugu teléfono
+tema temacine temalacayuca temas temascaltepec tembo temburong tembé teme temein temi temiar temnisch temoaya temoq temotu temp tempd tempdir tempfile
+tempfiles template templated templates templating temple tempnam tempname tempor temporada temporaire temporairement temporaires temporal temporales
+temporalmente temporaries temporarily temporary temporisation temporización temporizador temporäre temporären temporärer temporäres temps temptation
+tempted tempting temuan temuri tena tenacity tenango tencent tend tendrá tendrán tends tene tener tenerife tenga tengah tengan tenge tenggara
+tenggarong tengger tengwar tenharim tenido tenino tenir tenis tennessee tennet tens tense tenstral tent tentative tentatives tenter tenth tentée teop
+teor tepecano tepehua tepehuan tepetotutla tepetzintla tepeuxila tepinapa teplice tepo tera terabytes teramo teras teraterm teratermmacro tercer
+terebu terei terengganu tereno teresa teressa tereweng teribe terik term termanu termcap terme termes termina terminación terminada terminado
+terminador terminados terminaison terminal terminale terminales terminals terminando terminant terminar terminate terminated terminates terminating
+termination terminator terminators terminaux termine terminer terminez terminfo terminierte terminology terminé terminée terminées terminés terminó
+termios terms ternary ternate ternateño terni ternopilska terraform terre terres terrible terribly territoire territories territorio territorios
+territorium territory terse tertiary teruel teräs tesaka tese teshenawa teso tessin test testability testable testanything testbbox testbuffer
+testcalendar testcapi testcase testcases testcfg testclean testclinic testdir teste tested testen tester testers testexternalinspection testfile
+testigo testimages testimgari testimgint testimportmultiple testing testinternalcapi testlimitedcapi testlist testmod testmultiphase testname
+testnouiprint testorig testpy tests testscript testsinglephase teststeuerdatei testsuite tesu tete tetela tetelcingo tetete tetovo tetralet tetras
+tetum tetun teukbyeoljachido teukbyeolsi teutila tevp tewa tewe tewekgeli texas texcatepec texi texinfo texistepec texmelucan text textbook textconv
+textdarstellung textdecoder textdokument textdomain texte textedit textes textfeldern textfeldes textfmts textio textmode textmodus texto textoff
+textos texts textsize textual textuales textually textuelle texture textwrap tezoatlán tfheen tflat tfoo tformat tgamma tgammaq tgid tgraf thaana
+thaba thachanadan thado thai thailand thailinux thailändisch thaiphum thakali thakurgaon thakurti tham thames thammarat than thangal thangmi thanh
+thani thank thanks thao thar tharaka tharnggala tharu that thaw thawa thaypan thaï thaïlande thealphanerd theanarkh thefile thefourtheye their theirs
+thekemkid them thema themaw theme themed themen themes theming themselves then thenable theo theodore theodotou theora theorem theoretical
+theoreticalchaos theoretically theory thep theppitak there thereafter thereby therefore therein thereof thereto these thessalía theta they thiago
+thibault thick thickness thierry thiin thijs thiladhunmathi thimphu thin thing things thingsdb think thinking thinks third thirty this thisclass
+thiscol thisline thistle thiès thiên thkukuk thoger thomas thompson thomson thong thopho thor thorough thoroughly thorpe thorsen thorsten those though
+thought thoughts thousand thousands thousandths thoyts thracian thread threaded threading threadlock threadmodule threadpool threads threadsafe threat
+threatened three threshold threw thrift throbbing throttle through throughout throughput throw throwable throwing thrown throws thru thráki thulin
+thulung thum thumb thumbnail thumbnailer thumbnailers thumbnails thunk thurgau thuri thurrock thursday thursfield thus thwart thykier thyolo thyrsus
+thái tháp thème thèmes thüringen tiagbamrin tiago tiale tian tiang tianjia tianjin tiaret tibea tibetan tibetanisch tibetano tibetisch tibetische
+tibeto tibétain tibétaines tichurong ticino tick ticket ticketlebensdauer tickets ticketserver ticketzwischenspeicher ticks tics ticuna tidaá tiddler
+tiddlywiki tidikelt tidore tidung tidy tied tief tiefe tiefland tiemacèwè tiempo tiempos tiene tienen tienes tient tier tierney tierra tiers ties
+tifal tiff tifinagh tigak tigervnc tighina tight tighten tightened tightening tighter tightly tigon tigrai tigre tigrigna tigrinja tigrinya tijaltepec
+tikar tikopia tilantongo tilapa tilapin tilde tilded tile tilera till tillabéri tillamook tilquiapan tilt tilted tilung tima timbe timbira time timed
+timedelta timeframe timegm timeit timeline timelocal timely timemodule timeout timeouts timer timeradd timerify timers times timespec timestamp
+timestamping timestamps timetuple timetz timeunit timeutils timeval timezone timezones timing timings timj timlau timmermans timmy timne timné timo
+timor timothy timshel timucua timugon timur tinani tindi tindouf tinfo tinga tinghir tingui tinigua tino tinputz tint tinv tiny tion tions tipaza tipo
+tipografía tipografías tipográfica tipos tipp tippen tippera tipperary tips tira tirador tirahi tirana tiranige tiranë tire tired tirer tiret tirets
+tirhuta tiri tiriki tiris tiro tirol tirpc tiruray tiscali tissemsilt tita titan titel titelleiste titels title titlebar titlebars titlecase titled
+titles titlestring titre titres titular tium tivat tiwa tiwi tiyal tizi tiznit tiéfo tiéyaxo tjaalton tjbench tjbenchtest tjexample tjexampletest
+tjumenskaja tjunittest tjurruru tjutil tjörneshreppur tkconstants tkfiledialog tkinter tksimpledialog tlachichilco tlacoapa tlacoatzintepec
+tlacoatzintepek tlacolula tlacolulita tlacoyalco tlahuitoltepec tlamacazapa tlatskanai tlaxcala tlaxiaco tlazoyaltepec tlemcen tlingit tlscall
+tlsconnectoptions tlscreatesecurecontextop tlscreateserveroptions tlsdesc tlsext tlsfeature tlsproxy tlssocketgetpeercertific tlstlssocket tmancill
+tmpdir tmpfile tmploc tmpnam tmpname tmptokens tmraz tmux tname tniessen tnode tnrsign toaddrs toamasina toaripi toascii toba tobacco tobago
+tobagonian tobagonisch tobanga tobati tobei tobelo tobi tobian tobias tobilung tobo toby tobytes tocantins tocar tocharisch tochigi tocho tocsave
+toctree toda todas todavía today todd toddy todo todos todotxt todrah tofanma tofile tofin toftdal toga togbo togdheer together toggle toggled toggles
+togo togolese togoyo tohono toila tointeger toiwoton tojolabal tokano tokat tokdict tokelau token tokendef tokeneater tokenization tokenize tokenized
+tokenizer tokenizing tokenlist tokens tokensource tokenstring tokentype tokharian tokharien toklist tokn toknum toks toku tokushima tokval tokyo tola
+tolaki told toledo tolerance tolerant tolerate tolerated toliara tolima tolist toll tollef tolmin tolna tolomako tolowa tolower toma tomadino toman
+tomar tomas tomasz tomato tombali tombelala tombonuo tombouctou tombulu tomcat tome tomini toml tomli tommi tommo tommy tomo tomohiro tomoip tomorrow
+tomos tomoyuki tomskaja tomvrancken tomé tomó tondano tondering tondi tone toner tong tonga tongatapu tongien tongo tongwe tonjon tonkawa tons
+tonsawang tonsea tontemboan tonumber tony took tool toolan toolbar toolbars toolchain tooling toolitem toolkit toolkits tools toolset tooltip tooltips
+toordinal tooro topdown tope topfd topi topic topics toplevel toplice topmost topo topography topoiyo topological topologically topology toposa
+topping toque toraja toram torau torba torbay torbjorn torbjörn torek torfaen tori torino torkington torn tornado tornedalen toro toromono torona
+toronto tororo torres torrey torricelli torsten tort tortious torvalds torwali torá toscana toscano toshiba toshiya toshiyuki toshkent tosk toskisch
+toss tostop tostring tostringlist total totale totalement totales totally totalmente totals totela toth toto totoli totomachapan totonac totonaque
+totonicapán totontepec totoro totp tottime tottori totunak touch touche touched toucher touches touching touchpad touchpads touchscreen touchtype
+tougué toujours toundra touo toupper tour toura tous toussian toussien tout toutchone toute toutes touvain tovar tovuz toward towards towei tower town
+towns toxml toyama tozeur tpoff tquemerais trabajar trabajo trabajos trabzon trac trace traceback tracebacks traced tracemalloc tracer traces tracing
+track trackball tracked tracker tracking tracks trade trademark trademarked trademarks tradename trader tradiaz tradicional tradition traditional
+traditionally traditionnel traduc traducción traducir traduction traduire traduzione traffic trafficscript trafford tragen traiectum trail trailer
+trailers trailing train training trait traite traitement traiter traits traité traitée traitées traités trakai trame trampoline trampolines trampolín
+tran trang trani trans transacción transact transaction transactional transactions transaktion transaktionen transalpin transalpine transcode
+transcoding transcript transf transfer transferable transferencia transferlist transferred transferring transfers transfert transform transformación
+transformado transformar transformation transformations transforme transformed transformer transformierten transforming transforms transformé
+transférés transicional transición transient transifex transit transited transition transitional transitions transitive translatable translate
+translated translates translating translation translationproject translations translator translators translit transliterado transliterated
+transliteration transmeta transmettre transmis transmission transmit transmits transmitted transmitting transp transparence transparency transparent
+transparente transparently transparenz transpilation transpiled transpiler transplant transport transportable transporte transports transpose transupp
+tranter trap trapani trappe trapped trapping traps trapz trarza tras trash trashed trashi trashigang trashing traslada traslapes trat trata tratando
+tratar traten trató travail travailler travaux travel traveller travers traversable traversal traversals traverse traversed traverser traverses
+traversing travis través tray trazado trbovlje treat treated treaties treating treatment treats treaty trebelno trebnje tree trees treetop treewalk
+treffer treffern tregami treiber treinta trelawny tremembé trend trennbalken trennen trenner trennung trennzeichen trent trentino trento tres tresys
+trevisan treviso trevor triage triager triagers triaging trial trials triangle triangleleft triangleq triangleright triangular triangulate trick
+tricked tricks tricky tridgell trie tried trieng trier tries triesen triesenberg trieste trig trigamma trigger triggerdatei triggered triggering
+triggername triggers triggerverarbeitung trigname tril trim trimmed trims trimuris trincomalee tring tringgus trinidad trinidadian trinitario trinity
+trinité trio trip triple triples triplet triplets triplett tripolitain tripolitanian tripolitanisch tripura tripuri triqui tristan tristate tritt triu
+trivial triviale trivialen trivially trivikr trivikram trié triée triés trió trmac trnavský trnovska trodata troff trofimovic trog troin trois
+troisième trojica troller trolltech tromey troncature trongsa tronquer tronqué tronquée tronçon trop trott trotta trotz trotzdem trou trouble
+troubleshooting troublesome trough troup trous trousers trousseau trout trouve trouver trouvé trouvée trouvées trouvés trove troy trozo trsock true
+truecolor truediv truename truetype trujillo trukesisch truká truly trumai trunc trunca truncada truncado truncamiento truncando truncar truncate
+truncated truncates truncating truncation truncations truncq trunk trust trustdb trusted trustees trusting trustlevel trustlist trusts truststore
+trustvalues trustworthiness trustworthy truta truth truthy trutnov trying trylock trzin très trêng trööndelage tsaangi tsaayi tsakhur tsakonian
+tsakwambo tsamai tsat tsaware tschad tschagataisch tschang tschechisch tschechische tschetschenisch tschuwaschisch tsearch tseka tseku tset tsetsaut
+tshangla tshewang tshopo tshuapa tsign tsikimba tsimané tsimihety tsimshian tsirang tsishingini tskapo tsoa tsofan tsogo tsonga tsotso tsou tspan
+tspecials tstellar tsucuba tsujikawa tsum tsuvadi tsuvan tsvettsikh tswa tswana tswapong tsystem tsáchilas ttail ttest ttymsg ttyname ttype ttys
+ttytype ttyutils tuamasaga tuamotuan tubar tubas tube tubería tuberías tubes tubu tucano tucker tucumán tudful tuer tuesca tuesday tuffmail tugen
+tugrik tugun tugutil tuile tuininga tujia tukaani tukang tuki tukpa tukudede tukuma tukumanféd tula tulcea tulehu tulishi tulkarm tulu tuma tumak
+tumari tumaykin tumbes tumbuka tumi tumleo tumshuqese tumtum tumulung tumzabt tunapuna tunas tunceli tundra tune tunebo tunecino tunen tunesische
+tungag tunggare tungsten tungurahua tungus tunia tunica tuning tunis tunisia tunisian tunisie tunisien tunjung tunnel tunneling tunni tunnicliffe
+tunzu tuomas tuotomb tuparí tupel tupi tupinambá tupinikin tuple tuples tupuri tuputcyn tupí turaka turbo turbojpeg turbolinux turbov turc turca
+turckheim turco turi turin turiwára turka turkana turkestankaya turkey turki turkic turkish turkmen turkmenisch turkmenistan turkmeno turkmène turks
+turn turned turner turney turning turns turoyo turque turques turquie turquoise turquía turtle turumsa turung tuscarora tusi tusya tutchone tutelo
+tutong tutorial tutorials tutsa tutuba tututepec tututni tuvalu tuvinian tuvo tuwali tuwari tuwinisch tuwuli tuxináwa tuxá tuyuca tuyên tuzi tvars
+tvarset tverskaja tvos twabo twana tweak tweaked tweaking tweaks tweedie tweet twelve twendi twents twerner twice twig twine twinsun twisted twister
+twitter twoaday twofish twolevel twoshortplanks twotuples tyap tycoint tydfil tyee tyler tyne tyneside tyni typbezeichnung typchk type typecase
+typecast typechange typecheck typechecker typeclass typecode typed typedarray typeddict typedef typedefs typeerror typefaces typefind typefix typeid
+typeinfo typelib typemap typen typename typeof types typesafe typescript typeset typetype typevar typevartuple typewriter typical typically typing
+typingmodule typings typiquement typo typofix typofixes typographic typographical typography typos typoscript typoscriptcssdata typoscripthtmldata
+typs typspec typé tytso tyva tzdata tzeltal tzinfo tzname tzotzil tzpath tzselect tzset tzsign tábor táchira táctil tálknafjarðarhreppur tártaro tâche
+tâches tébessa télimélé télougou télécharge téléchargement téléchargements télécharger téléchargé téléchargés télécom téléphone témara témouchent
+término términos tétouan téén tête têtes título tõrva tübatulabal türi türkei türkisch türkische türkiye uaboe uaccess uall uamué uannecessary uare
+uasin ubaghara ubang ubangi ubicaciones ubicación ubicada ubicado ubicar ubir ubon ubuntu ubykh ubyte ucalgary ucar ucase ucayali ucfirst uchar uchiha
+uclibc ucode ucraniano ucrt udeb udev udevadm udevd udiff udihe udine udiv udmurt udmurtisch udmurto udmurtskaja udon uduk uebernickel uekawa ueno
+ufbb ufdf ufefc ufeff uffef ufim ufomechanic uganda ugandan ugaritic ugaritisch ugarítico ugbanh ughele ugly ugoa ugong ugrian ugrische uhami uherské
+uhrenproblem uhrzeit uidl uids uighur uigurisch uiguro uint uintmax uintptr uisai uitter uiuc ujae ujelang ujir ujjwal ukaan ukhwejo ukit ukpe ukpet
+ukraine ukrainian ukrainien ukrainisch ukranio ukrop ukue ukuriguma ukwa ukwuani ulaanbaatar ulabel ulau ulawa ulch ulcinj uleb ulerich ulimit ulises
+ulithian ullamco ullatan ulog ulong ulonglong ulrich ulrik ulsan ulster ultimate ultimately ultimativ ultime ultra ultramarinas ultérieure
+ultérieurement ulukwumi ulumanda ulwa umanakaina umask umatilla umbenannt umbenennen umbenennung umbenennungen umbindhamu umbral umbrechbares
+umbrechen umbrella umbria umbrian umbruch umbruchbreite umbruchmodus umbu umbugarla umbundu umeda umfasst umgebenden umgebrochen umgebung
+umgebungsvariable umgebungsvariablen umgegangen umgehen umgekehrt umgekehrten umgekehrter umgeleitet umgeleitete umgeschaltet umgewandelt umich umiida
+umiray umkehren umlauted umleiten umleitung umleitungen umon umotína umount umpila umpqua umschalten umschalter umschaltknopf umschalttaste
+umschalttasten umschlag umschreiben umsetzen umsortiert umstellen umständen umwandeln umwandlung umwandlungseingabe unabhängig unabhängiger unable
+unaccelerated unacceptable unacceptably unadvertised unaffected unaire unalias unaligned unallocated unaltered unambiguous unambiguously uname unami
+unannotated unapply unapplying unarchiving unario unary unassigned unattended unauthenticated unauthoritative unauthorized unavail unavailability
+unavailable unaware unbacktrackable unbackup unbalanced unbegrenzt unbek unbekannt unbekannte unbekanntem unbekannten unbekannter unbekanntes
+unbestimmbar unbestimmt unbestimmte unbind unblock unblocked unblocking unblocks unborn unbound unbounded unbox unbrauchbar unbrauchbare unbreak
+unbuffered unbundle unbundling uncancel uncaught uncaughtexception uncertain unchangeable unchanged uncheck unchecked unclassified uncle uncleanly
+unclear unclosed uncoded uncollected uncombined uncomment uncommitted uncommon uncompress uncompressed uncompressing unconditional unconditionally
+unconfigured unconfined unconflicted unconnected unconstrained unconsume unconsumed uncontrolled unconvertable unconverted uncork uncovered unde
+undecided undeclared undecodable undecoded undef undefine undefined undefiniert undefinierte undelete undent under underflow undergo underline
+underlined underlines underlining underlying underneath underscore underscores understand understanding understandings understands understood underway
+undesirable undesired undetermined undici undisplay undiverted undo undocumented undone undue undump uneapa uneme unencoded unencrypted unencumbered
+unenforceable unequal unerfüllte unerkannte unerlaubte unerlaubter unerreichbare unerwartet unerwartete unerwarteten unerwarteter unerwartetes
+unerweiterte unerwünschte unescape unescaped unescaping uneven unex unexec unexecutable unexpanded unexpected unexpectedly unexport unextended unfair
+unfiltered unfinished unflag unfocused unfold unfolded unfolding unformatted unfortunate unfortunately ungarisch ungarische ungeeignet ungenutzte
+ungenügende ungerade ungeraden ungetc unggaranggu unggumi ungheni ungleich ungroup ungrouped ungu ungültig ungültige ungültigem ungültigen ungültiger
+ungültiges unhandled unhappy unhashable unhelpful unhex unhexlify unibyte unices unichr unicode unicodedata unicodename unicodeobject unicodeoutput
+unicon unicore unicus unida unidad unidades unidata unidiff unidirectional unido unidos unie unificada unification unified unifié unifiée uniform
+uniformly unify unik unimplemented unimportant unindent unindexed uninformative uninitialized uninstall uninstallation uninstalled uninstalling
+unintended unintentional unintentionally uninteresting uninterruptible unintuitive union unions uniprop unipv uniq unique uniquely uniquement
+uniqueness uniques unir unis unist unistd unistring unisys unit unitatea united unitek units unittest unity unité unités univ universal universally
+universe universel universitat universite universiteit universities university unix unixccompiler unixconfig unixes unixfrom unixy unizar unión
+unknown unkomprimiertes unlabeled unless unlicense unlike unlikely unlimited unlimits unlink unlinkat unlinked unlinking unlisted unload unloaded
+unlock unlocked unlocking unmaintained unmanaged unmangled unmap unmapped unmark unmarshal unmatch unmatchable unmatched unmaximize unmerged unmet
+unmittelbar unmodified unmount unmounting unmöglich unmögliche unnamed unnatural unnecessarily unnecessary unneeded unnormalized unnoticed unofficial
+unopened unorderable unordered unowned unpack unpacked unpacker unpacking unpadded unparented unparsable unparse unparsed unparsing unpassende
+unpatched unpicklable unpickle unpickleable unpickler unpickling unpinned unpipe unpiping unplaced unpleasant unpopulated unportable unported
+unpredictable unprintable unprivileged unprocessed unprofessional unprotect unpublished unqualified unquote unquoted unquoting unraisable
+unraisablehook unravel unreachable unread unreadable unreadline unrealistic unreasonable unrecognised unrecognizable unrecognized unrecoverable
+unredirected unref unrefd unrefed unreferenced unreferenziert unreferenzierte unregister unregistered unrelated unreleased unreliable unrepresentable
+unreq unreserved unresolvable unresolved unrestricted unroll unsafe unsatisfied unseal unseekable unseen unselect unselected unserdeutsch unsere
+unserialize unset unsetenv unsets unshade unshallow unshelve unshift unsicher unsichere unsicheren unsicherer unsicheres unsichtbar unsigned unsinn
+unsorted unspecified unstable unstage unstaged unstaging unstashed unstructured unsubscribe unsubscripted unsuccessful unsuitable unsupported unsure
+unsw untagged untailable untaint untar unten unter unterausdrucks unterausdrücke unterbefehl unterbefehle unterbinden unterbrechen unterbrochen
+unterdrücken unterdrückt untere unterelemente unteren unteres unterhalb unterklassen untermenü untermenüs unterminated unterprozess unterscheiden
+unterscheidet unterschied unterschiede unterschieden unterschiedlich unterschiedliche unterschiedlichen unterschlüssel unterschlüssels
+unterschlüsselwiderruf unterstreichen unterstreichung unterstrich unterstriche unterstrichen unterstützen unterstützt unterstützte unterstützten
+unterstützter unterstütztes unterstützung unterstützungsbibliothek untersuchen unterteilte untertitel unterverzeichnis unterverzeichnisse
+unterverzeichnissen unterzeichner untested untie until untitled untokenize untokenized untokenizer untouched untrace untracked untransferable
+untransformed untranslated untrusted untyped untz untätig unua unubahe unusable unused unusual unusually unverifiable unverified unversioned
+unversionierte unversionierten unversionierter unverändert unvisited unvollständig unvollständige unvollständiger unwabi unwanted unwiderrufbar unwind
+unwinding unwise unworthy unwound unwrap unwrapped unwrapping unwritable unwritten unzip unzipped unzulässig unzulässige unzulässiger unzulässiges
+unzureichende uottawa upaa uparrow upcase upcoming updat update updated updatepos updater updateref updaters updates updating updownarrow updpref
+upfront upgradable upgrade upgraded upgrades upgrading upharpoonleft upharpoonright upload uploaded uploading uploadpack uploads uplus upnconstraint
+upon upper uppercase uppercased upperdirs upperword uppsala upright upset upsilon upstream upstreamed upstreamversion uptime upto upward upwards
+uradhi urak urali uralic urandom urapmin urarina urartian urat urban urbana urbi urbino urbiscript urdu urgency urgent urgente urhobo urigina urim
+urimo uripiv uris urlchar urlcleanup urldecode urldefrag urlencode urlencoded urlfetch urlichs urlinput urljoin urllib urlmatch urlnorm urlopen
+urlparse urlparseurlstring urlparts urlretrieve urls urlsafe urlsearchparams urlsplit urlunparse urlunsplit urningangg urrent ursache ursprung
+ursprungsversion ursprüngliche ursprünglichen uruangnirin uruava urubú uruguay uruguayan uruguayo urum urumi usability usable usada usadas usado
+usados usage usageflags usages usaghade usan usando usar usara usarlo usaron usarse usarufa usará usbekisch usbekistan usda usec usect used
+usedeltabaseoffset usedforsecurity useful usefulinc usefulness usegmt useless uselessly usenet usepackage usepv user useradd useragent userbase
+usercustomize userdata userdiff userguide userhome userid userinfo userland usermod username usernames userok users usersite userspace userspec uses
+usestd ushojo ushort usila using usku usleep uspanteco ustar usted usti usual usuales usually usualmente usuario usuarios usuel usui usulután utah
+utara utarmbung utcfromtimestamp utcnow utcoffset utctimetuple utena utenos utexas uthai uthash util utile utiles utilice utilidad utilinspectobject
+utilisable utilisant utilisateur utilisateurs utilisation utilisations utilisatr utilise utilisent utiliser utilisera utilisez utilisé utilisée
+utilisées utilisés utilitaire utilities utility utiliza utilizable utilización utilizada utilizadas utilizado utilizados utilizan utilizando utilizar
+utilizarse utilizará utilization utilize utilizes utilizing utilizó utilparseargsconfig utilpromisifyoriginal utils utiltextdecoder utime utimensat
+utimes utmp utopios utrecht utrik uttam uttar uttaradit utterly utujil uuencode uuencoded uuencoders uuid uuidgen uunet uusimaa uvbie uvea uvean
+uvwasi uwanh uxntal uyajitaya uyanga uyghur uygur uzbeco uzbek uzbeki uzbekistan uzbekistán uzbeko uzekwe uziely uélé uíge vaagri vacancy vaciar vacía
+vacías vacío vacíos vaddr vadim vadimgirlin vadla vaduz vafsi vagg vaghri vaghua vagla vagrantfile vague vahid vainikainen vainius vaiphei vairamani
+vaisigano vaitupu vakaga vakil vala valable valables valais valandovo valdesia vale valencia valencian valenciana valente valentia valeriy valeur
+valeurs valga valgamaa valgrind valgrindpp valid valida validación validador validar validatable validate validated validates validateur validating
+validation validations validator validators valide valider valides validez validieren validierung validity validité validly validé validées valign
+valkas valladolid valle valletta valley vallon vallée valman valmiera valname valoir valor valora valorar valores valparaíso valpei vals valuable
+value valued values valuetype valve valverde valón vamale vame vanatham vandalic vander vandine vandyck vangunu vanilla vanimo vanishes vanja vano
+vanuatu vanuma vanzandt vapi vara varang vararg varargs varbuf varchar vardanyan varepsilon varese varfileinfo varhadi variability variable variablen
+variablenname variablennamen variablenwerte variables variadic variance variances variant variante variantes variants varias variation variations
+varied varies variety varios various varisi vark varkw varli varlist varna varname varnames varnish varphi varrho vars varsinais vartheta vartype
+varun vary varying vasavi vasco vasilevo vasili vasiliy vasiljevic vasin vaslui vasprintf vast vastly vasudevan vatican vato vatu vaucluse vaud vaupés
+vaut vauth vava vavilov vavuniya vbnet vbptlsuyv vbscript vcard vcatechnology vcbuild vcelak vcizek vclsnippet vclsnippets vcruntime vctreestatus
+vcvars vcvarsall vdash vdeturckheim vdot veaeng veces vecinos vecpiebalgas vecteur vecteurs vector vectored vectorial vectoriel vectoriels vectorize
+vectors vecumnieku veddah vedette veeven vega vehes vehicle veianen veillard veille veit vejoz velenje veles velika velike veliko velit vella
+velocidad velocity veluws vemgo venda vendeur vendor vendored vendoring vendors vendée veneer veneers venema venera venetian venetic venetisch veneto
+venez venezia venezuela venezuelan vengo veniam venir venkov ventana ventanas ventre ventspils venture ventureño venue venv veps veqilharxhi vera
+veracruz veraguas veraltet veraltete veralteten veralteter veraltetes verantwortliche verapaz verarbeite verarbeiten verarbeitet verarbeitete
+verarbeiteter verarbeitung verarbeitungsfehler verb verbal verbano verbatim verbergen verbessert verbesserung verbeux verbiete verbinde verbinden
+verbindendes verbindung verbindungen verbindungsaufbau verbleiben verbleibend verbleibenden verborgen verborgene verbose verbosely verboseness
+verbosity verboso verboten verbotenes verbraucht verbs verbum verbunden verbundene vercelli verdad verdadera verdadero verdaux verde verdeckt verdef
+verdichten verdoolaege vereinbarung vereinigte vereinigtes vereinigung vererbung vereshchagin verfahren verfallen verfallene verfallsdatum verfasst
+verfolgbare verfolgen verfolgt verfolgung verfällt verfügbar verfügbare verfügbaren verfügbarer verfügbarkeit verfügbarkeits verfügung vergessen
+vergleich vergleichbar vergleiche vergleichen verglichen vergrößern vergrößert vergrößerte vergrößerten verhalten verhandlung verhindern verhindert
+verhältnis verifica verificación verificado verificados verifican verificando verificar verification verified verifier verifies verifizierung verify
+verifying verilog verkettung verkleinern verknüpfen verknüpft verknüpfung verknüpfungen verlagerung verlangen verlangt verlassen verletzt verlieren
+verlo verloren verlos verlängerbare verma vermeiden vermischt vermont vermutet vermutlich vernaux verneed vernichtet vernis vernon vernooij verona
+verr verride verringern verrou verrouillage verrouille verrouiller verrouillé vers versa versand versatz verschachtelte verschiebbare verschieben
+verschieden verschiedene verschiedenen verschiedenes verschlüsseln verschlüsselt verschlüsselte verschlüsselter verschlüsselung
+verschlüsselungsmethode verschlüsselungstyp verschlüsselungstypen verschlüsselungsverfahre verschoben verschwunden versehen versenden versendet
+versetzen versetzt versio version versionadded versionchanged versioncontrol versioned versionen versiones versionierte versionierten versioninfo
+versioning versions versionsatzes versionsinformation versionsinformationen versionskontrolle versionsnummer versionsnummern versionsnummernformat
+versionsort versión verstecken verstehen verstümmelt versuch versuche versuchen versucht versuchte versus versym vert vertarr vertauschen vertauscht
+verteilen verteilt verteiltes vertex vertical verticale verticales vertically verticalmente vertices vertiefen vertikal vertikale vertikalen
+vertikaler verto vertraue vertrauen vertrauensmodell vertrauenswürdig vertrauenswürdige vertrauenswürdigen vertrauenswürdiger vertraulichkeit verträgt
+vertu verursacht vervollständigung verwalten verwaltet verwaltung verwandt verweigere verweigert verweis verweise verweisen verweist verwendbar
+verwendbare verwende verwenden verwendende verwendenden verwendendes verwendet verwendete verwendeten verwendung verwerfen verwirft verworfen very
+veryflatcat verz verzeichnis verzeichniseintrag verzeichnisinformationen verzeichnisname verzeichnisnamen verzeichnisse verzeichnissen verzeichnisses
+verzeichnisstapel verzeichnisumbenennung verzichten verzweigung verzweigungswert verzögern verzögerten verzögerung verzögerungsstil verändern
+verändert veränderte veröffentlichung vestfirðir vestfold vestinian vestland vestmannaeyjabær vestra vesturbyggð vesturland veszprém vetted veuillez
+vexing vextract vfile vflags vfork vformat vfpdef vfprintf vframe vframepsp vframesp vger vhrel viable viaje viana viangchan vibo vice vicente vicenza
+viceversa vichada viciebskaja viciosa victim victor victoria vida vidage vidal vidange vidanger vidangée vidari vide videm video videolan videos vider
+vides vidin vidunda vidéo vidéos vieil vieille vieira vieja viejas viejo viejos viel viele vielen vielfaches vielleicht viemo viene vienne vient vier
+vierge vierges vierten viet vietnam vietnamese vietnamesisch vietnamien vietnamita vieux view viewable viewed viewer viewers viewing viewitems
+viewkeys viewport views viewvalues vigilar vignaud vignettes vihear vihiga viimsi vijay vikeke viken vikram viktor vila vilaine vilar vilela vili
+viljandi viljandimaa villa villars villaviciosa ville vilniaus vilnius vimdiff vimrc vinay vincent vincentian vincentvikram vincenzo vineyard vinh
+vinica vinmavis vinni vinnytska vintages vinza vinícius violaciones violación violan violate violated violates violation violations violence violences
+violencia violent violet vious vipava vipin vipw virgin virginia virgule virgules viri virovitica virt virtaal virtanen virtual virtualenv virtuales
+virtualization virtually virtuel virtuell virtuelle virtueller virtuelles virtuels viru virumaa visaginas visayas viscii vise viseu vishavan
+visibilidad visibility visibilité visible visibles visio visionary visit visitado visitados visited visiting visitor visités visión visor vista vistas
+visto visual visualisation visualiser visualises visualiseur visualizador visualize visualizer visually visualstudio visuel visuelle visupng visée
+vita vital vitale vitaly vitanje viterbo vitesse vitezslav viti vitou vitu vivo vizcaya viêt vkurchatkin vlaams vlaamse vlaanderen vladimir
+vladimirskaja vlasyuk vlax vlimit vlist vliw vlorë vmax vmin vmsish voblast vocabulary voda vodice vodoun vogar vogrsko vogt vohr voice voici void
+voidcmd voir voisin voisinage vojnik vojtech vojvodina volapük volatile volcado volcados volcar volcó volgogradskaja volker volkmar volksrepublik voll
+vollant vollbeding volle vollen voller vollmer vollständig vollständige vollständigen vollständiger vollständiges vologodskaja volscian volta volume
+volumen volumes volumineux voluminous voluntarily voluntary volunteering volunteers voluptate volver volverá volynska voneinander vono vont voon
+vopnafjarðarhreppur vorab vorangehende vorangehenden vorangestellt vorangestellte vorangestelltem vorangestellter vorangestelltes voranstellen
+vorarlberg voraus voraussetzung voraussetzungen vorauthentifizierung vorbereiten vorbereitet vorbis vordergrund vordergrundfarbe voreingestellte
+voreingestellten voreingestellter voreinstellung voreinstellungen vorgabe vorgabeanwendung vorgabebreite vorgabehöhe vorgabeschrift vorgabewert
+vorgang vorgegeben vorgegebene vorgegebenen vorgelaufen vorgemerkt vorgemerkte vorgesehen vorgesehenen vorgestellt vorgewählt vorgänge vorgänger
+vorhanden vorhandene vorhandenen vorhandener vorhandenes vorher vorhergehende vorhergehenden vorhergehender vorherige vorherigem vorherigen vorheriger
+vorkommen vorkommens vorlage vorlagen vorlagenverzeichnis vorlon vormerken vormsi voro voronezhskaya vorpommern vorrang vorschau vorschaubilder
+vorschautext vorschlag vorsicht vorspann vorspulen vorwärtspfeil vorzeitiges vorzumerken vorübergehend vosges vote votic voting votre voulez vouliez
+voulu vous vowel voxnest voyager voyageur voyez vpanghal vpath vprintf vrai vraie vraies vraiment vraisemblablement vrancea vrancken vransko vratsa
+vrfy vrhnika vrije vromans vrtojba vsbase vscode vscroll vsemozhetbyt vsetín vsize vsnprintf vsock vsplit vsprintf vstu vswhere vtable vtune vuelca
+vuelta vuelto vuelva vuelve vuelven vues vukovar vukovarsko vulgar vulkan vuln vulnerabilities vulnerability vulnerable vumbu vunapu vunjo vuori vurës
+vute vuzenica vwanji vxworks vyukov vyzo vyzovitis válida válidas válido válidos vâlcea väike värmlands västerbottens västernorrlands västmanlands
+västra véase vénézuela vérifiant vérification vérifications vérifie vérifier vérifiez vérifié vérifiée vías vídeo vídeos vírgenes vóreio võro võru
+võrumaa východ waagerechten waama waamwang waata wabo waboda wabtec wachi waci wadaginam waddar waddington wade wadi wadikali wadiyara wadjabangayi
+wadjiginy wadjigu wadl wadllib waffa wagawaga wagaya wagdi wagenrücklauf wagi wagon wahau wahgi wahl wahr wahrscheinlich waigali waigeo waikato
+wailaki wailapa waima waimaha waimiri waini waioli wais wait waitchld waited waiter waiters waitfor waiting waitpid waitretry waits waitstatus
+waittime waivable waive waived waiver waives waiwai waja wajarri wajir wajuk waka wakabunga wakash wakashan wakashennes wakasihu wakawaka wakayama
+wakde wake wakefield wakes wakeup wakeups wakhi waking wakiso wakkerma wakoná wakrah wala walak walamo walangama walapai wald waldi waleed wales wali
+waling walio walisisch walk walker walking walks wall walla wallbraker wallclock wallis wallisian wallon wallonisch wallonne walloon wallpaper
+walmajarri walsall walser walsh walter walters waltham walton walungge wamas wambaya wambon wambule wamey wamin wampanoag wampar wampur wanambre wanap
+wanca wancho wanda wandala wandarang wandeln wandji wandlung wandsworth waneci wang wanga wangaaybuwan wanganui wangdue wanggamala wanggom wangka
+wangkayutyuru wangkumara wanica wann wannu wano wansing want wanted wanting wantoat wants wanukaka wanyi wané waorani wapan wapishana wappo wara
+warang warao warasin waray warc warcinfo ward wardak wardaman wardandi warehouse warembori waren wares waris waritai wariyangga warji warkay warlmanpa
+warlpiri warm warmup warn warnang warndays warned warnen warner warning warningregistry warnings warnoptions warns warnung warnungen waropen warp
+warra warrantee warranties warrants warranty warrap warrgamay warrington warrwa wars warsaw warte warten warteschlange wartet wartezeit warthog
+wartung warty waru warumungu waruna warungu warwar warwick warwickshire wasa wasco wasembo washington washo wasi waskia wasm wasn wassim wast wastage
+waste wasted wasteful wastes wasting wasu watakataui watam watch watchdog watched watcher watchers watches watching watchman watchos water waterford
+waters wathawurrung watiwa watson watt watts watubela watut waube waurá wauyai wave wavelet wawa wawonii waxianghua wayampi wayana wayanad wayne
+wayoró ways wayu wayuu wbufsize wcast wchan wchar wcrtomb wcstombs wctob wctomb wctrans wctype wcwidth wday wdebug wdiff wdmdriver weak weaken
+weakening weaker weakext weakly weaknesses weakref weakrefs weakrefset weather weaver webassembly webbrowser webcrypto webencodings weber webidl
+webkit weblate webm webmisc webp webseite webserver website websocket webstream webstreams wechsel wechseln wechselt wedau weder wedge wednesday
+weechatlog week weekday weekdayname weekdays weekly weeks wege wegen weggelassen weglassen wegner wegscheid weibull weigert weight weighted weights
+weijia weil weimer weinberg weinberger weird weise weiser weist weit weiter weitere weiteren weiterer weiteres weitergeben weitergegeben weiterhin
+weiterleitbar weiterleitung weiß weißrussisch wejewa welche welchem welchen welcher welches welcome welcomed wele weliki welinder well wellington
+wells welsh welt welte wemale wemba weme wenatchi wend wende wendel wenden wenig wenige weniger wenigstens wenn wenqing went werase werde werden were
+weren wergaia weri werkzeug werkzeugen werkzeugleiste werkzeugleisten werkzeugleistenobjekt werner werror wersing wert werte wertebereichs werten
+wertes wertet werts werven wesley west westbo westbolivisch westby westerfeld western westfalen westfriesisch westküste westliche westliches westman
+westmeath westminster westmoreland westniger westphalien wetamut wewaw wexelblat wexford wextra weyto wfile wformat wget wgetrc wglext wglxext
+whamcloud what whatever whatis whats whatsoever whatwg wheat wheel wheeler wheelfile wheels wheezy when whence whenever where whereas whereby wherein
+whereis wherever wherewithal whether which whichdb whichever whielacronx whien while whiley whilst whine whining whistles white whitelist whitelisting
+whiteout whitesands whitespace whitespaces whitlock whitlockjc whitwell whoever whole wholename wholly whom whoops whose wiarumus wichert wichita
+wichtig wichtige wichí wicked wicklow wickman wide widely widen wider widerrechtlicher widerruf widerrufen widerrufene widerrufer widerrufschlüssel
+widerrufsschlüssel widerrufszertifikat widerrufzertifikat widersprüchliche widest widget widgets widmer width widths wiedemann wieder wiedergabeliste
+wiederhergestellt wiederherstellen wiederherstellung wiederherzustellen wiederholen wiederholt wiederholung wiederholungsangabe
+wiederholungszwischenspe wiedervereintes wiederverwenden wiederverwendung wielkopolskie wien wiener wietse wigan wiggle wight wijaya wikalkan wiki
+wikipedia wikis wikngenchera wilawila wilayah wilcox wild wildcard wildcards wildmatch wilhelm wilhelmi wilhems wilk will willcox willem william
+williams williamson willing willingness wilson wiltshire wiltz wimer winapi winbatch winbook winbugs wincon wind winded windir windl windll window
+windowed windows windres windriver winds windsor windward winerror winfield wing wininst wink winner winning winreg wins winship winsock winsound
+wintab winter winterm winton wintu wintypes winver winyé wipe wipesync wipi wiraféd wirangu wird wire wireless wireshark wirklich wirkt wirkung
+wirkungslos wirral wiru wirzenius wisc wisconsin wisdom wise wisely wish wishes wishing wishram wissen witch witchery with withdraw withdrawn withheld
+within withnall without wittawat witte witthawat witu wiyot wizard wizy wkref wlua wlug wnagel wnuh wobei woccon woche wochen wochennummer
+wochennummern wochentag woff wogamusin wogeo woiwurrung wojenaka woken wokingham wolane wolani wolaytta woleai woleaian woleu wolf wolff wolfgang
+wolfram wolfssl wolio woll wollen wollny wollrath wollten wolof woltman wolverhampton womo wonder wonderful wong wongo wonky wont woobling wood
+woodhouse woodruff woods woqooyi worcester worcestershire word wordchars worden wording wordlist words wordwrap woria worimi work workaround
+workarounds workdir worked worker workers workerterminate workflow workflows working workload workloads workman works workspace workspaces workstation
+worktree worktrees world worldwide woroba worodougou woromaipu worora worried worrorra worry worse worst wort worth wortliste wotapuri wotho wotisch
+wotje wotjobaluk wotu would wouldn woun wouters wpaul wrap wraparound wrappable wrapped wrapper wrappers wrapping wraps wrecsam wrekin wrexham wrgif
+writable writabledestroyerror writablewritechunk write writeable writeback writefile writeframes writeframesraw writeheader writelines writeln
+writeonly writer writerow writerows writers writes writestr writev writewrap writing written wrjpgcom wroc wrong wrongly wrongs wrote wrtarga wrymouth
+wschar wsgi wsgiref wsign wslit wstrict wstring wsutils wuding wudu wujwa wuliwuli wulna wumboko wumbvu wumeng wunai wunambal wunder wunsch wunumara
+wunused wurde wurden wuri wurrugu wurzel wurzelverzeichnis wurzelzertifikat wusa wushi wusi wutung wutunhua wuvulu wuzlam wyandot wyatt wymysorys
+wyoming wyse wyszynski wára wãpha wächst wähle wählen wählt während wäre wären wörter wünschen würde würden württemberg xaasongaxango xabi xacquire
+xadani xaignabouli xaisômboun xakriabá xalan xalign xalloc xamtanga xanaguía xanica xarch xargs xattr xattrs xauto xavier xavánte xawt xaçmaz xbar
+xbase xbiex xbitmap xcalloc xcase xcerion xcode xcoff xcorr xcursor xdata xdebug xdebugn xdebugx xdgmime xdiff xdigit xemacs xenial xerces xerox
+xerénte xetá xewkija xexplicit xfer xfpregs xfuncname xgate xgot xhistogram xhosa xian xiang xiangkhouang xiangxi xiaotian xibe xicotepec ximian xinca
+xindex xine xingu xingú xinjiang xipaya xiri xiriâna xishanba xizang xkeyboard xlate xlen xlibre xlinker xmalloc xmission xmlcharrefreplace xmldsig
+xmlenc xmlpath xmlreader xmlrpclib xmlsec xmlsoft xmltodict xmltoman xmlul xname xnone xnor xnox xocó xokleng xoptions xorazm xorg xortiz xours xpad
+xpath xpixmap xquery xrange xref xrelease xscale xservers xspread xstabs xstormy xsubpp xtables xten xtend xtensa xterm xtheirs xtlang xtoptions
+xtrace xuguang xukurú xwela xwla xxdiff xxlimited xxsubinterpreters xxsubtype xxtestfuzz xyzzy xzdec xzless xztar xârâcùù xârâgurè xékong yaaku
+yabarana yabaâna yabem yaben yabong yabula yacc yace yacoub yadong yael yaeyama yafi yagara yagaria yagha yagiz yagnobi yagomi yagua yagwoia yahadian
+yahan yahang yahoo yahuna yaka yakaikeke yakama yakan yakha yakkha yakoma yakut yala yalahatan yalakalore yalanji yalarnnga yale yaleba yali yalign
+yalova yalunka yalálag yamagata yamaguchi yamamoto yamanashi yamane yamap yamato yamba yambes yambeta yambol yamdena yameo yami yaminahua yaml yamna
+yamongeri yamoussoukro yamphu yamwong yana yanahuanca yanda yandex yandjibara yandruwandha yanesha yang yangben yangere yangkam yangman yango yangon
+yangtse yangulam yangum yank yanked yankunytjatjara yann yanomamö yanomámi yansi yanyuwa yaosakor yaouré yapese yapesisch yapi yapois yapunda yaqay
+yaqui yaracuy yarawata yardliyawarra yareba yaren yareni yarn yaroamë yarowilca yarsun yasa yash yasothon yassic yatay yate yatee yatenga yatzachi
+yatzechi yaul yauma yaur yautepec yauyos yavapai yavitero yawa yawalapití yawanawa yawarawarga yaweyuha yawijibaya yawiyo yawuru yaygir yazd yazgulyam
+yazhong ycbcr yday yeah year yearly years yecuatla yegha yekhee yekora yela yele yellow yelmek yelogu yemba yemen yemeni yemsa yendang yeni yeniche
+yerakai yeretuar yerong yerukula yessan yesterday yetfa yeti yevanic yevlax yeyi yibuti yiddish yidgha yidiny yidish yield yielded yieldfrom yielding
+yields yigit yihong yilan yimas yimchungru yinbaw yindjibarndi yindjilandji yine yinggarda yinhawangka yiningayi yintale yinwum yirandali yirrk yitha
+yiyang yliolli ynys yoba yobe yocoboué yogad yogyakarta yohhoy yoidik yoke yokuts yola yoloxochitl yombe yomou yonaguni yong yongbei yongkom yongnan
+yongsheng yonne yopno yoppy yora york yorkie yorkshire yoro yoron yoront yorta yoruba yoshiki yoshiwara yoshiya yosondúa yosuke yotti youfu youjiang
+youle young younger youngest youngman younuo your yours yourself youssoufia yout yoyodyne yozgat ypad yppasswd yrvin yscale ytra yuan yuanga yucatec
+yucateco yucatán yuchi yuck yucom yucuañe yucuna yugambal yugoslavian yugul yugur yuhup yukaghir yuki yuko yukon yukpa yukuben yulu yuma yumbe yumkam
+yunis yunlin yunnan yupik yuqui yuracare yurats yurchén yuri yuriev yuriy yurok yuru yurukov yurutí yurúa yuta yutaka yutanduchi yuval yuwana yuyu
+yuza yvelines yves ywave ywom yydebug yámana yémen yéménite zaachila zabajkal zabaluev zabana zablotny zacapa zacarias zacatecas zacatepec zacatlán
+zach zachodniopomorskie zack zackw zadar zadarska zaghawa zaghouan zagora zagorje zagorska zagreb zahari zahl zahlen zaire zaiwa zakarpatska
+zakharevich zakhring zala zalaegerszeg zalewski zaman zamani zambales zambezi zambia zambian zambie zamboanga zambézia zamfara zamora zanaki zande
+zandt zandé zangskari zangwal zaniza zanzan zanzibar zaporizka zapotec zapoteca zapotekisch zapotèque zappa zaqatala zaragoza zaramo zarasai zari
+zarma zarphatic zasso zation zauzou zawgyi zawr zayein zaynar zayse zaza zazaki zazao zbigniew zbyszek zdaoff zdiff zdinx zealand zealous zebra zeek
+zeeland zeem zeeshan zeeshanak zeeuws zefram zeha zeichen zeichenfolge zeichenkette zeichenketten zeichenklasse zeichenklassen zeichenklassenname
+zeichenorientierte zeichenorientiertes zeichens zeichensatz zeichensprachen zeichnen zeichnung zeige zeigen zeiger zeigergeschwindigkeit
+zeigerposition zeigerthemas zeigt zeile zeilen zeilenanzahl zeilenbreite zeilenende zeilenlänge zeilennummer zeilennummern zeilenumbruch
+zeilenumbrüche zeilenvorschub zeilenvorschübe zeilenweise zeit zeiten zeitlimit zeitlimits zeitpunkt zeitreise zeitstempel zeitzone zeitüberschreitung
+zeke zelenikovo zelkin zelle zellen zemba zeme zemgalian zemmour zemo zemplén zenag zenaga zenburn zenin zenkaku zentral zentralafrikanische
+zentralamerikanische zentrales zentralostniger zentralsibirisch zentralwest zentralwestliches zentriert zenzontepec zephir zephyr zerenkel zergulla
+zero zeroed zeroes zerofill zeroing zeropad zeros zeroth zerstören zertifikat zertifikate zertifikates zertifikatkette zertifikats
+zertifikatzwischenspeich zertifizierungsstelle zeta zeuthen zfhmin zfill zfinx zfridric zhaba zhambyl zhang zhangyoufu zhao zhaoxin zhasha zhejiang
+zhemgang zheng zhengyuanjie zhinxmin zhire zhoa zhong zhuang zhuangzu zhukov zhung zhytomyrska ziade zialo zidek ziefle ziehen ziehschwellwert ziel
+zieldatei zieldateien ziele zielpfad zielregister ziels zielverzeichnis ziffer ziffern zigeunersprache ziguinchor zigula zijian zilong zilupes
+zimakani zimba zimbabue zimbabwe zimmermann zimmernummer zinder zinfo zinza zipapp zipfile zipimport zipimporter zipinfo zipp zipped zipper zips zire
+ziro zitatzeichen zitierter zitzmann zizhiqu zizilivakan zlatibor zlatiborski zlib zlin zloty zltan zlín zlínský znojmo zokas zokhuo zoltan zomba
+zombie zombies zombo zona zondoma zone zoneinfo zones zonguldak zoogocho zooko zoom zope zoque zoran zordhak zoroastrian zoroastrien zoroastrisch
+zotung zoulas zoulou zoundwéogo zqinx zrnovci zstandard ztar zucchi zueinander zuerst zufallszahlengenerator zufällige zufälligen zugang zugangsdaten
+zugegriffen zugehörige zugehörigen zugelassen zugeordnet zugeordneten zugewiesen zugewiesene zugewiesenen zugreifen zugriff zugriffs zugriffsrechte
+zugriffszeit zuhause zuid zukunft zukünftige zulassen zuletzt zulgo zulia zulu zulässig zulässige zulässigen zumaya zumbun zuni zunächst zuojiang
+zuordnung zurdos zurück zurückgeben zurückgefallen zurückgegeben zurückgehalten zurückgesetzt zurückgestellter zurückgewiesen zurückgewiesene
+zurückschreiben zurücksetzen zurückspulen zurückweisung zusammen zusammenfassen zusammenfassung zusammenfügen zusammenführen zusammengeführt
+zusammengeführte zusammengesetzt zusammenhängende zustand zusätzlich zusätzliche zusätzlichen zusätzlicher zusätzliches zuvor zuweisen zuweisung zuza
+zuzana zuzugreifen zwall zweck zwei zweimal zweite zweiten zweiter zweites zwingend zwischen zwischenablage zwischengespeicherte zwischenspeicher
+zwischenspeicherdatei zwischenspeicherdatensat zwischenspeichern zwischenspeichername zwischenspeichers zwischenspeicherverzeich zwischenzertifikat
+zyklus zypern zyphe zypp zypriotisch zyrian západ záparo zählen zähler zählung zélande zéro zéros zóchi zürich ßàáâãäåæçèéêëìíîïðñòóôõö àhàn ágion
+água álbum ámbito ámárico áncá árabe árabigo árbol árboles árborg área áreas árneshreppur árábe ásahreppur átomo ávila ägypten ägyptisch ägyptische
+ähnlich ähnliche älter ältere änderbar ändern ändert änderung änderungen änderungsprotokoll änderungszeit äquatorial äquatorialguinea äquivalent
+äthiopien äthopien äußeren äußeres åland åsmund ævar çanakkale çorum ébauche ébauches écartées écartés échange échangé échangés échantillon
+échantillons échap échappement échapper échec échecs échelle écho échoue échouer échoué échouée échouées économiseur écossais écoulé écoute écouter
+écran écrans écrase écrasement écraser écrasera écrasé écrasées écrasés écrire écrit écrite écrites écrits écriture écritures écrivant écrivent
+éditable éditer éditeur édition édité éditée égal égale également égalité égaré église égypte égyptien égyptienne éjection élaguer élagué élagués
+élamite élargir électronique élevé éliminer éliminez éliminée éliminées éliminés éloigné éloignées élément éléments élévation émet émetteur émettra
+émettre émirats émis émission émulation émulations émuler énumère énumérateur énumération énumérer énuméré épaisseur épigraphique épilogue épinglage
+época époque épuisé épuisée épuisés équateur équatoriale équilibrer équivalent équivalente érythrée ésima ésimo ésta éste établir établissement
+étaient était étant étape étapes état états éteindre éteint étend étendent étendeur étendre étendu étendue étendues étendus éthiopie éthiopien étienne
+étiquetage étiqueter étiquette étiquettes étiqueté étirement étrange étrusque évaluation évalue évaluer évalué évaluée éventuellement éventuels
+évidence éviter évitée évora évènement évènements événement événements éwondo éxito êtes être índice índices índico ípeiros ísafjarðarbær îles îlots
+ñapa ñeembucú ñuble ñòóôõöøùúûüýþÿ óptimo órdenes órgãos óros öffentliche öffentlichem öffentlichen öffentlicher öffnen öffnende öffnendes öffnet
+ölfus ölgiy ömie önge örebro östergötlands österreich östlich östliche östliches övörhangay øùúûüýþÿ última últimas último últimos única únicamente
+únicas único únicos ústecký ústí útil über überein übereinstimmen übereinstimmende übereinstimmenden übereinstimmung übereinstimmungen überflüssige
+überflüssiger überflüssiges übergangen übergeben übergebende übergebene übergebenen übergebener übergehe übergehen übergeordnete übergeordneten
+überhaupt überholt überlauf übernehmen übernommen überprüfen überprüft überprüfte überprüfung überreste überschreibe überschreiben überschreibende
+überschreibender überschreibt überschreibung überschreitet überschrieben überschrift überschritten übersetzen übersetzt übersetzung übersetzungsdatei
+übersetzungsfehler übersicht überspringe überspringen übersprungen übersteigen überstimmen übertragen übertragung überwachen überwacht überzähliges
+üblich üblichen üblicherweise übrig übrigen þingeyjarsveit
+""".split()
+)

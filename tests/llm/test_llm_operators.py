@@ -112,6 +112,15 @@ def test_secrets(spark):
     assert clean[100000]["text"] is None
 
 
+def test_random_letters_are_no_words():
+    cost = secrets.guess_cost
+    assert min(cost("hvqkzmxw7"), cost("xkqzvbnwrtyplkjh")) > secrets.MIN_LOG10 > max(cost("authentication"), cost("Required"), cost("tokenisation"))
+    for context in ("pwd: ", "pin=", "kennwort: ", "clave = ", "bearer ", "login: ", "key: ", "the password is "):
+        for value, secret in (("hvqkzmxw7", True), ("xkqzvbnwrtyplkjh", True), ("required", False)):
+            t = f"a {context}{value} b"
+            assert bool(secrets.guessed_spans(t, t.encode().lower())) == secret, t
+
+
 def test_guess_costs_are_ordered():
     cost = secrets.guess_cost
     assert cost("") == 0
