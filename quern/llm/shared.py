@@ -66,8 +66,10 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what Arrow sends to a Python worker at once, so that long texts don't fill its memory."""
+    """Bounds what Arrow sends to a Python worker at once, so that long texts don't fill its memory. Shuffle files go when the query they
+    served ends (a later reader of the same plan would have its stages run again), so that they don't add up from one stored table to the next."""
     prepare(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

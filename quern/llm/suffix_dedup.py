@@ -33,6 +33,9 @@ from quern.llm import shared
 LENGTH = 400
 #: Bytes of text that one step in a worker holds at once.
 PIECE = 4 << 20
+#: Names that one task merges, as intended; rows of ids or digests (at most 40 bytes each) that are broadcast to a scan of texts, beyond which Spark joins by sorting.
+NAMES_A_BUCKET = 3_000_000
+BROADCAST_ROWS = 1_000_000
 U = np.uint64
 COEFFICIENTS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)]
 
@@ -135,12 +138,14 @@ def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-def dealt(ids: list[tuple[int, int]], lists: list[np.ndarray], buckets: int) -> Iterator[dict]:
-    """For each bucket, what a batch sends: names that are single in it in document order, names settled in it, and by document how many names there are and which were single."""
+def dealt(ids: list[tuple[int, int]], lists: list[np.ndarray], copied: list[bool], buckets: int) -> Iterator[dict]:
+    """For each bucket, what a batch sends: names that are single in it in document order, names settled in it (met twice, or in a copied text), and by document how many names there are and which were single. Copied texts ask for no answer."""
     names = np.concatenate(lists) if lists else np.zeros(0, U)
     if not len(names):
         return
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    sure = np.array(copied, bool)[owner]
+    told = np.array(ids, np.int64).tobytes()  # once for the batch, with its first bucket
     batch = int(shared.mix(shared.mix(np.array(ids, np.int64).view(U)) + np.arange(len(ids), dtype=U)[:, None]).sum(dtype=U) >> U(1))
     bucket = bucket_of(names, buckets)
     order = np.argsort(bucket, kind="stable")
@@ -152,14 +157,27 @@ def dealt(ids: list[tuple[int, int]], lists: list[np.ndarray], buckets: int) ->
         own = names[mine]
         rank = np.argsort(own, kind="stable")
         line = own[rank]
-        same = np.zeros(len(line), bool)
-        same[1:] = line[1:] == line[:-1]
-        twice = same.copy()
-        twice[:-1] |= same[1:]
+        first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+        size = np.diff(np.concatenate((first, [len(line)])))
+        known = (size > 1) | (np.add.reduceat(sure[mine][rank].astype(np.int64), first) > 0)
         single = np.empty(len(line), bool)
-        single[rank] = ~twice
-        who, counts = np.unique(owner[mine], return_counts=True)
-        yield {"bucket": b, "batch": batch, "single": own[single].tobytes(), "settled": line[twice & ~same].tobytes(), "ids": np.array([ids[w] for w in who], np.int64).tobytes(), "counts": counts.astype(np.uint32).tobytes(), "mask": np.packbits(single).tobytes()}
+        single[rank] = np.repeat(~known, size)
+        asks = ~sure[mine]
+        who, counts = np.unique(owner[mine[asks]], return_counts=True)
+        yield {
+            "bucket": b, "batch": batch, "single": own[single].tobytes(), "settled": line[first[known]].tobytes(),
+            "ids": told, "who": who.astype(np.uint16).tobytes(), "counts": short(counts), "mask": np.packbits(single[asks]).tobytes(),
+        }
+        told = b""
+
+
+def short(counts: np.ndarray) -> bytes:
+    """Positive counts in a byte each, or in four where one is larger."""
+    return counts.astype(np.uint8 if len(counts) and counts.max() < 256 else np.uint32).tobytes()
+
+
+def counts_of(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint32).astype(np.int64)
 
 
 def repeated_in(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,116 +197,122 @@ def repeated_in(pdf: pd.DataFrame) -> pd.DataFrame:
         twice |= settled[at] == line
     flags = np.empty(len(line), bool)
     flags[rank] = twice
-    out = {"batch": [], "ids": [], "counts": [], "mask": []}
-    for i, (batch, ids, counts, mask) in enumerate(zip(pdf["batch"], pdf["ids"], pdf["counts"], pdf["mask"], strict=True)):
-        total = int(np.frombuffer(counts, np.uint32).sum())
+    out = {"batch": [], "ids": [], "who": [], "counts": [], "mask": []}
+    for i, (batch, ids, who, counts, mask) in enumerate(zip(*(pdf[c] for c in out), strict=True)):
+        total = int(counts_of(counts, len(who) // 2).sum())
         single = np.unpackbits(np.frombuffer(mask, np.uint8), count=total).astype(bool)
         hit = ~single
-        hit[single] = flags[ends[i] : ends[i + 1]]
-        if hit.any():
-            for k, v in zip(out, (batch, ids, counts, np.packbits(hit).tobytes()), strict=True):
+        asked = int(single.sum())  # copied texts' names stand in `settled` alone
+        hit[single] = flags[ends[i] : ends[i] + asked]
+        if hit.any() or ids:
+            for k, v in zip(out, (batch, ids, who, counts, np.packbits(hit).tobytes()), strict=True):
                 out[k].append(v)
-    return pd.DataFrame(out).assign(bucket=int(pdf["bucket"].iloc[0]))[["batch", "bucket", "ids", "counts", "mask"]]
+    return pd.DataFrame(out).assign(bucket=int(pdf["bucket"].iloc[0]))[["batch", "bucket", "ids", "who", "counts", "mask"]]
 
 
 def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The answers of all buckets to one batch, for each of its documents that has a repeated name."""
-    found: dict[tuple[int, int], dict[int, tuple]] = {}
-    for bucket, ids, counts, mask in zip(pdf["bucket"], pdf["ids"], pdf["counts"], pdf["mask"], strict=True):
-        ids, counts = np.frombuffer(ids, np.int64).reshape(-1, 2), np.frombuffer(counts, np.uint32)
-        stops = np.cumsum(counts, dtype=np.int64)
+    """The answers of all buckets to one batch, for each of its documents that has a repeated name: the buckets, ascending, and their masks end to end."""
+    pdf = pdf.sort_values("bucket").drop_duplicates("bucket")  # equal rows may make equal batches
+    ids = np.frombuffer(next(x for x in pdf["ids"] if x), np.int64).reshape(-1, 2)
+    parts: dict[int, list] = {}
+    for bucket, who, counts, mask in zip(pdf["bucket"], pdf["who"], pdf["counts"], pdf["mask"], strict=True):
+        who = np.frombuffer(who, np.uint16)
+        if not len(who):
+            continue
+        stops = np.cumsum(counts_of(counts, len(who)))
         hit = np.unpackbits(np.frombuffer(mask, np.uint8), count=int(stops[-1])).astype(bool)
-        some = np.add.reduceat(hit, np.concatenate(([0], stops[:-1]))) > 0
+        some = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], stops[:-1]))) > 0
         for k in np.flatnonzero(some):
-            found.setdefault(tuple(ids[k].tolist()), {})[int(bucket)] = (int(counts[k]), np.packbits(hit[stops[k] - counts[k] : stops[k]]).tobytes())
-    return pd.DataFrame({"doc_id": [d for d, _ in found], "mark": [m for _, m in found], "found": [[{"bucket": b, "n": n, "mask": m} for b, (n, m) in f.items()] for f in found.values()]}).astype({"doc_id": "int64", "mark": "int64"})
+            parts.setdefault(int(who[k]), []).append((bucket, hit[stops[k - 1] if k else 0 : stops[k]]))
+    found = [{"buckets": np.array([b for b, _ in p], np.uint32).tobytes(), "mask": np.packbits(np.concatenate([h for _, h in p])).tobytes()} for p in parts.values()]
+    own = ids[list(parts)] if parts else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"doc_id": own[:, 0], "mark": own[:, 1], "found": pd.Series(found, dtype=object)}).astype({"doc_id": "int64", "mark": "int64"})
 
 
-def flags_of(names: np.ndarray, buckets: int, answers: list) -> np.ndarray:
+def flags_of(names: np.ndarray, buckets: int, found: dict) -> np.ndarray:
     """Which of a document's names repeat, from the answers of the buckets."""
-    hit = np.zeros(len(names), bool)
     bucket = bucket_of(names, buckets)
-    for a in answers:
-        at = np.flatnonzero(bucket == a["bucket"])
-        if len(at) != a["n"]:
-            raise ValueError("a document changed between two readings")
-        hit[at] = np.unpackbits(np.frombuffer(a["mask"], np.uint8), count=len(at)).astype(bool)
+    asked = np.flatnonzero(np.isin(bucket, np.frombuffer(found["buckets"], np.uint32)))
+    if -(-len(asked) // 8) != len(found["mask"]):
+        raise ValueError("a document changed between two readings")
+    hit = np.zeros(len(names), bool)
+    hit[asked[np.argsort(bucket[asked], kind="stable")]] = np.unpackbits(np.frombuffer(found["mask"], np.uint8), count=len(asked)).astype(bool)
     return hit
 
 
 def exchange(sent: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Answers by document: doc_id, found (array of bucket, n, mask); only documents with a repeated name."""
-    answers = sent.groupBy("bucket").applyInPandas(repeated_in, "batch long, bucket int, ids binary, counts binary, mask binary")
-    found = answers.groupBy("batch").applyInPandas(by_document, "doc_id long, mark long, found array<struct<bucket: int, n: long, mask: binary>>")
+    """Answers by document: doc_id, mark, found (buckets, mask); only documents with a repeated name."""
+    answers = sent.groupBy("bucket").applyInPandas(repeated_in, "batch long, bucket int, ids binary, who binary, counts binary, mask binary")
+    found = answers.groupBy("batch").applyInPandas(by_document, "doc_id long, mark long, found struct<buckets: binary, mask: binary>")
     return shared.stored(found.groupBy("doc_id", "mark").agg(F.first("found").alias("found")), label)  # equal rows have equal answers
 
 
-SENT = "bucket int, batch long, single binary, settled binary, ids binary, counts binary, mask binary"
+SENT = "bucket int, batch long, single binary, settled binary, ids binary, who binary, counts binary, mask binary"
+
 
+def sender(names_of: Callable, buckets: int) -> Callable:
+    """Maps batches of doc_id, text, mark, copied, found to what is sent; names_of gets the bytes of a text and its found."""
 
-def sender(names_of: Callable, buckets: int, with_found: bool) -> Callable:
     def run(batches):
         import pyarrow as pa
 
-        ids, lists, held = [], [], 0
+        ids, lists, copied, held = [], [], [], 0
+        schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("single", "settled", "ids", "who", "counts", "mask"))])
 
         def flush():
-            rows = list(dealt(ids, lists, buckets))
-            ids.clear()
-            lists.clear()
-            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *((n, pa.binary()) for n in ("single", "settled", "ids", "counts", "mask"))])) if rows else None
+            rows = list(dealt(ids, lists, copied, buckets))
+            for x in (ids, lists, copied):
+                x.clear()
+            return pa.RecordBatch.from_pylist(rows, schema=schema) if rows else None
 
         for batch in batches:
-            found = batch.column(3).to_pylist() if with_found else [None] * batch.num_rows
-            for doc, raw, mark, f in zip(batch.column(0).to_pylist(), shared.as_bytes(batch.column(1)), batch.column(2).to_pylist(), found, strict=True):
-                if doc is None:
-                    continue
+            found = batch.column(4).to_pylist() if batch.num_columns > 4 else [None] * batch.num_rows
+            for doc, raw, mark, twin, f in zip(batch.column(0).to_pylist(), shared.as_bytes(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3)), found, strict=True):
                 names = names_of(raw, f)
                 if len(names):
                     ids.append((doc, mark))
                     lists.append(names)
+                    copied.append(twin)
                     held += len(names)
-                if held > 1_500_000:
+                if held > 1_500_000 or len(ids) > 60_000:
                     if (out := flush()) is not None:
                         yield out
                     held = 0
         if (out := flush()) is not None:
             yield out
+        shared.release()
 
     return run
 
 
 def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, mark, digest (SHA-256 of the bytes), n_bytes."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    raw = F.coalesce(text, F.lit("")).cast("binary")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("mark"), F.unhex(F.sha2(raw, 256)).alias("digest"), F.length(raw).cast("long").alias("n_bytes"))
 
 
-def joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    return docs.join(found, ["doc_id", "mark"], how).select("doc_id", "text", "mark", "found")
+def bounded(df: DataFrame) -> DataFrame:
+    """To be broadcast, if its rows are few enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """The documents that have repeated starts with the answers of the merge; their keys; the number of buckets."""
-    spark = docs.sparkSession
-    shared.small_batches(spark)
-    buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = marked(docs)
-    samples, _ = exchange(docs.mapInArrow(sender(lambda raw, _: sampled(raw, length)[1], buckets, False), SENT), "samples")
-    part, _ = shared.stored(joined(docs, samples, "inner"), "part")
+def joined(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that found has answers for; texts of others aren't dealt out."""
+    some = docs.join(bounded(found.select("doc_id", "mark")), ["doc_id", "mark"], "left_semi")
+    return some.join(found, ["doc_id", "mark"]).select("doc_id", "text", "mark", "copied", "found")
 
-    def merged(raw: bytes, found: list) -> np.ndarray:
-        positions, names = sampled(raw, length)
-        return starts(raw, positions[flags_of(names, buckets, found)], length)[1]
 
-    suffixes, _ = exchange(part.mapInArrow(sender(merged, buckets, True), SENT), "suffixes")
-    return part.join(suffixes.withColumnRenamed("found", "again"), ["doc_id", "mark"]).select("doc_id", "text", "mark", "found", "again"), suffixes.select("doc_id", "mark"), buckets
+def buckets_for(names: float) -> int:
+    """Ranges of names, of NAMES_A_BUCKET at most as names are even; they grow with the names, not with the setting for other shuffles."""
+    return max(16, int(names) // NAMES_A_BUCKET + 1)
 
 
-def covered(raw: bytes, found: list, again: list, length: int, buckets: int) -> np.ndarray:
+def covered(raw: bytes, found: dict, again: dict, length: int, buckets: tuple[int, int]) -> np.ndarray:
     """Removed bytes of one document."""
     positions, names = sampled(raw, length)
-    at, whole = starts(raw, positions[flags_of(names, buckets, found)], length)
-    first = at[flags_of(whole, buckets, again)]
+    at, whole = starts(raw, positions[flags_of(names, buckets[0], found)], length)
+    first = at[flags_of(whole, buckets[1], again)]
     edge = np.zeros(len(raw) + 1, np.int32)
     np.add.at(edge, first, 1)
     np.add.at(edge, first + length, -1)
@@ -297,7 +321,27 @@ def covered(raw: bytes, found: list, again: list, length: int, buckets: int) ->
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes, null if all remain), whole_sha (of the text, where all remains)."""
-    part, keys, buckets = removed_spans(docs, length, buckets)
+    spark = docs.sparkSession
+    shared.small_batches(spark)
+    texts = marked(docs)
+    long_ones = texts.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= length))
+    classes, _ = shared.stored(long_ones.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("n_bytes").alias("bytes"), F.count("*").alias("n")), "classes")
+    copies = bounded(classes.where("n > 1").select("digest", "first"))
+    every = texts.join(copies, "digest", "left").withColumn("copied", F.col("first").isNotNull() & F.col("doc_id").isNotNull())
+    # of equal texts one is read for all: what it has, the others have too
+    own = every.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= length) & (~F.col("copied") | (F.col("doc_id") == F.col("first")))).select("doc_id", "text", "mark", "copied")
+    _, v, cover = plan(length)
+    size = classes.agg(F.sum("bytes")).first()[0] or 0
+    one = buckets or buckets_for(size * len(cover) / v)
+    samples, _ = exchange(own.select("doc_id", "text", "mark", F.lit(False).alias("copied")).mapInArrow(sender(lambda raw, _: sampled(raw, length)[1], one), SENT), "samples")
+    part, _ = shared.stored(joined(own, samples), "part")
+
+    def merged(raw: bytes, found: dict) -> np.ndarray:
+        positions, names = sampled(raw, length)
+        return starts(raw, positions[flags_of(names, one, found)], length)[1]
+
+    two = buckets or buckets_for(part.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    suffixes, _ = exchange(part.mapInArrow(sender(merged, two), SENT), "suffixes")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, whole_sha string"
 
     def run(batches):
@@ -306,19 +350,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None =
         for batch in batches:
             out = {"n_bytes": [], "n_removed": [], "n_spans": []}
             kept = []
-            for raw, found, again in zip(shared.as_bytes(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                gone = covered(raw, found, again, length, buckets)
+            for raw, found, again in zip(shared.as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                gone = covered(raw, found, again, length, (one, two))
                 out["n_bytes"].append(len(raw))
                 out["n_removed"].append(int(gone.sum()))
                 out["n_spans"].append(int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0]) if len(gone) else 0)
                 kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out.values()), pa.array(kept, pa.binary()), pa.nulls(len(kept), pa.string())], names=["doc_id", *out, "kept", "whole_sha"])
-
-    # documents without a repeat only lose their text on the way: nothing of it is dealt out again
-    raw, zero = F.coalesce("text", F.lit("")).cast("binary"), F.lit(0).cast("long")
-    whole = marked(docs).select("doc_id", "mark", F.length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole_sha")).join(keys, ["doc_id", "mark"], "left_anti")
-    whole = whole.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.lit(None).cast("binary").alias("kept"), "whole_sha")
-    return part.mapInArrow(run, schema).unionByName(whole)
+        shared.release()
+
+    again = suffixes.select("doc_id", "mark", F.col("found").alias("again"))
+    cut = part.where("NOT copied").join(again, ["doc_id", "mark"]).select("doc_id", "text", "found", "again").mapInArrow(run, schema)
+    # of documents without a repeat, and of copies, only what is returned is dealt out
+    zero, sha = F.lit(0).cast("long"), F.lower(F.hex("digest"))
+    rest = every.select("doc_id", "mark", "n_bytes", "copied", "digest").join(suffixes.select("doc_id", "mark"), ["doc_id", "mark"], "left_anti")
+    rest = rest.select(
+        "doc_id", "n_bytes", F.when(F.col("copied"), F.col("n_bytes")).otherwise(zero).alias("n_removed"), F.col("copied").cast("long").alias("n_spans"),
+        F.when(F.col("copied"), F.lit(b"")).alias("kept"), F.when(~F.col("copied"), sha).alias("whole_sha"),
+    )
+    return cut.unionByName(rest)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
