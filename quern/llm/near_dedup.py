@@ -9,15 +9,17 @@ coordinates, a byte each; pairs with LEAST_FINE of them are confirmed on the ful
 A long posting list is never expanded into its pairs. First each member meets one pivot of each of its lists: the most
 central member, whose values are the most common, then another in each of the ROUNDS; members that are then linked are one
 component. Only lists that still hold several components are compared whole, in blocks of at most BLOCK members, between
-different components; links inside a component change nothing. A block counts collisions and confirms pairs itself, each under
+different components; links inside a component change nothing. Members of a list of over SECOND blocks are posted again under each further
+value of their prefix, which two linked documents must share too (LEAST collisions have two among the rarest K - LEAST + 2), so
+that they meet in shorter lists rather than in the square of its blocks. A block counts collisions and confirms pairs itself, each under
 the first posting that both sides share, and puts out only links that join components. So every link between different
 components is found: a pair with J >= 0.8 is missed only if fewer than LEAST of its K coordinates, or LEAST_FINE of its FINE,
 collide; each has a probability below 1e-6.
 
 Null, empty and blank texts have the empty set and are linked with nothing. Texts of fewer words than a shingle have one
 shingle, the whole sequence. Repeated rows fall in one class; ties go to the smallest doc_id. Very long texts are hashed
-whole, in pieces. Shingles are 64-bit hashes. doc_ids are unique, but
-for repeated rows. Rows with a null doc_id take part under no id and are returned unlinked.
+whole, in pieces. Shingles are 64-bit hashes (two sets of 10,000 have a false common one with a probability of 5e-12). doc_ids
+are unique, but for repeated rows. Rows with a null doc_id take part under no id and are returned unlinked.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ FINE, LEAST_FINE = 512, 364
 PERCENT = 80
 ROUNDS = 2
 BLOCK = 1000
+#: Blocks of a list from which a second posting makes fewer copies of a member (at most K - LEAST + 1) than pairs of blocks do.
+SECOND = K - LEAST + 1
 #: Up to so many ids of classes that remain are broadcast to the scan of texts (8 bytes each); beyond, Spark joins by sorting.
 BROADCAST_IDS = 1_000_000
 RANDOM = np.random.default_rng(20240229)
@@ -67,7 +71,7 @@ def fine_signature(found: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n (size of the set), key (128-bit hash of the set), sig (array of K ints; null for the empty set)."""
+    """doc_id, mark (hash of the text), n (size of the set), key (128-bit hash of the set), sig (array of K ints; null for the empty set)."""
     shared.small_batches(docs.sparkSession)
 
     def run(batches):
@@ -82,11 +86,11 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 ns.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sigs.append(signature(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "mark", "n", "key", "sig"])
         hashes.clear()
         shared.release()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, key binary, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), shared.mark().alias("mark")).mapInArrow(run, "doc_id long, mark long, n long, key binary, sig array<int>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -118,21 +122,23 @@ def colliding(batches):
 
 
 def cell_pairs(pdf: pd.DataFrame, percent: int):
-    """Pairs of rows of one cell of a posting list (positions, batch by batch) that lie in different components, collide often enough, and share no earlier posting."""
-    i, j, token = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["token"].iloc[0])
+    """Pairs of rows of one cell of a posting list (positions, batch by batch) that lie in different components, collide often enough, and share no earlier posting, nor an earlier second one."""
+    i, j, token, second = (int(pdf[c].iloc[0]) for c in ("i", "j", "token", "second"))
     own = pdf["own"].to_numpy()
     left = np.flatnonzero(own == i)
     right = left if i == j else np.flatnonzero(own == j)
     if not len(left) or not len(right):
         return
     fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), FINE)
-    earlier = [{t for t in p if t < token} for p in pdf["tokens"]]
+    # of the postings of a row the last is a second one only
+    earlier = [{t for t in p[:-1] if t < token} for p in pdf["tokens"]]
+    seconds = [{t for t in p if t < second and t != token} for p in pdf["tokens"]]
     comp, n = pdf["comp"].to_numpy(), pdf["n"].to_numpy()
     for k, a in enumerate(left):
         others = right[k + 1 :] if i == j else right
         at = others[(comp[others] != comp[a]) & (100 * np.minimum(n[others], n[a]) >= percent * np.maximum(n[others], n[a]))]
         at = at[np.count_nonzero(fine[at] == fine[a], axis=1) >= LEAST_FINE]
-        yield a, [b for b in at if earlier[a].isdisjoint(earlier[b])]
+        yield a, [b for b in at if earlier[a].isdisjoint(earlier[b]) and seconds[a].isdisjoint(seconds[b])]
 
 
 def cell_members(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -166,7 +172,7 @@ def cell_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-CELL = "token long, i int, j int, own int, id long, comp long, n long, fine binary, tokens array<long>"
+CELL = "token long, second long, i int, j int, own int, id long, comp long, n long, fine binary, tokens array<long>"
 
 
 def links_between(docs: DataFrame, classes: DataFrame, size: int, percent: int, paths: list[str]) -> DataFrame:
@@ -181,8 +187,8 @@ def links_between(docs: DataFrame, classes: DataFrame, size: int, percent: int,
     shared_values = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = posted.join(shared_values, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found")).where(F.size("found") >= LEAST)
     central = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    chosen = keep(ranked.select("id", central.alias("weight"), F.transform(F.slice("found", F.lit(1), F.size("found") - LEAST + 1), lambda p: p["token"]).alias("tokens")), "postings")
-    prefix = chosen.select("id", "weight", F.explode("tokens").alias("token"))
+    chosen = keep(ranked.select("id", central.alias("weight"), F.transform(F.slice("found", F.lit(1), F.size("found") - LEAST + 2), lambda p: p["token"]).alias("tokens")), "postings")
+    prefix = chosen.select("id", "weight", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - 1)).alias("token"))
     ids = chosen.select("id")
     sets = keep(sets_of(docs, ids, size), "sets")
     known = keep(classes.select("id", "n").join(sets.select("id", "fine"), "id"), "members")
@@ -201,12 +207,17 @@ def links_between(docs: DataFrame, classes: DataFrame, size: int, percent: int,
             pivots = several.join(lists.select("id", "comp"), F.col("pivot") == F.col("id")).select("token", "pivot", F.col("comp").alias("pivot_comp")).distinct()
             pairs = lists.join(pivots, "token").where("comp <> pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         else:
-            blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-            members = lists.join(several.where("m > 2").select("token", blocks.alias("blocks")), "token").join(known, "id").join(chosen.select("id", "tokens"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", F.col("n").cast("long").alias("n"), "fine", "tokens")
-            met = cells.groupBy("token", "i", "j").applyInPandas(lambda pdf: cell_members(pdf, percent), CELL)
+            hot = F.col("m") > SECOND * BLOCK
+            placed = lists.join(several.where("m > 2").select("token", "m"), "token").join(chosen.select("id", "tokens"), "id")
+            placed = placed.withColumn("second", F.explode(F.when(hot, F.array_except("tokens", F.array("token"))).otherwise(F.array(F.lit(-1).cast("long")))))
+            placed = keep(placed.select("id", "comp", "token", "second"), "placed")
+            sizes = placed.groupBy("token", "second").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+            sizes = sizes.select("token", "second", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+            members = placed.join(sizes, ["token", "second"]).join(known, "id").join(chosen.select("id", "tokens"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "second", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", F.col("n").cast("long").alias("n"), "fine", "tokens")
+            met = cells.groupBy("token", "second", "i", "j").applyInPandas(lambda pdf: cell_members(pdf, percent), CELL)
             whole = met.join(sets.select("id", "shingles"), "id").select(*met.columns, "shingles")
-            pairs = whole.groupBy("token", "i", "j").applyInPandas(lambda pdf: cell_links(pdf, percent), "a long, b long").distinct()
+            pairs = whole.groupBy("token", "second", "i", "j").applyInPandas(lambda pdf: cell_links(pdf, percent), "a long, b long").distinct()
         new = keep(confirmed(pairs) if r < ROUNDS else pairs, "links")
         if r and new.isEmpty():
             continue  # the components stay as they are; only the last round compares lists whole
@@ -220,21 +231,21 @@ def links_between(docs: DataFrame, classes: DataFrame, size: int, percent: int,
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    paths: list[str] = []
-    found, path = shared.stored(signatures(docs, size), "signatures")
-    paths.append(path)
-    classes, path = shared.stored(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    paths.append(path)
+    """One row per document: doc_id, mark (hash of its text), n_shingles, component_id, kept. What was written on the way but the last tables is removed."""
+    spark, paths = docs.sparkSession, []
+    found, _ = shared.stored(signatures(docs, size), "signatures")
+    classes, _ = shared.stored(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("sig").alias("sig")), "classes")
     roots = links_between(docs, classes.select("id", "n", "sig"), size, percent, paths)
-    ends = classes.select("key", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", F.coalesce("root", "id").alias("end"))
-    out = found.select("doc_id", "n", "key").join(ends, "key", "left")
+    ends, _ = shared.stored(classes.select("key", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", F.coalesce("root", "id").alias("end")), "ends")
+    for path in paths:
+        shared.remove(spark, path)
+    out = found.select("doc_id", "mark", "n", "key").join(ends, "key", "left")
     end = F.coalesce("end", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), end.alias("component_id"), F.coalesce(end == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), end.alias("component_id"), F.coalesce(end == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(shared.table(spark, sf_dir, "documents"))
+    return near_duplicates(shared.table(spark, sf_dir, "documents")).drop("mark")
 
 
 def brute_force(rows: list[tuple[int, str | None]], size: int = SIZE, percent: int = PERCENT) -> dict[int, tuple[int, int, bool]]:

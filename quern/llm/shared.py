@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.session import prepare
@@ -139,6 +139,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def documents(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that the scan reads no others and clashing names can't matter."""
-    return df.select(*[F.col(c) for c in columns])
+def mark(text: str = "text") -> Column:
+    """A hash of a text: with its doc_id it names a row, so that rows that share an id are told apart."""
+    return F.xxhash64(F.col(text).cast("string"))
