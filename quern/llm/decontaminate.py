@@ -1,19 +1,23 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised words of test items, run once over each text.
 
 Words are maximal runs outside ASCII punctuation and spaces, A-Z lower-cased; the automaton runs over word numbers, so
-a match ends at a word, and word offsets lead back to byte offsets in the original text. A window is 13 words of an item,
-or the whole item where it has fewer. No shuffle: documents are mapped where they are read.
+a match ends at a word. Normalising keeps every byte's place, so the words of a match lead back to code points of the original
+text (column offsets). A window is 13 words of an item, or the whole item where it has fewer. No shuffle: documents are mapped
+where they are read.
 
 Null and empty texts have no words and are never contaminated; items without words have no window. Items that repeat
-share windows and all count. Very long texts are scanned whole. Extra columns of either table are not read.
+share windows and all count; rows of one item id are one item. Windows of items without an id hit, but name no item. Repeated
+documents each get their row. Very long texts are scanned whole. Extra columns of either table are not read.
 
-The automaton holds the benchmark, which is bounded: MAX_WORDS words an automaton. A larger benchmark is cut into parts by
-item, the texts are scanned once for each part, and hits are joined; results are the same.
+The automaton holds the benchmark, which is bounded: PART_BYTES bytes an automaton. A larger benchmark is cut into parts by
+item, which the driver reads one after the other, the texts are scanned once for each part, and hits are joined by row; results are the same.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
 from itertools import repeat
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from quern.llm import shared
 
 WINDOW = 13
-MAX_WORDS = 2_000_000
+PART_BYTES = 16 << 20
 #: Bytes to their normal form: A-Z to a-z, digits, a-z and all of non-ASCII as they are, the rest to a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -31,6 +35,21 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(NORMAL).split()
 
 
+def offsets_of(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words (in order, apart) as spans of code points of the text, end exclusive."""
+    if not spans:
+        return []
+    places = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(NORMAL))]
+    out, at, code = [], 0, 0
+    for first, end in spans:
+        start, stop = places[first][0], places[end - 1][1]
+        code += len(raw[at:start].decode())
+        size = len(raw[start:stop].decode())
+        out.append((code, code + size))
+        code, at = code + size, stop
+    return out
+
+
 def windows(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))} if words else set()
 
@@ -38,14 +57,16 @@ def windows(words: list[bytes]) -> set[tuple[bytes, ...]]:
 class Matcher:
     """The automaton over word numbers; built once in each Python worker."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]]) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]]) -> None:
         import ahocorasick
 
         self.numbers: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
         for name, words in items:
             for w in windows(words):
-                owners.setdefault(tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w), set()).add(name)
+                named = owners.setdefault(tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w), set())
+                if name is not None:
+                    named.add(name)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, names in owners.items():
             self.automaton.add_word(key, (len(key), names))
@@ -71,18 +92,14 @@ class Matcher:
         return spans, names
 
 
-def parts(benchmark: DataFrame, max_words: int = MAX_WORDS) -> list[list[tuple[str, list[bytes]]]]:
-    """The items, cut into parts of at most max_words words (or one item)."""
-    out: list[list] = []
-    size = max_words
-    for item_id, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        if words := words_of((text or "").encode()):
-            if size + len(words) > max_words:
-                out.append([])
-                size = 0
-            size += len(words)
-            out[-1].append((str(item_id), words))
-    return out or [[]]
+def parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The items by parts of about part_bytes, dealt by a hash; one part at a time is on the driver."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = int(total // part_bytes) + 1
+    for i in range(n):
+        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
+        yield [(r["item_id"], words_of((r["text"] or "").encode())) for r in own.collect()]
 
 
 def matcher_for(spark: SparkSession, items: list):
@@ -96,45 +113,62 @@ def matcher_for(spark: SparkSession, items: list):
     return get
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items (sorted, comma-joined), spans (first:end of hit words)."""
+FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<first: int, end: int>>, offsets array<struct<start: int, end: int>>"
+
+
+def matched(docs: DataFrame, get) -> DataFrame:
+    """All columns but text as they are, and what one automaton finds: n_words, n_hit, items, spans (of words), offsets (of code points)."""
+    columns = docs.columns
+    keys, at = [c for c in columns if c != "text"], columns.index("text")
+
+    def rows(batch):
+        match = get()
+        out = {c: batch.column(i) for i, c in enumerate(columns) if i != at} | {c: [] for c in ("n_words", "n_hit", "items", "spans", "offsets")}
+        for raw in shared.as_bytes(batch.column(at)):
+            words = words_of(raw)
+            spans, names = match.hits(words)
+            out["n_words"].append(len(words))
+            out["n_hit"].append(sum(e - s for s, e in spans))
+            out["items"].append(sorted(names))
+            out["spans"].append([{"first": s, "end": e} for s, e in spans])
+            out["offsets"].append([{"start": s, "end": e} for s, e in offsets_of(raw, spans)])
+        return out
+
+    kinds = dict(docs.dtypes)
+    return shared.arrow_map(docs, rows, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", " + FOUND)
+
+
+#: Spans of several parts, sorted, as the maximal spans they cover.
+MERGED = """aggregate(array_sort(flatten(collect_list({0}))), cast(array() as array<struct<{1}: int, end: int>>),
+(acc, x) -> if(size(acc) > 0 and element_at(acc, -1).end >= x.{1},
+concat(slice(acc, 1, size(acc) - 1), array(named_struct('{1}', element_at(acc, -1).{1}, 'end', greatest(element_at(acc, -1).end, x.end)))), concat(acc, array(x))))"""
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: keys, n_words, n_hit, n_items, items (sorted), spans (first, end of hit words), offsets (start, end of hit code points)."""
     spark = docs.sparkSession
     shared.small_batches(spark)
-    cut = parts(benchmark, max_words)
-    kind = dict(docs.dtypes)["doc_id"]
+    getters = [matcher_for(spark, items) for items in parts(benchmark, part_bytes)]
+    docs = docs.select(*keys, F.col("text").cast("string").alias("text"))
+    if len(getters) == 1:
+        return matched(docs, getters[0]).withColumn("n_items", F.size("items").cast("long"))
+    numbered, _ = shared.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = None
+    for get in getters:
+        one, _ = shared.stored(matched(numbered, get), "part")
+        found = one if found is None else found.unionByName(one)
+    # words that touch are one span of words, but between their code points there may be signs: spans are merged by words
+    merged = found.groupBy("_row").agg(*(F.first(k).alias(k) for k in keys), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.expr(MERGED.format("spans", "first")).alias("spans"))
+    merged = merged.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"]))
+    placed = numbered.select("_row", "text").join(merged.where("n_hit > 0").select("_row", "spans"), "_row")
 
-    def one(items: list, rest: bool) -> DataFrame:
-        get = matcher_for(spark, items)
+    def rows(batch):
+        spans = [[(x["first"], x["end"]) for x in own] for own in batch.column(2).to_pylist()]
+        return {"_row": batch.column(0), "offsets": [[{"start": s, "end": e} for s, e in offsets_of(raw, own)] for raw, own in zip(shared.as_bytes(batch.column(1)), spans, strict=True)]}
 
-        def rows(batch):
-            match = get()
-            out = {"doc_id": batch.column(0), "n_words": [], "n_hit": [], "n_items": [], "items": [], "spans": []}
-            for raw in shared.as_bytes(batch.column(1)):
-                words = words_of(raw)
-                spans, names = match.hits(words)
-                out["n_words"].append(len(words))
-                out["n_hit"].append(sum(e - s for s, e in spans))
-                out["n_items"].append(len(names))
-                out["items"].append(",".join(sorted(names)))
-                out["spans"].append(",".join(f"{s}:{e}" for s, e in spans))
-            if rest:
-                out["row"] = batch.column(2)
-            return out
-
-        base = docs.select("doc_id", F.col("text").cast("string"), *([F.col("row")] if rest else []))
-        return shared.arrow_map(base, rows, f"doc_id {kind}, n_words long, n_hit long, n_items long, items string, spans string" + ", row long" * rest)
-
-    if len(cut) == 1:
-        return one(cut[0], False)
-    numbered, _ = shared.stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
-    docs = numbered
-    found = None
-    for items in cut:
-        found = one(items, True) if found is None else found.unionByName(one(items, True))
-    ranges = "filter(flatten(transform(collect_list(spans), x -> split(x, ','))), x -> x <> '')"
-    merged = found.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.expr("array_sort(array_distinct(filter(flatten(transform(collect_list(items), x -> split(x, ','))), x -> x <> '')))").alias("names"), F.expr(ranges).alias("ranges"))
-    marks = "array_distinct(flatten(transform(ranges, r -> sequence(cast(split(r, ':')[0] as int), cast(split(r, ':')[1] as int) - 1))))"
-    return merged.select("doc_id", "n_words", F.expr(f"cast(size({marks}) as long)").alias("n_hit"), F.expr("cast(size(names) as long)").alias("n_items"), F.array_join("names", ",").alias("items"), F.array_join("ranges", ",").alias("spans"))
+    offsets = shared.arrow_map(placed.select("_row", "text", "spans"), rows, "_row long, offsets array<struct<start: int, end: int>>")
+    out = merged.join(offsets, "_row", "left").withColumn("offsets", F.coalesce("offsets", F.expr("cast(array() as array<struct<start: int, end: int>>)")))
+    return out.select(*keys, "n_words", "n_hit", "items", "spans", "offsets", F.size("items").cast("long").alias("n_items"))
 
 
 def contaminated() -> F.Column:
@@ -143,31 +177,31 @@ def contaminated() -> F.Column:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents without the contaminated ones, judged in the same single pass: no join, no shuffle."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """documents without the contaminated ones: one automaton judges in the same pass, without join or shuffle; several hand in their hits by row."""
     spark = docs.sparkSession
     shared.small_batches(spark)
-    cut = [matcher_for(spark, items) for items in parts(benchmark)]
+    cut = parts(benchmark, part_bytes)
+    first, more = next(cut), next(cut, None)
+    if more is not None:
+        numbered, _ = shared.stored(docs.withColumn("_doc", F.monotonically_increasing_id()), "documents")
+        bad, _ = shared.stored(scan(numbered, benchmark, part_bytes, ("_doc",)).where(contaminated()).select("_doc"), "contaminated")
+        return numbered.join(bad, "_doc", "left_anti").select(*docs.columns)
+    get = matcher_for(spark, first)
     at = docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
+        match = get()
         for batch in batches:
             keep = []
             for raw in shared.as_bytes(batch.column(at)):
                 words = words_of(raw)
-                hit = set() if len(cut) > 1 else None
-                n = 0
-                for get in cut:
-                    spans, _ = get().hits(words)
-                    n += sum(e - s for s, e in spans)
-                    if hit is not None:
-                        hit.update(*(range(s, e) for s, e in spans))
-                n = n if hit is None else len(hit)
+                n = sum(e - s for s, e in match.hits(words)[0])
                 keep.append(not (n and 20 * n >= len(words)))
             yield batch.filter(pa.array(keep))
         shared.release()
@@ -183,7 +217,7 @@ def brute_force(text: str | None, items: list[tuple[int, str | None]]) -> tuple[
             for i in range(len(words) - len(w) + 1):
                 if tuple(words[i : i + len(w)]) == w:
                     hit.update(range(i, i + len(w)))
-                    names.add(str(name))
+                    names |= {str(name)} - {"None"}
     return len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 

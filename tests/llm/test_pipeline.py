@@ -19,15 +19,16 @@ def test_stages(spark):
     good = [d for d in before if labels.get(d) == 1]
     assert sum(d in after for d in good) >= 0.98 * len(good) and len(after) < len(before)
     before, after = kept["near_dedup"]
-    assert set(after) == {d for d, (_, _, stays) in near_dedup.brute_force(list(before.items())).items() if stays}
+    assert set(after) == {d for d, (_, _, stays) in near_dedup.brute_force(list(before.items()), size=corpus_pipeline.SHINGLE).items() if stays}
     before, after = kept["decontaminate"]
     items = [(r["item_id"], r["text"]) for r in shared.table(spark, SF, "benchmark").collect()]
     assert set(after) == {d for d, t in before.items() if not decontaminate.brute_force(t, items)[4]}
     before, after = kept["secrets"]
     assert set(after) == set(before)
+    words = secrets.dictionary(spark.createDataFrame([(t,) for t in before.values()], "text string"))
     for d, r in after.items():
         raw = before[d].encode().lower()
-        spans = secrets.base_spans(before[d], raw) + secrets.guessed_spans(before[d], raw)
+        spans = secrets.base_spans(before[d], raw) + secrets.guessed_spans(before[d], raw, words)
         assert r["text"] == secrets.redact_text(before[d], spans) and r["n_chars"] == len(r["text"])
         assert not secrets.base_spans(r["text"], r["text"].encode().lower())
     before, after = kept["encode"]
@@ -49,3 +50,17 @@ def test_nulls_and_empty_tables(spark, tmp_path):
     for rows in (odd, odd.limit(0)):
         rows.write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
         corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+
+
+def test_rows_that_share_an_id(spark):
+    """Decisions are on rows: equal rows are one, another text under the same id or under none stays or goes on its own."""
+    schema = shared.table(spark, SF, "documents").schema
+    one, other = " ".join(f"word{i}" for i in range(40)), " ".join(f"thing{i}" for i in range(40))
+    rows = [(1, one, "en", "s", 1), (1, one, "en", "s", 1), (2, one, "en", "s", 1), (3, other, "en", "s", 1), (None, "a b", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect())
+    assert got == [(0, "a b"), (1, one), (3, other)]
+    gone = spark.createDataFrame([(1, one), (None, "a b")], "doc_id long, text string").select("doc_id", shared.mark().alias("mark"))
+    docs = spark.createDataFrame([*rows, (1, other, "en", "s", 1), (None, "c", "en", "s", 1)], schema)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.without(docs, gone).collect())
+    assert got == [(0, "c"), (1, other), (2, one), (3, other)]
