@@ -1,12 +1,13 @@
 """The training-data pipeline over documents: each stage works on all that the one before it kept.
 
 quality        documents that the classifier rejects go (empty texts too)
-near_dedup     one document of each group of near copies stays, the one of the smallest id
+near_dedup     one document of each group of near copies stays, the one of the smallest id; of rows with one id and one text, one
 decontaminate  documents that the benchmark contaminates go
 secrets        secret spans are masked in the text, and n_chars follows; no document goes
 encode         the pieces of each text
 
-All stages but the last return the columns of documents. Null and empty texts go in the first stage. Empty tables give empty results.
+All stages but the last return the columns of documents. Decisions are on rows, named by id and text, so that rows that share an id,
+or have none, each follow their own. Null and empty texts go in the first stage. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,15 +17,22 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, near_dedup, pieces, quality, secrets, shared
 
-#: Up to so many ids that a stage removes are broadcast to the scan of texts (8 bytes each); more are joined by sorting.
-BROADCAST_IDS = 1_000_000
+#: Up to so many rows that a stage removes are broadcast to the scan of texts (16 bytes each); more are joined by sorting.
+BROADCAST_ROWS = 1_000_000
+#: Words of a shingle.
+SHINGLE = 5
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids, _ = shared.stored(ids.select(F.col("doc_id").cast("long").alias("_gone_id")).distinct(), "gone")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
+def named(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_mark": shared.mark()})
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs but those in gone (doc_id, mark: the hash of the text); a null id is an id like others here."""
+    gone, _ = shared.stored(gone.select(F.col("doc_id").cast("long").alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct(), "gone")
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return named(docs).join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & F.col("_mark").eqNullSafe(F.col("_gone_mark")), "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +41,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, near_dedup.near_duplicates(docs).where("NOT kept"))
+    found, _ = shared.stored(near_dedup.near_duplicates(docs, size=SHINGLE), "judged")
+    kept = without(docs, found.where("NOT kept"))
+    twice, _ = shared.stored(found.where("kept AND n_shingles > 0").groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("_twice_id"), F.col("mark").alias("_twice_mark")), "twice")
+    if twice.isEmpty():
+        return kept
+    same = F.col("_id").eqNullSafe(F.col("_twice_id")) & F.col("_mark").eqNullSafe(F.col("_twice_mark"))
+    once = named(kept).join(twice, same, "left_semi").dropDuplicates(["_id", "_mark"])
+    return named(kept).join(twice, same, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
