@@ -94,8 +94,8 @@ class EliasFano:
             out[a : a + 65536] = ((self.select(part, False) - part).astype(U) << U(self.bits)) | self.lows(part)
         return out
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Position of the first element equal to each x, or -1."""
+    def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Position of the first element equal to each x, or -1; begin and end: where each is looked for."""
         x = np.asarray(x, U)
         out = np.full(len(x), -1, np.int64)
         if not self.n:
@@ -109,7 +109,9 @@ class EliasFano:
             first = at - h
             stop = first + self.run(at, h)
             low = part & U((1 << self.bits) - 1) if self.bits else np.zeros(len(part), U)
-            lo, hi = first.copy(), stop.copy()
+            if begin is not None:
+                first, stop = np.maximum(first, begin[a : a + 65536]), np.minimum(stop, end[a : a + 65536])
+            lo, hi = first.copy(), np.maximum(first, stop)
             while (open_ := np.flatnonzero(lo < hi)).size:  # binary search among the elements with the same upper bits
                 mid = (lo[open_] + hi[open_]) >> 1
                 less = self.lows(mid) < low[open_]

@@ -1,20 +1,25 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
+"""Language-model scores from an Elias-Fano n-gram trie of order three.
 
-Level one holds the words: their 64-bit fingerprints as a monotone sequence, in ranges, so that a word's number is its place.
-Level two holds each context's successors: pointers, monotone, say where a context's successors begin, and the successors' numbers
-follow relative to that context (context number times vocabulary size plus successor), again one monotone sequence a range. With
-every entry stands its interpolated probability, quantised; with every context its back-off weight. A bigram is looked up
-by the successor search among the entries of its context.
+Level one holds the words: their fingerprints as a monotone sequence, in ranges, so that a word's number is its place. On levels two
+and three a context is an entry of the level above (a word; a pair of words), and pointers, a monotone sequence, say where a context's
+successors begin. The successors' numbers follow relative to that context (context times vocabulary size plus successor), again one
+monotone sequence a range. An n-gram is looked up by the successor search between the two pointers of its context. With every entry
+stands a quantised probability; with every context its back-off weight.
 
-    p(w)   = (c(w) + 0.1) / (N + 0.1 (V + 1))
-    p(w|v) = max(c(v,w) - D, 0) / c(v) + D T(v) / c(v) p(w),   T(v): distinct successors of v
+    p(w)     = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    p(w|v)   = max(c(v,w) - D, 0) / c(v) + D T(v) / c(v) p(w),              T(v): distinct successors of v
+    p(w|u,v) = max(c(u,v,w) - D, 0) / c(u,v) + D T(u,v) / c(u,v) p(w|v)
 
-Both levels are counted over all training documents in ranges: workers send each batch's distinct keys with counts, one task
-a range merges them and writes its files to the shared folder, and scorers memory-map them. Nothing but the number of
-entries of each range passes through the driver, and nothing is broadcast; the files grow with the corpus and are read where needed.
+Level two stores p(w|v) itself, level three the first term, to which a score adds the weighted p(w|v) it has just read.
+
+Levels are counted over all training documents in ranges: workers send each batch's distinct keys with counts, one task
+a range merges them and writes its files to the shared folder, and scorers memory-map them. There are as many ranges as keep what a
+task merges near TOKENS_A_RANGE tokens' n-grams. Nothing but the number of entries of each range passes through the driver, and
+nothing is broadcast; the files grow with the corpus and are read where needed.
 
 Null and empty texts have one token, the end. Words are of any length. Repeated rows are counted as often as they occur. With
 no training token at all every probability is that of an unseen word in an empty vocabulary. A null doc_id is hashed as "".
+Fingerprints have 56 bits: two of V words share one with a probability of V * V / 2**57 (7e-6 for a million words).
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from __future__ import annotations
 import io
 import math
 import os
+import re
 import zlib
 
 import numpy as np
@@ -39,13 +45,15 @@ STEPS = 4096
 END = b""
 #: Words that a worker reads before it sends their counts.
 HELD = 1_500_000
+#: Tokens, or bytes of text where tokens aren't counted yet, whose n-grams one range takes.
+TOKENS_A_RANGE, BYTES_A_RANGE = 4_000_000, 64 << 20
 
 
 class Store:
     """Arrays in the shared folder; memory-mapped where its file system is mounted, else read through pyarrow."""
 
     def __init__(self, path: str) -> None:
-        self.path = path
+        self.path = re.sub(r"^s3[an]:", "s3:", path)  # the schemes of Hadoop's clients for the same store
         self.local = path.removeprefix("file://") if path.startswith(("file:/", "/")) else None
         if self.local and self.local.startswith("file:"):
             self.local = self.local.removeprefix("file:")
@@ -147,15 +155,22 @@ def batches_of(batches, only_training: bool):
         yield ids, np.array([len(x) for x in found]), np.concatenate(found)
 
 
-def sent(keys: np.ndarray, counts: np.ndarray, ranges: np.ndarray, n: int):
-    """One row for each range that sorted keys fall in: keys as gaps of their low bytes' planes, so that they compress; counts."""
+def sent(keys: np.ndarray, counts: np.ndarray, ends: np.ndarray):
+    """One row for each range r, which has keys[ends[r]:ends[r + 1]] of the sorted keys: their gaps, byte by byte so that they compress, and their counts."""
     import pyarrow as pa
 
-    ends = np.searchsorted(ranges, np.arange(n + 1))
-    rows = [{"range": r, "keys": keys[ends[r] : ends[r + 1]].tobytes(), "counts": narrow(counts[ends[r] : ends[r + 1]])} for r in range(n) if ends[r] < ends[r + 1]]
+    rows = [{"range": r, "keys": gaps(keys[a:z]), "counts": narrow(counts[a:z])} for r, (a, z) in enumerate(zip(ends[:-1], ends[1:])) if a < z]
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
 
+def gaps(keys: np.ndarray) -> bytes:
+    return np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def ungapped(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(U)[:, 0], dtype=U)
+
+
 def narrow(counts: np.ndarray) -> bytes:
     """Counts below 255 in a byte, larger ones after them."""
     small = np.minimum(counts, 255).astype(np.uint8)
@@ -169,7 +184,7 @@ def wide(raw: bytes, n: int) -> np.ndarray:
 
 
 def merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.frombuffer(k, U) for k in pdf["keys"]]
+    keys = [ungapped(k) for k in pdf["keys"]]
     counts = np.concatenate([wide(c, len(k)) for c, k in zip(pdf["counts"], keys, strict=True)])
     keys = np.concatenate(keys)
     order = np.argsort(keys, kind="stable")
@@ -178,56 +193,63 @@ def merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first)
 
 
-class Trie:
-    """Level two, over all ranges of contexts. Context `size` is the start of a text."""
+class Level:
+    """Level two or three, over all ranges of contexts: bounds[r] is the first context of range r, firsts[r] the place of its first entry."""
 
-    def __init__(self, store: Store, words: Vocabulary, n: int, tokens: int, present: set[int]) -> None:
-        self.store, self.words, self.n, self.tokens, self.present = store, words, n, tokens, present
+    def __init__(self, store: Store, name: str, width: int, bounds: list[int], sizes: list[int]) -> None:
+        self.store, self.name, self.width, self.sizes = store, name, U(width), sizes
+        self.bounds, self.firsts = np.array(bounds, np.int64), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         self.ranges: dict[int, tuple] = {}
 
+    def plain(self) -> tuple:
+        """What makes it again in a worker."""
+        return self.name, int(self.width), self.bounds.tolist(), self.sizes
+
     def of(self, r: int) -> tuple | None:
+        if not self.sizes[r]:
+            return None
         if r not in self.ranges:
-            got = self.store.read(f"pairs{r}", (*PARTS, "codes", "backoff")) if r in self.present else None
-            self.ranges[r] = got and (EliasFano(got), EliasFano(self.store.read(f"pointers{r}", PARTS)), got["codes"], got["backoff"])
+            got = self.store.read(f"{self.name}{r}", (*PARTS, "codes", "backoff"))
+            self.ranges[r] = EliasFano(got), EliasFano(self.store.read(f"{self.name}-pointers{r}", PARTS)), got["codes"], got["backoff"]
         return self.ranges[r]
 
-    def bounds(self) -> np.ndarray:
-        return context_bounds(self.words.size, self.n)
+    def write(self, r: int, keys: np.ndarray, codes: np.ndarray, kinds: np.ndarray, backoff: np.ndarray) -> None:
+        """keys: relative to the range's first context, sorted; kinds: successors of each of its contexts."""
+        self.store.write(f"{self.name}-pointers{r}", encode(np.concatenate(([0], np.cumsum(kinds))), len(keys) + 1))
+        self.store.write(f"{self.name}{r}", encode(keys, len(kinds) * int(self.width)) | {"codes": quantised(codes), "backoff": quantised(backoff)})
 
     def successors(self, context: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words seen after a context, and log10 p(word|context), from where its pointer says they stand."""
-        bounds = self.bounds()
-        r = int(np.searchsorted(bounds, context, "right")) - 1
+        """Numbers of the words seen after a context, and their codes as log10, from where its pointer says they stand."""
+        r = int(np.searchsorted(self.bounds, context, "right")) - 1
         if (got := self.of(r)) is None:
             return np.zeros(0, np.int64), np.zeros(0)
-        pairs, pointers, codes, _ = got
-        first, stop = (int(x) for x in pointers.get(np.array([context - bounds[r], context - bounds[r] + 1])))
-        keys = pairs.get(np.arange(first, stop))
-        return (keys % U(self.words.size + 1)).astype(np.int64), codes[first:stop].astype(np.float64) / -STEPS
-
-    def scores(self, v: np.ndarray, w: np.ndarray, p_w: np.ndarray) -> np.ndarray:
-        """log10 p(w|v) of distinct pairs sorted by (v, w); p_w: log10 p(w)."""
-        out = p_w.copy()
-        bounds = self.bounds()
-        ends = np.searchsorted(v, bounds)
-        for r in range(self.n):
+        keys, pointers, codes, _ = got
+        first, stop = (int(x) for x in pointers.get(np.array([context - self.bounds[r], context - self.bounds[r] + 1])))
+        return (keys.get(np.arange(first, stop)) % self.width).astype(np.int64), codes[first:stop].astype(np.float64) / -STEPS
+
+    def look(self, context: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place or -1, log10 of the stored probability, log10 of the context's weight) of distinct (context, w), sorted."""
+        place, code, weight = np.full(len(w), -1, np.int64), np.full(len(w), -np.inf), np.zeros(len(w))
+        ends = np.searchsorted(context, self.bounds)
+        for r in range(len(self.sizes)):
             a, z = ends[r], ends[r + 1]
             if a == z or (got := self.of(r)) is None:
                 continue
-            pairs, _, codes, backoff = got
-            context = v[a:z] - bounds[r]
-            # the successor search: relative to its range's first context, a key can only stand between its context's pointers
-            key = context.astype(U) * U(self.words.size + 1) + w[a:z].astype(U)
-            at = pairs.find(key)
-            out[a:z] += backoff[context].astype(np.float64) / -STEPS
-            hit = np.flatnonzero(at >= 0)
-            out[a + hit] = codes[at[hit]].astype(np.float64) / -STEPS
-        return out
+            keys, pointers, codes, backoff = got
+            own, where = np.unique(context[a:z] - self.bounds[r], return_inverse=True)
+            begin, end = (pointers.get(x).astype(np.int64)[where] for x in (own, own + 1))
+            weight[a:z] = (backoff[own].astype(np.float64) / -STEPS)[where]
+            some = np.flatnonzero(begin < end)
+            at = keys.find(own[where[some]].astype(U) * self.width + w[a:z][some].astype(U), begin[some], end[some])
+            hit = at >= 0
+            place[a + some[hit]] = self.firsts[r] + at[hit]
+            code[a + some[hit]] = codes[at[hit]].astype(np.float64) / -STEPS
+        return place, code, weight
 
 
-def context_bounds(size: int, n: int) -> np.ndarray:
-    """First contexts of the n ranges; there are size + 2 contexts: words, the start, and unknown words."""
-    return np.array([(size + 2) * r // n for r in range(n + 1)], np.int64)
+def even(contexts: int, n: int) -> list[int]:
+    """First contexts of n ranges."""
+    return [contexts * r // n for r in range(n + 1)]
 
 
 def quantised(log10: np.ndarray) -> np.ndarray:
@@ -238,98 +260,183 @@ def log_p(counts: np.ndarray, tokens: int, size: int) -> np.ndarray:
     return np.log10((counts + 0.1) / (tokens + 0.1 * (size + 1)))
 
 
-def pairs_of(words: Vocabulary, lengths: np.ndarray, prints: np.ndarray):
-    """For a batch: counts of each token, and each token's (context, word) with log10 p(w)'s count; context size + 1 is an unknown word, size the start."""
+def words_in(words: Vocabulary, lengths: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context and number of each token of a batch, and its count; the start of a text is context `size`, an unknown word `size + 1` as a context."""
     distinct, where = np.unique(prints, return_inverse=True)
     numbers, counts = words.look(distinct)
     w, c = numbers[where], counts[where]
     v = np.empty_like(w)
     v[1:] = np.where(w[:-1] == words.size, words.size + 1, w[:-1])
-    v[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = words.size
+    v[starts_of(lengths)] = words.size
     return v, w, c
 
 
-def train(docs: DataFrame, path: str, ranges: int) -> Trie:
-    """Counts the training documents and writes both levels under path."""
+def starts_of(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(lengths)[:-1]))
+
+
+class Trie:
+    def __init__(self, words: Vocabulary, tokens: int, pairs: Level | None = None, triples: Level | None = None) -> None:
+        self.words, self.tokens, self.pairs, self.triples = words, tokens, pairs, triples
+
+    def plain(self) -> tuple:
+        return self.words.store.path, np.diff(self.words.first).tolist(), self.tokens, self.pairs and self.pairs.plain(), self.triples and self.triples.plain()
+
+    @staticmethod
+    def of(path: str, sizes: list[int], tokens: int, pairs: tuple | None, triples: tuple | None) -> Trie:
+        store = Store(path)
+        return Trie(Vocabulary(store, sizes), tokens, pairs and Level(store, *pairs), triples and Level(store, *triples))
+
+    def pairs_in(self, lengths: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each token the number of its pair in the batch, and of the distinct pairs place, code, weight and first token; the place of the pair before each token (-1: none)."""
+        width = U(self.words.size + 1)
+        _, first, where = np.unique(v.astype(U) * width + w.astype(U), return_index=True, return_inverse=True)
+        place, code, weight = self.pairs.look(v[first], w[first])
+        before = np.full(len(w), -1, np.int64)
+        before[1:] = place[where[:-1]]
+        before[starts_of(lengths)] = -1
+        return where, code, weight, first, before
+
+    def scores(self, lengths: np.ndarray, v: np.ndarray, w: np.ndarray, p_w: np.ndarray) -> np.ndarray:
+        """log10 p of each token after the two before it; p_w: log10 p(w)."""
+        where, code, weight, first, before = self.pairs_in(lengths, v, w)
+        two = np.where(np.isfinite(code), code, weight + p_w[first])[where]
+        some = np.flatnonzero(before >= 0)
+        if not len(some):
+            return two
+        contexts, own = np.unique(before[some], return_inverse=True)
+        _, first, where = np.unique(own.astype(U) * U(self.words.size + 1) + w[some].astype(U), return_index=True, return_inverse=True)
+        _, code, weight = self.triples.look(before[some][first], w[some][first])
+        two[some] = np.log10(10 ** code[where] + 10 ** (weight[where] + two[some]))
+        return two
+
+
+def train(docs: DataFrame, path: str, ranges: int | None = None) -> Trie:
+    """Counts the training documents and writes the levels under path; ranges: of each level, else by size."""
     spark, store = docs.sparkSession, Store(path)
     shared.small_batches(spark)
-    docs = docs.select("doc_id", F.col("text").cast("string"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    one = ranges or max(16, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_RANGE)
 
     def count_words(batches):
         for _, _, prints in batches_of(batches, True):
             keys, counts = np.unique(prints, return_counts=True)
-            yield sent(keys, counts, range_of(keys, ranges), ranges)
+            yield sent(keys, counts, np.searchsorted(range_of(keys, one), np.arange(one + 1)))
+        shared.release()
 
     def level_one(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = merged(pdf)
         r = int(pdf["range"].iloc[0])
-        store.write(f"words{r}", encode((keys >> U(8)) - U(start_of(r, ranges)), start_of(r + 1, ranges) - start_of(r, ranges)) | {"counts": counts})
+        store.write(f"words{r}", encode((keys >> U(8)) - U(start_of(r, one)), start_of(r + 1, one) - start_of(r, one)) | {"counts": counts})
         return pd.DataFrame({"range": [r], "n": [len(keys)], "tokens": [int(counts.sum())]})
 
-    schema = "range int, keys binary, counts binary"
-    # pinned as a table: the ranges are written once, whatever reads their sizes
-    done, _ = shared.stored(docs.mapInArrow(count_words, schema).groupBy("range").applyInPandas(level_one, "range int, n long, tokens long"), "sizes")
-    sizes, tokens = [0] * ranges, 0
-    for r, n, t in done.collect():
-        sizes[r], tokens = n, tokens + t
-    words = Vocabulary(store, sizes)
-    bounds = context_bounds(words.size, ranges)
+    def sizes_of(counter, writer, n: int) -> tuple[list[int], int]:
+        """Runs a level. Its sizes are pinned as a table, so that the ranges are written once, whatever reads them."""
+        done, _ = shared.stored(docs.mapInArrow(counter, "range int, keys binary, counts binary").groupBy("range").applyInPandas(writer, "range int, n long, tokens long"), "sizes")
+        sizes, tokens = [0] * n, 0
+        for r, k, t in done.collect():
+            sizes[r], tokens = k, tokens + t
+        return sizes, tokens
+
+    sizes, tokens = sizes_of(count_words, level_one, one)
+    trie = Trie(Vocabulary(store, sizes), tokens)
+    size, many = trie.words.size, ranges or max(16, tokens // TOKENS_A_RANGE)
+    width = size + 1
+
+    def totals(keys: np.ndarray, counts: np.ndarray, contexts: int) -> tuple[np.ndarray, ...]:
+        """Context and word of each entry, successors of each context, its weight, and of each entry the discounted share."""
+        v, w = (keys // U(width)).astype(np.int64), (keys % U(width)).astype(np.int64)
+        total, kinds = np.bincount(v, counts, contexts), np.bincount(v, minlength=contexts)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.where(total > 0, DISCOUNT * kinds / total, 1.0)
+        return v, w, kinds, weight, (counts - DISCOUNT) / total[v]
+
+    # there are size + 2 contexts of pairs: words, the start, and unknown words
+    bounds = even(size + 2, many)
+    plain = trie.plain()
 
     def count_pairs(batches):
-        known = Vocabulary(store, sizes)
+        known = Trie.of(*plain)
         for _, lengths, prints in batches_of(batches, True):
-            v, w, _ = pairs_of(known, lengths, prints)
-            keys, counts = np.unique(v.astype(U) * U(known.size + 1) + w.astype(U), return_counts=True)
-            yield sent(keys, counts, np.searchsorted(bounds, (keys // U(known.size + 1)).astype(np.int64), "right") - 1, ranges)
+            v, w, _ = words_in(known.words, lengths, prints)
+            keys, counts = np.unique(v.astype(U) * U(width) + w.astype(U), return_counts=True)
+            ends = np.searchsorted((keys // U(width)).astype(np.int64), bounds)
+            for r in range(many):
+                keys[ends[r] : ends[r + 1]] -= U(bounds[r]) * U(width)
+            yield sent(keys, counts, ends)
+        shared.release()
 
     def level_two(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = Vocabulary(store, sizes)
+        known = Trie.of(*plain).words
         keys, counts = merged(pdf)
         r = int(pdf["range"].iloc[0])
-        base, contexts = int(bounds[r]), int(bounds[r + 1] - bounds[r])
-        v, w = (keys // U(known.size + 1)).astype(np.int64) - base, (keys % U(known.size + 1)).astype(np.int64)
-        total, kinds = np.bincount(v, counts, contexts), np.bincount(v, minlength=contexts)
+        v, w, kinds, weight, share = totals(keys, counts, bounds[r + 1] - bounds[r])
         numbers, where = np.unique(w, return_inverse=True)
         c_w = np.empty(len(numbers), np.int64)
         ends = np.searchsorted(numbers, known.first)
         for k in range(known.n):
             if ends[k] < ends[k + 1]:
                 c_w[ends[k] : ends[k + 1]] = known.of(k)[1][numbers[ends[k] : ends[k + 1]] - known.first[k]]
-        p_w = 10 ** log_p(c_w, tokens, known.size)[where]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight = np.where(total > 0, DISCOUNT * kinds / total, 1.0)
-        p = (counts - DISCOUNT) / total[v] + weight[v] * p_w
-        relative = v.astype(U) * U(known.size + 1) + w.astype(U)
-        store.write(f"pointers{r}", encode(np.concatenate(([0], np.cumsum(kinds))), len(keys) + 1))
-        store.write(f"pairs{r}", encode(relative, contexts * (known.size + 1)) | {"codes": quantised(np.log10(p)), "backoff": quantised(np.log10(weight))})
-        return pd.DataFrame({"range": [r], "n": [len(keys)]})
+        p_w = 10 ** log_p(c_w, tokens, size)[where]
+        Level(store, "pairs", width, bounds, [0] * many).write(r, keys, np.log10(share + weight[v] * p_w), kinds, np.log10(weight))
+        shared.release()
+        return pd.DataFrame({"range": [r], "n": [len(keys)], "tokens": [int(counts.sum())]})
+
+    trie.pairs = Level(store, "pairs", width, bounds, sizes_of(count_pairs, level_two, many)[0])
+    thirds = even(int(trie.pairs.firsts[-1]), many)
+    paired = trie.plain()
+
+    def count_triples(batches):
+        known = Trie.of(*paired)
+        for _, lengths, prints in batches_of(batches, True):
+            v, w, _ = words_in(known.words, lengths, prints)
+            before = known.pairs_in(lengths, v, w)[-1]
+            some = before >= 0
+            before, w = before[some], w[some]
+            order = np.argsort(before, kind="stable")
+            before, w = before[order], w[order]
+            ends = np.searchsorted(before, thirds)
+            keys, counts, stops = [], [], [0]
+            for r in range(many):
+                a, z = ends[r], ends[r + 1]
+                k, c = np.unique((before[a:z] - thirds[r]).astype(U) * U(width) + w[a:z].astype(U), return_counts=True)
+                keys.append(k)
+                counts.append(c)
+                stops.append(stops[-1] + len(k))
+            yield sent(np.concatenate(keys), np.concatenate(counts), np.array(stops))
+        shared.release()
+
+    def level_three(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = merged(pdf)
+        r = int(pdf["range"].iloc[0])
+        _, _, kinds, weight, share = totals(keys, counts, thirds[r + 1] - thirds[r])
+        Level(store, "triples", width, thirds, [0] * many).write(r, keys, np.log10(share), kinds, np.log10(weight))
+        shared.release()
+        return pd.DataFrame({"range": [r], "n": [len(keys)], "tokens": [int(counts.sum())]})
 
-    written, _ = shared.stored(docs.mapInArrow(count_pairs, schema).groupBy("range").applyInPandas(level_two, "range int, n long"), "sizes")
-    return Trie(store, words, ranges, tokens, {r for r, _ in written.collect()})
+    trie.triples = Level(store, "triples", width, thirds, sizes_of(count_triples, level_three, many)[0])
+    return trie
 
 
 def score(docs: DataFrame, trie: Trie) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; where documents are read, no shuffle."""
     shared.small_batches(docs.sparkSession)
-    path, sizes, n, tokens, present = trie.store.path, np.diff(trie.words.first).tolist(), trie.n, trie.tokens, trie.present
+    plain, tokens, size = trie.plain(), trie.tokens, trie.words.size
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         import pyarrow as pa
 
-        words = Vocabulary(Store(path), sizes)
-        model = Trie(words.store, words, n, tokens, present)
+        model = Trie.of(*plain)
         for ids, lengths, prints in batches_of(batches, False):
-            v, w, c = pairs_of(words, lengths, prints)
-            base = log_p(c, tokens, words.size)
-            size = U(words.size + 1)
-            keys, first, where = np.unique(v.astype(U) * size + w.astype(U), return_index=True, return_inverse=True)
-            found = model.scores((keys // size).astype(np.int64), (keys % size).astype(np.int64), base[first])
-            at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            v, w, c = words_in(model.words, lengths, prints)
+            base = log_p(c, tokens, size)
+            found, at = model.scores(lengths, v, w, base), starts_of(lengths)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, arrow_kind), pa.array([not training(i) for i in ids]), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(ids), tokens), pa.int64()), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(found[where], at))],
+                [pa.array(ids, arrow_kind), pa.array([not training(i) for i in ids]), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(ids), tokens), pa.int64()), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(found, at))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
+        shared.release()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -340,8 +447,7 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
-    ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return score(docs, train(docs, shared.new_path(spark, "trie"), ranges))
+    return score(docs, train(docs, shared.new_path(spark, "trie")))
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
@@ -349,24 +455,26 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
     from collections import Counter
 
     tokens = {d: [*(t or "").encode().lower().split(), END] for d, t in rows}
-    c, pairs, total, kinds = Counter(), Counter(), Counter(), Counter()
+    c, grams, total, kinds = Counter(), Counter(), Counter(), Counter()
     for d, _ in rows:
         if training(d):
-            c.update(tokens[d])
-            pairs.update(zip([None, *tokens[d]], tokens[d]))
-    for (v, _), n in pairs.items():
-        total[v] += n
-        kinds[v] += 1
+            ws = tokens[d]
+            c.update(ws)
+            grams.update(zip([None, *ws], ws))
+            grams.update(zip([None, *ws], ws, ws[1:]))
+    for g, n in grams.items():
+        total[g[:-1]] += n
+        kinds[g[:-1]] += 1
     big_n, big_v, out = sum(c.values()), len(c), {}
     p = lambda w: (c[w] + 0.1) / (big_n + 0.1 * (big_v + 1))
     for d, ws in tokens.items():
         base = sum(math.log10(p(w)) for w in ws)
         s = 0.0
-        for v, w in zip([None, *ws], ws):
+        for i, w in enumerate(ws):
             q = p(w)
-            if total[v]:
-                weight = DISCOUNT * kinds[v] / total[v]
-                q = max(pairs[v, w] - DISCOUNT, 0) / total[v] + weight * q
+            for context in ((ws[i - 1] if i else None,), ([None, *ws][i - 1], ws[i - 1]) if i else ()):
+                if context and total[context]:
+                    q = max(grams[*context, w] - DISCOUNT, 0) / total[context] + DISCOUNT * kinds[context] / total[context] * q
             s += math.log10(q)
         out[d] = (not training(d), len(ws), sum(c[w] > 0 for w in ws), big_n, base, s)
     return out

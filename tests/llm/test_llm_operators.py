@@ -239,16 +239,20 @@ def test_language_model_scores(spark):
     trie = lm_score.train(docs, shared.new_path(spark, "trie"), 5)
     got = {r[0]: tuple(r)[1:] for r in lm_score.score(docs, trie).collect()}
     want = lm_score.brute_force(rows)
-    firsts = {(t or "").encode().lower().split()[0] if (t or "").split() else b"" for i, t in rows if lm_score.training(i)}
-    numbers, logp = trie.successors(trie.words.size)  # after the start of a text
-    assert len(numbers) == len(firsts) and (np.diff(numbers) > 0).all() and 0.5 < (10**logp).sum() <= 1.001
-    assert sum(len(trie.successors(v)[0]) for v in range(trie.words.size + 1)) == len({(a, b) for i, t in rows if lm_score.training(i) for ws in [[None, *(t or "").encode().lower().split(), b""]] for a, b in zip(ws, ws[1:])})
+    tokens = [[None, *(t or "").encode().lower().split(), b""] for i, t in rows if lm_score.training(i)]
+    numbers, logp = trie.pairs.successors(trie.words.size)  # after the start of a text
+    assert len(numbers) == len({ws[1] for ws in tokens}) and (np.diff(numbers) > 0).all() and 0.5 < (10**logp).sum() <= 1.001
+    pairs, triples = ({g for ws in tokens for g in zip(*(ws[i:] for i in range(n)))} for n in (2, 3))
+    assert sum(len(trie.pairs.successors(v)[0]) for v in range(trie.words.size + 1)) == len(pairs) == trie.pairs.firsts[-1]
+    assert sum(len(trie.triples.successors(v)[0]) for v in range(len(pairs))) == len(triples) == trie.triples.firsts[-1]
     for i in want:
         assert got[i][:4] == want[i][:4]
         assert got[i][4] == pytest.approx(want[i][4], abs=1e-9 * want[i][1] + 1e-9)
         assert got[i][5] == pytest.approx(want[i][5], abs=2e-4 * want[i][1])
     held = [w for w in want.values() if w[0]]
     assert sum(w[5] for w in held) > sum(w[4] for w in held)
+    again = {r[0]: tuple(r)[1:] for r in lm_score.score(docs, lm_score.train(docs, shared.new_path(spark, "trie"))).collect()}
+    assert all(again[i] == pytest.approx(got[i], abs=1e-6) for i in want)  # however many ranges
 
 
 def test_elias_fano():
