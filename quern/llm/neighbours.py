@@ -7,11 +7,12 @@ dimensions seen, with the query's best so far, and candidates that fail it at si
 stay are scored by the inner product of the original vectors in double precision.
 
 Equal vectors are one class, of which the smallest k + 1 ids are kept: no other member can be among k nearest. So a vector of
-which there are very many weighs one entry. Lists are cut into blocks of at most BLOCK vectors, queries of a list into
-batches of at most QUERIES_A_BATCH; no task holds a whole list. Centroids and the rotation are fitted on at most SAMPLE vectors;
+which there are very many weighs one entry. Lists are cut into blocks of about BLOCK vectors, queries of a list into
+batches of at most QUERIES_A_BATCH; each block of a list is joined with its queries by (list, block), so no task holds a list. Queries
+first visit their nearest list; the score of the best k + 1 found there bounds what is looked at in the others. Centroids and the rotation are fitted on at most SAMPLE vectors;
 every vector is indexed. Probes are the fewest that reach TARGET recall on queries of the sample against the sample.
 
-Vectors that are null, empty, zero, hold null or non-finite components, or have another dimension than most, take no part.
+Vectors that are null, empty, zero, hold null or non-finite components, or have another dimension than most, take no part. Doubles are scored as doubles; index and tests use single precision.
 Ties go to the smaller vec_id. Fewer candidates than k: all are returned. Repeated vec_ids are separate candidates.
 """
 
@@ -78,14 +79,15 @@ class Index:
         return int(needed[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))))]) + 1
 
 
-def scan(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Positions in x (rotated vectors) that may be among the k nearest of q: all that the tests don't reject."""
+def scan(q: np.ndarray, x: np.ndarray, k: int, bound: float = np.inf) -> np.ndarray:
+    """Positions in x (rotated vectors) that may be among the k nearest of q: all that the tests don't reject. bound: a squared distance that k others are known to keep."""
     n, d = x.shape
-    seed = min(n, max(4 * k, 96))
+    seed = min(n, max(4 * k, 96)) if bound == np.inf else 0
     near = ((x[:seed] - q) ** 2).sum(1)
     if n <= seed:
         return np.arange(n)
-    bound = np.partition(near, k - 1)[k - 1]
+    if seed:
+        bound = np.partition(near, k - 1)[k - 1]
     left, part = np.arange(seed, n), np.zeros(n - seed, np.float32)
     for at in range(0, d, COLUMNS):
         stop = min(d, at + COLUMNS)
@@ -97,13 +99,15 @@ def scan(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
+    """vec_id, v: floats as they are, other numbers as doubles."""
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
     return v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
 
 
-def matrix(column) -> np.ndarray:
+def matrix(column, kind=np.float32) -> np.ndarray:
     """A list column of equal lengths as a matrix."""
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(column), -1)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), kind).reshape(len(column), -1)
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -117,6 +121,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> Da
         return empty
     d = sizes["d"]
     v = v.where(F.size("v") == d)
+    number = dict(v.dtypes)["v"].removeprefix("array<").removesuffix(">")
+    raw_kind = {"float": np.float32, "double": np.float64}[number]
     mine = Window.partitionBy("v").orderBy("vec_id")
     members = v.withColumn("r", F.row_number().over(mine)).where(F.col("r") <= k + 1)
     classes, _ = shared.stored(members.groupBy("v").agg(F.min("vec_id").alias("class"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")
@@ -135,36 +141,39 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> Da
             own = ix.nearest(x, ix.centroids, 1)[:, 0]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.int32()), b.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["class", "list", "v", "x"])
 
-    entries, _ = shared.stored(classes.select("class", "v").mapInArrow(listed, "class long, list int, v array<float>, x array<float>"), "lists")
+    entries, _ = shared.stored(classes.select("class", "v").mapInArrow(listed, f"class long, list int, v array<{number}>, x array<float>"), "lists")
     parts = entries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))  # at most MAX_LISTS rows
 
     def packed(t):
         import pyarrow as pa
 
         t = t.combine_chunks().sort_by("class")
-        return pa.table({"list": t["list"][:1], "classes": [t["class"].to_numpy().tobytes()], "v": [matrix(t["v"].combine_chunks()).tobytes()], "x": [matrix(t["x"].combine_chunks()).tobytes()]})
-
-    blocks = entries.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).select("list", "part", "class", "v", "x").groupBy("list", "part").applyInArrow(packed, "list int, classes binary, v binary, x binary")
-
-    def visits(batches):
-        import pyarrow as pa
-
-        ix = index.value
-        for b in batches:
-            raw = matrix(b.column(1))
-            found = ix.nearest(ix.turned(raw, True), ix.centroids, ix.probes)
-            ids = b.column(0).to_numpy()
-            own, lists = np.repeat(np.arange(len(ids)), found.shape[1]), found.ravel()
-            order = np.argsort(lists, kind="stable")
-            out = []
-            for a, z in zip(*(lambda e: (e[:-1], e[1:]))(np.searchsorted(lists[order], np.arange(len(ix.centroids) + 1))), strict=True):
-                for i in range(a, z, QUERIES_A_BATCH):
-                    at = own[order[i : min(z, i + QUERIES_A_BATCH)]]
-                    out.append({"list": int(lists[order[i]]), "asked": ids[at].tobytes(), "q": raw[at].tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("list", pa.int32()), ("asked", pa.binary()), ("q", pa.binary())]))
-
-    wanted = classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "v")
-    pairs = wanted.mapInArrow(visits, "list int, asked binary, q binary").join(blocks, "list")
+        return pa.table({"list": t["list"][:1], "part": t["part"][:1], "classes": [t["class"].to_numpy().tobytes()], "v": [matrix(t["v"].combine_chunks(), raw_kind).tobytes()], "x": [matrix(t["x"].combine_chunks()).tobytes()]})
+
+    parts, _ = shared.stored(parts, "parts")
+    blocks = entries.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).select("list", "part", "class", "v", "x").groupBy("list", "part").applyInArrow(packed, "list int, part int, classes binary, v binary, x binary")
+    blocks, _ = shared.stored(blocks, "blocks")
+
+    def visits(first: bool):
+        def run(batches):
+            """class, v, bound (least score of its k + 1 best so far) to rows of a list and queries that visit it: their nearest list, or the further ones."""
+            import pyarrow as pa
+
+            ix = index.value
+            for b in batches:
+                raw = matrix(b.column(1), raw_kind)
+                found = ix.nearest(ix.turned(raw, True), ix.centroids, ix.probes)[:, slice(0, 1) if first else slice(1, None)]
+                ids, bounds = b.column(0).to_numpy(), b.column(2).to_numpy()
+                own, lists = np.repeat(np.arange(len(ids)), found.shape[1]), found.ravel()
+                order = np.argsort(lists, kind="stable")
+                ends, out = np.searchsorted(lists[order], np.arange(len(ix.centroids) + 1)), []
+                for a, z in zip(ends[:-1], ends[1:], strict=True):
+                    for i in range(a, z, QUERIES_A_BATCH):
+                        at = own[order[i : min(z, i + QUERIES_A_BATCH)]]
+                        out.append({"list": int(lists[order[i]]), "asked": ids[at].tobytes(), "q": raw[at].tobytes(), "bounds": bounds[at].tobytes()})
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("list", pa.int32()), *((n, pa.binary()) for n in ("asked", "q", "bounds"))]))
+
+        return run
 
     def searched(batches):
         import pyarrow as pa
@@ -173,19 +182,32 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> Da
         for b in batches:
             out: list[tuple[np.ndarray, ...]] = []
             for r in b.to_pylist():
-                ids, asked_ids = np.frombuffer(r["classes"], np.int64), np.frombuffer(r["asked"], np.int64)
-                raw, x = np.frombuffer(r["v"], np.float32).reshape(len(ids), -1).astype(np.float64), np.frombuffer(r["x"], np.float32).reshape(len(ids), -1)
-                q = np.frombuffer(r["q"], np.float32).reshape(len(asked_ids), -1)
-                for own, one, turned in zip(asked_ids, q.astype(np.float64), ix.turned(q, True), strict=True):
-                    at = scan(turned, x, k + 1)
+                ids, asked_ids, bounds = np.frombuffer(r["classes"], np.int64), np.frombuffer(r["asked"], np.int64), np.frombuffer(r["bounds"], np.float64)
+                raw, x = np.frombuffer(r["v"], raw_kind).reshape(len(ids), -1).astype(np.float64), np.frombuffer(r["x"], np.float32).reshape(len(ids), -1)
+                q = np.frombuffer(r["q"], raw_kind).reshape(len(asked_ids), -1).astype(np.float64)
+                # a score as a squared distance in rotated space
+                limits = (q**2).sum(1) + ix.norm**2 - 2 * bounds
+                for own, one, turned, limit in zip(asked_ids, q, ix.turned(q, True), limits, strict=True):
+                    at = scan(turned, x, k + 1, limit)
                     score = (raw[at] * one).sum(1)
                     best = np.lexsort((ids[at], -score))[: k + 1]
                     out.append((np.full(len(best), own), ids[at[best]], score[best]))
             columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["asked", "class", "score"])
 
-    met = pairs.select("list", "asked", "q", "classes", "v", "x").mapInArrow(searched, "asked long, class long, score double")
+    def scanned(wanted: DataFrame, first: bool) -> DataFrame:
+        """asked, class, score: candidates of the queries' nearest list, or of the others; each block of a list meets its queries in its own task."""
+        told = wanted.mapInArrow(visits(first), "list int, asked binary, q binary, bounds binary").join(F.broadcast(parts), "list")
+        told = told.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return told.join(blocks, ["list", "part"]).select("asked", "q", "bounds", "classes", "v", "x").mapInArrow(searched, "asked long, class long, score double")
+
+    wanted = classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "v")
+    nearest, _ = shared.stored(scanned(wanted.withColumn("bound", F.lit(float("-inf"))), True), "nearest")
     near = Window.partitionBy("asked").orderBy(F.desc("score"), "class")
+    best = nearest.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)
+    bounds = best.where(F.col("r") == k + 1).select(F.col("asked").alias("class"), F.col("score").alias("bound"))
+    further = wanted.join(bounds, "class", "left").select("class", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    met = nearest.unionByName(scanned(further, False))
     best = met.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).drop("r")
     listed_ids = best.join(classes.select("class", "ids"), "class").select("asked", "score", F.explode("ids").alias("vec_id"))
     near = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
