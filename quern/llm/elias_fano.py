@@ -34,10 +34,27 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     return {"low": low, "high": unary, "zeros": zeros, "meta": np.array([n, bits], np.int64)}
 
 
+EACH, HIGH = U(0x0101010101010101), U(0x8080808080808080)
+#: Where the k-th one of a byte stands, at 8 * byte + k.
+IN_BYTE = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.uint8).ravel()
+
+
+def select_in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Where the k-th one of each 64-bit word stands: counts of all its bytes at once, then a look at one byte."""
+    s = x - ((x >> U(1)) & U(0x5555555555555555))
+    s = (s & U(0x3333333333333333)) + ((s >> U(2)) & U(0x3333333333333333))
+    s = ((s + (s >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * EACH  # ones up to each byte
+    place = (((((k * EACH) | HIGH) - s) & HIGH) >> U(7)) * EACH >> U(56) << U(3)  # bytes whose sum is at most k
+    place = np.minimum(place, U(56))
+    rest = k - ((s << U(8)) >> place & U(255))
+    return (place + IN_BYTE[((x >> place & U(255)) << U(3)) + np.minimum(rest, U(7))]).astype(np.int64)
+
+
 class EliasFano:
     def __init__(self, parts: dict[str, np.ndarray]) -> None:
         self.low, self.high, self.zeros = parts["low"], parts["high"], parts["zeros"]
         self.n, self.bits = (int(x) for x in parts["meta"])
+        self.ones: np.ndarray | None = None
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -52,21 +69,17 @@ class EliasFano:
     def select(self, k: np.ndarray, zero: bool) -> np.ndarray:
         """Positions in the upper bits of the k-th (from 0) zeros, or ones."""
         k = np.asarray(k, np.int64)
-        before = self.zeros if zero else np.arange(len(self.zeros)) * BLOCK - self.zeros
-        block = np.searchsorted(before, k.astype(before.dtype), "right") - 1
-        left = k - before[block].astype(np.int64)
-        width = BLOCK // 8
-        bytes_ = self.high.reshape(-1, width)[np.minimum(block, len(self.high) // width - 1)]
         if zero:
-            bytes_ = ~bytes_
-        count = np.cumsum(POP[bytes_], axis=1, dtype=np.uint8)
-        byte = (count <= left[:, None]).sum(1)
-        byte = np.minimum(byte, width - 1)
-        row = np.arange(len(k))
-        left = left - np.where(byte > 0, count[row, np.maximum(byte - 1, 0)], 0)
-        bits = np.unpackbits(bytes_[row, byte][:, None], axis=1, bitorder="little")
-        bit = (np.cumsum(bits, axis=1) <= left[:, None]).sum(1)
-        return block * BLOCK + byte * 8 + bit
+            before = self.zeros
+        else:
+            if self.ones is None:
+                self.ones = np.arange(len(self.zeros)) * BLOCK - self.zeros
+            before = self.ones
+        block = np.searchsorted(before, k.astype(before.dtype), "right") - 1
+        left = (k - before[block].astype(np.int64)).astype(U)
+        words = self.high.view(U)
+        word = words[np.minimum(block, len(words) - 1)]
+        return block * BLOCK + select_in_word(~word if zero else word, left)
 
     def run(self, at: np.ndarray, h: np.ndarray) -> np.ndarray:
         """How many ones stand from each position on, up to the next zero, which is the h-th."""

@@ -29,6 +29,7 @@ import math
 import os
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -42,11 +43,14 @@ U = np.uint64
 DISCOUNT = 0.75
 #: Steps of the quantised log10 probabilities: 1 / STEPS each, in 16 bits.
 STEPS = 4096
+M = U(0xD6E8FEB86659FD93)
 END = b""
 #: Words that a worker reads before it sends their counts.
 HELD = 1_500_000
 #: Tokens, or bytes of text where tokens aren't counted yet, whose n-grams one range takes.
 TOKENS_A_RANGE, BYTES_A_RANGE = 4_000_000, 64 << 20
+#: Tokens from which the batches of a range are merged in so many parts first.
+TOKENS_A_PART = 200_000_000
 
 
 class Store:
@@ -131,28 +135,76 @@ def range_of(prints: np.ndarray, n: int) -> np.ndarray:
     return ((prints >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
-def prints_of(hashes: shared.WordHashes, raw: bytes) -> np.ndarray:
-    """Fingerprints of the tokens, the end among them; the low 8 bits are left empty."""
-    words = raw.lower().split()
-    words.append(END)
-    return hashes.of(words) & ~U(255)
+#: A word's fingerprint is a polynomial in BASE over one random number for each byte, mixed with its length; all words of a piece at once.
+PIECE = 1 << 19
+BASE = 0x9E3779B97F4A7C15
+BYTES = np.random.default_rng(7).integers(0, 2**63, 256, np.uint64) * U(2) + U(1)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BLANKS = re.compile(rb"[\x20\t-\r]")
+END_PRINT = U(0xE7037ED1A0B42800)
+
+
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i below n."""
+    one = np.ones(1, U)
+    return np.concatenate((one, np.cumprod(np.full(n - 1, BASE, U)))), np.concatenate((one, np.cumprod(np.full(n - 1, pow(BASE, -1, 1 << 64), U))))
+
+
+def word_prints(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, fingerprints) of the words of lower-cased bytes; the low 8 bits of a fingerprint are left empty."""
+    found, at = [], 0
+    while at < len(raw):
+        stop = len(raw)
+        if stop - at > PIECE:  # cut at a blank; a word longer than a piece stays whole
+            stop = at + PIECE
+            while stop > at and not BLANK[raw[stop - 1]]:
+                stop -= 1
+            if stop == at:
+                m = BLANKS.search(raw, at + PIECE)
+                stop = m.end() if m else len(raw)
+        data = np.frombuffer(raw, np.uint8, stop - at, at)
+        up, down = powers(PIECE if stop - at <= PIECE else stop - at)
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = ~BLANK[data]
+        edge = np.diff(inside)
+        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.zeros(len(data) + 1, U)
+        np.cumsum(BYTES[data] * up[: len(data)], out=sums[1:])
+        found.append((first + at, shared.mix((sums[end] - sums[first]) * down[first] + (end - first).astype(U) * M)))
+        at = stop
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]) & ~U(255)
+
+
+def tokens_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, fingerprints end to end) of the tokens of texts, the end of each among them."""
+    places, prints = word_prints(b" ".join(raws).lower())
+    ends = np.searchsorted(places, np.cumsum([len(x) + 1 for x in raws]))
+    return np.diff(ends, prepend=0) + 1, np.insert(prints, ends, END_PRINT)
 
 
 def batches_of(batches, only_training: bool):
     """(doc ids, lengths, fingerprints end to end) of as many documents as hold about HELD tokens."""
-    hashes, ids, found, held = shared.WordHashes(), [], [], 0
+    ids, lengths, found, held = [], [], [], 0
     for batch in batches:
-        for doc, raw in zip(batch.column(0).to_pylist(), shared.as_bytes(batch.column(1)), strict=True):
-            if only_training and not training(doc):
-                continue
-            ids.append(doc)
-            found.append(prints_of(hashes, raw))
-            held += len(found[-1])
-            if held >= HELD:
-                yield ids, np.array([len(x) for x in found]), np.concatenate(found)
-                ids, found, held = [], [], 0
+        docs, raws = batch.column(0).to_pylist(), shared.as_bytes(batch.column(1))
+        if only_training:
+            some = [i for i, doc in enumerate(docs) if training(doc)]
+            docs, raws = [docs[i] for i in some], [raws[i] for i in some]
+        if not docs:
+            continue
+        n, prints = tokens_of(raws)
+        ids += docs
+        lengths.append(n)
+        found.append(prints)
+        held += len(prints)
+        if held >= HELD:
+            yield ids, np.concatenate(lengths), np.concatenate(found)
+            ids, lengths, found, held = [], [], [], 0
     if ids:
-        yield ids, np.array([len(x) for x in found]), np.concatenate(found)
+        yield ids, np.concatenate(lengths), np.concatenate(found)
 
 
 def sent(keys: np.ndarray, counts: np.ndarray, ends: np.ndarray):
@@ -193,6 +245,11 @@ def merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first)
 
 
+def part_merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys, counts = merged(pdf)
+    return pd.DataFrame({"range": pdf["range"].iloc[:1].to_numpy(), "keys": [gaps(keys)], "counts": [narrow(counts)]})
+
+
 class Level:
     """Level two or three, over all ranges of contexts: bounds[r] is the first context of range r, firsts[r] the place of its first entry."""
 
@@ -288,26 +345,25 @@ class Trie:
         return Trie(Vocabulary(store, sizes), tokens, pairs and Level(store, *pairs), triples and Level(store, *triples))
 
     def pairs_in(self, lengths: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each token the number of its pair in the batch, and of the distinct pairs place, code, weight and first token; the place of the pair before each token (-1: none)."""
+        """Of each token the number of its pair among the batch's sorted distinct pairs; of these first token, place, code, weight; the tokens after a known pair."""
         width = U(self.words.size + 1)
         _, first, where = np.unique(v.astype(U) * width + w.astype(U), return_index=True, return_inverse=True)
         place, code, weight = self.pairs.look(v[first], w[first])
-        before = np.full(len(w), -1, np.int64)
-        before[1:] = place[where[:-1]]
-        before[starts_of(lengths)] = -1
-        return where, code, weight, first, before
+        after = place[where[:-1]] >= 0
+        after[starts_of(lengths)[1:] - 1] = False
+        return where, first, place, code, weight, np.flatnonzero(after) + 1
 
     def scores(self, lengths: np.ndarray, v: np.ndarray, w: np.ndarray, p_w: np.ndarray) -> np.ndarray:
         """log10 p of each token after the two before it; p_w: log10 p(w)."""
-        where, code, weight, first, before = self.pairs_in(lengths, v, w)
+        where, first, place, code, weight, some = self.pairs_in(lengths, v, w)
         two = np.where(np.isfinite(code), code, weight + p_w[first])[where]
-        some = np.flatnonzero(before >= 0)
         if not len(some):
             return two
-        contexts, own = np.unique(before[some], return_inverse=True)
-        _, first, where = np.unique(own.astype(U) * U(self.words.size + 1) + w[some].astype(U), return_index=True, return_inverse=True)
-        _, code, weight = self.triples.look(before[some][first], w[some][first])
-        two[some] = np.log10(10 ** code[where] + 10 ** (weight[where] + two[some]))
+        # places of pairs ascend with their numbers
+        width = U(self.words.size + 1)
+        keys, where = np.unique(where[some - 1].astype(U) * width + w[some].astype(U), return_inverse=True)
+        _, code, weight = self.triples.look(place[(keys // width).astype(np.int64)], (keys % width).astype(np.int64))
+        two[some] = np.log10((10**code)[where] + (10**weight)[where] * 10 ** two[some])
         return two
 
 
@@ -332,12 +388,16 @@ def train(docs: DataFrame, path: str, ranges: int | None = None) -> Trie:
 
     def sizes_of(counter, writer, n: int) -> tuple[list[int], int]:
         """Runs a level. Its sizes are pinned as a table, so that the ranges are written once, whatever reads them."""
-        done, _ = shared.stored(docs.mapInArrow(counter, "range int, keys binary, counts binary").groupBy("range").applyInPandas(writer, "range int, n long, tokens long"), "sizes")
+        told, parts = docs.mapInArrow(counter, "range int, keys binary, counts binary"), 1 + (trie.tokens if trie else 0) // TOKENS_A_PART
+        if parts > 1:  # what many batches tell of a frequent context is merged in parts first, so that no task gets it from all of them
+            told = told.groupBy("range", F.pmod(F.xxhash64("keys"), F.lit(parts))).applyInPandas(part_merged, "range int, keys binary, counts binary")
+        done, _ = shared.stored(told.groupBy("range").applyInPandas(writer, "range int, n long, tokens long"), "sizes")
         sizes, tokens = [0] * n, 0
         for r, k, t in done.collect():
             sizes[r], tokens = k, tokens + t
         return sizes, tokens
 
+    trie = None
     sizes, tokens = sizes_of(count_words, level_one, one)
     trie = Trie(Vocabulary(store, sizes), tokens)
     size, many = trie.words.size, ranges or max(16, tokens // TOKENS_A_RANGE)
@@ -390,20 +450,12 @@ def train(docs: DataFrame, path: str, ranges: int | None = None) -> Trie:
         known = Trie.of(*paired)
         for _, lengths, prints in batches_of(batches, True):
             v, w, _ = words_in(known.words, lengths, prints)
-            before = known.pairs_in(lengths, v, w)[-1]
-            some = before >= 0
-            before, w = before[some], w[some]
-            order = np.argsort(before, kind="stable")
-            before, w = before[order], w[order]
+            where, _, place, _, _, some = known.pairs_in(lengths, v, w)
+            keys, counts = np.unique(where[some - 1].astype(U) * U(width) + w[some].astype(U), return_counts=True)
+            before = place[(keys // U(width)).astype(np.int64)]  # ascends with the keys
             ends = np.searchsorted(before, thirds)
-            keys, counts, stops = [], [], [0]
-            for r in range(many):
-                a, z = ends[r], ends[r + 1]
-                k, c = np.unique((before[a:z] - thirds[r]).astype(U) * U(width) + w[a:z].astype(U), return_counts=True)
-                keys.append(k)
-                counts.append(c)
-                stops.append(stops[-1] + len(k))
-            yield sent(np.concatenate(keys), np.concatenate(counts), np.array(stops))
+            base = np.repeat(thirds[:-1], np.diff(ends))
+            yield sent((before - base).astype(U) * U(width) + keys % U(width), counts, ends)
         shared.release()
 
     def level_three(pdf: pd.DataFrame) -> pd.DataFrame:

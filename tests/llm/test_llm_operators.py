@@ -233,7 +233,7 @@ def test_sanitisation(spark):
     assert "agent@corp" not in clean[9000] and "Bluefinch" not in clean[9900] and clean[9100] == rows[-62][1]
 
 
-def test_language_model_scores(spark):
+def test_language_model_scores(spark, monkeypatch):
     rows = [(i, text(RNG.randint(0, 40))) for i in range(200)] + EDGES
     docs = frame(spark, rows)
     trie = lm_score.train(docs, shared.new_path(spark, "trie"), 5)
@@ -251,10 +251,22 @@ def test_language_model_scores(spark):
         assert got[i][5] == pytest.approx(want[i][5], abs=2e-4 * want[i][1])
     held = [w for w in want.values() if w[0]]
     assert sum(w[5] for w in held) > sum(w[4] for w in held)
+    monkeypatch.setattr(lm_score, "TOKENS_A_PART", 1000)
     again = {r[0]: tuple(r)[1:] for r in lm_score.score(docs, lm_score.train(docs, shared.new_path(spark, "trie"))).collect()}
     assert all(again[i] == pytest.approx(got[i], abs=1e-6) for i in want)  # however many ranges
 
 
+def test_word_prints_do_not_depend_on_pieces(monkeypatch):
+    raws = [" ".join(RNG.choice(WORDS) for _ in range(40)).encode() + b" \t\n" + b"y" * n for n in (0, 3, 100)] + [b"", b"  ", "é\x00A".encode()]
+    want = lm_score.tokens_of(raws)
+    assert want[0].tolist() == [len(r.split()) + 1 for r in raws]
+    monkeypatch.setattr(lm_score, "PIECE", 16)
+    got = lm_score.tokens_of(raws)
+    assert all((a == b).all() for a, b in zip(want, got, strict=True))
+    words = [w for r in raws for w in [*r.lower().split(), b""]]
+    assert len(set(words)) == len(set(want[1].tolist())) == len(set(zip(words, want[1].tolist(), strict=True)))
+
+
 def test_elias_fano():
     rng = np.random.default_rng(3)
     for n, universe in ((0, 10), (1, 1), (3000, 1 << 40), (3000, 4000), (500, 100000)):
