@@ -9,14 +9,17 @@ exactly one, so one pass gives the same pieces as merging in order of score. Cha
 Words are cut where no piece reaches across: before a space mark that follows another character, around line ends, and between
 a letter and a mark that no piece holds side by side. The model file is a parameter and is read on the driver; its vocabulary (bounded) goes to the workers with the task.
 
-Null and empty texts have no pieces. Very long texts are cut into words, and words of any length are indexed whole. The text's
-own U+2581 means a space, as in the format, and comes back as one.
+Null and empty texts have no pieces; decoding gives an empty text for both. Very long texts are cut into words, and words of any
+length are indexed whole. The text's own U+2581 means a space, as in the format, and comes back as one, so round_trip is false there.
+Models that this method can't express (unigram models, normalisers) are refused: the library's pieces of PROBES must be the same.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +29,16 @@ from quern.llm import shared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Texts that a normaliser or another kind of model would treat in its own way.
+PROBES = ("the  tokenisation of internationalisation", " two leading", "trailing ", "ﬁ Ａ Å é ½", "a\tb\nc", "12345678 9999", "Straße übergrößer naïve", "aaaaaaaaaaaaaaaa", "don't re-enter")
 #: Letters and marks between which texts are cut where no piece holds the two side by side.
 LETTERS = "".join(c for c in map(chr, range(65, 0x180)) if c.isalpha())
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 #: Words that a worker remembers, and characters that one suffix array indexes (a longer word is indexed alone).
-REMEMBERED = 800_000
-INDEXED = 400_000
-PAIRS = 500_000
+REMEMBERED = 300_000
+INDEXED = 150_000
+#: Slots for pairs of pieces, a power of two.
+PAIRS = 1 << 20
 
 
 class Model:
@@ -52,6 +58,26 @@ class Model:
         self.crossing = any("\n" in t and len(t) > 1 or SPACE in t.lstrip(SPACE) for t in self.piece)
         if self.crossing:
             raise ValueError("pieces reach across words")
+        self.probed = [p.encode(t) for t in PROBES]
+
+    def check(self) -> None:
+        """Refuses a model of another kind."""
+        offsets, ids = Encoder(self).encode(list(PROBES))
+        if [ids[a:z].tolist() for a, z in zip(offsets[:-1], offsets[1:], strict=True)] != self.probed:
+            raise ValueError("not a BPE model without normaliser")
+
+
+class Rows:
+    """A 32-bit array that grows at its end."""
+
+    def __init__(self) -> None:
+        self.held, self.size = np.zeros(1024, np.int32), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.held):
+            self.held = np.concatenate((self.held[: self.size], np.zeros(max(len(more), self.size // 2 + 1024), np.int32)))
+        self.held[self.size : self.size + len(more)] = more
+        self.size += len(more)
 
 
 class Encoder:
@@ -68,9 +94,10 @@ class Encoder:
         marks = re.escape("".join(m for m in MARKS if not any((c, m) in beside for c in LETTERS)))
         rest = rf"(?:[^{SPACE}\n{marks}]|(?<![{LETTERS}])[{marks}])*" if marks else rf"[^{SPACE}\n]*"
         self.words = re.compile(rf"{SPACE}+{rest}|[^{SPACE}\n]{rest}|\n")
-        self.pairs: dict[int, bool] = {}  # by first * vocabulary + second
+        # what is known of pairs, the last met of each slot, by first * vocabulary + second
+        self.pair_key, self.pair_ok = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         self.width = len(model.text)
-        self.alone = [False] * len(model.text)
+        self.alone = np.zeros(len(model.text), bool)
         for t, i in model.piece.items():
             self.alone[i] = self.merged(t) == [t]
         self.plain = [b""] * len(model.text)
@@ -78,11 +105,12 @@ class Encoder:
             self.plain[i] = t.replace(SPACE, " ").encode()
         for b, i in model.byte.items():
             self.plain[i] = bytes([b])
+        self.plain_size = np.array([len(x) for x in self.plain], np.int32)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.first, self.count, self.flat = Rows(), Rows(), Rows()
 
     def merged(self, text: str) -> list[str]:
         """Plain merging by score, leftmost first; for pieces and pairs, which are short."""
@@ -97,11 +125,8 @@ class Encoder:
             parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
 
     def apart(self, a: int, b: int) -> bool:
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
         x, y = self.m.text[a], self.m.text[b]
-        got = self.pairs[a * self.width + b] = self.merged(x + y) == [x, y]
-        return got
+        return self.merged(x + y) == [x, y]
 
     def suffix_array(self, codes: np.ndarray) -> np.ndarray:
         """Suffixes sorted by their first `depth` characters: as many as fit in 63 bits at once, then by doubling."""
@@ -145,6 +170,38 @@ class Encoder:
             lo[live], hi[live] = bounds
         return lo, hi
 
+    def stay(self, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Whether piece p stays apart from the piece q before it; q below 0: nothing stands there."""
+        key = q.astype(np.int64) * self.width + p
+        slot = (shared.mix(key.astype(np.uint64)) & np.uint64(PAIRS - 1)).astype(np.int64)
+        ok = np.where(q < 0, self.alone[p], self.pair_ok[slot])
+        new = np.flatnonzero((self.pair_key[slot] != key) & (q >= 0))
+        if len(new):
+            distinct, first, where = np.unique(key[new], return_index=True, return_inverse=True)
+            found = np.array([self.apart(int(a), int(b)) for a, b in zip(q[new][first], p[new][first], strict=True)])
+            self.pair_key[slot[new][first]], self.pair_ok[slot[new][first]] = distinct, found
+            ok[new] = found[where]
+        return ok
+
+    def relaxed(self, begin: np.ndarray, piece: np.ndarray, stops: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last piece before each position (-1: a character without one) and where it begins: position by position, in all words at once."""
+        n = int(starts[-1] + lengths[-1]) + 2
+        last, origin = np.full(n, -1, np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        order = np.argsort(-lengths, kind="stable")
+        starts, many = starts[order], np.searchsorted(-lengths[order], -np.arange(1, int(lengths.max()) + 1), "right")
+        for e, m in enumerate(many.tolist(), 1):  # the m words of e characters and more
+            at = starts[:m] + e
+            k, until = stops[at - 1], stops[at]
+            while True:
+                some = k < until
+                at, k, until = at[some], k[some], until[some]
+                if not len(at):
+                    break
+                ok = self.stay(last[begin[k]], piece[k])
+                last[at[ok]], origin[at[ok]] = piece[k[ok]], begin[k[ok]]
+                at, k, until = at[~ok], k[~ok] + 1, until[~ok]
+        return last, origin
+
     def learn(self, words: list[str]) -> None:
         """Encodes words that are not known yet and remembers them."""
         while words:
@@ -167,35 +224,12 @@ class Encoder:
         by_end = np.argsort((begin + size) * (self.depth + 1) + (self.depth - size))  # by end, longest first
         begin, size, piece = begin[by_end], size[by_end], piece[by_end]
         stops = np.searchsorted(begin + size, np.arange(1, len(codes) + 2))  # edges that end at position e: stops[e-1] to stops[e]
-        begin, piece, stops = (array("i", x.astype(np.int32).tobytes()) for x in (begin, piece, stops))
-        text, byte, unknown, alone, apart, pairs = joined, self.m.byte, self.m.unknown, self.alone, self.apart, self.pairs
-        width, flat, counts = self.width, array("i"), []
-        last, origin = array("i", bytes(4 * (len(codes) + 1))), array("i", bytes(4 * (len(codes) + 1)))
-        start = 0
-        for stop in bounds:
-            last[start] = -1  # nothing stands before a word, nor before what follows a character without a piece
-            k = stops[start]
-            for e in range(start + 1, stop):
-                until = stops[e]
-                while k < until:  # no piece holds the separator, so edges lie inside their word
-                    p = piece[k]
-                    s = begin[k]
-                    q = last[s]
-                    if q < 0:
-                        ok = alone[p]
-                    else:
-                        ok = pairs.get(q * width + p)
-                        if ok is None:
-                            ok = apart(q, p)
-                    if ok:
-                        last[e] = p
-                        origin[e] = s
-                        break
-                    k += 1
-                else:
-                    last[e] = -1
-                    origin[e] = e - 1
-                k = until
+        bounds = np.array(bounds)
+        starts = np.concatenate(([0], bounds[:-1]))
+        last, origin = self.relaxed(begin, piece, stops, starts, bounds - starts - 1)
+        text, byte, unknown = joined, self.m.byte, self.m.unknown
+        flat, counts, last, origin = array("i"), [], array("i", last.tobytes()), array("i", origin.tobytes())
+        for start, stop in zip(starts.tolist(), bounds.tolist(), strict=True):
             out, e = [], stop - 1
             while e > start:
                 if last[e] >= 0:
@@ -206,52 +240,64 @@ class Encoder:
             out.reverse()
             flat.extend(out)
             counts.append(len(out))
-            start = stop
-        base, known = len(self.count), len(self.known)
+        known = len(self.known)
         self.known.update(zip(words, range(known, known + len(words)), strict=True))
         counts = np.array(counts, np.int64)
-        at = len(self.flat) + np.concatenate(([0], np.cumsum(counts)[:-1]))
-        assert base == known
-        self.first, self.count, self.flat = np.concatenate((self.first, at)), np.concatenate((self.count, counts)), np.concatenate((self.flat, np.frombuffer(flat, np.int32)))
+        self.first.add(self.flat.size + np.concatenate(([0], np.cumsum(counts)[:-1])))
+        self.count.add(counts)
+        self.flat.add(np.frombuffer(flat, np.int32))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the pieces of text i are ids[offsets[i]:offsets[i + 1]]."""
         if len(self.known) > REMEMBERED:
             self.forget()
         words = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {w for ws in words for w in ws if w not in self.known}
-        if new:
-            self.learn(list(new))
         n = np.array([len(ws) for ws in words], np.int64)
-        get = self.known.__getitem__
-        index = np.fromiter((get(w) for ws in words for w in ws), np.int64, int(n.sum()))
-        count = self.count[index]
-        ends = np.cumsum(count)
+        words = list(chain.from_iterable(words))
+        index = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(index < 0).tolist()
+        if new:
+            self.learn(list({words[i] for i in new}))
+            index[new] = [self.known[words[i]] for i in new]
+        count = self.count.held[index]
+        ends = np.cumsum(count, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.first[index] - (ends - count), count) + np.arange(total)]
+        ids = self.flat.held[np.repeat(self.first.held[index] - (ends - count), count) + np.arange(total)]
         return np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n)))], ids
 
+    def comes_back(self, offsets: np.ndarray, ids: np.ndarray, raws: list[bytes]) -> list[bool]:
+        """Whether decoding gives each text's bytes back."""
+        joined = b"".join(map(self.plain.__getitem__, ids.tolist()))
+        ends = np.concatenate(([0], np.cumsum(self.plain_size[ids], dtype=np.int64)))[offsets].tolist()
+        return [joined[a:z] == (b" " + raw if raw else b"") for a, z, raw in zip(ends[:-1], ends[1:], raws, strict=True)]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text: pieces and bytes joined, without the leading space that encoding adds."""
         raw = b"".join(map(self.plain.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return raw[1:] if raw.startswith(" ") else raw
 
 
+#: The encoder of a worker's last model, by its digest: what it has learnt of pairs serves the next tasks.
+ENCODERS: dict[str, Encoder] = {}
+
+
 def encoder_for(spark: SparkSession, path: str = MODEL):
     with open(path, "rb") as f:
         raw = f.read()
-    sent, made = spark.sparkContext.broadcast(raw), []
+    Model(raw).check()
+    sent, digest = spark.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
 
     def get() -> Encoder:
-        if not made:
-            made.append(Encoder(Model(sent.value)))
-        return made[0]
+        if digest not in ENCODERS:
+            ENCODERS.clear()
+            ENCODERS[digest] = Encoder(Model(sent.value))
+        return ENCODERS[digest]
 
     return get
 
 
-#: Characters of text encoded at once.
-HELD = 3 << 20
+#: Bytes of text encoded at once.
+HELD = 1 << 20
 
 
 def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -268,23 +314,24 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
         encoder = get()
 
-        def done(ids: list, texts: list):
+        def done(ids: list, texts: list, raws: list):
             offsets, found = encoder.encode(texts)
-            same = [encoder.decode(found[a:z]) == (t or "").replace(SPACE, " ") for a, z, t in zip(offsets[:-1], offsets[1:], texts, strict=True)]
+            same = encoder.comes_back(offsets, found, raws)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))
             return pa.RecordBatch.from_arrays([pa.array(ids, arrow_kind), pa.array(np.diff(offsets), pa.int64()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
-        ids, texts, size = [], [], 0
+        ids, texts, raws, size = [], [], [], 0
         for batch in batches:
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, t, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shared.as_bytes(batch.column(1)), strict=True):
                 ids.append(doc)
                 texts.append(t)
-                size += len(t or "")
+                raws.append(raw)
+                size += len(raw)
                 if size >= HELD:
-                    yield done(ids, texts)
-                    ids, texts, size = [], [], 0
+                    yield done(ids, texts, raws)
+                    ids, texts, raws, size = [], [], [], 0
         if ids:
-            yield done(ids, texts)
+            yield done(ids, texts, raws)
         encoder.forget()
         shared.release()
 
