@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
@@ -42,11 +42,13 @@ def wordings(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def contexts(docs: DataFrame, key: str = "doc_id", before: int = 8, after: int = 2) -> DataFrame:
-    """Each line with the lines around it, in one pass over a row's own array: key, line, first, last, context."""
-    lines = F.split("text", "\n")
-    at = docs.select(key, lines.alias("lines"), F.posexplode(lines).alias("pos", "own"))
-    first, last = F.greatest(F.lit(0), F.col("pos") - before), F.least(F.size("lines") - 1, F.col("pos") + after)
-    return at.select(key, (F.col("pos") + 1).alias("line"), (first + 1).alias("first"), (last + 1).alias("last"), F.array_join(F.slice("lines", first + 1, last - first + 1), "\n").alias("context"))
+    """Each line with the lines around it, in one pass over a row's own array, of which a line takes only its part along: key, line, first, last, context."""
+
+    def around(_: Column, pos: Column) -> Column:
+        first, last = F.greatest(F.lit(0), pos - before), F.least(F.size("lines") - 1, pos + after)
+        return F.struct((pos + 1).alias("line"), (first + 1).alias("first"), (last + 1).alias("last"), F.array_join(F.slice("lines", first + 1, last - first + 1), "\n").alias("context"))
+
+    return docs.select(key, F.split("text", "\n").alias("lines")).select(key, F.explode(F.transform("lines", around)).alias("at")).select(key, "at.*")
 
 
 def fence_parity(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -56,17 +58,29 @@ def fence_parity(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return at.select(key, (F.col("pos") + 1).alias("line"), ((above % 2 == 1) | (F.col("mark") == 1)).alias("fenced"))
 
 
+#: Levels of headings in a document.
+LEVELS = 6
+
+
 def breadcrumbs(offsets: DataFrame, headings: DataFrame) -> DataFrame:
     """As-of join with a stack: offsets (doc, off) with the titles of the headings that enclose them.
 
-    headings: doc, pos, level, title. A heading encloses an offset if it comes at or before it and no later heading, still at or
-    before it, has the same or a higher rank.
+    headings: doc, pos, level (1 to LEVELS), title. A heading encloses an offset if it comes at or before it and no later heading,
+    still at or before it, has the same or a higher rank. One sorted stream a document: beside each offset stand the last heading
+    of each level, and those hold that come after the last of every higher rank.
     """
-    h, later = headings.alias("h"), headings.alias("l")
-    met = offsets.alias("o").join(h, (F.col("o.doc") == F.col("h.doc")) & (F.col("h.pos") <= F.col("o.off")))
-    closed = met.join(later, (F.col("l.doc") == F.col("o.doc")) & (F.col("l.pos") > F.col("h.pos")) & (F.col("l.pos") <= F.col("o.off")) & (F.col("l.level") <= F.col("h.level")), "left_anti")
-    paths = closed.groupBy("o.doc", "o.off").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h.pos", "h.title"))), lambda x: x["title"]), " > ").alias("path"))
-    return offsets.join(paths, ["doc", "off"], "left").select("doc", "off", F.coalesce("path", F.lit("")).alias("path"))
+    stream = headings.select("doc", F.col("pos").alias("off"), "level", "title", F.lit(0).alias("_kind"))
+    stream = stream.unionByName(offsets.select("doc", "off", F.lit(None).cast(headings.schema["level"].dataType).alias("level"), F.lit(None).cast("string").alias("title"), F.lit(1).alias("_kind")))
+    w = Window.partitionBy("doc").orderBy("off", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = {n: F.last(F.when(F.col("level") == n, F.struct(F.col("off").alias("pos"), "title")), ignorenulls=True).over(w) for n in range(1, LEVELS + 1)}
+    at = stream.select("doc", "off", "_kind", *(c.alias(f"_h{n}") for n, c in last.items())).where("_kind = 1")
+
+    def holds(n: int) -> Column:
+        higher = [F.coalesce(F.col(f"_h{k}.pos"), F.lit(-1)) for k in range(1, n)]
+        return F.col(f"_h{n}").isNotNull() & (F.col(f"_h{n}.pos") > (F.greatest(*higher) if n > 2 else higher[0] if higher else F.lit(-1)))
+
+    titles = F.array(*(F.when(holds(n), F.col(f"_h{n}.title")) for n in range(1, LEVELS + 1)))
+    return at.select("doc", "off", F.array_join(titles, " > ").alias("path"))
 
 
 def line_of(content, offset):

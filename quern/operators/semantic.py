@@ -116,10 +116,9 @@ def sem_map(items: DataFrame, key: str, text: str, client: Callable[[], Client],
 
 
 def sem_filter(items: DataFrame, key: str, text: str, client: Callable[[], Client], batch: int = 5) -> DataFrame:
-    """items with is_rule: yes true, no false, null where the reply lacks the row."""
-    replies = asked(items, key, text, client, batch)
-    good, _ = merge.reconciled(replies, items.select(F.col(key).cast("string").alias(key)), key)
-    verdict = good.select(F.col(key).alias("_k"), F.when(F.col("answer") == "yes", True).when(F.col("answer") == "no", False).alias("is_rule"))
+    """items with is_rule: yes true, no false, null where the reply lacks the row or has it twice. Replies are read once, so each item is asked once."""
+    told = asked(items, key, text, client, batch).groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"), F.first("answer").alias("answer"))
+    verdict = told.where("_n = 1").select("_k", F.when(F.col("answer") == "yes", True).when(F.col("answer") == "no", False).alias("is_rule"))
     return items.join(verdict, F.col(key).cast("string") == F.col("_k"), "left").drop("_k")
 
 

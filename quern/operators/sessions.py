@@ -39,9 +39,12 @@ def stalls(events: DataFrame, key: str, time: str, tie: str, seconds: float) ->
 
 def crossings(events: DataFrame, key: str, order: Sequence[str], value: str, marks: Sequence[float]) -> DataFrame:
     """key, mark, and the event at which the running sum first reached it; each mark once."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = events.withColumn("running", F.sum(value).over(w))
-    hit = run.withColumn("mark", F.explode(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col("running"))))
+    w = Window.partitionBy(key).orderBy(*order)
+    run = events.withColumn("running", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.withColumn("_before", F.lag("running").over(w))
+    # only events that pass a mark go on; where amounts may be negative a mark is passed again, and the first time counts
+    passed = F.filter(F.array(*map(F.lit, marks)), lambda m: (m <= F.col("running")) & (F.col("_before").isNull() | (F.col("_before") < m)))
+    hit = run.withColumn("mark", F.explode(passed))
     return hit.groupBy(key, "mark").agg(F.min_by(F.struct(*order, "running"), F.struct(*order)).alias("_at")).select(key, "mark", "_at.*")
 
 

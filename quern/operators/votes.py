@@ -38,9 +38,9 @@ def vote_plan(attempts: DataFrame, key: str = "rule", axis: str = "axis", rep: s
     return rows.select(key, axis, F.size("a").cast("long").alias("named"), "how", chosen.alias("values"))
 
 
-def stability(plan: DataFrame, key: str = "rule") -> DataFrame:
-    """3/3 where no axis was split, 2/3 as soon as one was."""
-    return plan.groupBy(key).agg(F.when(F.max((F.col("how") == "ask").cast("int")) == 1, "2/3").otherwise("3/3").alias("stability"))
+def stability(plan: DataFrame, key: str = "rule", n: int = 3) -> DataFrame:
+    """n/n where no axis was split over the n replicates, n-1/n as soon as one was."""
+    return plan.groupBy(key).agg(F.when(F.max((F.col("how") == "ask").cast("int")) == 1, f"{n - 1}/{n}").otherwise(f"{n}/{n}").alias("stability"))
 
 
 def picked_spec(attempts: DataFrame, voted: DataFrame, key: str = "rule") -> DataFrame:

@@ -196,6 +196,20 @@ def test_semantic_stage_resumes_and_reconciles(spark, tmp_path):
     assert judged.where("is_rule IS NULL").count() == 4 and judged.count() == 23
 
 
+def test_semantic_filter_asks_once(spark, tmp_path):
+    log = f"{tmp_path}/asked"
+
+    class Counting(semantic.Stub):
+        def answer(self, batch):
+            with open(log, "a") as f:
+                f.write("".join(f"{k}\n" for k, _ in batch))
+            return super().answer(batch)
+
+    items = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "id int, text string").repartition(3)
+    assert semantic.sem_filter(items, "id", "text", Counting).where("is_rule IS NOT NULL").count() == 50
+    assert sorted(map(int, open(log))) == list(range(50))
+
+
 def test_budget_and_retries(monkeypatch):
     b = semantic.Budget(1.0)
     b.record(1.5)
