@@ -57,6 +57,16 @@ def segmented(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return mapped(spread(docs.select(key, F.col(text).cast("string"))), rows, f"{key} {kind}, idx int, type string, char_start int, char_end int, text string, is_structural boolean, heading_path string")
 
 
+def standalone(clauses: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, types, n_units of each clause segmented on its own."""
+    kind = dict(clauses.dtypes)[key]
+
+    def rows(columns: list) -> list[tuple]:
+        return [(k, *grammar.standalone(t)) for k, t in zip(*columns, strict=True)]
+
+    return mapped(spread(clauses.select(key, F.col(text).cast("string"))), rows, f"{key} {kind}, types array<string>, n_units int")
+
+
 def clauses_in_context(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Clauses (no structure) with the lines around them and their content-addressed id: key, clause_id, text, text_sha, char_start, char_end, context, ctx_start_line, ctx_end_line, heading_path."""
     from quern.operators.filters import STRUCTURAL

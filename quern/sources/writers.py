@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import merge
@@ -61,16 +61,27 @@ def append_checkpoint(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+COSTS = "source string, model string, cost double, input_tokens long, output_tokens long"
+
+
+def append_ledger(costs: DataFrame, path: str) -> None:
+    """Cost rows (COSTS, and columns of one's own) appended with the time of writing as JSON lines: each job commits
+    files of its own, so that writers need no lock between them. A cost that isn't known stays null."""
+    missing = [c.split() for c in COSTS.split(", ") if c.split()[0] not in costs.columns]
+    rows = costs.withColumns({name: F.lit(None).cast(kind) for name, kind in missing} | {"ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")})
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
 def load_staged(spark: SparkSession, staged: Sequence[str], path: str, key: str) -> int:
-    """Appends staged folders one by one; rows already there are left out, so loading again after a failure adds nothing twice."""
+    """Appends staged folders one by one, one row a key; rows already there are left out, so loading again after a failure adds nothing twice."""
     n = 0
     for folder in staged:
-        rows = spark.read.parquet(folder)
+        rows = spark.read.parquet(folder).dropDuplicates([key])
         fs, at = file_system(spark, path)
         new = merge.not_yet(rows, spark.read.parquet(path), [key]) if fs.exists(at) else rows
-        before = spark.read.parquet(path).count() if fs.exists(at) else 0
-        new.write.mode("append").parquet(path)
-        n += spark.read.parquet(path).count() - before
+        seen = Observation()
+        new.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(path)  # counted as it is written
+        n += seen.get["n"]
         fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
     return n
 

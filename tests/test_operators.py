@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import code, text
-from quern.operators import checks, filters, merge, metrics, semantic, sessions, trees, votes
+from quern.operators import checks, filters, merge, metrics, python_backed, semantic, sessions, trees, votes
 from quern.plans.registry import Tables
 from quern.sources import readers, writers
 from quern.streaming import streams
@@ -283,3 +283,21 @@ def test_table_functions(spark):
     udtfs.register_segments(spark)
     spark.createDataFrame([("x", "# Head\n\nOne here. Two there.")], "path string, text string").createOrReplaceTempView("docs")
     assert [r["type"] for r in spark.sql("SELECT s.* FROM docs, LATERAL segments(text) s ORDER BY idx").collect()] == ["heading", "clause", "clause"]
+
+
+def test_ledger_and_staged_loads(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    for cost in (0.5, None):
+        writers.append_ledger(spark.createDataFrame([("judge", "m", cost)], "source string, model string, cost double"), path)
+    rows = spark.read.json(path).collect()
+    assert sorted(r["cost"] or 0 for r in rows) == [0, 0.5] and all(r["ts"].endswith("Z") and r["input_tokens"] is None for r in rows)
+    table, staged = f"file://{tmp_path}/table", f"file://{tmp_path}/staged"
+    for ids, new in (([1, 1, 2], 2), ([2, 3], 1)):
+        spark.createDataFrame([(i,) for i in ids], "id int").write.parquet(staged)
+        assert writers.load_staged(spark, [staged], table, "id") == new
+    assert sorted(r["id"] for r in spark.read.parquet(table).collect()) == [1, 2, 3]
+
+
+def test_standalone_clauses(spark):
+    rows = spark.createDataFrame([(1, "Do the first thing now; then do the second thing."), (2, None)], "id int, text string")
+    assert sorted(tuple(r) for r in python_backed.standalone(rows, "id").collect()) == [(1, ["clause"], 2), (2, [], 0)]
