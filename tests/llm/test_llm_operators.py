@@ -359,6 +359,66 @@ def test_quality(spark):
         assert total == pytest.approx(1.0, abs=1e-6)
 
 
+def plain_kneser_ney(texts: list[str], order: int):
+    """log10 P of a text by interpolated modified Kneser-Ney with dictionaries: every level interpolated at each character."""
+    import math
+    from collections import Counter, defaultdict
+
+    units = [quality.unit_of(t) for t in texts if quality.unit_of(t)]
+    counts = {order: Counter(u[i : i + order] for u in units for i in range(len(u) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])  # distinct characters before
+    levels = {}
+    for n, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+        if n1 and n2:
+            y = n1 / (n1 + 2 * n2)
+            d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+            d = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
+        else:
+            d = [0.5, 0.75, 0.9]
+        total, mass = defaultdict(int), defaultdict(float)
+        for g, v in c.items():
+            total[g[:-1]] += v
+            mass[g[:-1]] += d[min(v, 3) - 1]
+        levels[n] = c, d, total, mass
+    alphabet = len(counts[1]) + 1
+
+    def p(g: str) -> float:
+        if not g:
+            return 1 / alphabet
+        c, d, total, mass = levels[len(g)]
+        h = g[:-1]
+        if not total[h]:
+            return p(g[1:])
+        return (c[g] - d[min(c[g], 3) - 1] if c[g] else 0) / total[h] + mass[h] / total[h] * p(g[1:])
+
+    return lambda t: sum(math.log10(p(u[i : i + order])) for u in [quality.unit_of(t)] for i in range(len(u) - order + 1))
+
+
+def test_quality_model_is_kneser_ney(spark):
+    texts = [text(RNG.randint(1, 30)) for _ in range(60)] + ["", None, "é a", "aaaa aaaa"]
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = plain_kneser_ney(texts, quality.ORDER)
+    asked = [*texts[:10], "unseen Zeichen 漢字", "é a", "k", text(20).upper(), " \t ", None, texts[0]]
+    docs = spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(asked)], "doc_id long, text string, lang string, g string")
+    for most in (10**6, 0):
+        got = {r["doc_id"]: r["logp"] for r in quality.score(docs, model, most).collect()}
+        for i, t in enumerate(asked):
+            assert got[i] == pytest.approx(want(t), abs=1e-6), t
+
+
+def test_quality_of_repeated_rows_and_ties(spark):
+    rows = [(i, text(40), "en") for i in range(80)]
+    rows += [rows[0], (0, "ZZQ$$ " * 40, "en"), (None, rows[1][1], None), (200, rows[2][1] * 300, "en")]
+    docs = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, order string, logp double")
+    labels = spark.createDataFrame([(i, 1, None) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(rows)
+    own = [r["rejected"] for r in got if r["doc_id"] == 0]
+    assert sorted(own) == [False, False, True]  # the rows of one id are judged by their own texts
+
+
 def test_quality_reads_across_words(spark):
     good = [(i, "en", ". ".join(text(8).capitalize() for _ in range(12))) for i in range(300)]
     word = max(WORDS, key=len)
