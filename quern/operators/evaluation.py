@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.operators import merge
 
 MENTIONS = 4
 
@@ -81,6 +82,14 @@ def first_names(rows: DataFrame, key: str, name: str, most: int = MENTIONS) -> D
     return sets.select(key, F.size("s").cast("long").alias("n"), text_.alias("names"))
 
 
+def listed(rows: DataFrame, key: str, order: str, most: int = 150) -> DataFrame:
+    """key, order, n_more: a key's first `most` rows and how many more it has. The limit holds before the shuffle and the count is
+    summed in parts, so a key with very many rows sends little."""
+    first = merge.keep_first(rows.select(key, order), [F.col(key)], [order], most)
+    n = rows.groupBy(F.col(key).alias("_k")).agg(F.greatest(F.count("*") - most, F.lit(0)).alias("n_more"))
+    return first.join(n, F.col(key).eqNullSafe(F.col("_k"))).select(key, order, "n_more")
+
+
 def gaps(lines: DataFrame, key: str, line: str) -> DataFrame:
     """Kept lines with whether something was left out before them."""
     w = Window.partitionBy(key).orderBy(line)

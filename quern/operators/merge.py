@@ -14,10 +14,10 @@ def one_per_content(files: DataFrame, sha: str, key: str) -> DataFrame:
     return files.groupBy(sha).agg(F.min_by(F.struct(*rest), F.col(key)).alias("one")).select(sha, "one.*")
 
 
-def keep_first(df: DataFrame, by: Sequence[Column], order: Sequence[str]) -> DataFrame:
-    """The first row of each group; the limit is applied before the shuffle too, so a large group sends little."""
+def keep_first(df: DataFrame, by: Sequence[Column], order: Sequence[str], most: int = 1) -> DataFrame:
+    """The first row (or `most`) of each group; the limit is applied before the shuffle too, so a large group sends little."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
 def not_yet(files: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -37,8 +37,20 @@ def compared(first: DataFrame, second: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def wordings(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Each wording (white space aside) with its rows and documents."""
-    return pieces.groupBy(text.text_digest(F.col("text")).alias("text_sha256")).agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_docs"), F.min("text").alias("example"))
+    """Each wording (white space aside) with its rows and documents. Digests travel as 32 bytes, not as text."""
+    found = pieces.groupBy(F.unhex(text.text_digest(F.col("text"))).alias("sha")).agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_docs"), F.min("text").alias("example"))
+    return found.select(F.lower(F.hex("sha")).alias("text_sha256"), "n_rows", "n_docs", "example")
+
+
+def duplicate_counts(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, idx, text_sha256, n_dup_text: how often a unit's wording occurs, carried on the unit.
+
+    Counted first with partial sums, so a frequent wording is not one window; only wordings that repeat are joined back, mostly few
+    enough to be broadcast once their size is known, and a frequent one is split by the skew join otherwise.
+    """
+    named = pieces.select(key, "idx", F.unhex(text.text_digest(F.col("text"))).alias("sha"))
+    repeated = named.groupBy("sha").agg(F.count("*").alias("n")).where("n > 1")
+    return named.join(repeated, "sha", "left").select(key, "idx", F.lower(F.hex("sha")).alias("text_sha256"), F.coalesce("n", F.lit(1)).cast("long").alias("n_dup_text"))
 
 
 def contexts(docs: DataFrame, key: str = "doc_id", before: int = 8, after: int = 2) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import merge, metrics, sessions
+from quern.operators import evaluation, merge, metrics, sessions
 from quern.plans.registry import query
 
 
@@ -169,11 +169,10 @@ def p19_milestones(t):
     return t.events.where((F.col("event_type") == "error") | F.col("props").rlike('"k": 7[0-9]')).select("event_id", "event_type")
 
 
-@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 15")
+@query("SELECT user_id, event_id, greatest(count(*) OVER (PARTITION BY user_id) - 150, 0) AS n_more FROM events WHERE event_type <> 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 150")
 def p21_own_files(t):
-    """At most 15 files listed for each owner (the limit is the feature); the rest are counted elsewhere."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return t.events.withColumn("n", F.row_number().over(w)).where("n <= 15").select("user_id", "event_id")
+    """At most 150 files listed for each owner (the limit is the feature), beside the number of those left out."""
+    return evaluation.listed(t.events.where("event_type <> 'view'"), "user_id", "event_id")
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant') AS said FROM conversations GROUP BY conv_id")

@@ -31,9 +31,9 @@ def u1_concat_by_name(t):
     return t.documents.select(F.col("doc_id").alias("id"), "lang").unionByName(t.conversations.select(F.col("conv_id").alias("id"), "turn"), allowMissingColumns=True)
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
 def u2_set_difference(t):
-    return t.orders.where("o_orderkey % 3 = 0").select("o_orderkey").subtract(t.lineitem.where("l_returnflag = 'R'").select("l_orderkey"))
+    return t.orders.select("o_orderkey").subtract(t.lineitem.where("l_returnflag = 'R'").select("l_orderkey"))
 
 
 @query("SELECT o_orderkey, list_has_any(string_split(o_orderpriority, '-'), ['1', 'URGENT']) AS meets FROM orders")

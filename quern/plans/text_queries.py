@@ -73,10 +73,9 @@ def a35_corpus_stats(t):
 
 @query(rf"""WITH {LINES} SELECT doc_id, idx, sha256({COLLAPSED}) AS text_sha, count(*) OVER (PARTITION BY sha256({COLLAPSED})) AS n_dup_text FROM lines""")
 def a32_duplicate_counts(t):
-    """How often each unit's wording occurs, carried on the unit: counted first, so that a frequent wording is not one window."""
-    pieces = segments.lines_and_terminals(t.documents).withColumn("text_sha", text.text_digest(F.col("text")))
-    counts = pieces.groupBy("text_sha").agg(F.count("*").alias("n_dup_text"))
-    return pieces.join(counts, "text_sha").select("doc_id", F.col("idx").cast("long").alias("idx"), "text_sha", "n_dup_text")
+    """How often each unit's wording occurs, carried on the unit."""
+    found = segments.duplicate_counts(segments.lines_and_terminals(t.documents))
+    return found.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("text_sha256").alias("text_sha"), "n_dup_text")
 
 
 @query(rf"""WITH {LINES} SELECT substring(sha256(concat_ws(':', 'src', doc_id)), 1, 16) AS file_id, substring(sha256(concat_ws(':', substring(sha256(concat_ws(':', 'src', doc_id)), 1, 16), '', idx)), 1, 16) AS clause_id,
@@ -191,9 +190,9 @@ def p11_noise(t):
     return t.pages.where(filters.noise(F.col("url"), [r"http://m\..*"], ["https://blog"])).select("page_id")
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS collapsed, trim(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS collapsed, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def f1_f4_text_forms(t):
-    return t.documents.select("doc_id", text.collapse(F.col("text")).alias("collapsed"), text.slug(F.substring("text", 1, 60)).alias("slug"))
+    return t.documents.select("doc_id", text.collapse(F.col("text")).alias("collapsed"), text.slug(F.col("text")).alias("slug"))
 
 
 @query(r"SELECT p_partkey, regexp_replace('  ' || (CASE p_partkey % 4 WHEN 0 THEN '- ' WHEN 1 THEN '12. ' WHEN 2 THEN '* ' ELSE '' END) || p_name, '^\s*(?:[-*+]|\d+[.)])\s+', '') AS plain FROM part")
