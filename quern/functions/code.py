@@ -64,6 +64,19 @@ def prose_mask(text: str, quotes: bool = True) -> str:
     return re.sub(r'"[^"\n]*"', blank, out) if quotes else out
 
 
+def rephrased(text: str, pattern: str, replacement: str) -> list[tuple[int, str]]:
+    """(line, how it should read) of each line whose own prose holds the expression; code, quotations and paths keep theirs."""
+    hits = [m.span() for m in re.finditer(pattern, prose_mask(text))]
+    for start, end in reversed(hits):
+        if "\n" not in text[start:end]:
+            text = text[:start] + replacement + text[end:]
+    at, shift, lines = text.split("\n"), 0, set()
+    for start, end in hits:
+        lines.add(text.count("\n", 0, start + shift))
+        shift += len(replacement) - (end - start)
+    return [(n + 1, at[n].strip()) for n in sorted(lines)]
+
+
 def schema_errors(value: object, schema: dict, path: str = "$") -> list[str]:
     """`path message` for each fault of a JSON value under a schema of type, properties, required, items, enum, closed objects."""
     kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float), "null": type(None)}
@@ -120,6 +133,18 @@ def least_files(files: Sequence[str], fails: Callable[[Sequence[str]], bool]) ->
     return kept
 
 
+def culprits(files: Sequence[str], fails: Callable[[Sequence[str]], bool]) -> list[str]:
+    """A least set of files without which the check passes: files are put back one by one, and those that make it fail stay out. Empty if
+    the check fails with no files at all."""
+    if fails([]):
+        return []
+    back: list[str] = []
+    for f in files:
+        if not fails([*back, f]):
+            back.append(f)
+    return [f for f in files if f not in back]
+
+
 def located(lines: Sequence[str], fails: Callable[[Sequence[str]], bool], most: int = 4) -> list[tuple[int, int, str]]:
     """(first, last, note) of places that make a check fail, at most `most`: halves are kept while one alone fails; a fault of
     several lines together is narrowed to a window by two binary searches; where leaving out any single line repairs it, it is the count."""

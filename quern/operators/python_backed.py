@@ -91,6 +91,36 @@ def clauses_in_context(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return mapped(spread(docs.select(key, F.col(text).cast("string"))), rows, f"{key} {kind}, clause_id string, text string, text_sha string, char_start int, char_end int, context string, ctx_start_line int, ctx_end_line int, heading_path string")
 
 
+def prose_contexts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, line, first, last, context of each line outside code: the nearest lines of prose around it, up to the headings that bound it."""
+
+    def rows(columns: list) -> list[tuple]:
+        out = []
+        for k, t in zip(*columns, strict=True):
+            lines = (t or "").split("\n")
+            mask = grammar.fence_mask(lines)
+            for i in (i for i, inside in enumerate(mask) if not inside):
+                block, first, last = grammar.context(lines, mask, i, i)
+                out.append((k, i + 1, first, last, block))
+        return out
+
+    kind = dict(docs.dtypes)[key]
+    return mapped(spread(docs.select(key, F.col(text).cast("string"))), rows, f"{key} {kind}, line long, first long, last long, context string")
+
+
+def rephrased(replies: DataFrame, keys: Sequence[str], text: str, pattern: str, replacement: str, most: int = 12) -> DataFrame:
+    """keys, n_lines, fixed: lines of own prose that hold a forbidden expression, and the first `most` of them as they should read."""
+
+    def rows(columns: list) -> list[tuple]:
+        *names, texts = columns
+        found = [code.rephrased(t or "", pattern, replacement) for t in texts]
+        return [(*k, len(f), [f"{n}: {line}" for n, line in f[:most]]) for k, f in zip(zip(*names, strict=True), found, strict=True) if f]
+
+    kinds = dict(replies.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return mapped(replies.select(*keys, F.col(text).cast("string")), rows, f"{schema}, n_lines long, fixed array<string>")
+
+
 def plain_text(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, plain: inline markdown resolved; null stays."""
     kind = dict(df.dtypes)[key]

@@ -6,14 +6,16 @@ A client's answers are paid for, so each stage writes them to a table before any
 from __future__ import annotations
 
 import hashlib
+import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import code
 from quern.operators import merge
 from quern.operators.python_backed import mapped
 
@@ -37,31 +39,72 @@ class Stub:
         return [(k, self.decide(t)) for i, (k, t) in enumerate(items) if len(items) == 1 or not self.skips or (i + 1) % self.skips]
 
 
+class BudgetSpent(Exception):
+    pass
+
+
+class Fatal(Exception):
+    """Asking again will not help: no quota left, an unknown route, no key."""
+
+
+class RateLimited(Exception):
+    """The provider asks for patience: for `wait` seconds, if it says so."""
+
+    def __init__(self, message: str = "", wait: float | None = None) -> None:
+        super().__init__(message)
+        self.wait = wait
+
+
 @dataclass
 class Retrying:
-    """A client that asks again after a failure, waiting longer each time, and stops for good at a fatal one."""
+    """A client that asks again after a failure, waiting longer each time, and stops for good at a fatal one.
+
+    Rate limits have their own count (`limits`) and wait as long as the provider says. With a budget, no call starts once it is spent.
+    """
 
     client: Client
     attempts: int = 5
     wait: float = 10.0
     most: float = 300.0
-    fatal: tuple[type[Exception], ...] = (PermissionError,)
+    fatal: tuple[type[Exception], ...] = (PermissionError, Fatal, BudgetSpent)
+    limits: int = 6
+    budget: Budget | None = None
 
     def answer(self, items: list[tuple[str, str]]) -> list[tuple[str, str]]:
-        for n in range(1, self.attempts + 1):
+        failed = limited = 0
+        while True:
+            if self.budget:
+                self.budget.check()
             try:
                 return self.client.answer(items)
             except self.fatal:
                 raise
+            except RateLimited as e:
+                limited += 1
+                if limited == self.limits:
+                    raise
+                pause = self.wait * 2 ** (limited - 1) if e.wait is None else e.wait
             except Exception:
-                if n == self.attempts:
+                failed += 1
+                if failed == self.attempts:
                     raise
-                time.sleep(min(self.wait * 2 ** (n - 1), self.most))
-        raise AssertionError
+                pause = self.wait * 2 ** (failed - 1)
+            time.sleep(min(pause, self.most))
 
 
-class BudgetSpent(Exception):
-    pass
+@dataclass
+class Strict:
+    """A client whose answers must be JSON of a closed schema: others fail, so that a retrying client asks again."""
+
+    client: Client
+    schema: dict
+
+    def answer(self, items: list[tuple[str, str]]) -> list[tuple[str, str]]:
+        closed, told = code.strict_schema(self.schema), self.client.answer(items)
+        for key, answer in told:
+            if wrong := code.schema_errors(json.loads(answer), closed):
+                raise ValueError(f"{key}: {wrong[0]}")
+        return told
 
 
 @dataclass
@@ -85,6 +128,15 @@ class Budget:
 ROUTES: dict[str, Callable[[], Client]] = {"stub": Stub}
 
 
+def route(name: str, environment: dict[str, str] | None = None, keys: Sequence[str] = ()) -> Callable[[], Client]:
+    """The route of a name; fatal where there is none, or where none of its keys is set."""
+    if name not in ROUTES:
+        raise Fatal(f"unknown provider {name!r}; known: {sorted(ROUTES)}")
+    if keys and not any((environment or {}).get(k) for k in keys):
+        raise Fatal(f"{' or '.join(keys)} is not set")
+    return ROUTES[name]
+
+
 def asked(items: DataFrame, key: str, text: str, client: Callable[[], Client], batch: int) -> DataFrame:
     """key, answer: as the client gave them, batch by batch within a partition."""
 
@@ -122,5 +174,11 @@ def sem_filter(items: DataFrame, key: str, text: str, client: Callable[[], Clien
     return items.join(verdict, F.col(key).cast("string") == F.col("_k"), "left").drop("_k")
 
 
+def sem_attribute(items: DataFrame, key: str, text: str, client: Callable[[], Client], path: str, batch: int = 5) -> DataFrame:
+    """key, state_p: the probability that a state must hold, asked once an item; null where the answer is no probability."""
+    p = F.expr("try_cast(answer AS double)")
+    return sem_map(items, key, text, client, path, batch).select(key, F.when((p >= 0) & (p <= 1), F.round(p, 4)).alias("state_p"))
+
+
 def replicated(items: DataFrame, n: int) -> DataFrame:
     return items.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))

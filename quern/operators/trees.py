@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import cut
+
 FLOOR = 1e-9
 
 
@@ -37,18 +39,21 @@ def beam(nodes: DataFrame, probabilities: DataFrame, width: int = 3, levels: int
 
     A path that reaches a node without children is finished; finished paths of all lengths compete. A single child has probability 1.
     Ties keep the order of insertion: the path's place in the frontier, then the child's order. Levels are bounded by the tree's depth.
+    A level's frontier is stored where the session has a checkpoint folder, so that no level computes those above it again, and an empty one ends the search.
     """
     kids = nodes.groupBy("parent").agg(F.count("*").alias("n_siblings"))
     parents = nodes.select(F.col("parent").alias("node")).where("node IS NOT NULL").distinct().withColumn("inner", F.lit(True))
     full = nodes.join(kids, "parent", "left").join(parents, "node", "left").select("node", "parent", "name", "ord", F.coalesce("n_siblings", F.lit(1)).alias("n_siblings"), F.coalesce("inner", F.lit(False)).alias("inner"))
     root = nodes.where("parent IS NULL").select(F.col("node").alias("at"))
     front = probabilities.select("item").distinct().crossJoin(F.broadcast(root)).select("item", "at", F.array().cast("array<string>").alias("path"), F.array().cast("array<double>").alias("ps"), F.lit(0).alias("seq"))
-    finished = None
+    finished, stored = None, nodes.sparkSession.sparkContext.getCheckpointDir() is not None
     for level in range(levels):
+        if level and stored and front.isEmpty():
+            break
         step = front.join(F.broadcast(full), front["at"] == full["parent"]).join(probabilities, ["item", "node"], "left")
         p = F.when(F.col("n_siblings") == 1, 1.0).otherwise(F.coalesce("p", F.lit(0.0)))
         step = step.select("item", "node", "inner", F.array_append("path", F.col("name")).alias("path"), F.array_append("ps", p).alias("ps"), F.struct("seq", "ord").alias("seq"))
-        step = step.withColumn("score", path_score(F.col("ps")))
+        step = cut(step.withColumn("score", path_score(F.col("ps"))))
         done = step.where("NOT inner").select("item", "path", "score", F.lit(level).alias("level"), F.col("seq.seq").alias("s1"), F.col("seq.ord").alias("s2"))
         finished = done if finished is None else finished.unionByName(done)
         w = Window.partitionBy("item").orderBy(F.desc("score"), "seq")

@@ -104,6 +104,15 @@ def partition_faults(members: DataFrame, known: DataFrame, key: str = "id") -> D
     return both.select(key, fault.alias("fault")).where("fault IS NOT NULL")
 
 
+def class_stage(subcategories: dict[int, str], saved: Sequence[dict] | None, group, place, names: dict[str, str] | None = None) -> list[dict]:
+    """The classes of a run: class, class_long, subcategories. Saved ones are taken again if they cover exactly the same subcategories;
+    otherwise group(ids) is asked once and repaired by place, and a class shown under a shorter name keeps its long one."""
+    if saved is not None and sorted(s for c in saved for s in c["subcategories"]) == sorted(subcategories.values()):
+        return list(saved)
+    found = repaired(group(sorted(subcategories)), set(subcategories), place)
+    return [{"class": (names or {}).get(c, c), "class_long": c, "subcategories": [subcategories[i] for i in ids]} for c, ids in found.items()]
+
+
 def repaired(classes: dict[str, list[int]], known: set[int], place, rounds: int = 4) -> dict[str, list[int]]:
     """An exact partition from a model's answer: invented ids and empty classes go; missed and repeated ids are placed again, at most `rounds` times.
 

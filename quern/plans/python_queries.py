@@ -16,6 +16,31 @@ def g14_clauses_in_context(t):
     return python_backed.clauses_in_context(t.documents)
 
 
+# Both lists of marks are put into the texts, which hold none: a fence for each "the ", a heading for each "and ".
+MARKED = "replace(replace(text, 'the ', chr(10) || '```' || chr(10)), 'and ', chr(10) || '## and' || chr(10))"
+
+
+@query(f"""WITH l AS (SELECT doc_id, string_split({MARKED}, chr(10)) AS lines FROM documents), e AS (SELECT doc_id, unnest(lines) AS own, generate_subscripts(lines, 1) AS line FROM l),
+f AS (SELECT doc_id, own, line, starts_with(trim(own), '```') OR sum(CASE WHEN starts_with(trim(own), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) % 2 = 1 AS code FROM e),
+p AS (SELECT doc_id, own, line, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id) AS n, lag(line) OVER w AS above FROM f WHERE NOT code WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+b AS (SELECT *, greatest(1, k - 8, coalesce(max(CASE WHEN own = '## and' THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)) AS lo,
+  least(n, k + 2, coalesce(min(CASE WHEN own = '## and' THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n)) AS hi FROM p)
+SELECT b.doc_id, b.line, min(x.line) AS first, max(x.line) AS last, string_agg(CASE WHEN x.k > b.lo AND x.line <> x.above + 1 THEN '    ⋯' || chr(10) ELSE '' END || x.own, chr(10) ORDER BY x.k) AS context
+FROM b JOIN p x ON x.doc_id = b.doc_id AND x.k BETWEEN b.lo AND b.hi GROUP BY b.doc_id, b.line""")
+def w2_prose_context(t):
+    """The whole context window: code left out, headings bound it, gaps are marked."""
+    return python_backed.prose_contexts(t.documents.select("doc_id", F.expr(MARKED).alias("text")))
+
+
+@query(r"""WITH r AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[/`"<>]', ' ', 'g'), '\s+', ' ', 'g') AS text FROM conversations WHERE role = 'assistant' AND regexp_matches(text, '\b(he|she|they)\b'))
+SELECT conv_id, turn, CAST(1 AS BIGINT) AS n_lines, '1: ' || trim(regexp_replace(text, '\b(he|she|they)\b', 'one', 'g')) AS fixed FROM r""")
+def m2_rephrased(t):
+    """Replies on one line, without marks that take text out of own prose; a forbidden word and the line as it should read."""
+    replies = t.conversations.where("role = 'assistant'").withColumn("text", F.regexp_replace(F.regexp_replace("text", '[/`"<>]', " "), r"\s+", " "))
+    found = python_backed.rephrased(replies, ["conv_id", "turn"], "text", r"\b(?:he|she|they)\b", "one")
+    return found.select("conv_id", "turn", "n_lines", F.array_join("fixed", "|").alias("fixed"))
+
+
 @query()
 def f5_plain_text(t):
     return python_backed.plain_text(t.documents, "doc_id", "text")

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the session's shared checkpoint folder; as it is where the session names none."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Lets Python workers on this machine import the package; on a cluster it is shipped with --py-files."""
     known = spark.sparkContext.environment.get("PYTHONPATH", "")

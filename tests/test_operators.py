@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import code, text
-from quern.operators import checks, filters, merge, metrics, python_backed, semantic, sessions, trees, votes
+from quern.operators import checks, evaluation, filters, merge, metrics, python_backed, segments, semantic, sessions, trees, votes
 from quern.plans.registry import Tables
 from quern.sources import readers, writers
 from quern.streaming import streams
@@ -301,3 +301,97 @@ def test_ledger_and_staged_loads(spark, tmp_path):
 def test_standalone_clauses(spark):
     rows = spark.createDataFrame([(1, "Do the first thing now; then do the second thing."), (2, None)], "id int, text string")
     assert sorted(tuple(r) for r in python_backed.standalone(rows, "id").collect()) == [(1, ["clause"], 2), (2, [], 0)]
+
+
+def test_listed_counts_the_rest(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 1), (None, 7)], "k string, i int")
+    got = {(r["k"], r["i"]): r["n_more"] for r in evaluation.listed(rows, "k", "i", 2).collect()}
+    assert got == {("a", 0): 3, ("a", 1): 3, ("b", 1): 0, (None, 7): 0}
+
+
+def test_duplicate_counts_of_white_space_variants(spark):
+    pieces = spark.createDataFrame([(1, 1, "a  b"), (2, 1, "a b"), (2, 2, "c")], "doc_id int, idx int, text string")
+    got = segments.duplicate_counts(pieces).collect()
+    assert {(r["doc_id"], r["idx"]): r["n_dup_text"] for r in got} == {(1, 1): 2, (2, 1): 2, (2, 2): 1}
+    assert len({r["text_sha256"] for r in got}) == 2 and all(len(r["text_sha256"]) == 64 for r in got)
+
+
+def test_rate_limits_budgets_and_fatal_stops(monkeypatch):
+    slept = []
+    monkeypatch.setattr(semantic.time, "sleep", slept.append)
+
+    class Raises:
+        def __init__(self, *errors):
+            self.errors = list(errors)
+
+        def answer(self, items):
+            if self.errors:
+                raise self.errors.pop(0)
+            return items
+
+    one = [("a", "b")]
+    limited = Raises(semantic.RateLimited(wait=3), semantic.RateLimited(), semantic.RateLimited(wait=900), OSError())
+    assert semantic.Retrying(limited, attempts=2).answer(one) == one and slept == [3, 20.0, 300.0, 10.0]
+    with pytest.raises(semantic.RateLimited):
+        semantic.Retrying(Raises(*[semantic.RateLimited(wait=0)] * 9)).answer(one)
+    stopped = Raises(semantic.Fatal("no quota"), OSError())
+    with pytest.raises(semantic.Fatal):
+        semantic.Retrying(stopped).answer(one)
+    assert len(stopped.errors) == 1
+    with pytest.raises(semantic.BudgetSpent):
+        semantic.Retrying(Raises(), budget=semantic.Budget(1.0, 1.0)).answer(one)
+    with pytest.raises(semantic.Fatal):
+        semantic.route("nobody")
+    with pytest.raises(semantic.Fatal):
+        semantic.route("stub", {}, ["SOME_KEY"])
+    assert isinstance(semantic.route("stub", {"SOME_KEY": "x"}, ["SOME_KEY"])(), semantic.Stub)
+
+
+def test_strict_answers():
+    schema = {"type": "object", "properties": {"n": {"type": "integer"}}, "required": ["n"]}
+    assert semantic.Strict(semantic.Stub(lambda t: '{"n": 1}'), schema).answer([("a", "")]) == [("a", '{"n": 1}')]
+    for answer in ('{"n": "x"}', '{"n": 1, "m": 2}', "no JSON"):
+        with pytest.raises(ValueError):
+            semantic.Strict(semantic.Stub(lambda t, a=answer: a), schema).answer([("a", "")])
+
+
+def test_attribute_question(spark, tmp_path):
+    items = spark.createDataFrame([(1, "0.123456"), (2, "2"), (3, "maybe")], "id int, text string")
+    got = semantic.sem_attribute(items, "id", "text", lambda: semantic.Stub(lambda t: t), str(tmp_path / "a")).collect()
+    assert {r["id"]: r["state_p"] for r in got} == {"1": 0.1235, "2": None, "3": None}
+
+
+def test_growing_files(spark, tmp_path):
+    a, b = tmp_path / "a.log", tmp_path / "b.log"
+    a.write_text("one\ntwo\n")
+    b.write_text("äx\n")
+    read = lambda df: sorted((r["path"][-5:], r["pos"], r["line"]) for r in df.collect())
+    lines, at = readers.new_lines(spark, str(tmp_path))
+    assert read(lines) == [("a.log", 0, "one"), ("a.log", 1, "two"), ("b.log", 0, "äx")]
+    with a.open("a") as f:
+        f.write("three\n\nfour\n")
+    b.write_text("y\n")
+    lines, at = readers.new_lines(spark, str(tmp_path), at)
+    assert read(lines) == [("a.log", 0, "three"), ("a.log", 1, ""), ("a.log", 2, "four"), ("b.log", 0, "y")]
+    lines, at = readers.new_lines(spark, str(tmp_path), at)
+    assert read(lines) == []
+
+
+def test_rephrased_lines():
+    text = "I think so.\nNo `I` here.\nI and I."
+    assert code.rephrased(text, r"\bI\b", "Quern") == [(1, "Quern think so."), (3, "Quern and Quern.")]
+    assert code.rephrased("fine", r"\bI\b", "Quern") == [] and code.rephrased("", r"\bI\b", "Quern") == []
+
+
+def test_culprits():
+    assert code.culprits(["a", "b", "c"], lambda fs: "b" in fs) == ["b"]
+    assert code.culprits(["a", "b", "c"], lambda fs: len(fs) > 1) == ["b", "c"]
+    assert code.culprits(["a"], lambda fs: True) == [] and code.culprits(["a"], lambda fs: False) == []
+
+
+def test_class_stage():
+    subs = {1: "x", 2: "y"}
+    once = votes.class_stage(subs, None, lambda ids: {"long name": [1, 9], "other": []}, lambda ids, classes: dict.fromkeys(ids, "long name"), {"long name": "short"})
+    assert once == [{"class": "short", "class_long": "long name", "subcategories": ["x", "y"]}]
+    assert votes.class_stage(subs, once, None, None) == once
+    assert votes.class_stage({1: "x"}, once, lambda ids: {"n": ids}, None) == [{"class": "n", "class_long": "n", "subcategories": ["x"]}]
