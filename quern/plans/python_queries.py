@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quern.operators import python_backed, semantic
+from quern.plans import grammar_cases
 from quern.plans.registry import query
 
 
@@ -16,6 +17,14 @@ def g14_clauses_in_context(t):
     return python_backed.clauses_in_context(t.documents)
 
 
+@query(grammar_cases.sql())
+def g2_g10_grammar_cases(t):
+    """Known documents, one for each rule of the grammar, against units written by hand."""
+    docs = t.spark.createDataFrame([(name, text) for name, text, _ in grammar_cases.CASES], "name string, text string")
+    found = python_backed.segmented(docs, "name")
+    return found.select("name", F.col("idx").cast("long").alias("idx"), "type", "text", "heading_path")
+
+
 # Both lists of marks are put into the texts, which hold none: a fence for each "the ", a heading for each "and ".
 MARKED = "replace(replace(text, 'the ', chr(10) || '```' || chr(10)), 'and ', chr(10) || '## and' || chr(10))"
 
