@@ -1,4 +1,4 @@
-"""Queries whose operators run Python: no SQL form; tests hold them against invariants and plain versions."""
+"""Queries whose operators run Python; where no SQL form exists, tests hold them against invariants and plain versions."""
 
 from pyspark.sql import functions as F
 
@@ -55,12 +55,16 @@ def f5_plain_text(t):
     return python_backed.plain_text(t.documents, "doc_id", "text")
 
 
-@query()
+# The stub answers "yes" unless the SHA-256 of the text, a number of base 16, is a multiple of 3; so is then the sum of its digits.
+YES = "list_sum(list_transform(string_split(sha256({text}), ''), lambda x: strpos('0123456789abcdef', x) - 1)) % 3 <> 0"
+
+
+@query(f"SELECT doc_id, text, {YES.format(text="coalesce(text, '')")} AS is_rule FROM documents")
 def l1_sem_filter(t):
     return semantic.sem_filter(t.documents.select("doc_id", "text"), "doc_id", "text", semantic.Stub)
 
 
-@query()
+@query(f"SELECT p_partkey || '#' || rep AS item, CASE WHEN {YES.format(text="coalesce(p_name, '')")} THEN 'yes' ELSE 'no' END AS answer FROM part, (VALUES (1), (2), (3)) r(rep)")
 def l2_replicates(t):
     items = semantic.replicated(t.part.select("p_partkey", "p_name"), 3).withColumn("item", F.concat_ws("#", F.col("p_partkey").cast("string"), F.col("rep").cast("string")))
     return semantic.asked(items, "item", "p_name", semantic.Stub, 5)
@@ -70,8 +74,10 @@ def shouts(lines):
     return any("!!" in line for line in lines)
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS own, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT doc_id, CAST(line AS INT) AS first, CAST(line AS INT) AS last, 'line' AS note FROM l WHERE contains(own, '!!') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line) <= 4""")
 def m18_locate(t):
+    """Where a check fails: at most four places of a text, as the feature has it; here lines that shout."""
     return python_backed.violations(t.documents, "doc_id", "text", shouts)
 
 
@@ -81,7 +87,7 @@ def w15_seeded_order(t):
     return python_backed.shuffled(lists, "l_orderkey", "lines")
 
 
-@query()
+@query("""WITH n AS (SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + 2 AS INT) AS lines FROM documents) SELECT doc_id || '.py' AS path, 'f' AS name, 1 AS line, lines FROM n WHERE lines > 10""")
 def m7_long_functions(t):
     code = F.concat(F.lit("def f():\n    x = '''"), F.col("text"), F.lit("'''\n"))
     return python_backed.long_functions(t.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), code.alias("content")), 10)

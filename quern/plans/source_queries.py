@@ -93,7 +93,7 @@ def m9_own_prose(t):
     return t.documents.select("doc_id", text.unquoted_prose(F.col("text")).alias("prose")).join(masked, "doc_id")
 
 
-@query()
+@query("SELECT p_partkey, 'f' || p_partkey AS name, 1 AS line, 0 AS col FROM part UNION ALL SELECT p_partkey, 'b', 2, 4 FROM part")
 def m10_names(t):
     source = F.concat(F.lit("def f"), "p_partkey", F.lit("(a):\n    b = 1\n    return b\n"))
     return mapped(t.part.select("p_partkey", source.alias("s")), lambda c: [(k, *n) for k, s in zip(*c, strict=True) for n in code.names_in(s)], "p_partkey long, name string, line int, col int")
