@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def one_per_content(files: DataFrame, sha: str, key: str) -> DataFrame:
-    """One file for each content: the one of the smallest key. One aggregation with map-side combination."""
+    """One file for each content, the one of the smallest key, and the number of its copies. One aggregation with map-side combination."""
     rest = [c for c in files.columns if c != sha]
-    return files.groupBy(sha).agg(F.min_by(F.struct(*rest), F.col(key)).alias("one")).select(sha, "one.*")
+    return files.groupBy(sha).agg(F.min_by(F.struct(*rest), F.col(key)).alias("one"), F.count("*").alias("copies")).select(sha, "one.*", "copies")
 
 
 def keep_first(df: DataFrame, by: Sequence[Column], order: Sequence[str], most: int = 1) -> DataFrame:

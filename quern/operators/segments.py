@@ -11,29 +11,46 @@ from quern.functions import text
 CUT = "\x01"
 
 
+def line_parts() -> Column:
+    """First grammar's prose rule: every line end and each of . ! ? ; before white space ends a unit."""
+    return kept(F.split(F.regexp_replace(F.regexp_replace("text", r"([.!?;])(?=\s)", "$1" + CUT), "\n", CUT), CUT))
+
+
+def sentence_parts() -> Column:
+    """Second grammar's restricted rule: sentence ends before white space and blank lines; a plain line end is none."""
+    return kept(F.split(F.regexp_replace(F.regexp_replace("text", r"([.!?]+)\s+", "$1" + CUT), r"\n[ \t]*\n", CUT), CUT))
+
+
+def kept(parts: Column) -> Column:
+    """Trimmed parts that hold enough letters or digits."""
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)\A\s+|\s+\z", "")), text.worth_keeping)
+
+
 def lines_and_terminals(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """First grammar's prose rule: every line end and each of . ! ? ; before white space ends a unit. key, idx, text."""
-    return units(docs, F.split(F.regexp_replace(F.regexp_replace("text", r"([.!?;])(?=\s)", "$1" + CUT), "\n", CUT), CUT), key)
+    """Units of the first grammar: key, idx, text."""
+    return units(docs, line_parts(), key)
 
 
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Second grammar's restricted rule: sentence ends before white space and blank lines; a plain line end is none. key, idx, text."""
-    marked = F.regexp_replace(F.regexp_replace("text", r"([.!?]+)\s+", "$1" + CUT), r"\n[ \t]*\n", CUT)
-    return units(docs, F.split(marked, CUT), key)
+    """Units of the second grammar: key, idx, text."""
+    return units(docs, sentence_parts(), key)
+
+
+def units(docs: DataFrame, parts: Column, key: str) -> DataFrame:
+    """Numbered parts; numbering inside the row, so no shuffle."""
+    return docs.select(key, F.posexplode(parts).alias("pos", "text")).select(key, (F.col("pos") + 1).alias("idx"), "text")
 
 
-def units(docs: DataFrame, parts, key: str) -> DataFrame:
-    """Numbered trimmed parts that hold enough letters or digits; numbering inside the row, so no shuffle."""
-    trimmed = F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)\A\s+|\s+\z", ""))
-    return docs.select(key, F.posexplode(F.filter(trimmed, text.worth_keeping)).alias("pos", "text")).select(key, (F.col("pos") + 1).alias("idx"), "text")
+def compared(docs: DataFrame) -> DataFrame:
+    """For both grammars: units, breaks inside a sentence, fragments of at most three words. A unit meets the next one inside its row's
+    array, so that no text is shuffled and only sums are."""
 
+    def broken(unit: Column, i: Column) -> Column:
+        return ~unit.rlike("[.!?;:]\\z") & F.coalesce(F.get("parts", i + 1).rlike(r"\A[a-z]"), F.lit(False))
 
-def compared(first: DataFrame, second: DataFrame, key: str = "doc_id") -> DataFrame:
-    """For two segmentations: units, breaks inside a sentence, fragments of at most three words."""
-    both = first.withColumn("grammar", F.lit("lines")).unionByName(second.withColumn("grammar", F.lit("sentences")))
-    after = F.lead("text").over(Window.partitionBy("grammar", key).orderBy("idx"))
-    broken = ~F.col("text").rlike("[.!?;:]\\z") & F.coalesce(F.col("after").rlike(r"\A[a-z]"), F.lit(False))
-    return both.withColumn("after", after).groupBy("grammar").agg(F.count("*").alias("units"), F.sum(broken.cast("long")).alias("mid_breaks"), F.sum((text.n_words(F.col("text")) <= 3).cast("long")).alias("fragments"))
+    both = docs.select(F.explode(F.array(*(F.struct(F.lit(name).alias("grammar"), parts.alias("parts")) for name, parts in (("lines", line_parts()), ("sentences", sentence_parts()))))).alias("cut")).select("cut.*")
+    found = {"units": F.size("parts"), "mid_breaks": F.size(F.filter("parts", broken)), "fragments": F.size(F.filter("parts", lambda u: text.n_words(u) <= 3))}
+    return both.groupBy("grammar").agg(*(F.sum(n.cast("long")).alias(name) for name, n in found.items())).where("units > 0")
 
 
 def wordings(pieces: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -38,7 +38,8 @@ def a19_repeated_wordings(t):
 
 @query("SELECT sha256(text) AS content_sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def a1_exact_dedup(t):
-    return t.documents.where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("content_sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    files = t.documents.where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("content_sha256"))
+    return merge.one_per_content(files, "content_sha256", "doc_id")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources, count(DISTINCT sha256(text)) AS texts FROM documents")
@@ -62,7 +63,7 @@ n AS (SELECT grammar, text, lead(text) OVER (PARTITION BY grammar, doc_id ORDER
 SELECT grammar, count(*) AS units, CAST(sum(CASE WHEN NOT regexp_matches(text, '[.!?;:]$') AND coalesce(regexp_matches(after, '^[a-z]'), false) THEN 1 ELSE 0 END) AS BIGINT) AS mid_breaks,
 CAST(sum(CASE WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS fragments FROM n GROUP BY 1""")
 def a17_compare_grammars(t):
-    return segments.compared(segments.lines_and_terminals(t.documents), segments.sentences(t.documents))
+    return segments.compared(t.documents)
 
 
 @query(rf"""WITH {LINES} SELECT count(*) AS rows, count(DISTINCT doc_id) AS files, count(DISTINCT sha256({COLLAPSED})) AS wordings FROM lines""")

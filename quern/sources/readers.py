@@ -142,6 +142,14 @@ def settings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return numbered, bad.unionByName(faults)
 
 
+TASKS = "task_id string, rounds array<struct<round_id: string, query: string, checklist: array<struct<id: string, requirement: string, passed: boolean>>>>"
+
+
+def tasks(spark: SparkSession, path: str, schema: str = TASKS) -> DataFrame:
+    """A task table: JSON lines of tasks, each with its rounds and their checklists nested as they are."""
+    return json_lines(spark, path, schema)
+
+
 def new_lines(spark: SparkSession, folder: str, read: Mapping[str, int] | None = None) -> tuple[DataFrame, dict[str, int]]:
     """(path, pos, line of what was added to a folder's growing files since the byte offsets `read`; the offsets to keep for next time).
 

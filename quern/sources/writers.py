@@ -100,8 +100,9 @@ def export_json(df: DataFrame, path: str, order: Sequence[str]) -> None:
         f.write("\n]\n")
 
 
-def write_run(df: DataFrame, path: str, metadata: dict) -> None:
-    """A run's result as JSON lines, with what describes the run beside it."""
+def write_run(df: DataFrame, path: str, metadata: dict, **tables: DataFrame) -> None:
+    """A run's result as JSON lines, with what describes the run and its other tables (rules, subcategories, classes) beside it."""
     spark = df.sparkSession
-    df.write.mode("overwrite").json(f"{path}/result")
+    for name, table in {"result": df, **tables}.items():
+        table.write.mode("overwrite").json(f"{path}/{name}")
     spark.createDataFrame([(json.dumps(metadata, sort_keys=True, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/run")

@@ -46,23 +46,32 @@ def crossings(events: DataFrame, key: str, order: str, value: str, marks: Sequen
     return events.select(key, order, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, mark double, running double", "total double", "append", GroupStateTimeout.NoTimeout)
 
 
-def stalls(events: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
-    """key, at, gap_s: silences longer than `seconds` between a key's events, once each, as the next event shows them."""
+def stalls(events: DataFrame, key: str, time: str, seconds: float, late: str = "1 hour") -> DataFrame:
+    """key, at, gap_s: silences longer than `seconds` between a key's events, once each. The next event shows one with its length;
+    without one, it shows with a null length once the watermark has passed its time."""
     prepare(events.sparkSession)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (last,) = state.get if state.exists else (None,)
+        last, told = state.get if state.exists else (None, False)
         out = []
-        for t in pd.concat(list(batches))[time].sort_values():
-            now = t.timestamp()
-            if last is not None and now - last > seconds:
-                out.append((k[0], pd.Timestamp(last, unit="s"), now - last))
-            last = max(now, last or now)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "at", "gap_s"])
+        if state.hasTimedOut:
+            out, told = [(k[0], pd.Timestamp(last, unit="s"), None)], True
+            state.update((last, told))
+        else:
+            for t in pd.concat(list(batches))[time].dropna().sort_values():
+                now = t.timestamp()
+                if last is not None and now - last > seconds and not told:
+                    out.append((k[0], pd.Timestamp(last, unit="s"), now - last))
+                if last is None or now > last:
+                    last, told = now, False
+            state.update((last, told))
+            if last is not None:
+                state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=[key, "at", "gap_s"]).astype({"at": "datetime64[ns]", "gap_s": "float64"})
 
     kind = dict(events.dtypes)[key]
-    return events.select(key, time).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at timestamp, gap_s double", "last double", "append", GroupStateTimeout.NoTimeout)
+    watched = events.select(key, time).withWatermark(time, late).groupBy(key)
+    return watched.applyInPandasWithState(step, f"{key} {kind}, at timestamp, gap_s double", "last double, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
