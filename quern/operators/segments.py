@@ -42,15 +42,16 @@ def units(docs: DataFrame, parts: Column, key: str) -> DataFrame:
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """For both grammars: units, breaks inside a sentence, fragments of at most three words. A unit meets the next one inside its row's
+    """For both grammars: units, breaks inside a sentence, fragments of at most three words. A unit gets the next one from its row's
     array, so that no text is shuffled and only sums are."""
 
-    def broken(unit: Column, i: Column) -> Column:
-        return ~unit.rlike("[.!?;:]\\z") & F.coalesce(F.get("parts", i + 1).rlike(r"\A[a-z]"), F.lit(False))
+    def cut(name: str, parts: Column) -> DataFrame:
+        beside = F.transform("parts", lambda u, i: F.struct(u.alias("text"), F.get("parts", i + 1).alias("after")))
+        return docs.select(parts.alias("parts")).select(F.lit(name).alias("grammar"), F.explode(beside).alias("u")).select("grammar", "u.*")
 
-    both = docs.select(F.explode(F.array(*(F.struct(F.lit(name).alias("grammar"), parts.alias("parts")) for name, parts in (("lines", line_parts()), ("sentences", sentence_parts()))))).alias("cut")).select("cut.*")
-    found = {"units": F.size("parts"), "mid_breaks": F.size(F.filter("parts", broken)), "fragments": F.size(F.filter("parts", lambda u: text.n_words(u) <= 3))}
-    return both.groupBy("grammar").agg(*(F.sum(n.cast("long")).alias(name) for name, n in found.items())).where("units > 0")
+    broken = ~F.col("text").rlike("[.!?;:]\\z") & F.coalesce(F.col("after").rlike(r"\A[a-z]"), F.lit(False))
+    both = cut("lines", line_parts()).unionByName(cut("sentences", sentence_parts()))
+    return both.groupBy("grammar").agg(F.count("*").alias("units"), F.sum(broken.cast("long")).alias("mid_breaks"), F.sum((text.n_words(F.col("text")) <= 3).cast("long")).alias("fragments"))
 
 
 def wordings(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
