@@ -14,7 +14,9 @@ that a passage of which there are very many weighs one name for each batch, not
 
 Null and empty texts have no bytes. Repeated rows are copies and lose every byte from `length` on. Matches never cross rows.
 Very long texts are cut into pieces that overlap by `length`. Names are 64-bit: of N candidate starts, N * N / 2**65 pairs of
-different strings share one (0.0005 on 0.5 GB; about 3 million among 10**13 starts of 100 TB, each of which takes 400 bytes that stand once).
+different strings share one (about 3 million among 10**13 starts of 100 TB). So starts whose names repeat are named again
+under a second, independent key, and only those that repeat under it as well are removed: of a string that stands once to be removed, it has
+to meet another in both, which less than one is expected to do at that size (6 million false starts by 10**12 claimed ones by 2**-64).
 Rows are told apart by doc_id and a hash of the text, so equal rows are copies of each other; rows with a
 null doc_id are returned whole.
 """
@@ -74,27 +76,28 @@ def plan(length: int) -> tuple[int, int, tuple[int, ...]]:
     return levels, 1, (0,)
 
 
-def block_names(data: np.ndarray, levels: int) -> np.ndarray:
-    """Names of the 3**levels bytes from each position; the last 3**levels - 1 positions have none."""
+def block_names(data: np.ndarray, levels: int, key: int = 0) -> np.ndarray:
+    """Names of the 3**levels bytes from each position, by the first or second key; the last 3**levels - 1 positions have none."""
+    one, two, three = COEFFICIENTS[3 * key : 3 * key + 3]
     names = data.astype(U) + U(1)
     for level in range(levels):
         step = 3**level
         n = len(names) - 2 * step
         if n <= 0:
             return np.zeros(0, U)
-        third = names[:n] * COEFFICIENTS[0]
-        third += names[step : step + n] * COEFFICIENTS[1]
-        third += names[2 * step : 2 * step + n] * COEFFICIENTS[2]
+        third = names[:n] * one
+        third += names[step : step + n] * two
+        third += names[2 * step : 2 * step + n] * three
         names = shared.mix(third) if level else third
     return names
 
 
-def whole_names(names: np.ndarray, size: int, length: int, at: np.ndarray) -> np.ndarray:
+def whole_names(names: np.ndarray, size: int, length: int, at: np.ndarray, key: int = 0) -> np.ndarray:
     """Names of `length` bytes from each position in at, from the names of blocks of size bytes that cover them."""
     offsets = [*range(0, length - size, size), length - size]
     out = np.zeros(len(at), U)
     for i, o in enumerate(offsets):
-        out = out * U(31) + names[at + o] * COEFFICIENTS[i % len(COEFFICIENTS)]
+        out = out * U(31) + names[at + o] * COEFFICIENTS[(i + key) % len(COEFFICIENTS)]
     return shared.mix(out)
 
 
@@ -116,13 +119,19 @@ def sampled(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def starts(raw: bytes, repeated: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, names over length) of the suffixes that come at most V - 1 bytes before a repeated sample."""
-    levels, v, _ = plan(length)
-    size, n = 3**levels, len(raw)
+    _, v, _ = plan(length)
+    n = len(raw)
     edge = np.zeros(n + 2, np.int32)
     np.add.at(edge, np.maximum(0, repeated - (v - 1)), 1)
     np.add.at(edge, repeated + 1, -1)
     at = np.flatnonzero(np.cumsum(edge)[: max(0, n - length + 1)] > 0)
-    out = np.empty(len(at), U)
+    return at, names_at(raw, at, length)
+
+
+def names_at(raw: bytes, at: np.ndarray, length: int, key: int = 0) -> np.ndarray:
+    """Names over length, by the first or second key, of the suffixes that begin at the places at (ascending)."""
+    levels = plan(length)[0]
+    size, out = 3**levels, np.empty(len(at), U)
     data = np.frombuffer(raw, np.uint8)
     i = 0
     while i < len(at):  # pieces that begin at a candidate, so that text between them is not named
@@ -130,10 +139,10 @@ def starts(raw: bytes, repeated: np.ndarray, length: int) -> tuple[np.ndarray, n
         gaps = np.flatnonzero(np.diff(at[i:j]) > 4 * length)
         j = i + gaps[0] + 1 if len(gaps) else j
         first = at[i]
-        names = block_names(data[first : at[j - 1] + length], levels)
-        out[i:j] = whole_names(names, size, length, at[i:j] - first)
+        names = block_names(data[first : at[j - 1] + length], levels, key)
+        out[i:j] = whole_names(names, size, length, at[i:j] - first, key)
         i = j
-    return at, out
+    return out
 
 
 def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -311,11 +320,17 @@ def buckets_for(names: float) -> int:
     return max(16, int(names) // NAMES_A_BUCKET + 1)
 
 
-def covered(raw: bytes, found: dict, again: dict, length: int, buckets: tuple[int, int]) -> np.ndarray:
-    """Removed bytes of one document."""
+def claimed(raw: bytes, found: dict, again: dict | None, length: int, buckets: tuple[int, ...]) -> np.ndarray:
+    """Starts of one document whose first names repeat; all near a repeated sample, where no answer on them was asked for."""
     positions, names = sampled(raw, length)
     at, whole = starts(raw, positions[flags_of(names, buckets[0], found)], length)
-    first = at[flags_of(whole, buckets[1], again)]
+    return at if again is None else at[flags_of(whole, buckets[1], again)]
+
+
+def covered(raw: bytes, answers: dict, length: int, buckets: tuple[int, int, int]) -> np.ndarray:
+    """Removed bytes of one document: of the starts claimed by first names, those whose second names repeat too."""
+    first = claimed(raw, answers["found"], answers["again"], length, buckets)
+    first = first[flags_of(names_at(raw, first, length, 1), buckets[2], answers["sure"])]
     edge = np.zeros(len(raw) + 1, np.int32)
     np.add.at(edge, first, 1)
     np.add.at(edge, first + length, -1)
@@ -337,7 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None =
     size = classes.agg(F.sum("bytes")).first()[0] or 0
     one = buckets or buckets_for(size * len(cover) / v)
     samples, _ = exchange(own.select("doc_id", "text", "mark", F.lit(False).alias("copied")).mapInArrow(sender(lambda raw, _: sampled(raw, length)[1], one), SENT), "samples")
-    part, _ = shared.stored(joined(own, samples), "part")
+    part, part_path = shared.stored(joined(own, samples), "part")
 
     def merged(raw: bytes, found: dict) -> np.ndarray:
         positions, names = sampled(raw, length)
@@ -345,6 +360,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None =
 
     two = buckets or buckets_for(part.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     suffixes, _ = exchange(part.mapInArrow(sender(merged, two), SENT), "suffixes")
+    again = part.join(suffixes.select("doc_id", "mark", F.col("found").alias("again")), ["doc_id", "mark"], "left").where("copied OR again IS NOT NULL")
+    again, _ = shared.stored(again.select("doc_id", "text", "mark", "copied", F.struct("found", "again").alias("found")), "again")
+    shared.remove(spark, part_path)  # its rows that still matter stand in `again`
+
+    def confirmed(raw: bytes, answers: dict) -> np.ndarray:
+        return names_at(raw, claimed(raw, answers["found"], answers["again"], length, (one, two)), length, 1)
+
+    suffixes, _ = exchange(again.mapInArrow(sender(confirmed, two), SENT), "confirmed")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, whole_sha string"
 
     def run(batches):
@@ -353,8 +376,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None =
         for batch in batches:
             out = {"n_bytes": [], "n_removed": [], "n_spans": []}
             kept = []
-            for raw, found, again in zip(shared.as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                gone = covered(raw, found, again, length, (one, two))
+            for raw, answers in zip(shared.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                gone = covered(raw, answers, length, (one, two, two))
                 out["n_bytes"].append(len(raw))
                 out["n_removed"].append(int(gone.sum()))
                 out["n_spans"].append(int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0]) if len(gone) else 0)
@@ -362,8 +385,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out.values()), pa.array(kept, pa.binary()), pa.nulls(len(kept), pa.string())], names=["doc_id", *out, "kept", "whole_sha"])
         shared.release()
 
-    again = suffixes.select("doc_id", "mark", F.col("found").alias("again"))
-    cut = part.where("NOT copied").join(again, ["doc_id", "mark"]).select("doc_id", "text", "found", "again").mapInArrow(run, schema)
+    sure = suffixes.select("doc_id", "mark", F.col("found").alias("sure"))
+    cut = again.where("NOT copied").join(sure, ["doc_id", "mark"]).select("doc_id", "text", F.struct("found.*", "sure").alias("answers")).mapInArrow(run, schema)
     # of documents without a repeat, and of copies, only what is returned is dealt out
     zero, sha = F.lit(0).cast("long"), F.lower(F.hex("digest"))
     rest = every.select("doc_id", "mark", "n_bytes", "copied", "digest").join(suffixes.select("doc_id", "mark"), ["doc_id", "mark"], "left_anti")

@@ -465,3 +465,17 @@ def test_repeated_rows(spark):
     assert sorted(r["text"] for r in pii.sanitised(docs).where("doc_id = 4").collect()) == ["mail [EMAIL]", "mail [EMAIL]", "no mail"]
     for out in (secrets.scan(docs), pieces.encoded(docs), lm_score.score(docs, lm_score.train(docs, shared.new_path(spark, "trie"), 3))):
         assert out.count() == len(rows)
+
+
+def test_suffix_names_by_two_keys():
+    rng = np.random.default_rng(5)
+    raw = rng.integers(97, 99, 4000, np.uint8).tobytes() * 2 + b"tail" * 300
+    length = 400
+    at = np.arange(len(raw) - length + 1)
+    strings = [raw[i : i + length] for i in at]
+    first, second = (suffix_dedup.names_at(raw, at, length, key) for key in (0, 1))
+    for names in (first, second):  # equal names are equal strings
+        assert len(set(zip(names.tolist(), strings, strict=True))) == len(set(strings)) == len(set(names.tolist()))
+    assert not np.intersect1d(first, second).size
+    some = np.array([3, 7, 4003, 9000])
+    assert (suffix_dedup.names_at(raw, some, length, 1) == second[some]).all()
