@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("pii", "near_dedup", "neighbours", "suffix_dedup", "pieces", "decontaminate", "lm_score", "url_filter", "secrets", "quality", "merkle", "runs")
+MODULES = ("pii", "near_dedup", "neighbours", "suffix_dedup", "pieces", "decontaminate", "lm_score", "url_filter", "secrets", "quality", "merkle", "runs", "ngram_join")
 
 
 def queries() -> dict:

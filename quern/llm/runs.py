@@ -195,26 +195,13 @@ def parts(counts: np.ndarray) -> Iterator[tuple[int, int]]:
         yield at, len(counts)
 
 
-def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of the texts after one another, and how many each has."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    if pc.any(empty := pc.equal(pc.binary_length(words), 0)).as_py():  # before the first word and after the last
-        gone = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(empty.to_numpy(zero_copy_only=False), out=gone[1:])
-        ends = np.cumsum(counts)
-        counts = counts - (gone[ends] - gone[ends - counts])
-        words = words.filter(pc.invert(empty))
-    return words, counts
-
-
 def find(docs: DataFrame, rewrite: Callable[[int | None, int], np.ndarray | None] | None = None, least: int = LEAST, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, n_words, runs (begin and length in words, period; by begin, then period) and collapsed: the words, joined by one space, without
     the words of each run after its first period. rewrite: from doc_id and the number of words to the numbers of the words to take in their place, or None."""
     shared.small_batches(docs.sparkSession)
 
     def batch_runs(batch: pa.RecordBatch) -> dict:
-        words, counts = split(batch.column(1))
+        words, counts = shared.split_words(batch.column(1))
         starts, ids = np.cumsum(counts) - counts, batch.column(0).to_pylist()
         if rewrite:
             taken = [rewrite(d, n) for d, n in zip(ids, counts.tolist(), strict=True)]

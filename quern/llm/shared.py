@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,19 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words `[^\\x20\\x09-\\x0D]+` of the texts after one another, and how many each has; null has none."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pc.any(empty := pc.equal(pc.binary_length(words), 0)).as_py():  # before the first word and after the last
+        gone = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(empty.to_numpy(zero_copy_only=False), out=gone[1:])
+        ends = np.cumsum(counts)
+        counts = counts - (gone[ends] - gone[ends - counts])
+        words = words.filter(pc.invert(empty))
+    return words, counts
+
+
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quern.llm import runs
+from quern.llm import runs, shared
 
 RNG = random.Random(5)
 
@@ -31,7 +31,7 @@ def test_all_runs_of_random_texts(least, shortest):
 
 def test_words_are_those_of_the_contract():
     texts = ["", None, " \t a\x0bb\x0cc\r\n", "one", "é é  x\x85y\x1fz", "\x00 a"]
-    words, counts = runs.split(pa.array(texts, pa.string()))
+    words, counts = shared.split_words(pa.array(texts, pa.string()))
     assert counts.tolist() == [len((t or "").encode().split()) for t in texts]
     assert [w.encode() for w in words.to_pylist()] == [w for t in texts for w in (t or "").encode().split()]
 
