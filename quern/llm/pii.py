@@ -2,9 +2,9 @@
 
 Base patterns find e-mail addresses, IP addresses, cards and phone numbers; their values are the protected entities. Over
 the whole corpus, the terms beside an entity's mentions estimate how strongly a term reveals it: with document
-frequencies, PMI(e; t) = log2(N df(e, t) / (df(e) df(t))) against IC(e) = log2(N / df(e)). A term whose PMI is at least GENERALISE
-of the entity's information, seen beside it in at least CONTEXTS different surroundings (so that copies of one text don't
-count), is disclosing: each of its occurrences, in any document, becomes a span. `sanitised` puts a class in its place, or
+frequencies, PMI(e; t) = log2(N df(e, t) / (df(e) df(t))) against IC(e) = log2(N / df(e)), where df(e, t) counts the documents in which t
+stands beside any mention of e. A term whose PMI is at least GENERALISE of the entity's information, seen beside it in at least CONTEXTS
+different surroundings, in one document or in many (so that copies of one text don't count), is disclosing: each of its occurrences, in any document, becomes a span. `sanitised` puts a class in its place, or
 removes it from REMOVE on.
 
 Positions come from cutting a text at its matches: what lies between them and the matches themselves add up. Expressions begin
@@ -17,6 +17,7 @@ rows each get a row. Rows with a null doc_id get base spans, but take no part in
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable
 
@@ -40,8 +41,8 @@ PART = r"[^\p{L}\p{N}]"
 SHORTEST = 3
 CONTEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.95
-#: Terms that are broadcast to the scan of texts (some 20 bytes each); more are joined by sorting.
-BROADCAST_TERMS = 200_000
+#: Bytes of terms that are broadcast to the scan of texts; more are joined by sorting.
+BROADCAST_BYTES = 16 << 20
 BLOCK = 256
 
 
@@ -91,7 +92,10 @@ def spans_of(kind: int, text: Column) -> tuple[Column, Callable]:
         def one(m: Column, i: Column) -> Column:
             left, right = F.element_at(between, i + 1), F.element_at(between, i + 2)
             start = F.element_at(before, i + 1) + F.length(left)
-            around = F.concat(F.regexp_replace(F.right(left, F.lit(AROUND)), rf"\A[\p{{L}}\p{{N}}]{{0,{AROUND}}}", ""), F.lit(" "), F.regexp_replace(F.left(right, F.lit(AROUND)), rf"[\p{{L}}\p{{N}}]{{0,{AROUND}}}\z", ""))
+            # a word that the bound cuts goes
+            ahead = F.when(F.length(left) > AROUND, F.regexp_replace(F.right(left, F.lit(AROUND)), rf"\A[\p{{L}}\p{{N}}]{{0,{AROUND}}}", "")).otherwise(left)
+            behind = F.when(F.length(right) > AROUND, F.regexp_replace(F.left(right, F.lit(AROUND)), rf"[\p{{L}}\p{{N}}]{{0,{AROUND}}}\z", "")).otherwise(right)
+            around = F.concat(ahead, F.lit(" "), behind)
             return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m)).alias("end"), F.lower(m).alias("value"), around.alias("context"))
 
         return F.filter(F.transform(found, one), lambda s: fits(kind, s["value"]))
@@ -127,22 +131,30 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), PART)), lambda t: F.length(t) >= SHORTEST)
 
 
-def few(df: DataFrame, most: int) -> DataFrame:
-    """df, to be broadcast where its size allows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def few(df: DataFrame, size: Column) -> DataFrame:
+    """df, to be broadcast where its bytes (size: of a row) allow."""
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long") + 32)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def counted(rows: DataFrame, column: str, name: str, keys: list[str]) -> DataFrame:
+    """How many distinct values of a column each group has: by value first, then by group, so that a hot group doesn't meet in one task."""
+    return rows.select(*keys, column).distinct().groupBy(*keys).agg(F.count("*").alias(name))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, contexts: int = CONTEXTS, least: float = GENERALISE) -> DataFrame | None:
     """term and strength: the largest PMI(e; t) / IC(e) over entities. None if no term was seen in enough surroundings."""
     mentions = found.where("doc_id IS NOT NULL").select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.concat_ws(":", F.col("s.kind").cast("string"), F.col("s.value")).alias("entity"), F.col("s.context").alias("context"))
-    mentions, _ = shared.stored(mentions.groupBy("doc_id", "entity").agg(F.min("context").alias("context")), "mentions")
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= contexts)
-    pairs = mentions.select("entity", F.xxhash64("context").alias("at"), F.explode(terms_of(F.col("context"))).alias("term")).where(~F.col("term").rlike("^[0-9]+$"))
-    pairs = pairs.groupBy("entity", "term", "at").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("df_et"), F.count("*").alias("contexts")).where(F.col("contexts") >= contexts)
-    pairs, _ = shared.stored(pairs.join(entities, "entity"), "pairs")
+    mentions, _ = shared.stored(mentions.distinct(), "mentions")
+    seen = counted(mentions.withColumn("at", F.xxhash64("context")), "at", "seen", ["entity"]).where(F.col("seen") >= contexts)
+    entities = counted(mentions, "doc_id", "df_e", ["entity"]).join(seen, "entity").select("entity", "df_e")
+    pairs = mentions.join(entities.select("entity"), "entity", "left_semi").select("entity", "doc_id", F.xxhash64("context").alias("at"), F.explode(terms_of(F.col("context"))).alias("term")).where(~F.col("term").rlike("^[0-9]+$"))
+    both = ["entity", "term"]
+    around = counted(pairs, "at", "contexts", both).where(F.col("contexts") >= contexts)
+    pairs = counted(pairs, "doc_id", "df_et", both).join(around, both).join(entities, "entity")
+    pairs, _ = shared.stored(pairs, "pairs")
     if pairs.isEmpty():
         return None
-    wanted = few(pairs.select("term").distinct(), BROADCAST_TERMS)
+    wanted = few(pairs.select("term").distinct(), F.octet_length("term"))
     # counted before the join, so that one row a term reaches it, however common; a semi join would be pushed below the count
     counts = docs.where("doc_id IS NOT NULL").select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")).join(wanted, "term")
     total = docs.where("doc_id IS NOT NULL").count()
@@ -155,11 +167,11 @@ def disclosing(docs: DataFrame, found: DataFrame, contexts: int = CONTEXTS, leas
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, mark, terms: (start, kind, end, strength) of all occurrences of the terms in any document."""
-    terms = few(terms, BROADCAST_TERMS)
+    terms = few(terms, F.octet_length("term"))
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", mark(), F.col("text").cast("string").alias("text"))
     have = docs.select("doc_id", "mark", F.explode(terms_of(F.col("text"))).alias("term")).join(terms, "term").groupBy("doc_id", "mark").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", "strength")))).alias("own"))
     have, _ = shared.stored(have, "holders")
-    cut = docs.join(few(have, BROADCAST_TERMS), ["doc_id", "mark"]).select("doc_id", "mark", "own", F.split("text", PART, -1).alias("words"))
+    cut = docs.join(few(have, F.aggregate(F.map_keys("own"), F.lit(0), lambda a, t: a + F.octet_length(t) + 32)), ["doc_id", "mark"]).select("doc_id", "mark", "own", F.split("text", PART, -1).alias("words"))
     cut = cut.withColumn("before", running(F.transform("words", lambda w: F.length(w) + 1)))
     each = F.zip_with("words", "before", lambda w, b: F.struct(b.alias("start"), F.lit(4).alias("kind"), (b + F.length(w)).alias("end"), F.try_element_at("own", F.lower(w)).alias("strength")))
     return cut.select("doc_id", "mark", F.filter(each, lambda s: s["strength"].isNotNull()).alias("terms")).dropDuplicates(["doc_id", "mark"])
@@ -218,5 +230,44 @@ def brute_force_sha(text: str | None) -> str:
     return hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in brute_force_base(text)).encode()).hexdigest()
 
 
+def brute_force_terms(rows: list[tuple[int | None, str | None]], contexts: int = CONTEXTS, least: float = GENERALISE) -> dict[str, float]:
+    """Disclosing terms and their strength, mention by mention, for tests."""
+    seen: dict[tuple[str, str], set] = {}
+    held: dict[str, set[int]] = {}
+    words: dict[str, set[int]] = {}
+    surroundings: dict[str, set[str]] = {}
+    parted = lambda t: {w for w in re.split(r"[^\w]|_", t.lower()) if len(w) >= SHORTEST}
+    n = sum(1 for d, _ in rows if d is not None)
+    for d, text in rows:
+        if d is None:
+            continue
+        for w in parted(text or ""):
+            words.setdefault(w, set()).add(d)
+        base = brute_force_base(text)
+        every = [sorted(m.span() for m in re.finditer(p, text or "")) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
+        for start, kind, end in base:
+            before = max((e for _, e in every[kind] if e <= start), default=0)
+            after = min((s for s, _ in every[kind] if s >= end), default=len(text))
+            left, right = text[before:start], text[end:after]
+            left = re.sub(rf"\A[^\W_]{{0,{AROUND}}}", "", left[-AROUND:]) if len(left) > AROUND else left
+            right = re.sub(rf"[^\W_]{{0,{AROUND}}}\Z", "", right[:AROUND]) if len(right) > AROUND else right
+            around = f"{left} {right}"
+            entity = f"{kind}:{text[start:end].lower()}"
+            held.setdefault(entity, set()).add(d)
+            surroundings.setdefault(entity, set()).add(around)
+            for t in parted(around):
+                if not t.isdigit():
+                    seen.setdefault((entity, t), set()).add((d, around))
+    out: dict[str, float] = {}
+    for (e, t), found in seen.items():
+        if len({a for _, a in found}) < contexts or len(surroundings[e]) < contexts:
+            continue
+        ic = math.log2(n / len(held[e]))
+        strength = math.log2(n * min(len({d for d, _ in found}), len(words[t])) / (len(held[e]) * len(words[t]))) / ic if ic > 0 else 0.0
+        if strength >= least:
+            out[t] = max(out.get(t, 0.0), strength)
+    return out
+
+
 QUERIES = {"op1_sanitise": op1_sanitise}
 ORACLES: dict[str, str] = {}
