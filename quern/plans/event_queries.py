@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from quern.functions import text
 from quern.operators import evaluation, merge, metrics, sessions
 from quern.plans.registry import query
+from quern.session import scratch
+from quern.sources import logs, readers, writers
 
 
 def is_user():
@@ -101,6 +103,18 @@ def s7_checkpoint(t):
     return merge.last_of_each(rows, "user_id", "event_id", "error").select("user_id", "event_id", "k")
 
 
+@query("SELECT user_id, event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id DESC) = 1")
+def s7_appended_log(t):
+    """All events in three appends, a snapshot before the last; then the last good record of each user."""
+    path = scratch(t.spark, "log")
+    rows = t.events.select("user_id", "event_id", F.from_json("props", "k long")["k"].alias("k"), F.when(F.col("event_id") % 9 == 0, "failed").alias("error"))
+    for part in range(3):
+        if part == 2:
+            logs.snapshot(t.spark, path, "user_id")
+        writers.append_checkpoint(rows.where(F.col("event_id") % 3 == part).orderBy("event_id"), path)
+    return readers.checkpoint(t.spark, path, "user_id long, event_id long, k long, error string", "user_id").select("user_id", "event_id", "k")
+
+
 @query("SELECT event_id, len(list_filter([event_id, event_id + 1], lambda x: x % 2 = 0)) AS n FROM events WHERE event_id % 5 <> 0")
 def f25_json_in_text(t):
     answer = F.concat(F.lit('Sure: [{"ID": '), "event_id", F.lit(', "is_rule": '), (F.col("event_id") % 2 == 0).cast("string"), F.lit('}, {"ID": '), F.col("event_id") + 1, F.lit(', "is_rule": '), (F.col("event_id") % 2 == 1).cast("string"), F.lit("}] done"))

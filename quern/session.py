@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +22,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
     return spark
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path that the driver and all executors see: under spark.checkpoint.dir; on a local master without one, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quern-")
+    return f"{found.rstrip('/')}/quern-{label}-{uuid.uuid4().hex[:12]}"

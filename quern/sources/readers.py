@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators import merge
+from quern.sources import logs
 
 PRUNED = (".git", "node_modules", "__pycache__", ".venv")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*){0,2}\Z")
@@ -66,11 +67,16 @@ def json_lines(spark: SparkSession, path: str, schema: str, torn: str = "skip")
 
 
 def checkpoint(spark: SparkSession, path: str, schema: str, key: str, error: str = "error") -> DataFrame:
-    """The last good record of each key of an append-only file; torn lines and records with an error are skipped.
+    """The last good record of each key of an append-only log; torn lines and records with an error are skipped.
 
-    Lines are ordered by file and place in it, so a later line wins wherever it is read.
+    A log written by `writers.append_checkpoint` is ordered by its commits. Other files, which someone else appends to, are ordered by the time of their
+    last change, then by name, and within a file by place.
     """
-    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("_at"))
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_claims")
+    if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+        return logs.last_records(spark, path, schema, key, error)
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", F.struct(meta["file_modification_time"].alias("t"), meta["file_name"].alias("f"), meta["file_block_start"].alias("b"), F.monotonically_increasing_id().alias("i")).alias("_at"))
     parsed = lines.select(F.from_json("value", schema).alias("r"), "_at").select("r.*", "_at").where(F.col(key).isNotNull())
     return merge.last_of_each(parsed, key, "_at", error if error in parsed.columns else None).drop("_at")
 

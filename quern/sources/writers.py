@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import merge
+from quern.sources import logs
 
 ROWS_PER_SHARD = 100_000
 
@@ -56,9 +57,9 @@ def insert_one(spark: SparkSession, row: dict, schema: str, path: str, key: str,
     return insert(spark.createDataFrame([row], schema), path, key, group, "append")
 
 
-def append_checkpoint(records: DataFrame, path: str) -> None:
-    """Finished records appended as JSON lines; a file that a failed job leaves is not seen, as writing is committed at the end."""
-    records.write.mode("append").json(path)
+def append_checkpoint(records: DataFrame, path: str) -> int:
+    """Finished records appended as a numbered commit, in their order; a failed job's files are not seen."""
+    return logs.append(records, path)
 
 
 COSTS = "source string, model string, cost double, input_tokens long, output_tokens long"
