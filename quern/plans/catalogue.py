@@ -1,6 +1,6 @@
 """The registered queries and their DuckDB equivalents."""
 
-from quern.plans import event_queries, python_queries, rule_queries, run_queries, source_queries, text_queries  # noqa: F401
+from quern.plans import event_queries, python_queries, rule_queries, run_queries, source_queries, stream_queries, text_queries  # noqa: F401
 from quern.plans.registry import ORACLES, QUERIES
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators import merge
-from quern.sources import logs
+from quern.sources import growing, logs
 
 PRUNED = (".git", "node_modules", "__pycache__", ".venv")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*){0,2}\Z")
@@ -157,22 +157,15 @@ def tasks(spark: SparkSession, path: str, schema: str = TASKS) -> DataFrame:
 
 
 def new_lines(spark: SparkSession, folder: str, read: Mapping[str, int] | None = None) -> tuple[DataFrame, dict[str, int]]:
-    """(path, pos, line of what was added to a folder's growing files since the byte offsets `read`; the offsets to keep for next time).
+    """(path, at, line of what was added to a folder's growing files since the byte offsets `read`; the offsets to keep for next time).
 
-    A file shorter than its offset was cut and is read from its beginning. Only files that changed are opened. The offsets are
-    one number a file, as is the listing that Spark's own reader holds on the driver.
+    A half-written last line waits for its end, a file shorter than its offset was cut and is read from its beginning, and only added bytes are read.
+    The streaming form, `streams.growing`, leaves the offsets to Spark. They are one number a file, on the driver like the listing.
     """
-    read = read or {}
-    sizes = {r["path"]: r["length"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length").collect()}
-    start = {p: read.get(p, 0) if read.get(p, 0) <= n else 0 for p, n in sizes.items()}
-    grown = sorted(p for p, n in sizes.items() if n > start[p])
-    if not grown:
-        return spark.createDataFrame([], "path string, pos int, line string"), sizes
-    spans = spark.createDataFrame([(p, start[p], sizes[p]) for p in grown], "path string, _from long, _to long")
-    files = spark.read.format("binaryFile").load(grown).select("path", "content").join(spans, "path")
-    added = F.decode(F.expr("substring(content, cast(_from + 1 AS int), cast(_to - _from AS int))"), "UTF-8")
-    lines = files.select("path", F.posexplode(F.split(F.regexp_replace(added, r"\r?\n\z", ""), r"\r?\n")).alias("pos", "line"))
-    return lines, sizes
+    growing.register(spark)
+    until = growing.ends(folder)
+    options = {"path": folder, "since": json.dumps(dict(read or {})), "until": json.dumps(until)}
+    return spark.read.format("growing_lines").options(**options).load(), until
 
 
 def where_clause(*conditions: Column | str | None) -> Column:

@@ -1,15 +1,13 @@
-"""Streaming forms: incremental sources, first alerts, status windows, stalls and thresholds. Thin wrappers over the same expressions."""
+"""Streaming forms: incremental sources, first alerts, status, sliding and session windows; operators with state and timers are in `timers`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quern.session import prepare
+from quern.sources import growing as source
 
 
 def tail(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -17,6 +15,12 @@ def tail(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).json(folder)
 
 
+def growing(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
+    """path, at, line of files that others append to: byte offsets in the query's checkpoint, whole lines only."""
+    source.register(spark)
+    return spark.readStream.format("growing_lines").option("path", folder).option("suffix", suffix).load()
+
+
 def first_alerts(events: DataFrame, keys: Sequence[str], time: str, late: str = "1 hour") -> DataFrame:
     """Each key once; the state is dropped after the watermark."""
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
@@ -28,50 +32,17 @@ def status(events: DataFrame, time: str, kind: str, every: str = "15 minutes", l
     return counts.select(F.col("w.start").alias("start"), kind, "n")
 
 
-def crossings(events: DataFrame, key: str, order: str, value: str, marks: Sequence[float]) -> DataFrame:
-    """key, mark, running: each mark once, when a key's running sum first reaches it. The state is one number a key."""
-    prepare(events.sparkSession)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (before,) = state.get if state.exists else (0.0,)
-        rows = pd.concat(list(batches)).sort_values(order)
-        out, total = [], before
-        for v in rows[value].fillna(0.0):
-            out += [(k[0], float(m), total + v) for m in marks if total < m <= total + v]
-            total += v
-        state.update((total,))
-        yield pd.DataFrame(out, columns=[key, "mark", "running"])
-
-    kind = dict(events.dtypes)[key]
-    return events.select(key, order, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, mark double, running double", "total double", "append", GroupStateTimeout.NoTimeout)
-
-
-def stalls(events: DataFrame, key: str, time: str, seconds: float, late: str = "1 hour") -> DataFrame:
-    """key, at, gap_s: silences longer than `seconds` between a key's events, once each. The next event shows one with its length;
-    without one, it shows with a null length once the watermark has passed its time."""
-    prepare(events.sparkSession)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, told = state.get if state.exists else (None, False)
-        out = []
-        if state.hasTimedOut:
-            out, told = [(k[0], pd.Timestamp(last, unit="s"), None)], True
-            state.update((last, told))
-        else:
-            for t in pd.concat(list(batches))[time].dropna().sort_values():
-                now = t.timestamp()
-                if last is not None and now - last > seconds and not told:
-                    out.append((k[0], pd.Timestamp(last, unit="s"), now - last))
-                if last is None or now > last:
-                    last, told = now, False
-            state.update((last, told))
-            if last is not None:
-                state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=[key, "at", "gap_s"]).astype({"at": "datetime64[ns]", "gap_s": "float64"})
-
-    kind = dict(events.dtypes)[key]
-    watched = events.select(key, time).withWatermark(time, late).groupBy(key)
-    return watched.applyInPandasWithState(step, f"{key} {kind}, at timestamp, gap_s double", "last double, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+def sliding(events: DataFrame, time: str, kind: str, size: str, slide: str, late: str = "1 hour") -> DataFrame:
+    """start, kind, n: counts by kind in windows of a size that begin every slide; a window shows once the watermark has passed its end, without later events."""
+    counts = events.withWatermark(time, late).groupBy(F.window(time, size, slide).alias("w"), kind).agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("start"), kind, "n")
+
+
+def sessions(events: DataFrame, key: str, time: str, gap: str, late: str = "1 hour") -> DataFrame:
+    """key, start, end, n: a key's events without a pause of the gap between them; end is the last event and the gap. A late event that
+    is not later than the watermark may still join two sessions, so one shows once the watermark has passed its end."""
+    found = events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n"))
+    return found.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -9,7 +9,7 @@ from quern.functions import code, text
 from quern.operators import checks, evaluation, filters, merge, metrics, python_backed, segments, semantic, sessions, trees, votes
 from quern.plans.registry import Tables
 from quern.sources import readers, writers
-from quern.streaming import streams
+from quern.streaming import streams, timers
 
 
 def attempts(spark, rows):
@@ -241,9 +241,9 @@ def test_streams_equal_batches(spark, tmp_path):
     first = streams.run_once(streams.first_alerts(stream, ["user_id", "event_type"], "ts", "60 days"), f"{tmp_path}/a", f"{tmp_path}/ca")
     assert first.count() == events.select("user_id", "event_type").distinct().count()
     whole = events.groupBy("user_id").agg(F.sum("value").alias("total")).where("total >= 100").count()
-    crossed = streams.run_once(streams.crossings(stream, "user_id", "event_id", "value", [100.0]), f"{tmp_path}/b", f"{tmp_path}/cb")
+    crossed = streams.run_once(timers.crossings(stream, "user_id", "ts", "event_id", "value", [100.0]), f"{tmp_path}/b", f"{tmp_path}/cb")
     assert crossed.count() == whole
-    again = streams.run_once(streams.crossings(stream, "user_id", "event_id", "value", [100.0]), f"{tmp_path}/b", f"{tmp_path}/cb")
+    again = streams.run_once(timers.crossings(stream, "user_id", "ts", "event_id", "value", [100.0]), f"{tmp_path}/b", f"{tmp_path}/cb")
     assert again.count() == whole
 
 
@@ -365,14 +365,14 @@ def test_growing_files(spark, tmp_path):
     a, b = tmp_path / "a.log", tmp_path / "b.log"
     a.write_text("one\ntwo\n")
     b.write_text("äx\n")
-    read = lambda df: sorted((r["path"][-5:], r["pos"], r["line"]) for r in df.collect())
+    read = lambda df: sorted((r["path"][-5:], r["at"], r["line"]) for r in df.collect())
     lines, at = readers.new_lines(spark, str(tmp_path))
-    assert read(lines) == [("a.log", 0, "one"), ("a.log", 1, "two"), ("b.log", 0, "äx")]
+    assert read(lines) == [("a.log", 0, "one"), ("a.log", 4, "two"), ("b.log", 0, "äx")]
     with a.open("a") as f:
         f.write("three\n\nfour\n")
     b.write_text("y\n")
     lines, at = readers.new_lines(spark, str(tmp_path), at)
-    assert read(lines) == [("a.log", 0, "three"), ("a.log", 1, ""), ("a.log", 2, "four"), ("b.log", 0, "y")]
+    assert read(lines) == [("a.log", 8, "three"), ("a.log", 14, ""), ("a.log", 15, "four"), ("b.log", 0, "y")]
     lines, at = readers.new_lines(spark, str(tmp_path), at)
     assert read(lines) == []
 

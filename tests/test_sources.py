@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from quern.operators import filters, merge
 from quern.sources import readers, writers
-from quern.streaming import streams
+from quern.streaming import streams, timers
 
 
 def test_configuration_files(spark, tmp_path):
@@ -74,7 +74,7 @@ def arriving(spark, folder, rows):
 def test_stalls_show_without_a_next_event(spark, tmp_path):
     folder = f"{tmp_path}/in"
     arriving(spark, folder, [("a", 0, "x"), ("a", 10, "x"), ("a", 5000, "x"), ("b", 0, "x")])
-    found = lambda: sorted((r["k"], r["at"].timestamp() - BEGAN, r["gap_s"]) for r in streams.run_once(streams.stalls(streams.tail(spark, folder, SCHEMA), "k", "at", 1200, "1 minute"), f"{tmp_path}/out", f"{tmp_path}/c").collect())
+    found = lambda: sorted((r["k"], r["at"].timestamp() - BEGAN, r["gap_s"]) for r in streams.run_once(timers.stalls(streams.tail(spark, folder, SCHEMA), "k", "at", 1200, "1 minute"), f"{tmp_path}/out", f"{tmp_path}/c").collect())
     first = [("a", 10.0, 4990.0), ("b", 0.0, None)]
     assert found() == first
     arriving(spark, folder, [("b", 5100, "x"), ("c", 9000, "x")])
