@@ -179,23 +179,18 @@ def common_sql(n: Column, percent: int) -> Column:
 def chosen(posted: DataFrame, percent: int) -> DataFrame:
     """id, n, l and posts (pos, df, token) of the l-prefix that is estimated to cost least; tokens that only one class posts are left out."""
     lists = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    met = posted.join(lists, "token").groupBy("id", "key", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "df", "token"))).alias("posts"))
     common = common_sql(F.col("n"), percent)
-
-    def part(l: int) -> Column:
-        return F.filter("posts", lambda p: p["pos"] < F.col("n") - common + l)
-
-    def cost(l: int) -> Column:
-        read = F.aggregate(part(l), F.lit(0).cast("double"), lambda a, p: a + p["df"] - 1)
-        return F.when(common >= l, F.struct((read + F.col("n") * read / l).alias("cost"), F.lit(l).alias("l")))
-
-    best = F.array_min(F.array_compact(F.array(*(cost(l) for l in range(1, LONGEST + 1)))))
-    return met.withColumn("l", best["l"]).select("id", "n", "l", F.filter("posts", lambda p: p["pos"] < F.col("n") - common + F.col("l")).alias("posts")).where(F.size("posts") > 0)
+    ls = range(1, LONGEST + 1)
+    read = [F.sum(F.when(F.col("pos") < F.col("n") - common + l, F.col("df") - 1).otherwise(0)).alias(f"read{l}") for l in ls]
+    met = posted.join(lists, "token").groupBy("id", "key", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("posts"), *read)
+    cost = [F.when(common >= l, F.struct((F.col(f"read{l}") * (1 + F.col("n") / l)).alias("cost"), F.lit(l).alias("l"))) for l in ls]
+    best = met.withColumn("l", F.array_min(F.array_compact(F.array(*cost)))["l"])
+    return best.select("id", "n", "l", F.filter("posts", lambda p: p["pos"] < F.col("n") - common + F.col("l")).alias("posts")).where(F.size("posts") > 0)
 
 
 def counted_pairs(posts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share at least l tokens of both l-prefixes; posts: token, id, n, l, pos, of lists of up to SHORT."""
-    lists = posts.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("id", "n", "l", "pos"))).alias("m")).where(F.size("m") > 1)
+    lists = posts.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("id", "n", "l", "pos"))).alias("m")).where(F.size("m") > 1)
     first = lists.select("token", F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
     x, y = F.col("x"), F.col("y")
     l = F.least(x["l"], y["l"])
