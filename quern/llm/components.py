@@ -31,5 +31,7 @@ def components(edges: DataFrame, limit: int = 60) -> tuple[DataFrame, list[str]]
         now, path = shared.stored(small, "edges")
         paths.append(path)
         shared.remove(spark, paths.pop(-2))
+    else:
+        raise RuntimeError(f"components not settled after {limit} rounds")
     roots = now.groupBy("v").agg(F.min("u").alias("root"))
     return roots.select(F.col("v").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), paths
