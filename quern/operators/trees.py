@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import cut
+from quern.session import cut, scratch
 
 FLOOR = 1e-9
 
@@ -34,11 +34,24 @@ def separation(best: Column, second: Column) -> Column:
     return F.when(second > 0, best / second)
 
 
-def beam(nodes: DataFrame, probabilities: DataFrame, width: int = 3, levels: int = 12) -> DataFrame:
+def depth(nodes: DataFrame) -> int:
+    """Levels of a tree (node, parent), by doubling: each round a node's ancestor is its ancestor's ancestor, so rounds grow with the logarithm."""
+    now, rounds = cut(nodes.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("d"))), 0
+    most = now.count().bit_length() + 1
+    while not now.where("up IS NOT NULL").isEmpty():
+        if rounds == most:
+            raise ValueError("a node lies below itself")
+        over = now.select(F.col("node").alias("_at"), F.col("up").alias("_up"), F.col("d").alias("_d"))
+        now = cut(now.join(over, F.col("up") == F.col("_at"), "left").select("node", F.col("_up").alias("up"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d")))
+        rounds += 1
+    return int(now.agg(F.max("d")).first()[0] or 0)
+
+
+def beam(nodes: DataFrame, probabilities: DataFrame, width: int = 3) -> DataFrame:
     """Beam search by level over nodes (node, parent, name, ord) with probabilities (item, node, p): item, rank, path, score.
 
     A path that reaches a node without children is finished; finished paths of all lengths compete. A single child has probability 1.
-    Ties keep the order of insertion: the path's place in the frontier, then the child's order. Levels are bounded by the tree's depth.
+    Ties keep the order of insertion: the path's place in the frontier, then the child's order. There are as many levels as the tree is deep.
     A level's frontier is stored where the session has a checkpoint folder, so that no level computes those above it again, and an empty one ends the search.
     """
     kids = nodes.groupBy("parent").agg(F.count("*").alias("n_siblings"))
@@ -47,7 +60,7 @@ def beam(nodes: DataFrame, probabilities: DataFrame, width: int = 3, levels: int
     root = nodes.where("parent IS NULL").select(F.col("node").alias("at"))
     front = probabilities.select("item").distinct().crossJoin(F.broadcast(root)).select("item", "at", F.array().cast("array<string>").alias("path"), F.array().cast("array<double>").alias("ps"), F.lit(0).alias("seq"))
     finished, stored = None, nodes.sparkSession.sparkContext.getCheckpointDir() is not None
-    for level in range(levels):
+    for level in range(max(1, depth(nodes) - 1)):
         if level and stored and front.isEmpty():
             break
         step = front.join(F.broadcast(full), front["at"] == full["parent"]).join(probabilities, ["item", "node"], "left")
@@ -75,16 +88,21 @@ def chosen_plan(scored: DataFrame, alternatives: int = 3) -> DataFrame:
     return ranked.select("item", "rank", "plan", "p", separation(F.col("p"), F.col("next")).alias("separation"))
 
 
-def closure(edges: DataFrame, start: DataFrame, limit: int = 50) -> DataFrame:
-    """node: all that start (node) reaches over edges (src, dst), itself included; a fixpoint of joins, new nodes only in each round."""
-    reached = start.select("node").distinct()
-    front = reached
-    for _ in range(limit):
-        new = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti").cache()
-        if new.isEmpty():
-            break
-        reached, front = reached.unionByName(new), new
-    return reached
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """node: all that start (node) reaches over edges (src, dst), itself included; a fixpoint of joins, new nodes only in each round, until there are none.
+    Each round's nodes are written, so that none is computed again and nothing stays in memory."""
+    spark, folder = start.sparkSession, scratch(start.sparkSession, "reached")
+    shape = start.select("node").schema
+    start.select("node").distinct().write.parquet(f"{folder}/round-0")
+    rounds = 1
+    while True:
+        reached = spark.read.schema(shape).parquet(*(f"{folder}/round-{r}" for r in range(rounds)))
+        front = spark.read.schema(shape).parquet(f"{folder}/round-{rounds - 1}")
+        new = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
+        new.write.parquet(f"{folder}/round-{rounds}")
+        if spark.read.schema(shape).parquet(f"{folder}/round-{rounds}").isEmpty():
+            return reached
+        rounds += 1
 
 
 def reachability_sql(edges: str, start: str) -> str:

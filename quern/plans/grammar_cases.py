@@ -31,8 +31,47 @@ CASES: list[tuple[str, str, list[tuple[str, str, str]]]] = [
 ]
 
 
+#: What becomes of a line of a document, by its place among the lines that hold letters: the block, and its units as (type, what stands before the unit in the
+#: block, text); x is the line's words.
+BLOCKS: list[tuple[str, list[tuple[str, str, str]]]] = [
+    ("# {x}", [("heading", "", "# {x}")]),
+    ("{x} one. Then {x} two.", [("clause", "", "{x} one."), ("clause", "{x} one. ", "Then {x} two.")]),
+    ("- {x}", [("statement", "", "- {x}")]),
+    ("```\n{x}\n```", [("code", "", "```\n{x}\n```")]),
+    ("| {x} | b |\n|---|---|\n| c | {x} |", [("table_header", "", "| {x} | b |"), ("table_row", "| {x} | b |\n|---|---|\n", "| c | {x} |")]),
+    ("{x} as follows:", [("lead_in", "", "{x} as follows:")]),
+    ("> {x} is quoted here", [("statement", "", "> {x} is quoted here")]),
+    ("{x}\n---", [("heading", "", "{x}\n---")]),
+]
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def filled(template: str) -> str:
+    """A template as an SQL expression of x."""
+    return "(" + " || x || ".join(map(quoted, template.split("{x}"))) + ")"
+
+
+def words_sql(line: str) -> str:
+    return f"trim(regexp_replace({line}, '[^A-Za-z]+', ' ', 'g'))"
+
+
 def sql() -> str:
-    """The expected units as rows: name, idx, type, text, heading_path."""
-    quoted = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    rows = (f"({quoted(name)}, {i}, {quoted(kind)}, {quoted(unit)}, {quoted(path)})" for name, _, units in CASES for i, (kind, unit, path) in enumerate(units, 1))
-    return f"SELECT name, CAST(idx AS BIGINT) AS idx, type, text, heading_path FROM (VALUES {', '.join(rows)}) v(name, idx, type, text, heading_path)"
+    """The expected units as rows: name, idx, type, char_start, text, heading_path; those of the cases, and those of all documents put together from their lines."""
+    units = [(n, k, *u) for n, (_, us) in enumerate(BLOCKS) for k, u in enumerate(us)]
+    block = "CASE n % {} {} END".format(len(BLOCKS), " ".join(f"WHEN {n} THEN {filled(b)}" for n, (b, _) in enumerate(BLOCKS)))
+    each = " UNION ALL ".join(f"SELECT name, n, {k} AS k, '{kind}' AS type, pos + length({filled(before)}) AS char_start, {filled(text)} AS text FROM b WHERE n % {len(BLOCKS)} = {n}" for n, k, kind, before, text in units)
+    cases = ", ".join(f"({quoted(name)}, {i}, {quoted(kind)}, {quoted(unit)}, {quoted(path)})" for name, _, us in CASES for i, (kind, unit, path) in enumerate(us, 1))
+    return f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+x AS (SELECT 'doc ' || doc_id AS name, {words_sql("line")} AS x, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM l WHERE length(replace({words_sql("line")}, ' ', '')) >= 3),
+b0 AS (SELECT *, {block} AS block FROM x),
+b AS (SELECT *, sum(length(block) + 2) OVER (PARTITION BY name ORDER BY n) - length(block) - 2 AS pos FROM b0),
+u AS ({each}),
+h AS (SELECT name, n, x AS title, CASE WHEN n % {len(BLOCKS)} = 0 THEN 1 ELSE 2 END AS level FROM b WHERE n % {len(BLOCKS)} IN (0, 7)),
+p AS (SELECT u.*, (SELECT max_by(title, n) FROM h WHERE h.name = u.name AND level = 1 AND h.n < u.n) AS t1, (SELECT max(n) FROM h WHERE h.name = u.name AND level = 1 AND h.n < u.n) AS n1,
+  (SELECT max_by(title, n) FROM h WHERE h.name = u.name AND level = 2 AND h.n < u.n) AS t2, (SELECT max(n) FROM h WHERE h.name = u.name AND level = 2 AND h.n < u.n) AS n2 FROM u)
+SELECT name, row_number() OVER (PARTITION BY name ORDER BY n, k) AS idx, type, text, char_start,
+  CASE WHEN n % {len(BLOCKS)} = 0 THEN '' WHEN n % {len(BLOCKS)} = 7 THEN t1 WHEN n2 > n1 THEN t1 || ' > ' || t2 ELSE t1 END AS heading_path FROM p
+UNION ALL SELECT name, CAST(idx AS BIGINT), type, text, CAST(-1 AS BIGINT), heading_path FROM (VALUES {cases}) v(name, idx, type, text, heading_path)"""

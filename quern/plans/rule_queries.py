@@ -183,7 +183,7 @@ leaf AS (SELECT top.item, top.r_name, n_name, seq, n_nationkey, exp((ln(greatest
 
 @query(f"WITH {BEAM} SELECT item, row_number() OVER (PARTITION BY item ORDER BY score DESC, seq, n_nationkey) AS rank, r_name || ' > ' || n_name AS path, round(score, 6) AS score FROM leaf QUALIFY rank <= 2")
 def l9_beam(t):
-    found = trees.beam(_tree(t), _probabilities(t), width=2, levels=3)
+    found = trees.beam(_tree(t), _probabilities(t), width=2)
     return found.select("item", F.col("rank").cast("long").alias("rank"), F.array_join("path", " > ").alias("path"), F.round("score", 6).alias("score"))
 
 

@@ -1,5 +1,6 @@
 """Queries over documents, pages and conversations: segmentation, wordings, filters, merges, checks."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
@@ -255,16 +256,20 @@ def w4_fence_parity(t):
     return segments.fence_parity(d).select("doc_id", F.col("line").cast("long").alias("line"), "fenced")
 
 
-HEADINGS = [(1, 0, 1, "Usage"), (1, 20, 2, "Setup"), (1, 40, 3, "Linux"), (1, 60, 2, "Testing"), (1, 90, 1, "More"), (2, 5, 2, "Only"), (2, 30, 1, "Top")]
-OFFSETS = [(1, 0), (1, 25), (1, 50), (1, 70), (1, 95), (2, 0), (2, 10), (2, 40), (3, 5)]
-
-
-@query(f"""WITH h(doc, pos, level, title) AS (VALUES {", ".join(map(str, HEADINGS)).replace('"', "'")}), o(doc, off) AS (VALUES {", ".join(map(str, OFFSETS))}),
-m AS (SELECT o.doc, o.off, h.pos, h.title FROM o JOIN h ON h.doc = o.doc AND h.pos <= o.off WHERE NOT EXISTS (SELECT 1 FROM h l WHERE l.doc = h.doc AND l.pos > h.pos AND l.pos <= o.off AND l.level <= h.level))
-SELECT CAST(o.doc AS BIGINT) AS doc, CAST(o.off AS BIGINT) AS off, coalesce((SELECT string_agg(title, ' > ' ORDER BY pos) FROM m WHERE m.doc = o.doc AND m.off = o.off), '') AS path FROM o""")
+@query("""WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS own, generate_subscripts(ls, 1) AS line FROM p),
+x AS (SELECT doc_id, line, length(own) % 4 AS level, sum(length(own) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(own) - 1 AS pos FROM l),
+h AS (SELECT doc_id, pos, level, 'h' || line AS title FROM x WHERE level > 0),
+k AS (SELECT x.doc_id, x.pos, (SELECT max(h.pos) FROM h WHERE h.doc_id = x.doc_id AND h.level = 1 AND h.pos <= x.pos) AS p1, (SELECT max(h.pos) FROM h WHERE h.doc_id = x.doc_id AND h.level <= 2 AND h.pos <= x.pos) AS p2, (SELECT max(h.pos) FROM h WHERE h.doc_id = x.doc_id AND h.pos <= x.pos) AS p3 FROM x)
+SELECT k.doc_id AS doc, CAST(k.pos AS BIGINT) AS off, coalesce((SELECT string_agg(title, ' > ' ORDER BY h.pos) FROM h WHERE h.doc_id = k.doc_id AND h.pos IN (p1, p2, p3)), '') AS path FROM k""")
 def j18_breadcrumb(t):
-    h = t.spark.createDataFrame(HEADINGS, "doc long, pos long, level int, title string")
-    return segments.breadcrumbs(t.spark.createDataFrame(OFFSETS, "doc long, off long"), h)
+    """Lines of all documents stand for headings (the level by their length), and each line asks for its path."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    sizes = F.transform(lines, lambda x: F.length(x))
+    own = t.documents.select("doc_id", F.posexplode(sizes).alias("i", "size"))
+    before = F.sum(F.col("size") + 1).over(Window.partitionBy("doc_id").orderBy("i")) - F.col("size") - 1
+    placed = own.select(F.col("doc_id").alias("doc"), (F.col("i") + 1).alias("line"), (F.col("size") % 4).cast("int").alias("level"), before.alias("pos"))
+    heads = placed.where("level > 0").select("doc", "pos", "level", F.concat(F.lit("h"), "line").alias("title"))
+    return segments.breadcrumbs(placed.select("doc", F.col("pos").alias("off")), heads)
 
 
 @query("WITH b AS (SELECT doc_id, sha256(text) AS v FROM documents WHERE doc_id % 7 <> 0), a AS (SELECT doc_id, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS v FROM documents WHERE doc_id % 5 <> 0) SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'created' WHEN a.doc_id IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.doc_id = b.doc_id WHERE b.doc_id IS NULL OR a.doc_id IS NULL OR a.v <> b.v")
