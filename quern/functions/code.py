@@ -145,42 +145,57 @@ def culprits(files: Sequence[str], fails: Callable[[Sequence[str]], bool]) -> li
     return [f for f in files if f not in back]
 
 
-def located(lines: Sequence[str], fails: Callable[[Sequence[str]], bool], most: int = 4) -> list[tuple[int, int, str]]:
-    """(first, last, note) of places that make a check fail, at most `most`: halves are kept while one alone fails; a fault of
-    several lines together is narrowed to a window by two binary searches; where leaving out any single line repairs it, it is the count."""
-    out: list[tuple[int, int, str]] = []
-    left = [(i + 1, line) for i, line in enumerate(lines)]
-    bad = lambda part: fails([line for _, line in part])
-    for _ in range(most):
-        if not left or not bad(left):
+class Checked:
+    """A check of lines that remembers its answers, by which lines of the whole are kept; `calls` counts the checks made."""
+
+    def __init__(self, lines: Sequence[str], fails: Callable[[Sequence[str]], bool]) -> None:
+        self.lines, self.fails, self.known, self.calls = lines, fails, {}, 0
+
+    def __call__(self, kept: Sequence[int]) -> bool:
+        key = hash(tuple(kept)), len(kept)
+        if key not in self.known:
+            self.calls += 1
+            self.known[key] = bool(self.fails([self.lines[i] for i in kept]))
+        return self.known[key]
+
+
+def minimal(kept: Sequence[int], fails: Callable[[Sequence[int]], bool]) -> list[int]:
+    """A subset that still fails and of which no single line can be left out (1-minimal): delta debugging. Parts are tried alone, then what is left
+    without a part; parts become finer until they are single lines. One line at fault takes a logarithm of checks."""
+    kept, parts = list(kept), 2
+    while len(kept) > 1:
+        size = -(-len(kept) // parts)
+        cut = [kept[i : i + size] for i in range(0, len(kept), size)]
+        alone = next((c for c in cut if fails(c)), None)
+        if alone is not None:
+            kept, parts = alone, 2
+            continue
+        rest = next((r for k in range(len(cut)) if len(cut) > 2 and fails(r := [x for j, c in enumerate(cut) if j != k for x in c])), None)
+        if rest is not None:
+            kept, parts = rest, max(parts - 1, 2)
+        elif size == 1:
             break
-        if len(left) > 1 and all(not bad(left[:i] + left[i + 1 :]) for i in range(len(left))):
-            out.append((left[0][0], left[-1][0], "line count"))
+        else:
+            parts = min(len(kept), 2 * parts)
+    return kept
+
+
+def located(lines: Sequence[str], fails: Callable[[Sequence[str]], bool], most: int | None = None) -> tuple[list[tuple[list[int], str]], int]:
+    """Places that make a check fail, as line numbers (from 1) with a note, until what is left passes (or `most` are found); and how many checks it took.
+
+    Each place is 1-minimal: it fails alone, and without any one of its lines it passes. A single line is a "line", several that fail only together are
+    "joint"; where leaving out any line at all repairs the text, the fault is its "line count", one place of all lines."""
+    check, out = Checked(lines, fails), []
+    left = list(range(len(lines)))
+    while left and (most is None or len(out) < most) and check(left):
+        place = minimal(left, check)
+        if len(place) > 1 and not out and all(not check(left[:i] + left[i + 1 :]) for i in range(len(left))):
+            out.append(([i + 1 for i in left], "line count"))
             break
-        part = left
-        while len(part) > 1:
-            half = len(part) // 2
-            if bad(part[:half]):
-                part = part[:half]
-            elif bad(part[half:]):
-                part = part[half:]
-            else:
-                break
-        if len(part) > 1:
-            lo, hi = 1, len(part)  # the shortest head that fails
-            while lo < hi:
-                mid = (lo + hi) // 2
-                lo, hi = (lo, mid) if bad(part[:mid]) else (mid + 1, hi)
-            part = part[:lo]
-            lo, hi = 0, len(part) - 1  # the shortest tail of it that fails
-            while lo < hi:
-                mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if bad(part[mid:]) else (lo, mid - 1)
-            part = part[lo:]
-        out.append((part[0][0], part[-1][0], "line" if len(part) == 1 else "window"))
-        gone = {i for i, _ in part}
-        left = [x for x in left if x[0] not in gone]
-    return out
+        out.append(([i + 1 for i in place], "line" if len(place) == 1 else "joint"))
+        gone = set(place)
+        left = [i for i in left if i not in gone]
+    return out, check.calls
 
 
 def snippet(text: str, start: int, end: int, most: int = 160) -> str:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions import code, grammar
+from quern.functions import code, grammar, patterns
 from quern.session import prepare
 
 
@@ -80,11 +82,15 @@ def clauses_in_context(docs: DataFrame, key: str = "doc_id", text: str = "text")
             units = [u for u in grammar.segment(t) if u.type not in STRUCTURAL]
             if units:
                 lines, heads, sha = t.split("\n"), grammar.headings(t), hashlib.sha256(t.encode()).hexdigest()
-                mask = grammar.fence_mask(lines)
+                mask, starts = grammar.fence_mask(lines), list(accumulate((len(x) + 1 for x in lines), initial=0))
+                seen, path = 0, []
                 for u in units:
-                    first, last = t.count("\n", 0, u.start), t.count("\n", 0, u.end)
+                    first, last = bisect_right(starts, u.start) - 1, bisect_right(starts, u.end) - 1
                     own = t[u.start : u.end]
-                    out.append((k, digest(sha, u.start, u.end), own, digest(re.sub(r"\s+", " ", own).strip()), u.start, u.end, *grammar.context(lines, mask, first, last), " > ".join(grammar.heading_path(heads, u.start))))
+                    while seen < len(heads) and heads[seen][0] <= u.start:  # one stack of headings, in step with the units
+                        path = [h for h in path if h[0] < heads[seen][1]] + [heads[seen][1:]]
+                        seen += 1
+                    out.append((k, digest(sha, u.start, u.end), own, digest(re.sub(r"\s+", " ", own).strip()), u.start, u.end, *grammar.context(lines, mask, first, last), " > ".join(h[1] for h in path)))
         return out
 
     kind = dict(docs.dtypes)[key]
@@ -133,11 +139,32 @@ def long_functions(files: DataFrame, most: int) -> DataFrame:
     return mapped(files.select("path", "content"), rows, "path string, name string, line int, lines int")
 
 
-def violations(texts: DataFrame, key: str, text: str, fails: Callable[[Sequence[str]], bool]) -> DataFrame:
-    """key, first, last, note: the lines at fault in each text that fails a check of lines."""
+def violations(texts: DataFrame, key: str, text: str, fails: Callable[[Sequence[str]], bool], most: int | None = None) -> DataFrame:
+    """key, first, last, note, lines, checks: the places at fault in each text that fails a check of lines, each 1-minimal (its line numbers in
+    `lines`), and how many checks the text took."""
     kind = dict(texts.dtypes)[key]
-    rows = lambda c: [(k, *v) for k, t in zip(*c, strict=True) for v in code.located((t or "").split("\n"), fails)]
-    return mapped(texts.select(key, text), rows, f"{key} {kind}, first int, last int, note string")
+
+    def rows(columns: list) -> list[tuple]:
+        out = []
+        for k, t in zip(*columns, strict=True):
+            found, checks = code.located((t or "").split("\n"), fails, most)
+            out += [(k, at[0], at[-1], note, at, checks) for at, note in found]
+        return out
+
+    return mapped(texts.select(key, text), rows, f"{key} {kind}, first int, last int, note string, lines array<int>, checks int")
+
+
+def pattern_matches(files: DataFrame, rules: Sequence[tuple[str, str, str, int]]) -> DataFrame:
+    """path, rule, line, end_line, holes, measure, broken of what matches each rule in files (path, content).
+
+    rules: (name, pattern with $holes, measure, the most that it allows); see functions/patterns."""
+    for _, pattern, measure, _ in rules:
+        patterns.parsed(pattern), patterns.MEASURES[measure]  # a rule that can't be read fails here, not in a task
+
+    def rows(columns: list) -> list[tuple]:
+        return [(p, name, a, z, list(holes.items()), n, n > most) for p, t in zip(*columns, strict=True) for name, pattern, measure, most in rules for a, z, holes, n in patterns.measured(t or "", pattern, measure)]
+
+    return mapped(files.select("path", "content"), rows, "path string, rule string, line int, end_line int, holes map<string, string>, measure int, broken boolean")
 
 
 def shuffled(df: DataFrame, key: str, values: str) -> DataFrame:

@@ -89,10 +89,43 @@ def shouts(lines):
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS own, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
-SELECT doc_id, CAST(line AS INT) AS first, CAST(line AS INT) AS last, 'line' AS note FROM l WHERE contains(own, '!!') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line) <= 4""")
+SELECT doc_id, CAST(line AS INT) AS first, CAST(line AS INT) AS last, 'line' AS note FROM l WHERE contains(own, '!!')""")
 def m18_locate(t):
-    """Where a check fails: at most four places of a text, as the feature has it; here lines that shout."""
-    return python_backed.violations(t.documents, "doc_id", "text", shouts)
+    """Where a check fails: all places of a text; here lines that shout."""
+    return python_backed.violations(t.documents, "doc_id", "text", shouts).select("doc_id", "first", "last", "note")
+
+
+def claims_both(lines):
+    """Fails where one line opens and another closes, as two do that contradict each other."""
+    return any("the" in line for line in lines) and any(line.endswith("?") for line in lines)
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), n AS (SELECT doc_id, list_filter(ls, lambda x: contains(x, 'the')) AS a, list_filter(ls, lambda x: ends_with(x, '?')) AS b FROM l)
+SELECT doc_id, len(a) > 0 AND len(b) > 0 AS fails FROM n""")
+def m18_joint(t):
+    """Faults of two lines together: whether a place was found, which then holds one line of each kind or one that is both."""
+    found = python_backed.violations(t.documents, "doc_id", "text", claims_both)
+    whole = found.withColumn("ok", F.size("lines") <= 2).groupBy("doc_id").agg(F.min("ok").alias("ok"))
+    return t.documents.select("doc_id").join(whole, "doc_id", "left").select("doc_id", F.coalesce("ok", F.lit(False)).alias("fails"))
+
+
+RULES = [("drops", "if check($K, 'R'):\n    drop($K)", "lines", 2), ("checks", "check($ANY, $FLAG)", "width", 1000), ("functions", "def $F(*_any):\n    ...\n    return $X", "statements", 9)]
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, CASE WHEN l_suppkey % 2 = 0 THEN l_partkey ELSE l_partkey + 1 END || ')') AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT l_orderkey || '.py' AS path, 'drops' AS rule, CAST(2 * k AS INT) AS line, CAST(l_partkey AS VARCHAR) AS hole, 2 AS measure, false AS broken FROM l WHERE l_returnflag = 'R' AND l_suppkey % 2 = 0
+UNION ALL SELECT l_orderkey || '.py', 'checks', CAST(2 * k AS INT), chr(39) || l_returnflag || chr(39), CAST(20 + length(CAST(l_partkey AS VARCHAR)) AS INT), false FROM l
+UNION ALL SELECT DISTINCT l_orderkey || '.py', 'functions', 1, 'order', CAST(2 * n + 2 AS INT), 2 * n + 2 > 9 FROM l""")
+def m23_patterns(t):
+    """Code put together from the lines of all orders: a match binds $K twice, so a line that drops another number is none."""
+    other = F.when(F.col("l_suppkey") % 2 == 0, F.col("l_partkey")).otherwise(F.col("l_partkey") + 1)
+    line = F.concat(F.lit("    if check("), "l_partkey", F.lit(", '"), "l_returnflag", F.lit("'):\n        drop("), other, F.lit(")\n"))
+    files = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("own")))).alias("own"))
+    files = files.repartition(t.spark.sparkContext.defaultParallelism, "l_orderkey")  # few bytes, much work: not to be merged by size
+    content = F.concat(F.lit("def order():\n"), F.array_join(F.transform("own", lambda x: x["own"]), ""), F.lit("    return 1\n"))
+    found = python_backed.pattern_matches(files.select(F.concat("l_orderkey", F.lit(".py")).alias("path"), content.alias("content")), RULES)
+    hole = F.coalesce(F.col("holes")["K"], F.col("holes")["FLAG"], F.col("holes")["F"])
+    return found.select("path", "rule", "line", hole.alias("hole"), "measure", "broken")
 
 
 @query()
