@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 HOLE = "_hole_"
 Bindings = dict[str, str]
@@ -136,11 +136,18 @@ def statements(source: str) -> int:
     return sum(isinstance(n, ast.stmt) for n in ast.walk(tree))
 
 
-def measured(content: str, pattern: str, measure: str = "lines") -> list[tuple[int, int, Bindings, int]]:
-    """(first line, last line, holes, measure) of each match, by line; none in a file that can't be parsed."""
+@lru_cache(maxsize=2)
+def tree_of(content: str) -> ast.Module | None:
+    """The syntax tree of a file, kept for the next rule."""
     try:
-        tree = ast.parse(content)
+        return ast.parse(content)
     except (SyntaxError, ValueError, RecursionError):
+        return None
+
+
+def measured(content: str, pattern: str, measure: str = "lines") -> list[tuple[int, int, Bindings, int]]:
+    """(first line, last line, holes, measure) of each match, by line; none in a file that can't be parsed."""
+    if (tree := tree_of(content)) is None:
         return []
     lines = content.split("\n")
     return sorted(((a, z, b, MEASURES[measure](lines[a - 1 : z], b)) for a, z, b in matches(pattern, tree)), key=lambda m: (m[0], m[1], sorted(m[2].items())))

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import code
 from quern.operators import merge
-from quern.operators.python_backed import mapped
+from quern.operators.ledger import Guard, Refused
+from quern.session import prepare
 
 
 class Client(Protocol):
@@ -137,15 +138,49 @@ def route(name: str, environment: dict[str, str] | None = None, keys: Sequence[s
     return ROUTES[name]
 
 
+@dataclass
+class Guarded:
+    """A client whose calls the stage's ledger allows one by one: a batch is reserved at `price` an item and settled at what it cost (`cost`: items and answers -> amount, None if
+    unknown). Once the ledger refuses, the batch's items stay unasked, so that the stage ends with what was paid for."""
+
+    client: Client
+    guard: Guard
+    price: float
+    cost: Callable[[list, list], float | None] | None = None
+
+    def answer(self, items: list[tuple[str, str]]) -> list[tuple[str, str]]:
+        def work() -> tuple[list, float | None]:
+            told = self.client.answer(items)
+            return told, self.cost(items, told) if self.cost else self.price * len(items)
+
+        try:
+            return self.guard.call(self.price * len(items), work)
+        except Refused:
+            return []
+
+
 def asked(items: DataFrame, key: str, text: str, client: Callable[[], Client], batch: int) -> DataFrame:
-    """key, answer: as the client gave them, batch by batch within a partition."""
+    """key, answer: as the client gave them, batch by batch within a partition; one client a task, whatever batches Arrow brings."""
+    prepare(items.sparkSession)
+
+    def run(arrow):
+        import pyarrow as pa
+
+        one, held = client(), []
+
+        def told(part: list) -> pa.RecordBatch:
+            got = one.answer(part)
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([a for _, a in got], pa.string())], names=[key, "answer"])
 
-    def rows(columns: list) -> list[tuple]:
-        one = client()
-        both = [(str(k), t or "") for k, t in zip(*columns, strict=True)]
-        return [(k, a) for i in range(0, len(both), batch) for k, a in one.answer(both[i : i + batch])]
+        for rows in arrow:
+            held += [(k, t or "") for k, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
+            while len(held) >= batch:
+                yield told(held[:batch])
+                held = held[batch:]
+        if held:
+            yield told(held)
 
-    return mapped(items.select(F.col(key).cast("string"), text), rows, f"{key} string, answer string")
+    return items.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(run, f"{key} string, answer string")
 
 
 def sem_map(items: DataFrame, key: str, text: str, client: Callable[[], Client], path: str, batch: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.operators.numbering import numbered
 
 
 def vote_plan(attempts: DataFrame, key: str = "rule", axis: str = "axis", rep: str = "rep", values: str = "values") -> DataFrame:
@@ -92,8 +93,7 @@ def subcategories(rules: DataFrame, key: str, values: str, aliases: Sequence[tup
     lists = top.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "raw"))), lambda x: x["raw"]).alias("variants"))
     sums = each.groupBy("name").agg(F.countDistinct(key).alias("rules"), F.count("*").alias("occurrences"))
     named = sums.join(lists, "name")
-    # names are a vocabulary of aliases and free values; the numbering is one sort of them
-    return named.withColumn("id", F.row_number().over(Window.orderBy(F.desc("rules"), F.lower("name"), "name"))).select("id", "name", "rules", "occurrences", "variants")
+    return numbered(named, [-F.col("rules"), F.lower("name"), F.col("name")]).select("id", "name", "rules", "occurrences", "variants")
 
 
 def partition_faults(members: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:

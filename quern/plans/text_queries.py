@@ -4,8 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import checks, filters, merge, segments, sessions
+from quern.operators import checks, filters, merge, recut, segments, sessions
 from quern.plans.registry import query
+from quern.session import scratch
 
 LINES = r"""lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS idx, t AS text FROM (
   SELECT doc_id, i, trim(s, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM (
@@ -256,6 +257,26 @@ def w4_fence_parity(t):
     return segments.fence_parity(d).select("doc_id", F.col("line").cast("long").alias("line"), "fenced")
 
 
+@query("""WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || chr(10) || 'new' ELSE coalesce(text, '') END AS t, doc_id % 3 = 0 AS changed, text FROM documents),
+n AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls, t NOT IN (SELECT coalesce(text, '') FROM documents) AS fresh FROM a)
+SELECT doc_id, len(ls) AS n_units, md5(array_to_string(ls, '|')) AS digest, fresh FROM n WHERE len(ls) > 0""")
+def z5_recut(t):
+    """All documents cut once; then a third of them changes, and only the new contents are cut again."""
+    store = scratch(t.spark, "cuts")
+    docs = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nnew"))).otherwise(F.col("text")))
+
+    def cut(contents):
+        lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        return contents.select("sha", F.posexplode(lines).alias("idx", "unit"))
+
+    recut.recut(docs, store, "lines-1", cut)
+    before = [r["part"] for r in recut.manifest(docs, store).select("part").distinct().collect()]
+    recut.recut(changed, store, "lines-1", cut)
+    found = recut.units(changed, store, "lines-1").groupBy("doc_id").agg(F.count("*").alias("n_units"), F.sort_array(F.collect_list(F.struct("idx", "unit"))).alias("us"), F.first("part").alias("part"))
+    return found.select("doc_id", "n_units", F.md5(F.array_join(F.transform("us", lambda u: u["unit"]), "|")).alias("digest"), (~F.col("part").isin(before)).alias("fresh"))
+
+
 @query("""WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS own, generate_subscripts(ls, 1) AS line FROM p),
 x AS (SELECT doc_id, line, length(own) % 4 AS level, sum(length(own) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(own) - 1 AS pos FROM l),
 h AS (SELECT doc_id, pos, level, 'h' || line AS title FROM x WHERE level > 0),
