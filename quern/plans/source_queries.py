@@ -4,9 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import code, text
-from quern.operators import merge, metrics
+from quern.operators import ledger, merge, metrics, rings, semantic, tasks
 from quern.operators.python_backed import mapped
 from quern.plans.registry import query
+from quern.session import scratch
 from quern.sources import readers
 
 
@@ -97,3 +98,53 @@ def m9_own_prose(t):
 def m10_names(t):
     source = F.concat(F.lit("def f"), "p_partkey", F.lit("(a):\n    b = 1\n    return b\n"))
     return mapped(t.part.select("p_partkey", source.alias("s")), lambda c: [(k, *n) for k, s in zip(*c, strict=True) for n in code.names_in(s)], "p_partkey long, name string, line int, col int")
+
+
+@query("SELECT count(*) // 2 AS answered, CAST(count(*) // 2 AS DOUBLE) AS spent FROM documents")
+def l14_shared_budget(t):
+    """Twenty tasks draw on one budget that is enough for half of all documents."""
+    path, half = scratch(t.spark, "asked"), t.documents.count() // 2
+    with ledger.Ledger(t.spark, float(half)) as own:
+        guard = own.guard()
+        semantic.asked(t.documents.repartition(20), "doc_id", "text", lambda: semantic.Guarded(semantic.Stub(), guard, 1.0), 1).write.parquet(path)
+        spent = own.account.spent
+    return t.spark.read.parquet(path).agg(F.countDistinct("doc_id").alias("answered"), F.lit(spent).alias("spent"))
+
+
+@query("""SELECT 'c' || o_custkey AS task_id, CAST(o_orderkey AS VARCHAR) AS round_id, o_orderpriority AS query, count(l_orderkey) AS n, count(*) FILTER (l_returnflag = 'R') AS passed, count(*) FILTER (l_returnflag <> 'R') AS failed
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+def m24_tasks(t):
+    """Tasks of all orders written with their rounds and checks nested, named by the manifest, and read back."""
+    key = F.concat(F.lit("c"), "o_custkey")
+    rounds = t.orders.select(key.alias("task_id"), F.col("o_orderkey").cast("string").alias("round_id"), F.col("o_orderpriority").alias("query"))
+    checks = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), key.alias("task_id")), "l_orderkey")
+    checks = checks.select("task_id", F.col("l_orderkey").cast("string").alias("round_id"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("id"), F.col("l_linestatus").alias("requirement"), (F.col("l_returnflag") == "R").alias("passed"))
+    path = scratch(t.spark, "tasks")
+    tasks.materialise(tasks.nested(rounds.select("task_id").distinct(), rounds.limit(0), checks.limit(0)), path, "all")
+    tasks.materialise(tasks.nested(rounds.select("task_id").distinct(), rounds, checks), path, "all")
+    each = tasks.materialised(t.spark, path, "all").select("task_id", F.explode("rounds").alias("r"))
+    size = lambda f: F.size(F.filter("r.checklist", f)).cast("long")
+    return each.select("task_id", "r.round_id", "r.query", F.size("r.checklist").cast("long").alias("n"), size(lambda c: c["passed"]).alias("passed"), size(lambda c: ~c["passed"]).alias("failed"))
+
+
+@query("""WITH n AS (SELECT p_partkey AS rule, unnest(['when', 'who']) AS axis FROM part), c AS (SELECT l_partkey AS rule, CASE WHEN l_returnflag = 'R' THEN 'who' ELSE 'when' END AS axis, 's' || l_suppkey AS pick, count(*) AS score FROM lineitem GROUP BY ALL),
+b AS (SELECT rule, axis, pick, score FROM c QUALIFY row_number() OVER (PARTITION BY rule, axis ORDER BY score DESC, pick) = 1)
+SELECT n.rule, n.axis, CASE WHEN n.rule % 4 = 0 THEN 'kept' ELSE b.pick END AS pick, CASE WHEN n.rule % 4 = 0 THEN 0 ELSE b.score END AS score, n.rule % 4 <> 0 AS fresh FROM n LEFT JOIN b ON b.rule = n.rule AND b.axis = n.axis""")
+def l19_picks(t):
+    """Picks of all rules and axes: those made before stay, the rest take their best candidate."""
+    needed = t.part.select(F.col("p_partkey").alias("rule"), F.explode(F.array(F.lit("when"), F.lit("who"))).alias("axis"))
+    before = needed.where("rule % 4 = 0").withColumns({"pick": F.lit("kept"), "score": F.lit(0).cast("long")})
+    axis = F.when(F.col("l_returnflag") == "R", "who").otherwise("when")
+    candidates = t.lineitem.groupBy(F.col("l_partkey").alias("rule"), axis.alias("axis"), F.concat(F.lit("s"), "l_suppkey").alias("pick")).agg(F.count("*").alias("score"))
+    return tasks.with_picks(needed, before, candidates)
+
+
+@query("""WITH p AS (SELECT [p_type, p_brand, CAST(p_size AS VARCHAR)] AS w FROM part), a AS (SELECT w[1] AS x, w[2] AS y, w[3] AS z, count(*) AS n FROM p GROUP BY ALL),
+l1 AS (SELECT x, sum(n) AS n, (SELECT sum(n) FROM a) AS total FROM a GROUP BY x), i1 AS (SELECT x, n, (sum(n) OVER (ORDER BY x) - n) / total AS a0, sum(n) OVER (ORDER BY x) / total AS a1 FROM l1),
+l2 AS (SELECT x, y, sum(n) AS n FROM a GROUP BY x, y), i2 AS (SELECT l2.x, y, l2.n, i1.a0 + (i1.a1 - i1.a0) * (sum(l2.n) OVER w - l2.n) / i1.n AS a0, i1.a0 + (i1.a1 - i1.a0) * (sum(l2.n) OVER w) / i1.n AS a1 FROM l2 JOIN i1 ON i1.x = l2.x WINDOW w AS (PARTITION BY l2.x ORDER BY y)),
+i3 AS (SELECT a.x, a.y, z, a.n, i2.a0 + (i2.a1 - i2.a0) * (sum(a.n) OVER w - a.n) / i2.n AS a0, i2.a0 + (i2.a1 - i2.a0) * (sum(a.n) OVER w) / i2.n AS a1 FROM a JOIN i2 ON i2.x = a.x AND i2.y = a.y WINDOW w AS (PARTITION BY a.x, a.y ORDER BY z))
+SELECT x AS node, 1 AS depth, CAST(n AS BIGINT) AS n, round(a0, 8) AS a0, round(a1, 8) AS a1 FROM i1 UNION ALL SELECT x || '/' || y, 2, CAST(n AS BIGINT), round(a0, 8), round(a1, 8) FROM i2 UNION ALL SELECT x || '/' || y || '/' || z, 3, n, round(a0, 8), round(a1, 8) FROM i3""")
+def k11_ring(t):
+    """The ring of all parts by type, brand and size: every node's share of the circle."""
+    found = rings.ring(t.part.select(F.array("p_type", "p_brand", F.col("p_size").cast("string")).alias("path")))
+    return found.select(F.array_join("prefix", "/").alias("node"), "depth", "n", F.round("a0", 8).alias("a0"), F.round("a1", 8).alias("a1"))
