@@ -23,8 +23,14 @@ BROADCAST_ROWS = 1_000_000
 SHINGLE = 5
 
 
+#: Columns by which a stage knows a row; documents' own columns of any other name pass through. A table that has these two is refused.
+ID, MARK = "_quern_id", "_quern_mark"
+
+
 def named(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.col("doc_id").cast("long"), "_mark": shared.mark()})
+    if taken := {ID, MARK} & set(docs.columns):
+        raise ValueError(f"documents has columns of the pipeline's own: {sorted(taken)}")
+    return docs.withColumns({ID: F.col("doc_id").cast("long"), MARK: shared.mark()})
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -32,7 +38,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     gone, _ = shared.stored(gone.select(F.col("doc_id").cast("long").alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct(), "gone")
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return named(docs).join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & F.col("_mark").eqNullSafe(F.col("_gone_mark")), "left_anti").select(*docs.columns)
+    return named(docs).join(gone, F.col(ID).eqNullSafe(F.col("_gone_id")) & F.col(MARK).eqNullSafe(F.col("_gone_mark")), "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +52,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     twice, _ = shared.stored(found.where("kept AND n_shingles > 0").groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("_twice_id"), F.col("mark").alias("_twice_mark")), "twice")
     if twice.isEmpty():
         return kept
-    same = F.col("_id").eqNullSafe(F.col("_twice_id")) & F.col("_mark").eqNullSafe(F.col("_twice_mark"))
-    once = named(kept).join(twice, same, "left_semi").dropDuplicates(["_id", "_mark"])
+    same = F.col(ID).eqNullSafe(F.col("_twice_id")) & F.col(MARK).eqNullSafe(F.col("_twice_mark"))
+    once = named(kept).join(twice, same, "left_semi").dropDuplicates([ID, MARK])
     return named(kept).join(twice, same, "left_anti").unionByName(once).select(*docs.columns)
 
 

@@ -200,9 +200,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = P
     cut = parts(benchmark, part_bytes)
     first, more = next(cut), next(cut, None)
     if more is not None:
-        numbered, _ = shared.stored(docs.withColumn("_doc", F.monotonically_increasing_id()), "documents")
-        bad, _ = shared.stored(scan(numbered, benchmark, part_bytes, ("_doc",)).where(contaminated()).select("_doc"), "contaminated")
-        return numbered.join(bad, "_doc", "left_anti").select(*docs.columns)
+        numbered, _ = shared.stored(docs.withColumn("_quern_doc", F.monotonically_increasing_id()), "documents")
+        bad, _ = shared.stored(scan(numbered, benchmark, part_bytes, ("_quern_doc",)).where(contaminated()).select("_quern_doc"), "contaminated")
+        return numbered.join(bad, "_quern_doc", "left_anti").select(*docs.columns)
     get, _ = matcher_for(spark, first)
     at = docs.columns.index("text")
 

@@ -38,6 +38,8 @@ FINE, LEAST_FINE = 512, 364
 PERCENT = 80
 ROUNDS = 2
 BLOCK = 1000
+#: Bytes of full sets that the members of a block have together, about.
+BLOCK_BYTES = 16 << 20
 #: Blocks of a list from which a second posting makes fewer copies of a member (at most K - LEAST + 1) than pairs of blocks do.
 SECOND = K - LEAST + 1
 #: Up to so many ids of classes that remain are broadcast to the scan of texts (8 bytes each); beyond, Spark joins by sorting.
@@ -211,8 +213,8 @@ def links_between(docs: DataFrame, classes: DataFrame, size: int, percent: int,
             placed = lists.join(several.where("m > 2").select("token", "m"), "token").join(chosen.select("id", "tokens"), "id")
             placed = placed.withColumn("second", F.explode(F.when(hot, F.array_except("tokens", F.array("token"))).otherwise(F.array(F.lit(-1).cast("long")))))
             placed = keep(placed.select("id", "comp", "token", "second"), "placed")
-            sizes = placed.groupBy("token", "second").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-            sizes = sizes.select("token", "second", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+            sizes = placed.join(classes.select("id", "n"), "id").groupBy("token", "second").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+            sizes = sizes.select("token", "second", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
             members = placed.join(sizes, ["token", "second"]).join(known, "id").join(chosen.select("id", "tokens"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
             cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "second", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", F.col("n").cast("long").alias("n"), "fine", "tokens")
             met = cells.groupBy("token", "second", "i", "j").applyInPandas(lambda pdf: cell_members(pdf, percent), CELL)

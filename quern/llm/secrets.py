@@ -2,7 +2,8 @@
 
 The guess cost of a value is the cheapest product of guesses over all ways of cutting it into dictionary words, dates,
 repeats, sequences, keyboard walks and brute-force spans, found by one left-to-right pass. The dictionary is learnt from the texts
-themselves: at most LEARNT words, those that stand in the most rows (MIN_ROWS at least), credential values left out; a word's guesses are its rank. A
+themselves: all words that stand in MIN_ROWS rows at least, credential values left out; a word's guesses are its rank, counted by classes of frequency. Only words that
+some value may be made of are looked up, so only those are brought together: broadcast up to BROADCAST_BYTES, beyond that joined to the rows whose values ask for them. A
 value that stands in a credential context and costs at least 10**MIN_LOG10 guesses is a secret, whatever its characters. A value of
 letters alone counts only where a sign, a verb or "bearer" ties it to its context ("pin: ", "password is"), as any word may follow "key".
 
@@ -18,7 +19,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import shared
@@ -48,10 +49,13 @@ WORDS = (
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 LEET = str.maketrans("@4301$5!7", "aaeoissit")
-#: Letters of a dictionary word, and how many words are learnt (at most 100 bytes each go to the workers), from how many rows at least.
+#: Letters of a dictionary word, and from how many rows at least it is learnt.
 SHORTEST, LONGEST = 4, 24
-LEARNT, MIN_ROWS = 100_000, 3
+MIN_ROWS = 3
+#: Bytes of words that values ask for which are broadcast to the scan.
+BROADCAST_BYTES = 16 << 20
 LETTERS = re.compile(r"(?<![^\W_])[^\W\d_]{4,24}(?![^\W_])")
+RUN = re.compile(r"[^\W\d_]{4,}")
 #: log10 guesses of a date, of a year, of a sequence; of a repeat beside its character; of a walk, and of each of its keys.
 DAY, YEAR, SEQUENCE, REPEAT, WALK, STEP = 4.5, 2.0, 2.0, 1.0, math.log10(4 * 12), 0.5
 
@@ -134,42 +138,90 @@ def guess_cost(value: str, words: dict[str, int] | None = None, enough: float =
     return best[n]
 
 
-def dictionary(df: DataFrame, text: str = "text", size: int = LEARNT) -> dict[str, int]:
-    """The words that stand in the most rows of df, with their rank from 1: counted in each batch, summed by word; as many classes of counts, from the highest, as have at most `size` words."""
+def asked_by(value: str) -> set[str]:
+    """The words that a segmentation of the value may hold."""
+    return {r[i:j] for r in RUN.findall(value.lower()) for i in range(len(r) - SHORTEST + 1) for j in range(i + SHORTEST, min(len(r), i + LONGEST) + 1)}
+
+
+def frequencies(df: DataFrame, text: str = "text") -> DataFrame:
+    """word, n (rows of df in which it stands, values left out), asked (whether a value may be made of it), rank: how many words there are of its class of counts and
+    of those above. Words are counted in each batch and summed by word; classes of small counts are single counts, and there are a few hundred of them."""
     shared.small_batches(df.sparkSession)
 
     def count(batches):
         import pyarrow as pa
 
         found: Counter = Counter()
+        asked: set[str] = set()
 
         def sent():
-            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            words = [*found, *(w for w in asked if w not in found)]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([found.get(w, 0) for w in words], pa.int64()), pa.array([w in asked for w in words], pa.bool_())], names=["word", "n", "asked"])
             found.clear()
+            asked.clear()
             return out
 
         for batch in batches:
             for raw, t in zip(shared.as_bytes(batch.column(0)), batch.column(0).to_pylist(), strict=True):
                 if t:
-                    t = "".join(blanked(t, raw.lower())) if any(h in raw.lower() for h in HINTS) else t
+                    raw = raw.lower()
+                    if any(h in raw for h in HINTS):
+                        for _, _, value in candidates(t, raw):
+                            asked |= asked_by(value)
+                        t = "".join(blanked(t, raw))
                     found.update(set(LETTERS.findall(t.lower())))
-            if len(found) > 200_000:
-                yield sent()
+                if len(found) + len(asked) > 200_000:
+                    yield sent()
         yield sent()
         shared.release()
 
-    counted = df.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    counted, path = shared.stored(counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_ROWS), "words")
-    # a cut between classes of counts, so that no more than the words themselves come to the driver; classes of small counts are single counts
-    kind = F.floor(F.log2("n") * 16)
-    left, cut = size, None
-    for k, many in sorted(((r["kind"], r["count"]) for r in counted.groupBy(kind.alias("kind")).count().collect()), reverse=True):
-        if many > left:
-            break
-        left, cut = left - many, k
-    found = sorted(counted.where(kind >= cut).collect(), key=lambda r: (-r["n"], r["word"])) if cut is not None else []
-    shared.remove(df.sparkSession, path)
-    return {r["word"]: i + 1 for i, r in enumerate(found)}
+    counted = df.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word string, n long, asked boolean")
+    kind = F.floor(F.log2("n") * 16).alias("kind")
+    counted, _ = shared.stored(counted.groupBy("word").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")).where(F.col("n") >= MIN_ROWS).select("word", "n", "asked", kind), "words")
+    classes = counted.groupBy("kind").agg(F.count("*").alias("many"))
+    upto = classes.select("kind", F.sum("many").over(Window.orderBy(F.desc("kind"))).alias("rank"))
+    return counted.join(F.broadcast(upto), "kind").drop("kind")
+
+
+def dictionary(df: DataFrame, text: str = "text", size: int = 100_000) -> dict[str, int]:
+    """The `size` words of the most rows with their rank, for a caller who keeps a dictionary; `scan` needs no such bound."""
+    return {r["word"]: r["rank"] for r in frequencies(df, text).orderBy(F.desc("n"), "word").limit(size).collect()}
+
+
+def asked_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """word, rank of all learnt words that a value of df may be made of."""
+    return shared.stored(frequencies(df, text).where("asked").select("word", F.col("rank").cast("int").alias("rank")), "asked")[0]
+
+
+OWN = "_quern_words"
+
+
+def with_words(df: DataFrame, text: str, words: DataFrame) -> DataFrame:
+    """df with the words that each row's values ask for, as a map (null: none); rows are found again by the hash of their text."""
+    def rows(batch):
+        out: dict = {"mark": [], "word": []}
+        for mark, raw, t in zip(batch.column(0).to_pylist(), shared.as_bytes(batch.column(1)), batch.column(1).to_pylist(), strict=True):
+            raw = raw.lower()
+            if t and any(h in raw for h in HINTS):
+                asked = set().union(*(asked_by(v) for _, _, v in candidates(t, raw)))
+                out["mark"] += [mark] * len(asked)
+                out["word"] += asked
+        return out
+
+    pairs = shared.arrow_map(df.select(shared.mark(text).alias("mark"), F.col(text).cast("string")), rows, "mark long, word string").distinct()
+    own = pairs.join(words, "word").groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("word", "rank"))).alias(OWN))
+    return df.withColumn("_quern_mark", shared.mark(text)).join(own.withColumnRenamed("mark", "_quern_mark"), "_quern_mark", "left").drop("_quern_mark")
+
+
+def prepared(df: DataFrame, text: str, words: dict[str, int] | None) -> tuple[DataFrame, object]:
+    """df, with its words beside each row where they are too many to broadcast; and the broadcast words."""
+    spark = df.sparkSession
+    if words is None:
+        asked = asked_words(df, text)
+        if (asked.agg(F.sum(F.octet_length("word") + 60)).first()[0] or 0) > BROADCAST_BYTES:
+            return with_words(df, text, asked), spark.sparkContext.broadcast({})
+        words = {r["word"]: r["rank"] for r in asked.collect()}
+    return df, spark.sparkContext.broadcast(words)
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
@@ -212,13 +264,18 @@ def blanked(text: str, raw: bytes):
     yield text[at:]
 
 
-def guessed_spans(text: str, raw: bytes, words: dict[str, int] | None = None, least: float = MIN_LOG10) -> list[tuple[int, int, int]]:
-    found: list[tuple[int, int, int]] = []
+def candidates(text: str, raw: bytes):
+    """(start, whether it is tied to its context, value) of the values that are priced."""
     for start, stop, tied in values(text, raw):
         value = text[start:stop].rstrip(".:!?")
-        if len(value) < 6 or found and start < found[-1][2] or ADDRESS.match(value) or not tied and value.isalpha():
-            continue
-        if guess_cost(value, words, least) >= least:
+        if len(value) >= 6 and not ADDRESS.match(value) and (tied or not value.isalpha()):
+            yield start, tied, value
+
+
+def guessed_spans(text: str, raw: bytes, words: dict[str, int] | None = None, least: float = MIN_LOG10) -> list[tuple[int, int, int]]:
+    found: list[tuple[int, int, int]] = []
+    for start, _, value in candidates(text, raw):
+        if not (found and start < found[-1][2]) and guess_cost(value, words, least) >= least:
             found.append((start, 3, start + len(value)))
     return found
 
@@ -231,22 +288,24 @@ def scan(df: DataFrame, text: str = "text", id_column: str = "doc_id", words: di
     """One row per row of df: id, n_assign, n_access, n_hex, base (its spans), spans (all). words: a dictionary; else df's own is learnt first."""
     spark = df.sparkSession
     shared.small_batches(spark)
-    told = spark.sparkContext.broadcast(dictionary(df, text) if words is None else words)
+    kind = dict(df.dtypes)[id_column]
+    df, told = prepared(df, text, words)
+    beside = OWN in df.columns
 
     def rows(batch):
         raws, texts = shared.as_bytes(batch.column(1)), batch.column(1).to_pylist()
+        owns = batch.column(2).to_pylist() if beside else [None] * len(texts)
         out = {"doc_id": batch.column(0), "n_assign": [], "n_access": [], "n_hex": [], "base": [], "spans": []}
-        for raw, t in zip(raws, texts, strict=True):
+        for raw, t, own in zip(raws, texts, owns, strict=True):
             raw, t = raw.lower(), t or ""
             base = base_spans(t, raw)
             for k, name in enumerate(("n_assign", "n_access", "n_hex")):
                 out[name].append(sum(s[1] == k for s in base))
             out["base"].append(listed(base))
-            out["spans"].append(listed(base + guessed_spans(t, raw, told.value)))
+            out["spans"].append(listed(base + guessed_spans(t, raw, dict(own) if own else told.value)))
         return out
 
-    kind = dict(df.dtypes)[id_column]
-    return shared.arrow_map(df.select(F.col(id_column).alias("doc_id"), F.col(text).cast("string")), rows, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base string, spans string")
+    return shared.arrow_map(df.select(F.col(id_column).alias("doc_id"), F.col(text).cast("string"), *([OWN] if beside else [])), rows, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base string, spans string")
 
 
 MASK = "[SECRET]"
@@ -266,8 +325,9 @@ def redact(df: DataFrame, words: dict[str, int] | None = None) -> DataFrame:
     """The rows of documents with each secret span replaced by MASK and n_chars brought up to date; texts without spans and null texts stay as they are."""
     spark = df.sparkSession
     shared.small_batches(spark)
-    names = df.columns
-    told = spark.sparkContext.broadcast(dictionary(df) if words is None else words)
+    names, schema = df.columns, df.schema
+    df, told = prepared(df, "text", words)
+    beside, df = OWN in df.columns, df.select(*names, *([OWN] if OWN in df.columns else []))
 
     def run(batches):
         import pyarrow as pa
@@ -275,17 +335,18 @@ def redact(df: DataFrame, words: dict[str, int] | None = None) -> DataFrame:
         for batch in batches:
             at = names.index("text")
             raws, texts = shared.as_bytes(batch.column(at)), batch.column(at).to_pylist()
-            for i, (raw, t) in enumerate(zip(raws, texts, strict=True)):
+            owns = batch.column(len(names)).to_pylist() if beside else [None] * len(texts)
+            for i, (raw, t, own) in enumerate(zip(raws, texts, owns, strict=True)):
                 if t:
                     raw = raw.lower()
-                    if spans := base_spans(t, raw) + guessed_spans(t, raw, told.value):
+                    if spans := base_spans(t, raw) + guessed_spans(t, raw, dict(own) if own else told.value):
                         texts[i] = redact_text(t, spans)
-            columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns[: len(names)])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
         shared.release()
 
-    out = df.mapInArrow(run, df.schema)
-    return out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out
+    out = df.mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

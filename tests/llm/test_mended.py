@@ -5,7 +5,9 @@ import random
 
 import pytest
 
-from quern.llm import decontaminate, pii
+from pyspark.sql import functions as F
+
+from quern.llm import decontaminate, pii, secrets, shared
 
 RNG = random.Random(31)
 
@@ -75,3 +77,27 @@ def test_one_automaton_a_worker(spark):
     assert len(got) == 12 and len({tuple(r) for r in got}) == len({r["pid"] for r in got}) <= 4
     assert all(r["one"] == r["two"] for r in got)
     sent.destroy()
+
+
+def test_dictionary_has_no_bound_and_joins_give_the_same(spark, monkeypatch):
+    rows = [(i, f"the Datenschutz of mechanisms {i}. key: hvqkzmxwpl and pin: Datenschutz{i % 3}") for i in range(9)]
+    rows += [(20, "password is mechanismsdatenschutz"), (21, "token: kqzwvbxj9kqzw"), (22, None), (23, ""), (24, "no hint here")]
+    docs = frame(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    asked = {r["word"] for r in secrets.asked_words(docs).collect()}
+    assert {"datenschutz", "mechanisms"} <= asked and "hvqkzmxwpl" not in asked and "the" not in asked
+    spans = lambda: sorted((r["doc_id"], r["spans"]) for r in secrets.scan(docs).collect())
+    kept = lambda: sorted(map(repr, secrets.redact(docs).collect()))
+    want, left = spans(), kept()
+    assert any("guess" in s for _, s in want) and dict(want)[20] == ""
+    monkeypatch.setattr(secrets, "BROADCAST_BYTES", 0)
+    assert spans() == want and kept() == left
+
+
+def test_pipeline_passes_other_columns_through(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", "y", "z"), (2, "g", "x", "y", "z")], "doc_id long, text string, _id string, _mark string, _doc string")
+    gone = spark.createDataFrame([(2,)], "doc_id long").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", shared.mark().alias("mark"))
+    assert [tuple(r) for r in corpus_pipeline.without(docs, gone).collect()] == [(1, "a b c d e f", "x", "y", "z")]
+    with pytest.raises(ValueError, match="own"):
+        corpus_pipeline.named(docs.withColumn("_quern_id", F.lit(1)))
