@@ -31,11 +31,10 @@ def g3_sentences(t):
     return segments.sentences(t.documents).select("doc_id", F.col("idx").cast("long").alias("idx"), "text", text.n_words(F.col("text")).cast("long").alias("n_words"))
 
 
-@query(rf"WITH {LINES} SELECT text_sha256, n_rows, n_docs FROM (SELECT sha256({COLLAPSED}) AS text_sha256, count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY 1) WHERE n_docs >= 2 ORDER BY n_docs DESC, n_rows DESC, text_sha256 LIMIT 50")
+@query(rf"WITH {LINES} SELECT text_sha256, n_rows, n_docs FROM (SELECT sha256({COLLAPSED}) AS text_sha256, count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY 1) WHERE n_docs >= 2")
 def a19_repeated_wordings(t):
-    """Which wordings repeat across documents: the 50 most repeated (a report)."""
-    found = segments.wordings(segments.lines_and_terminals(t.documents)).where("n_docs >= 2")
-    return found.select("text_sha256", "n_rows", "n_docs").orderBy(F.desc("n_docs"), F.desc("n_rows"), "text_sha256").limit(50)
+    """Which wordings repeat across documents, all of them."""
+    return segments.wordings(segments.lines_and_terminals(t.documents)).where("n_docs >= 2").select("text_sha256", "n_rows", "n_docs")
 
 
 @query("SELECT sha256(text) AS content_sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
