@@ -120,3 +120,13 @@ def report(found: DataFrame) -> DataFrame:
     line = F.format_string("%s:%d: %s %s", "where", "line", "rule", "found")
     listed = found.groupBy("where").agg(F.array_sort(F.collect_list(F.struct("line", "rule", line.alias("text")))).alias("l"))
     return listed.select("where", F.size("l").cast("long").alias("n"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("message"))
+
+
+def ledger_runs(ledger: DataFrame, source: str, runs: DataFrame, label: str) -> DataFrame:
+    """Ledger rows with the runs that they belong to: the label is the row's source, its translation, or part of it. Compared once for each source that
+    occurs, by equality where that will do, and only those pairs are joined with the rows."""
+    kinds, labels = ledger.select(F.col(source).alias("_s")).distinct(), runs.select(F.col(label).alias("_l")).distinct()
+    same = kinds.join(labels, F.col("_s") == F.col("_l")).unionByName(kinds.join(labels, F.concat("_s", F.lit("/translation")) == F.col("_l")))
+    part = kinds.join(labels, F.contains(F.col("_s"), F.col("_l")))
+    pairs = same.unionByName(part).distinct()
+    return ledger.join(pairs, F.col(source) == F.col("_s")).withColumnRenamed("_l", label).drop("_s")

@@ -114,6 +114,13 @@ def prose_contexts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return mapped(spread(docs.select(key, F.col(text).cast("string"))), rows, f"{key} {kind}, line long, first long, last long, context string")
 
 
+def fence_masks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, mask: a sign for each line, 1 inside fenced code and on its fences. A fence is closed by its own mark only."""
+    kind = dict(docs.dtypes)[key]
+    rows = lambda c: [(k, "".join("01"[bool(x)] for x in grammar.fence_mask((t or "").split("\n")))) for k, t in zip(*c, strict=True)]
+    return mapped(spread(docs.select(key, F.col(text).cast("string"))), rows, f"{key} {kind}, mask string")
+
+
 def rephrased(replies: DataFrame, keys: Sequence[str], text: str, pattern: str, replacement: str, most: int = 12) -> DataFrame:
     """keys, n_lines, fixed: lines of own prose that hold a forbidden expression, and the first `most` of them as they should read."""
 

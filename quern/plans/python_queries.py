@@ -73,6 +73,16 @@ def f5_plain_text(t):
 YES = "list_sum(list_transform(string_split(sha256({text}), ''), lambda x: strpos('0123456789abcdef', x) - 1)) % 3 <> 0"
 
 
+FENCED = "replace(replace(coalesce(text, ''), 'the ', chr(10) || ' ```sh' || chr(10)), 'and ', chr(10) || '~~~' || chr(10))"
+
+
+@query(f"""WITH k AS (SELECT doc_id, list_transform(string_split({FENCED}, chr(10)), lambda x: CASE WHEN starts_with(trim(x), '```') THEN 'b' WHEN starts_with(trim(x), '~~~') THEN 't' ELSE 'n' END) AS ks FROM documents)
+SELECT doc_id, list_reduce(ks, lambda a, x: CASE WHEN a[1] = 'n' AND x = 'n' THEN a || '0' WHEN a[1] = 'n' THEN x || a[2:] || '1' WHEN x = a[1] THEN 'n' || a[2:] || '1' ELSE a || '1' END, 'n')[2:] AS mask FROM k""")
+def w4_fence_mask(t):
+    """Lines inside code where two kinds of fences stand in all texts: only its own mark closes one."""
+    return python_backed.fence_masks(t.documents.select("doc_id", F.expr(FENCED.replace("chr(10)", "'\\n'")).alias("text")))
+
+
 @query(f"SELECT doc_id, text, {YES.format(text="coalesce(text, '')")} AS is_rule FROM documents")
 def l1_sem_filter(t):
     return semantic.sem_filter(t.documents.select("doc_id", "text"), "doc_id", "text", semantic.Stub)

@@ -110,11 +110,12 @@ def j15_j16_priority(t):
     return evaluation.first_match([evaluation.only_one(e.where("event_id % 50 = 0"), "hook", "rule"), e.groupBy("hook").agg(F.min("rule").alias("rule"))], "hook", "rule")
 
 
-@query("WITH r(label) AS (VALUES ('view'), ('click/translation'), ('pur')) SELECT event_id, label FROM events, r WHERE label = event_type OR label = event_type || '/translation' OR contains(event_type, label)")
+@query("WITH k AS (SELECT DISTINCT event_type AS k FROM events), r AS (SELECT DISTINCT unnest([k, k || '/translation', k[1:3], k || '?']) AS label FROM k) SELECT event_id, label FROM events, r WHERE label = event_type OR label = event_type || '/translation' OR contains(event_type, label)")
 def j23_ledger_runs(t):
-    runs = F.broadcast(t.spark.createDataFrame([("view",), ("click/translation",), ("pur",)], "label string"))
-    kind, label = F.col("event_type"), F.col("label")
-    return t.events.join(runs, (label == kind) | (label == F.concat(kind, F.lit("/translation"))) | F.contains(kind, label)).select("event_id", "label")
+    """Runs labelled after every kind of event, its translation, a part of it, and what is none of these."""
+    kind = F.col("event_type")
+    runs = t.events.select("event_type").distinct().select(F.explode(F.array(kind, F.concat(kind, F.lit("/translation")), F.substring(kind, 1, 3), F.concat(kind, F.lit("?")))).alias("label"))
+    return evaluation.ledger_runs(t.events.select("event_id", "event_type"), "event_type", runs, "label").select("event_id", "label")
 
 
 @query("WITH n AS (SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY 1) SELECT o_custkey, l_linenumber, p_brand, p_type FROM n JOIN lineitem ON l_orderkey = k JOIN part ON p_partkey = l_partkey")
