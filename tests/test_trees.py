@@ -26,7 +26,7 @@ def test_beam_reaches_the_end_of_a_deep_tree(spark):
 
 
 def test_closure_of_a_long_path_and_a_cycle(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(60, 55), (100, 101)], "src long, dst long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, 15), (100, 101)], "src long, dst long")
     got = trees.closure(edges, spark.createDataFrame([(3,), (3,)], "node long"))
-    assert sorted(r["node"] for r in got.collect()) == list(range(3, 61))
+    assert sorted(r["node"] for r in got.collect()) == list(range(3, 21))
     assert trees.closure(edges, spark.createDataFrame([(999,)], "node long")).collect()[0]["node"] == 999
