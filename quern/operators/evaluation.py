@@ -130,3 +130,43 @@ def ledger_runs(ledger: DataFrame, source: str, runs: DataFrame, label: str) ->
     part = kinds.join(labels, F.contains(F.col("_s"), F.col("_l")))
     pairs = same.unionByName(part).distinct()
     return ledger.join(pairs, F.col(source) == F.col("_s")).withColumnRenamed("_l", label).drop("_s")
+
+
+#: What a hook can say of a turn when it stops the agent.
+STOPS = ("block", "deny", "gave up")
+
+
+def hook_health(hooks: DataFrame, runs: DataFrame, scores: DataFrame, checking: Sequence[str]) -> DataFrame:
+    """Each installed hook: runs, stops, crashes, errors, said (its first message that stopped), sample (of its first crash), missed (turns that the check of its rule
+    failed and that it passed, without stopping or crashing in them), working, status.
+
+    hooks: hook, rule, event; runs: hook, turn, verdict ("pass", one of STOPS, "crash", "error"), message, seq; scores: rule, turn, passed. A hook works if it runs at an
+    event that can check (`checking`), ran, never crashed, never ended with an error that nobody is told, and missed no turn. Only sums travel: by hook and turn first, then by hook."""
+    v, stop = F.col("verdict"), F.col("verdict").isin(*STOPS)
+    turns = runs.groupBy("hook", "turn").agg(
+        F.count("*").alias("runs"), F.count_if(v == "pass").alias("passes"), F.count_if(stop).alias("stops"), F.count_if(v == "crash").alias("crashes"), F.count_if(v == "error").alias("errors"),
+        F.min_by(F.when(stop, F.col("message")), F.when(stop, F.col("seq"))).alias("said"), F.min(F.when(stop, F.col("seq"))).alias("said_at"),
+        F.min_by(F.when(v == "crash", F.col("message")), F.when(v == "crash", F.col("seq"))).alias("sample"), F.min(F.when(v == "crash", F.col("seq"))).alias("sample_at"),
+    )
+    failed = scores.where(~F.col("passed")).select("rule", "turn").distinct()
+    missed = turns.where("passes > 0 AND stops = 0 AND crashes = 0").join(hooks.select("hook", "rule"), "hook").join(failed, ["rule", "turn"]).groupBy("hook").agg(F.sort_array(F.collect_set("turn")).alias("missed"))
+    sums = turns.groupBy("hook").agg(*(F.sum(c).alias(c) for c in ("runs", "stops", "crashes", "errors")), F.min_by("said", "said_at").alias("said"), F.min_by("sample", "sample_at").alias("sample"))
+    out = hooks.join(sums, "hook", "left").join(missed, "hook", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("runs", "stops", "crashes", "errors")}
+    out = out.withColumns(zero | {"missed": F.coalesce("missed", F.array().cast(missed.schema["missed"].dataType)), "checks": F.col("event").isin(*checking)})
+    faults = [(F.col("runs") == 0, "never ran"), (F.col("crashes") > 0, "crashes"), (F.col("errors") > 0, "errors that nobody is told"), (F.size("missed") > 0, "missed a violation")]
+    said = [F.when(F.col("stops") > 0, F.concat(F.lit("stopped the agent "), "stops", F.lit(" times"))), *(F.when(c, text) for c, text in faults)]
+    why = F.concat_ws(", ", *said)
+    status = F.when(~F.col("checks"), "cannot check the work").when(why == "", "never had to stop the agent").otherwise(why)
+    sound = ~faults[0][0]
+    for c, _ in faults[1:]:
+        sound = sound & ~c
+    return out.select("hook", "rule", "event", "runs", "stops", "crashes", "errors", "said", "sample", "missed", (F.col("checks") & sound).alias("working"), status.alias("status"))
+
+
+def rule_health(health: DataFrame, rules: DataFrame) -> DataFrame:
+    """rule, working (one of its hooks is), stops, why (what its hooks lack, by hook; or that it has none)."""
+    own = health.where("rule IS NOT NULL").groupBy("rule").agg(F.max("working").alias("working"), F.sum("stops").alias("stops"), F.sort_array(F.collect_list(F.when(~F.col("working"), F.struct("hook", F.concat_ws(": ", F.concat_ws(" ", F.lit("hook"), "hook", F.concat(F.lit("("), "event", F.lit(")"))), "status").alias("why"))))).alias("whys"))
+    both = rules.select("rule").distinct().join(own, "rule", "left")
+    why = F.when(F.col("working").isNull(), "no hook was built for this rule").otherwise(F.array_join(F.transform("whys", lambda x: x["why"]), "; "))
+    return both.select("rule", F.coalesce("working", F.lit(False)).alias("working"), F.coalesce("stops", F.lit(0)).alias("stops"), why.alias("why"))

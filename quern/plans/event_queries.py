@@ -167,6 +167,40 @@ def a27_run_health(t):
     return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first"), days.alias("days"))
 
 
+HEALTH = """h AS (SELECT DISTINCT user_id % 30 AS hook, CASE WHEN user_id % 30 % 6 < 5 THEN user_id % 30 % 6 END AS rule, CASE WHEN user_id % 30 % 7 = 0 THEN 'Display' ELSE 'Stop' END AS event FROM events WHERE user_id % 30 <> 3 OR user_id > 30),
+r AS (SELECT user_id % 30 AS hook, CAST(day(ts) AS INT) AS turn, CASE WHEN event_type = 'purchase' THEN 'block' WHEN event_type = 'error' AND user_id % 30 % 5 = 1 THEN 'crash' WHEN event_type = 'error' AND user_id % 30 % 5 = 2 THEN 'error' ELSE 'pass' END AS v, props, event_id FROM events),
+s AS (SELECT DISTINCT doc_id % 5 AS rule, CAST(1 + doc_id % 30 AS INT) AS turn FROM documents WHERE n_chars < 150),
+p AS (SELECT hook, turn, count(*) FILTER (v = 'pass') AS passes, count(*) FILTER (v IN ('block', 'crash')) AS stopped FROM r GROUP BY ALL),
+m AS (SELECT p.hook, list(p.turn ORDER BY p.turn) AS missed FROM p JOIN h ON h.hook = p.hook JOIN s ON s.rule = h.rule AND s.turn = p.turn WHERE passes > 0 AND stopped = 0 GROUP BY p.hook),
+a AS (SELECT hook, count(*) AS runs, count(*) FILTER (v = 'block') AS stops, count(*) FILTER (v = 'crash') AS crashes, count(*) FILTER (v = 'error') AS errors, min_by(props, event_id) FILTER (v = 'block') AS said, min_by(props, event_id) FILTER (v = 'crash') AS sample FROM r GROUP BY hook),
+x AS (SELECT h.hook, h.rule, h.event, coalesce(runs, 0) AS runs, coalesce(stops, 0) AS stops, coalesce(crashes, 0) AS crashes, coalesce(errors, 0) AS errors, said, sample, coalesce(array_to_string(missed, ','), '') AS missed FROM h LEFT JOIN a ON a.hook = h.hook LEFT JOIN m ON m.hook = h.hook),
+z AS (SELECT *, event = 'Stop' AND runs > 0 AND crashes = 0 AND errors = 0 AND missed = '' AS working, CASE WHEN event <> 'Stop' THEN 'cannot check the work' ELSE coalesce(nullif(concat_ws(', ', CASE WHEN stops > 0 THEN 'stopped the agent ' || stops || ' times' END, CASE WHEN runs = 0 THEN 'never ran' END, CASE WHEN crashes > 0 THEN 'crashes' END,
+  CASE WHEN errors > 0 THEN 'errors that nobody is told' END, CASE WHEN missed <> '' THEN 'missed a violation' END), ''), 'never had to stop the agent') END AS status FROM x)"""
+
+
+def _health(t):
+    hook = F.col("user_id") % 30
+    hooks = t.events.where((hook != 3) | (F.col("user_id") > 30)).select(hook.alias("hook")).distinct()
+    hooks = hooks.select("hook", F.when(F.col("hook") % 6 < 5, F.col("hook") % 6).alias("rule"), F.when(F.col("hook") % 7 == 0, "Display").otherwise("Stop").alias("event"))
+    verdict = F.expr("CASE WHEN event_type = 'purchase' THEN 'block' WHEN event_type = 'error' AND user_id % 30 % 5 = 1 THEN 'crash' WHEN event_type = 'error' AND user_id % 30 % 5 = 2 THEN 'error' ELSE 'pass' END")
+    runs = t.events.select(hook.alias("hook"), F.dayofmonth("ts").alias("turn"), verdict.alias("verdict"), F.col("props").alias("message"), F.col("event_id").alias("seq"))
+    scores = t.documents.select((F.col("doc_id") % 5).alias("rule"), (1 + F.col("doc_id") % 30).cast("int").alias("turn"), (F.col("n_chars") >= 150).alias("passed"))
+    return evaluation.hook_health(hooks, runs, scores, ["Stop"])
+
+
+@query(f"WITH {HEALTH} SELECT * FROM z")
+def a27_hook_health(t):
+    """Whether each hook works in a run: what it did, its first words, the turns that it missed."""
+    return _health(t).withColumn("missed", F.array_join(F.col("missed").cast("array<string>"), ","))
+
+
+@query(f"""WITH {HEALTH} SELECT n AS rule, coalesce(bool_or(working), false) AS working, CAST(coalesce(sum(stops), 0) AS BIGINT) AS stops,
+CASE WHEN count(hook) = 0 THEN 'no hook was built for this rule' ELSE coalesce(string_agg('hook ' || hook || ' (' || event || '): ' || status, '; ' ORDER BY hook) FILTER (NOT working), '') END AS why FROM range(7) g(n) LEFT JOIN z ON z.rule = n GROUP BY n""")
+def a27_rule_health(t):
+    """Whether each rule has a hook that works, and if not, why."""
+    return evaluation.rule_health(_health(t), t.spark.range(7).select(F.col("id").alias("rule")))
+
+
 @query("SELECT event_id, round(value * 0.25 + event_id % 10 * 1.25, 6) AS cost, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, '%Y-%m-%d') AS day, CAST(ceil(event_id / 7.0) AS BIGINT) AS batch, least(greatest(event_id, 10), 5000) AS clamped FROM events")
 def f36_f38_f39_numbers(t):
     return t.events.select("event_id", F.round(F.col("value") * 0.25 + F.col("event_id") % 10 * 1.25, 6).alias("cost"), F.date_format("ts", "HH:mm:ss").alias("clock"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.ceil(F.col("event_id") / 7.0).alias("batch"), F.least(F.greatest("event_id", F.lit(10)), F.lit(5000)).cast("long").alias("clamped"))
