@@ -47,11 +47,12 @@ def depth(nodes: DataFrame) -> int:
     return int(now.agg(F.max("d")).first()[0] or 0)
 
 
-def beam(nodes: DataFrame, probabilities: DataFrame, width: int = 3) -> DataFrame:
+def beam(nodes: DataFrame, probabilities: DataFrame, width: int = 3, levels: int | None = None) -> DataFrame:
     """Beam search by level over nodes (node, parent, name, ord) with probabilities (item, node, p): item, rank, path, score.
 
     A path that reaches a node without children is finished; finished paths of all lengths compete. A single child has probability 1.
-    Ties keep the order of insertion: the path's place in the frontier, then the child's order. There are as many levels as the tree is deep.
+    Ties keep the order of insertion: the path's place in the frontier, then the child's order. There are as many levels as the tree is deep;
+    a tree deeper than `levels` is an error.
     A level's frontier is stored where the session has a checkpoint folder, so that no level computes those above it again, and an empty one ends the search.
     """
     kids = nodes.groupBy("parent").agg(F.count("*").alias("n_siblings"))
@@ -60,7 +61,10 @@ def beam(nodes: DataFrame, probabilities: DataFrame, width: int = 3) -> DataFram
     root = nodes.where("parent IS NULL").select(F.col("node").alias("at"))
     front = probabilities.select("item").distinct().crossJoin(F.broadcast(root)).select("item", "at", F.array().cast("array<string>").alias("path"), F.array().cast("array<double>").alias("ps"), F.lit(0).alias("seq"))
     finished, stored = None, nodes.sparkSession.sparkContext.getCheckpointDir() is not None
-    for level in range(max(1, depth(nodes) - 1)):
+    deep = max(1, depth(nodes) - 1)
+    if levels is not None and deep > levels:
+        raise ValueError(f"the tree has {deep} levels below its root, more than {levels}")
+    for level in range(deep):
         if level and stored and front.isEmpty():
             break
         step = front.join(F.broadcast(full), front["at"] == full["parent"]).join(probabilities, ["item", "node"], "left")

@@ -9,6 +9,7 @@ began before the snapshot and ended after it still takes its turn.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
@@ -37,15 +38,29 @@ def _numbers(spark: SparkSession, path: str, prefix: str) -> Iterator[int]:
 def claimed(spark: SparkSession, path: str) -> int:
     """A number higher than all claimed before; no two writers get the same."""
     n = max(_numbers(spark, f"{path}/_claims", ""), default=0) + 1
-    while True:
-        fs, at = _path(spark, f"{path}/_claims/{n:012d}")
+    while not _created(spark, f"{path}/_claims/{n:012d}"):
+        n += 1
+    return n
+
+
+def _created(spark: SparkSession, path: str) -> bool:
+    """Whether this call has created the file. HDFS creates exclusively; Hadoop's local file system looks first and then creates, so a local (or mounted) path is left to the
+    operating system."""
+    fs, at = _path(spark, path)
+    if fs.getScheme() == "file":
+        fs.mkdirs(at.getParent())
         try:
-            fs.create(at, False).close()
-            return n
-        except Py4JJavaError:
-            if not fs.exists(at):
-                raise
-            n += 1
+            os.close(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            return True
+        except FileExistsError:
+            return False
+    try:
+        fs.create(at, False).close()
+        return True
+    except Py4JJavaError:
+        if not fs.exists(at):
+            raise
+        return False
 
 
 def append(records: DataFrame, path: str) -> int:
