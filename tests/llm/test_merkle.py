@@ -27,7 +27,7 @@ def leaves(spark, rows):
     return frame(spark, rows).select("doc_id", "lang", merkle.digest(*map(F.col, merkle.FIELDS)).alias("leaf"))
 
 
-@pytest.mark.parametrize(("fanout", "levels"), [(2, 10), (2, 2), (2, 1), (3, 2), (5, 1)])
+@pytest.mark.parametrize(("fanout", "levels"), [(2, 10), (2, 2), (3, 1)])
 def test_equals_a_tree_in_one_piece(spark, fanout, levels):
     found = merkle.manifest(leaves(spark, ROWS), "lang", "doc_id", fanout, levels)
     got = found.select("lang", "doc_id", "leaf", "subroot", merkle.siblings().alias("path"), "root", merkle.folded(F.col("leaf")).alias("folded")).collect()

@@ -33,7 +33,7 @@ def by_hand(rows, size=3, percent=90):
     return {d: x[:2] for d, x in near_dedup.brute_force(rows, size, percent).items()}
 
 
-@pytest.mark.parametrize(("short", "block", "longest"), [(16, 1000, 4), (2, 7, 4), (1, 5, 1)])
+@pytest.mark.parametrize(("short", "block", "longest"), [(16, 1000, 4), (1, 7, 2)])
 def test_matches_all_pairs(spark, monkeypatch, short, block, longest):
     for name, value in (("SHORT", short), ("BLOCK", block), ("LONGEST", longest)):
         monkeypatch.setattr(ngram_join, name, value)
@@ -71,7 +71,7 @@ def test_templates(spark):
     assert got == by_hand(rows) and got[300][1] == 150
 
 
-@pytest.mark.parametrize(("size", "percent"), [(1, 50), (2, 75), (5, 100)])
+@pytest.mark.parametrize(("size", "percent"), [(1, 50), (5, 100)])
 def test_other_shingles_and_similarities(spark, size, percent):
     words = [RNG.choice(WORDS) for _ in range(30)]
     rows = [(i, edited(words, 8)) for i in range(60)] + EDGES
