@@ -1,11 +1,11 @@
-"""Operators that need Python: the grammar, searches by a check. Arrow batches in and out, one pass, no shuffle."""
+"""Operators that need Python: the grammar, searches by a check. Arrow batches in and out, bounded in bytes on both sides; one pass, no shuffle."""
 
 from __future__ import annotations
 
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -15,9 +15,29 @@ from quern.functions import code, grammar, patterns
 from quern.session import prepare
 
 
-def mapped(df: DataFrame, rows: Callable[[list], list[tuple]], schema: str) -> DataFrame:
-    """rows(lists of the columns) -> tuples of the schema, for each batch."""
-    prepare(df.sparkSession)
+#: What a worker takes from a batch and gives back at once: rows in, rows and characters out. Texts may make many times their own size.
+ROWS_IN, ROWS_OUT, CHARS_OUT = 256, 8192, 4 << 20
+BATCH_BYTES = 4 << 20
+
+
+def pieces(rows: Iterable[tuple], most: int = ROWS_OUT, chars: int = CHARS_OUT) -> Iterator[list[tuple]]:
+    """Rows in lists of at most so many rows and, but for one row, characters; a list is given away before the next row is made."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        for v in row:
+            if type(v) is str:
+                size += len(v)
+        if len(held) >= most or size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def mapped(df: DataFrame, rows: Callable[[list], Iterable[tuple]], schema: str) -> DataFrame:
+    """rows(lists of the columns) -> tuples of the schema, for each batch; given as they come, where rows makes them one by one."""
+    prepare(df.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     out = df.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):
@@ -26,9 +46,9 @@ def mapped(df: DataFrame, rows: Callable[[list], list[tuple]], schema: str) -> D
 
         arrow = to_arrow_schema(out)
         for batch in batches:
-            got = rows([c.to_pylist() for c in batch.columns])
-            columns = list(zip(*got, strict=True)) or [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            own = (batch.slice(at, ROWS_IN) for at in range(0, batch.num_rows, ROWS_IN))
+            for got in pieces(row for part in own for row in rows([c.to_pylist() for c in part.columns])):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, out)
 
@@ -43,17 +63,16 @@ def segmented(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """key, idx, type, char_start, char_end, text, is_structural, heading_path; a document that fails gives one row of type error."""
     from quern.operators.filters import STRUCTURAL
 
-    def rows(columns: list) -> list[tuple]:
-        out = []
+    def rows(columns: list) -> Iterator[tuple]:
         for k, t in zip(*columns, strict=True):
             try:
-                heads = grammar.headings(t)
-                for i, u in enumerate(grammar.segment(t), 1):
-                    path = " > ".join(grammar.heading_path(heads, u.start, u.type == "heading"))
-                    out.append((k, i, u.type, u.start, u.end, t[u.start : u.end], u.type in STRUCTURAL, path))
+                units = grammar.segment(t)
+                paths = grammar.heading_paths(grammar.headings(t), units)
             except (RecursionError, IndexError, ValueError) as e:
-                out.append((k, 0, "error", 0, 0, f"{type(e).__name__}: {e}", True, ""))
-        return out
+                yield k, 0, "error", 0, 0, f"{type(e).__name__}: {e}", True, ""
+                continue
+            for i, (u, path) in enumerate(zip(units, paths, strict=True), 1):
+                yield k, i, u.type, u.start, u.end, t[u.start : u.end], u.type in STRUCTURAL, path
 
     kind = dict(docs.dtypes)[key]
     return mapped(spread(docs.select(key, F.col(text).cast("string"))), rows, f"{key} {kind}, idx int, type string, char_start int, char_end int, text string, is_structural boolean, heading_path string")
@@ -76,22 +95,16 @@ def clauses_in_context(docs: DataFrame, key: str = "doc_id", text: str = "text")
     def digest(*parts: object) -> str:
         return hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:16]
 
-    def rows(columns: list) -> list[tuple]:
-        out = []
+    def rows(columns: list) -> Iterator[tuple]:
         for k, t in zip(*columns, strict=True):
             units = [u for u in grammar.segment(t) if u.type not in STRUCTURAL]
             if units:
-                lines, heads, sha = t.split("\n"), grammar.headings(t), hashlib.sha256(t.encode()).hexdigest()
+                lines, sha = t.split("\n"), hashlib.sha256(t.encode()).hexdigest()
                 mask, starts = grammar.fence_mask(lines), list(accumulate((len(x) + 1 for x in lines), initial=0))
-                seen, path = 0, []
-                for u in units:
+                for u, path in zip(units, grammar.heading_paths(grammar.headings(t), units), strict=True):
                     first, last = bisect_right(starts, u.start) - 1, bisect_right(starts, u.end) - 1
                     own = t[u.start : u.end]
-                    while seen < len(heads) and heads[seen][0] <= u.start:  # one stack of headings, in step with the units
-                        path = [h for h in path if h[0] < heads[seen][1]] + [heads[seen][1:]]
-                        seen += 1
-                    out.append((k, digest(sha, u.start, u.end), own, digest(re.sub(r"\s+", " ", own).strip()), u.start, u.end, *grammar.context(lines, mask, first, last), " > ".join(h[1] for h in path)))
-        return out
+                    yield k, digest(sha, u.start, u.end), own, digest(re.sub(r"\s+", " ", own).strip()), u.start, u.end, *grammar.context(lines, mask, first, last), path
 
     kind = dict(docs.dtypes)[key]
     return mapped(spread(docs.select(key, F.col(text).cast("string"))), rows, f"{key} {kind}, clause_id string, text string, text_sha string, char_start int, char_end int, context string, ctx_start_line int, ctx_end_line int, heading_path string")
@@ -100,15 +113,13 @@ def clauses_in_context(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def prose_contexts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, line, first, last, context of each line outside code: the nearest lines of prose around it, up to the headings that bound it."""
 
-    def rows(columns: list) -> list[tuple]:
-        out = []
+    def rows(columns: list) -> Iterator[tuple]:
         for k, t in zip(*columns, strict=True):
             lines = (t or "").split("\n")
             mask = grammar.fence_mask(lines)
             for i in (i for i, inside in enumerate(mask) if not inside):
                 block, first, last = grammar.context(lines, mask, i, i)
-                out.append((k, i + 1, first, last, block))
-        return out
+                yield k, i + 1, first, last, block
 
     kind = dict(docs.dtypes)[key]
     return mapped(spread(docs.select(key, F.col(text).cast("string"))), rows, f"{key} {kind}, line long, first long, last long, context string")
@@ -151,12 +162,10 @@ def violations(texts: DataFrame, key: str, text: str, fails: Callable[[Sequence[
     `lines`), and how many checks the text took."""
     kind = dict(texts.dtypes)[key]
 
-    def rows(columns: list) -> list[tuple]:
-        out = []
+    def rows(columns: list) -> Iterator[tuple]:
         for k, t in zip(*columns, strict=True):
             found, checks = code.located((t or "").split("\n"), fails, most)
-            out += [(k, at[0], at[-1], note, at, checks) for at, note in found]
-        return out
+            yield from ((k, at[0], at[-1], note, at, checks) for at, note in found)
 
     return mapped(texts.select(key, text), rows, f"{key} {kind}, first int, last int, note string, lines array<int>, checks int")
 
