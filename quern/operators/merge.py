@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType
+
+from quern.session import finer
 
 
 def one_per_content(files: DataFrame, sha: str, key: str) -> DataFrame:
@@ -63,10 +66,25 @@ def complete(records: DataFrame, key: str, replicate: str, n: int, error: str =
 
 
 def reconciled(replies: DataFrame, asked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(replies to take, keys to ask again): a key counts if it was asked and came back exactly once; invented keys are ignored."""
-    once = replies.groupBy(key).agg(F.count("*").alias("_n")).where("_n = 1").select(key)
-    good = replies.join(once, key, "left_semi").join(asked.select(key).distinct(), key, "left_semi")
-    return good, asked.join(good.select(key), key, "left_anti")
+    """(replies to take, keys to ask again): a key counts if it was asked and came back exactly once; invented keys are ignored.
+
+    Replies and questions are brought together once, as one group a key: how often it came back, how often it was asked, and its only reply."""
+    finer(asked.sparkSession)
+    own, others = [c for c in replies.columns if c != key], [c for c in asked.columns if c != key]
+    came = replies.select(key, *(F.col(c).alias(f"_r{i}") for i, c in enumerate(own)), F.lit(1).alias("_came"), F.lit(0).alias("_asked"))
+    put = asked.select(key, *(F.lit(None).cast(replies.schema[c].dataType).alias(f"_r{i}") for i, c in enumerate(own)), F.lit(0).alias("_came"), F.lit(1).alias("_asked"))
+    sums = came.unionByName(put).groupBy(key).agg(F.sum("_came").alias("_came"), F.sum("_asked").alias("_asked"), *(single(replies.schema[c].dataType, f"_r{i}") for i, c in enumerate(own)))
+    known = F.col(key).isNotNull() & (F.col("_came") == 1)
+    good = sums.where(known & (F.col("_asked") > 0)).select(*(F.col(key) if c == key else F.col(f"_r{own.index(c)}").alias(c) for c in replies.columns))
+    if others:
+        return good, asked.join(good.select(key), key, "left_anti")
+    again = sums.where(~known & (F.col("_asked") > 0))
+    return good, again.select(key, F.explode(F.sequence(F.lit(1), F.col("_asked"))).alias("_n")).select(key)
+
+
+def single(kind: DataType, name: str) -> Column:
+    """The value of the only reply of a group: numbers by max, which needs no order of rows; else the first that isn't null."""
+    return (F.max(name) if isinstance(kind, NumericType) else F.first(name, ignorenulls=True)).alias(name)
 
 
 def last_of_each(records: DataFrame, key: str, order: str, error: str | None = None) -> DataFrame:
