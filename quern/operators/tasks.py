@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import finer
 from quern.sources import logs, readers
 
 MANIFEST = "name string, folder string, n long"
@@ -48,6 +49,7 @@ def with_picks(needed: DataFrame, picks: DataFrame, candidates: DataFrame, keys:
     """keys, pick, score, fresh: the picks of all that is needed. Those picked before stay (fresh false); the rest take their best candidate, ties by name; null where there
     is none. needed: keys; picks: keys, pick, score; candidates: keys, pick, score."""
     keys = list(keys)
+    finer(needed.sparkSession)
     need = needed.select(*keys).distinct()
     old = picks.select(*keys, "pick", "score").join(need, keys, "left_semi").withColumn("fresh", F.lit(False))
     missing = need.join(picks.select(*keys), keys, "left_anti")
