@@ -1,8 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, with thresholds by language.
 
 The model is over the characters of whole texts, in which any blanks count as one, so that contexts reach across words. It is
-trained on documents labelled as good and not as toxic, at most TRAINED of them, chosen by a hash of their id. Counts, continuation
-counts, context sums and probabilities are aggregations and joins sharded by n-gram:
+trained on all documents labelled as good and not as toxic but those kept for the thresholds. Counts, continuation counts, context sums and probabilities are aggregations and joins sharded by n-gram:
 
     P_n(c|h) = (C(hc) - D(C(hc))) / sum C(h.) + gamma(h) P_{n-1}(c|h')
 
@@ -11,9 +10,10 @@ A document's perplexity is that of its whole text; it is rejected above its lang
 (text that repeats itself is too easy). A short text's perplexity says less, so both are wider by a factor of
 10**(SLACK / sqrt(characters)); within that, they are the QUANTILE and the 1 - QUANTILE of documents labelled as good and not as
 toxic in that language (of all languages where there are fewer than ENOUGH). These are documents that the model wasn't trained on:
-every KEPT-th good one is kept from training; only where fewer than ENOUGH are left do the trained ones count too.
+every KEPT-th good one, by a hash of its id, is kept from training; each good one counts in the model or in the thresholds.
+Only where fewer than ENOUGH are left do the trained ones count too.
 
-The fitted model has at most ORDER entries a character of the trained sample; up to MAX_ENTRIES (24 bytes each) it goes to the
+The fitted model has at most ORDER entries a character of the trained texts; up to MAX_ENTRIES (24 bytes each) it goes to the
 scorers, which read the documents where they lie and remember what frequent n-grams cost. A larger one stays in Spark: the
 documents' distinct n-grams are joined with it, shard by shard; results are the same.
 
@@ -36,11 +36,14 @@ from quern.llm import shared
 
 U = np.uint64
 ORDER = 5
-TRAINED = 4000
 MAX_ENTRIES = 4_000_000
 QUANTILE, SLACK, ENOUGH = 0.995, 1.2, 30
 #: One of so many trusted documents is kept from training, for the thresholds.
 KEPT = 3
+#: Up to so many ids to train on are broadcast (8 bytes each); more are joined by sorting.
+BROADCAST_ROWS = 1_000_000
+#: Distinct n-grams that a training task counts before it gives them away.
+HELD = 100_000
 OPEN, CLOSE = "\x02", "\x03"
 #: Characters that part words.
 BLANKS = re.compile(r"[\x20\t-\r]+")
@@ -68,6 +71,30 @@ def grams(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("key").cast("long"), F.col("text").cast("string")).mapInArrow(run, "key long, g string, n long")
 
 
+def counted(texts: DataFrame) -> DataFrame:
+    """g, n: the full-order n-grams of all texts, counted over HELD distinct ones at a time before they are brought together."""
+    shared.small_batches(texts.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        def given():
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["g", "n"])
+
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if unit := unit_of(text):
+                    found.update(unit[i : i + ORDER] for i in range(len(unit) - ORDER + 1))
+                    if len(found) >= HELD:
+                        yield given()
+                        found.clear()
+        if found:
+            yield given()
+
+    return texts.select(F.col("text").cast("string")).mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+
 def discounts(counts: DataFrame) -> list[float]:
     """D1, D2, D3+ of modified Kneser-Ney from the counts of counts."""
     found = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
@@ -81,7 +108,7 @@ def discounts(counts: DataFrame) -> list[float]:
 
 def train(texts: DataFrame) -> DataFrame:
     """The model: order, g, logp (log10 P of the last character after the others), back (log10 gamma of g as a context; null if it is none)."""
-    counts = {ORDER: shared.stored(grams(texts.select(F.lit(0).alias("key"), "text")).groupBy("g").agg(F.sum("n").alias("n")), "counts")[0]}
+    counts = {ORDER: shared.stored(counted(texts), "counts")[0]}
     for n in range(ORDER - 1, 0, -1):
         counts[n] = shared.stored(counts[n + 1].groupBy(F.substring("g", 2, n).alias("g")).agg(F.count("*").alias("n")), "counts")[0]
     lower = None
@@ -261,19 +288,21 @@ def score_sharded(docs: DataFrame, model: DataFrame) -> DataFrame:
     return numbered.select("row", "doc_id", "mark", "lang").join(sums, "row", "left").select("doc_id", "mark", "lang", F.coalesce("n_symbols", zero).alias("n_symbols"), F.coalesce("logp", F.lit(0.0)).alias("logp"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, trained: int = TRAINED, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """One row per document: doc_id, mark, lang, n_symbols, perplexity (null without words), lower_threshold, threshold, rejected."""
     good = labels.where("quality = 1").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = good.where("toxic = 0")
     for_training = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(KEPT)) != 0
-    chosen = F.broadcast(good.where(for_training).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(trained))
+    chosen, _ = shared.stored(good.where(for_training).select("doc_id"), "chosen")
+    if chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)  # the texts stay where they lie
     model = train(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id", "left_semi"))
     sent: list = []
     scored, _ = shared.stored(score(docs, model, sent=sent).withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.pow(F.lit(10.0), -F.col("logp") / F.col("n_symbols")))).drop("logp"), "scores")
     for told in sent:
         told.destroy()
     judged = scored.where("perplexity IS NOT NULL").join(good, "doc_id", "left_semi")
-    unseen = judged.join(chosen, "doc_id", "left_anti")
+    unseen = judged.where(~for_training)
     trusted = unseen if unseen.limit(ENOUGH).count() == ENOUGH else judged
     wider = F.pow(F.lit(10.0), slack / F.sqrt(F.greatest("n_symbols", F.lit(1))))
     # calibrated at the width of each text's own length, so that short texts' spread doesn't widen the thresholds of long ones;
