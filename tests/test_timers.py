@@ -51,6 +51,22 @@ def test_silence_told_once_and_again_after_a_new_event(spark, tmp_path):
     assert state_rows(spark, checkpoint) == 1
 
 
+def test_keys_share_groups_of_state(spark, tmp_path):
+    folder, checkpoint = f"{tmp_path}/in", f"{tmp_path}/c"
+
+    def run(rows):
+        spark.createDataFrame(rows, "k long, s long").select("k", F.timestamp_seconds(F.col("s") + BEGAN).alias("at")).coalesce(1).write.mode("append").parquet(folder)
+        found = streams.run_once(timers.stalls(spark.readStream.schema("k long, at timestamp").parquet(folder), "k", "at", 100.0), f"{tmp_path}/out", checkpoint)
+        return {(r["k"], int(r["at"].timestamp()) - BEGAN, r["gap_s"]) for r in found.collect()}
+
+    keys = {None if i == 7 else 2**53 + i: 50 + 100 * (i % 3) for i in range(1100)}  # null, and such as no double tells apart
+    told = {(k, 0, float(s)) for k, s in keys.items() if s > 100}
+    assert run([(k, x) for k, s in keys.items() for x in (0, s)]) == told
+    assert spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "state").load().select("key").distinct().count() <= 1024
+    assert state_rows(spark, checkpoint) == 1100
+    assert run([(1, 9000)]) == told | {(k, s, None) for k, s in keys.items()}
+
+
 def test_late_event_joins_two_sessions(spark, tmp_path):
     folder = f"{tmp_path}/in"
     run = lambda: sorted((r["k"], int(r["start"].timestamp()) - BEGAN, int(r["end"].timestamp()) - BEGAN, r["n"]) for r in streams.run_once(streams.sessions(streams.tail(spark, folder, SCHEMA), "k", "at", "10 minutes", "1 hour"), f"{tmp_path}/out", f"{tmp_path}/c").collect())
