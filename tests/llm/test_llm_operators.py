@@ -479,3 +479,15 @@ def test_suffix_names_by_two_keys():
     assert not np.intersect1d(first, second).size
     some = np.array([3, 7, 4003, 8500])
     assert (suffix_dedup.names_at(raw, some, length, 1) == second[some]).all()
+
+
+def test_suffix_names_tell_exchanged_bytes_apart(spark):
+    text = "".join(chr(97 + int(x)) for x in np.random.default_rng(3).integers(0, 26, 400))
+    rows = [(0, text)]
+    for i, (p, q) in enumerate([(1, 3), (2, 6), (5, 7), (37, 39)], 1):
+        assert text[p] != text[q]
+        rows.append((i, text[:p] + text[q] + text[p + 1 : q] + text[p] + text[q + 1 :]))
+    for key in (0, 1):
+        assert len({int(suffix_dedup.names_at(t.encode(), np.zeros(1, np.int64), 400, key)[0]) for _, t in rows}) == len(rows)
+    docs = frame(spark, rows)
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs).collect()} == dict.fromkeys(range(5), 0)
