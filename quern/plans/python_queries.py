@@ -131,8 +131,9 @@ def m23_patterns(t):
     """Code put together from the lines of all orders: a match binds $K twice, so a line that drops another number is none."""
     other = F.when(F.col("l_suppkey") % 2 == 0, F.col("l_partkey")).otherwise(F.col("l_partkey") + 1)
     line = F.concat(F.lit("    if check("), "l_partkey", F.lit(", '"), "l_returnflag", F.lit("'):\n        drop("), other, F.lit(")\n"))
-    files = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("own")))).alias("own"))
-    files = files.repartition(t.spark.sparkContext.defaultParallelism, "l_orderkey")  # few bytes, much work: not to be merged by size
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    rows = rows.repartition(t.spark.sparkContext.defaultParallelism, "l_orderkey")  # few bytes, much work: not to be merged by size
+    files = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("own")))).alias("own"))
     content = F.concat(F.lit("def order():\n"), F.array_join(F.transform("own", lambda x: x["own"]), ""), F.lit("    return 1\n"))
     found = python_backed.pattern_matches(files.select(F.concat("l_orderkey", F.lit(".py")).alias("path"), content.alias("content")), RULES)
     hole = F.coalesce(F.col("holes")["K"], F.col("holes")["FLAG"], F.col("holes")["F"])
